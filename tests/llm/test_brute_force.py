@@ -1,0 +1,322 @@
+"""Every operator against a plain version of its contract."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from spatialseg.llm import html_text, jaccard, langid, media, mixing, neighbours, packing, pii, quality, token_counts
+from spatialseg.llm.queries import OP4_SQL, tokenizer_file
+
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", " ", "\n", "a", "a b", "A  B\tc", "é ﬁ　x", "▁a b▁", "x " * 5000, "ab" * 30000, "<|endoftext|> a<|endoftext|>", "RIFF GIF89a BM P5\n1 1\n255\nx", "a b", "a b"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(10_000 + i, t, "en" if i % 3 else None, "s" if i % 2 else None, 0) for i, t in enumerate(ODD)], real.schema)
+    return real.union(odd).withColumn("text_len", real.n_chars).persist()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+
+
+def empty(df):
+    return df.limit(0)
+
+
+def test_token_counts(spark, docs, rows, tmp_path):
+    import sentencepiece
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    want = {i: (len((t or "").encode()), len(sp.encode(t or ""))) for i, t, *_ in rows}
+    cache = f"file://{tmp_path}/cache"
+    assert token_counts.token_counts(empty(docs), model, cache).count() == 0
+    for _ in range(2):  # the second time all are hits
+        got = token_counts.token_counts(docs, model, cache).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in got} == want and len(got) == len(rows)
+        assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got)
+        stored = spark.read.parquet(cache)
+        assert stored.count() == len({t or "" for _, t, *_ in rows})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=" ab▁é\n\tﬁ.1", max_size=12), max_size=5))
+def test_words_count_as_texts(texts):
+    c = token_counts.counter(tokenizer_file("piece_bpe_32k.model"))
+    assert c.by_word and c.count(texts) == c.encode(texts)
+
+
+def test_media(docs, rows):
+    stored = media.store_texts(docs)
+    got = media.media_features(stored, ["doc_id", "n_bytes"]).collect()
+    assert len(got) == len(rows) and media.media_features(media.store_texts(empty(docs)), ["doc_id"]).count() == 0
+    text = {i: t for i, t, *_ in rows}
+    for r in got:
+        raw = (text[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_type"] == "audio/wav" and r["corrected"]
+        assert r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest() and r["media_bytes"] == len(payload) + 44
+
+
+def test_sniff_and_carve():
+    png = b"\x89PNG\r\n\x1a\n"
+    for kind, body in ((b"IHDR", bytes(13)), (b"IDAT", b"abc"), (b"IEND", b"")):
+        png += len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    pgm, wav = b"P5\n2 3\n255\nabcdef", media.to_wav(b"RIFFxxxxWAVE" + bytes(52))
+    gif = b"GIF89a" + bytes(7) + b"\x2c" + bytes(9) + b"\x02\x01\x00\x00;"
+    blob = b"junkGIF89a" + png + b"--" + gif + b"BM" + pgm + wav + png[:-3]
+    found = media.sniff(blob)
+    assert [(k, blob[s : s + n]) for k, s, n in found] == [("image/png", png), ("image/gif", gif), ("image/x-portable-graymap", pgm), ("audio/wav", wav)]
+    assert media.sniff(wav)[0] == ("audio/wav", 0, len(wav)) and media.sniff(b"") == []
+    assert [x[1:] for x in media.sniff(media.to_wav(png + bytes(-len(png) % 64)))] == [(0, 44 + len(png) + -len(png) % 64), (44, len(png))]
+
+
+def test_packing(docs, rows):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t, *_ in rows}
+    got = packing.pack_documents(docs, path).collect()
+    assert packing.pack_documents(empty(docs), path).count() == 0
+    bins, parts = defaultdict(list), defaultdict(list)
+    for r in got:
+        piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(piece) == r["length"] and zlib.crc32(np.array(piece, "<u4").tobytes()) == r["ids_crc32"]
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        parts[r["doc_id"]].append((r["piece"], r["start"], r["length"]))
+    for places in bins.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(n for _, n in places) <= 1024
+    for i, p in parts.items():
+        p.sort()
+        assert [x[0] for x in p] == list(range(len(p))) and sum(x[2] for x in p) == len(ids[i]) and all(x[2] == 1024 for x in p[1:])
+    assert len(bins) <= -(-sum(map(len, ids.values())) // 1024) * 1.03 + 1
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 9), min_size=1, max_size=12))
+def test_bin_completion(counts):
+    plan = packing.bin_completion(counts, 40, nodes=500)
+    used = Counter()
+    for pattern, copies in plan:
+        assert sum(n * k for n, k in pattern) <= 40 and copies > 0
+        for n, k in pattern:
+            used[n] += k * copies
+    assert used == counts and sum(c for _, c in plan) <= sum(c for _, c in packing.best_fit(counts, 40))
+    spans = defaultdict(list)
+    for n, first, end, *_ in packing.slots(plan):
+        spans[n].append((first, end))
+    assert {n: sum(e - s for s, e in x) for n, x in spans.items()} == counts
+
+
+def test_mixing(spark, docs, rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = {r[0]: r[1:] for r in con.sql(OP4_SQL).fetchall()}
+    plan = mixing.mix_plan(docs.select("doc_id", "text", "source"))
+    got = {r["doc_id"]: (r["_size"], r["_total"], float(r["_target"]), r["_copies"] * r["_size"]) for r in plan.collect()}
+    assert got == want
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    assert all(got[i][0] == len(word.findall(t or "")) and got[i][3] <= 2 * got[i][0] for i, t, *_ in rows)
+    assert mixing.mix_plan(empty(docs)).count() == 0
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["_copies"] for r in plan.collect())
+    targets = {r["_source"]: r["_target"] for r in mixing.source_targets(spark.createDataFrame([(False, "a", 10), (False, "b", 100), (False, "c", 1000), (True, "", 0)], "_none boolean, _source string, _total long")).collect()}
+    assert targets["a"] == 20 and targets["b"] == 200 and targets[""] == 0 and abs(sum(targets.values()) - 1665) < 1e-6
+
+
+def test_html():
+    long = "This sentence, with commas, is long enough to be scored as a paragraph of text. "
+    page = f"<html><head><title>T</title></head><body><header>Top <a href=/>home</a></header><div class='sidebar'><p>{long * 3}</p></div><div class='post-content'><h1>A &amp; B</h1><p>{long}<p>Two&nbsp;  parts <b>bold</b></p><script>var x='<p>{long}</p>'</script><ul><li>one<li>two</ul></div><section id=comments><p>{long * 4}</p></section><form><p>{long}</p></form><footer>end</footer></body></html>"
+    assert html_text.main_text(page) == f"A & B {long.strip()} Two parts bold one two"
+    assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<p>x") == "x"
+    assert html_text.main_text("<body><nav>menu</nav><p>short</p></body>") == "short"
+    for hard in ("<div>" * 20000 + "x", "<a " * 20000, "<b>" * 20000 + "x<hr>" * 20000, '<a "' * 20000 + ">", "<" * 50000, "</p>" * 20000):
+        html_text.main_text(hard)
+
+
+def test_html_rows(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    out = html_text.extract_main_text(pages, ["page_id", "url"]).collect()
+    assert len(out) == pages.count() and all(r["n_chars"] == len(r["text"]) and "  " not in r["text"] for r in out)
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in out:
+        inner = re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*?)</article>", html[r["page_id"]], re.S)[1])
+        assert r["text"].replace(" ", "") == html_text.htmllib.unescape(inner).replace(" ", "").replace("\n", "")
+
+
+def test_nearest(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    rng = np.random.default_rng(1)
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    v = rows[3][1]
+    rows += [(1000 + i, v) for i in range(40)] + [(2000 + i, (rng.normal(size=64) * (1 + i)).tolist()) for i in range(40)]
+    rows += [(3000, None), (3001, [0.0] * 64), (3002, [float("nan")] + [1.0] * 63), (3003, [None] + [1.0] * 63), (3020, [1.0, 2.0]), (3021, [1.0, 1.0])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(data, "vid % 20 = 0", at_once=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    usable = {i: np.array(v, np.float32).astype(float) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
+    hits = total = 0
+    assert set(got) == {i for i in usable if i % 20 == 0}
+    for q, found in got.items():
+        want = sorted((-float(usable[q] @ v), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))[:20]
+        assert len(found) == len(want) and [i for i, _ in found] == [i for _, i in sorted((-s, i) for i, s in found)]
+        assert all(abs(s - usable[q] @ usable[i]) < 1e-9 for i, s in found)
+        hits, total = hits + len({i for i, _ in found} & {i for _, i in want}), total + len(want)
+    assert hits / total >= 0.9
+    copies = [i for i, _ in got[1000] if i == 3 or 1000 < i < 1040]
+    assert len(copies) > 5 and copies == [3, *range(1001, 1040)][: len(copies)]
+    assert neighbours.nearest(empty(data), "vid % 20 = 0").count() == 0
+
+
+def test_language(spark, docs, rows):
+    held = langid.in_fold(docs.doc_id, 3) == 1
+    models = langid.train(docs.where(~held))
+    got = {r["doc_id"]: r for r in langid.identify(docs, models, ["doc_id"]).collect()}
+    test = [(i, lang) for i, t, lang, _ in rows if i < 10_000 and zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i]["lang_pred"] == lang for i, lang in test) >= 0.97 * len(test)
+    assert all(got[10_000 + k]["lang_pred"] == "und" and got[10_000 + k]["score"] == 0 for k in (0, 1, 2, 3))
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and sum(r["rejected"] for i, r in got.items() if i < 10_000) == 0
+    none = langid.train(empty(docs))
+    assert {r["lang_pred"] for r in langid.identify(docs, none, ["doc_id"]).collect()} == {"und"}
+    g = langid.grams(langid.letters("then"), 4)
+    for context in {int(x) >> langid.BITS for x in g}:
+        p = np.exp(models.gram_logp((context << langid.BITS) | np.unique(models.keys[0] & langid.MASK))).sum(axis=0) + np.exp(models.base)
+        assert np.all(p > 0.95) and np.all(p < 1.1)
+
+
+def test_quality(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fold = lambda c: langid.in_fold(c, 5) == 0
+    model = quality.fit(docs.where(~fold(docs.doc_id)), labels.where(~fold(labels.doc_id)))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model, ["doc_id"]).collect()}
+    y = [(r["quality"], got[r["doc_id"]]) for r in labels.where(fold(labels.doc_id)).collect()]
+    pos, neg = [s for q, s in y if q], [s for q, s in y if not q]
+    auc = np.mean([[(p > n) + 0.5 * (p == n) for n in neg] for p in pos])
+    assert auc >= 0.95 and np.mean([(s >= 0.3) == bool(q) for q, s in y]) >= 0.93
+    assert all(0 <= s <= 1 for s in got.values())
+    blank = quality.fit(docs.limit(0), labels.limit(0))
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    assert {r["score"] for r in quality.score(odd, blank, ["doc_id"]).collect()} == {0.5}
+    assert quality.score(odd, model, ["doc_id"]).count() == len(ODD)
+
+
+def components(sets, num, den):
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and both * den >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def words(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_jaccard(spark, docs, n, num, den):
+    rng = np.random.default_rng(7)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    vocab = [f"w{i}" for i in range(400)]
+    for g, (size, copies, edits) in enumerate([(60, 60, 3), (9, 30, 1), (12, 40, 1), (30, 30, 2), (200, 30, 9), (4, 20, 1), (700, 12, 40), (7, 60, 1)]):
+        base = [vocab[i] for i in rng.integers(0, 400, size)]
+        for c in range(copies):
+            w = list(base)
+            for _ in range(rng.integers(0, edits + 1)):
+                at = int(rng.integers(0, len(w)))
+                w[at : at + int(rng.integers(0, 2))] = [vocab[int(rng.integers(0, 400))]]
+            rows.append((20_000 + 1000 * g + c, " ".join(w)))
+    rows += [(30_000 + i, "the one common line of all these texts here " + " ".join(vocab[k] for k in rng.integers(0, 400, 20))) for i in range(80)]
+    rows += [(1, rows[1][1]), (None, "a b c")]
+    data = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", jaccard.F.lit(1)).repartition(8)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(data, n, num, den).collect()]
+    want = components({i: words(t, n) for i, t in rows if i is not None}, num, den)
+    assert len(got) == len(rows)
+    assert sorted(x for x in got if x[0] is not None) == sorted((i, len(words(t, n)), want[i]) for i, t in rows if i is not None)
+    assert [x for x in got if x[0] is None] == [(None, 1, None)]
+    assert jaccard.jaccard_components(data.limit(0), n, num, den).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sets(st.integers(1, 2**60), min_size=1, max_size=60), st.data())
+def test_pigeonhole(tokens, data):
+    """Any two sets that are similar enough share a signature."""
+    num, den = data.draw(st.sampled_from([(90, 100), (80, 100)]))
+    x = sorted(tokens)
+    drop = data.draw(st.sets(st.sampled_from(x), max_size=len(x) // 4))
+    more = data.draw(st.sets(st.integers(2**61, 2**62), max_size=len(x) // 4))
+    y = set(x) - drop | more
+    both = len(y & tokens)
+    if not y or both * den < num * (len(x) + len(y) - both):
+        return
+    a, b = (jaccard.signatures(np.array(sorted(s), np.uint64), num, den) for s in (x, y))
+    flat = lambda parts: {int(v) for p in parts for v in p}
+    ok = flat(a[0]) & flat(b[0]) or flat(a[1]) & (flat(b[1]) | flat(b[2])) or flat(b[1]) & (flat(a[1]) | flat(a[2]))
+    assert ok
+    ka, kb = (jaccard.sketch(np.array(sorted(s), np.uint64)) for s in (x, y))
+    assert sum(bin(int(p) & (2**64 - 1) ^ int(q) & (2**64 - 1)).count("1") for p, q in zip(ka, kb)) <= len(tokens ^ y)
+
+
+def base_spans(t):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "@", ".", "b.c", "1", "25", "256", "4111 1111-1111 1111", "+", "+1 (988) 555-2485", " ", "-", "(", ")", "x@y.zz", "10.0.0.1", "é", "_", "é@", "İ", "0" * 20]), max_size=14).map("".join))
+def test_pii_base(text):
+    assert [x for x in pii.spans(text) if x[0] in pii.BASE] == base_spans(text)
+
+
+def test_pii_rows(docs, rows):
+    got = {r["doc_id"]: r for r in pii.pii_digest(pii.find_pii(docs, ["doc_id"]), ["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        want = base_spans(t or "")
+        text = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[i]["spans"].startswith(text)
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in want) for k in pii.BASE]
+    text = "see https://a.example/x?y=1, IBAN DE89 3704 0044 0532 0130 00; passport no: X1234567 mail a@b.cc"
+    kinds = {k: text[s:e] for k, s, e in pii.spans(text)}
+    assert kinds["url"] == "https://a.example/x?y=1" and kinds["iban"] == "DE89 3704 0044 0532 0130 00" and kinds["account"] == "X1234567"
+    assert pii.redacted(text).endswith("passport no: [ACCOUNT] mail [EMAIL]") and pii.redacted(None) is None
+    assert pii.redact(empty(docs)).count() == 0 and pii.redact(docs).columns == docs.columns
