@@ -40,7 +40,7 @@ def cloud3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("epoch")).agg(F.round(F.avg("o_totalprice"), 4).alias("loss"))
+    return table(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("epoch")).agg(F.max("o_totalprice").alias("loss"))
 
 
 VIEWS = {
@@ -50,5 +50,5 @@ VIEWS = {
     "images": "images AS (SELECT DISTINCT image_id, 7 AS nz, 51 AS ny, 64 AS nx, ['uint8', 'int8', 'uint16', 'float32'][(image_id % 4 + 1)::INT] AS dtype, (image_id + 2)::DOUBLE AS pixel_size, 10.0::DOUBLE AS off_x, 20.0::DOUBLE AS off_y, 30.0::DOUBLE AS off_z FROM voxels)",
     "scored": "scored AS (SELECT lang AS group_id, doc_id AS item_id, least(n_chars / 40000.0::DOUBLE, 1.0::DOUBLE) AS score, quality AS target FROM labels JOIN documents USING (doc_id))",
     "cloud3": "cloud3 AS (SELECT 'all' AS cloud_id, vec_id AS point_id, label::BIGINT AS seg_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)",
-    "history": "history AS (SELECT o_orderdate::DATE::VARCHAR AS epoch, round(avg(o_totalprice), 4) AS loss FROM orders GROUP BY 1)",
+    "history": "history AS (SELECT o_orderdate::DATE::VARCHAR AS epoch, max(o_totalprice) AS loss FROM orders GROUP BY 1)",
 }
