@@ -40,7 +40,7 @@ def cross(a: list[Column], b: list[Column]) -> list[Column]:
 def angle_between(a: list[Column], b: list[Column]) -> Column:
     """Degrees between two vectors; null if one has no length."""
     cosine = dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
 def step(k: int, w) -> list[Column]:

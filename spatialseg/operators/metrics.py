@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from spatialseg.operators.tiles import soft_skeleton
 
 EPS = 1e-16
-P, T = F.col("score"), F.col("target")
+
+
+def P() -> Column:  # noqa: N802
+    return F.col("score")
+
+
+def T() -> Column:  # noqa: N802
+    return F.col("target")
 
 
 def counts(pred: Column, truth: Column) -> list[Column]:
@@ -16,7 +23,7 @@ def counts(pred: Column, truth: Column) -> list[Column]:
 
 
 def confusion(scored: DataFrame, t: float = 0.5, keys: list[str] | None = None) -> DataFrame:
-    return scored.groupBy(*(keys or ["group_id"])).agg(*counts(P >= t, T == 1))
+    return scored.groupBy(*(keys or ["group_id"])).agg(*counts(P() >= t, T() == 1))
 
 
 def rates(df: DataFrame) -> DataFrame:
@@ -28,7 +35,7 @@ def rates(df: DataFrame) -> DataFrame:
 def binarize(values: DataFrame) -> DataFrame:
     """Per group: > 0, or < 0 where nothing is positive and the maximum is 0; groups of 0 and 1 stay."""
     s = values.groupBy("group_id").agg(F.max("score").alias("_hi"), F.min("score").alias("_lo"))
-    return values.join(s, "group_id").withColumn("score", F.when((F.col("_hi") == 0) & (F.col("_lo") < 0), (P < 0).cast("int")).otherwise((P > 0).cast("int"))).select(values.columns)
+    return values.join(s, "group_id").withColumn("score", F.when((F.col("_hi") == 0) & (F.col("_lo") < 0), (P() < 0).cast("int")).otherwise((P() > 0).cast("int"))).select(values.columns)
 
 
 def prf(scored: DataFrame, t: float = 0.5) -> DataFrame:
@@ -37,8 +44,8 @@ def prf(scored: DataFrame, t: float = 0.5) -> DataFrame:
 
 def sweep(scored: DataFrame, n: int) -> DataFrame:
     """Confusion at each threshold i/n, i from 0 to n-1, with strict >: one aggregation to at most n + 1 bins a group, then suffix sums over them."""
-    bins = scored.withColumn("_bin", F.ceil(F.greatest(F.least(P, F.lit(1.0)), F.lit(0.0)).cast("decimal(18,6)") * n).cast("int"))
-    by = bins.groupBy("group_id", "_bin").agg(F.sum((T == 1).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    bins = scored.withColumn("_bin", F.ceil(F.greatest(F.least(P(), F.lit(1.0)), F.lit(0.0)).cast("decimal(18,6)") * n).cast("int"))
+    by = bins.groupBy("group_id", "_bin").agg(F.sum((T() == 1).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
     groups = by.groupBy("group_id").agg(F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
     grid = groups.select("group_id", "_ps", "_ns", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     full = grid.join(by.withColumn("i", F.least(F.col("_bin"), F.lit(n)) - 1).where("i >= 0").select("group_id", "i", "_p", "_n"), ["group_id", "i"], "left")
@@ -57,7 +64,7 @@ def best_f1(scored: DataFrame) -> DataFrame:
 
 def graph_f1(edges: DataFrame, t: float = 0.5) -> DataFrame:
     """Mean of the F1 of edges (self edges taken out) and of non-edges, per group; columns src, dst, score, target."""
-    pred, real, off = P >= t, T == 1, F.col("src") != F.col("dst")
+    pred, real, off = P() >= t, T() == 1, F.col("src") != F.col("dst")
     c = edges.groupBy("group_id").agg(*[F.count_if(e).alias(n) for n, e in (("tp1", pred & real & off), ("fp1", pred & ~real & off), ("fn1", ~pred & real & off), ("tp0", ~pred & ~real), ("fp0", ~pred & real), ("fn0", pred & ~real))])
     f = lambda k: 2 * F.col(f"tp{k}") / (2 * F.col(f"tp{k}") + F.col(f"fp{k}") + F.col(f"fn{k}") + EPS)
     return c.select("group_id", ((f(1) + f(0)) / 2).alias("f1"))
@@ -65,7 +72,7 @@ def graph_f1(edges: DataFrame, t: float = 0.5) -> DataFrame:
 
 def soft_prf(scored: DataFrame) -> DataFrame:
     """1 - mean soft F1 of both classes."""
-    s = scored.groupBy("group_id").agg(F.sum(P * T).alias("tp"), F.sum(P * (1 - T)).alias("fp"), F.sum((1 - P) * T).alias("fn"), F.sum((1 - P) * (1 - T)).alias("tn"))
+    s = scored.groupBy("group_id").agg(F.sum(P() * T()).alias("tp"), F.sum(P() * (1 - T())).alias("fp"), F.sum((1 - P()) * T()).alias("fn"), F.sum((1 - P()) * (1 - T())).alias("tn"))
     one = 2 * F.col("tp") / (2 * F.col("tp") + F.col("fn") + F.col("fp") + EPS)
     zero = 2 * F.col("tn") / (2 * F.col("tn") + F.col("fn") + F.col("fp") + EPS)
     return s.select("group_id", (1 - (one + zero) / 2).alias("loss"))
@@ -77,9 +84,9 @@ def ranked_sums(scored: DataFrame, parts: int = 256) -> DataFrame:
     Equal scores are collapsed first; score bins split a group, so that a window
     holds a bin and another one the bins' totals.
     """
-    by = scored.groupBy("group_id", "score").agg(F.sum((T == 1).cast("long")).alias("_p"), F.sum((T != 1).cast("long")).alias("_q"))
+    by = scored.groupBy("group_id", "score").agg(F.sum((T() == 1).cast("long")).alias("_p"), F.sum((T() != 1).cast("long")).alias("_q"))
     ends = by.groupBy("group_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"))
-    b = by.join(ends, "group_id").withColumn("_bin", F.coalesce(F.floor((P - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * (parts - 1)), F.lit(0)))
+    b = by.join(ends, "group_id").withColumn("_bin", F.coalesce(F.floor((P() - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * (parts - 1)), F.lit(0)))
     totals = b.groupBy("group_id", "_bin").agg(F.sum("_p").alias("_tp"), F.sum("_q").alias("_tq"))
     above = Window.partitionBy("group_id").orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("group_id", "_bin", F.coalesce(F.sum("_tp").over(above), F.lit(0)).alias("_op"), F.coalesce(F.sum("_tq").over(above), F.lit(0)).alias("_oq"))
@@ -96,7 +103,7 @@ def mask_diagonal(edges: DataFrame, mode: str = "drop") -> DataFrame:
     if mode == "drop":
         return edges.where("src <> dst")
     same = F.col("src") == F.col("dst")
-    return edges.withColumns({"score": F.when(same, 1.0).otherwise(P), "target": F.when(same, 1).otherwise(T)})
+    return edges.withColumns({"score": F.when(same, 1.0).otherwise(P()), "target": F.when(same, 1).otherwise(T())})
 
 
 def roc_auc(scored: DataFrame, diagonal: bool = False) -> DataFrame:
@@ -223,34 +230,36 @@ def log(p: Column) -> Column:
     return F.when(p > 0, F.greatest(F.ln(p), F.lit(-100.0))).otherwise(-100.0)
 
 
-CE = -(T * log(P) + (1 - T) * log(1 - P))
+def CE() -> Column:
+    """Cross-entropy of a row."""
+    return -(T() * log(P()) + (1 - T()) * log(1 - P()))
 
 
 def bce(scored: DataFrame) -> DataFrame:
     by = scored.groupBy("group_id")
-    return by.agg(F.avg(CE).alias("bce"), (F.coalesce(F.avg(F.when(T == 1, CE)), F.lit(0.0)) + F.coalesce(F.avg(F.when(T == 0, CE)), F.lit(0.0))).alias("bce_by_class"))
+    return by.agg(F.avg(CE()).alias("bce"), (F.coalesce(F.avg(F.when(T() == 1, CE())), F.lit(0.0)) + F.coalesce(F.avg(F.when(T() == 0, CE())), F.lit(0.0))).alias("bce_by_class"))
 
 
 def dice_of(p: Column, eps: float = 1e-16) -> Column:
-    return 1 - (2 * F.sum(p * T) + eps) / (F.sum(p * p) + F.sum(T * T) + eps)
+    return 1 - (2 * F.sum(p * T()) + eps) / (F.sum(p * p) + F.sum(T() * T()) + eps)
 
 
 def dice(scored: DataFrame, alpha: float = 0.1) -> DataFrame:
-    return scored.groupBy("group_id").agg(dice_of(P).alias("dice"), dice_of(P * F.pow(1 - P, F.lit(alpha))).alias("adaptive_dice"))
+    return scored.groupBy("group_id").agg(dice_of(P()).alias("dice"), dice_of(P() * F.pow(1 - P(), F.lit(alpha))).alias("adaptive_dice"))
 
 
 def losses(scored: DataFrame, gamma: float = 0.25, weights: tuple[float, float] = (1.0, 0.1)) -> DataFrame:
     """bce + dice, class-weighted bce, focal loss."""
-    pt = F.when(T == 1, P).otherwise(1 - P)
-    return scored.groupBy("group_id").agg((F.avg(CE) + dice_of(P)).alias("bce_dice"), F.avg(CE * F.when(T == 1, weights[0]).otherwise(weights[1])).alias("wbce"), F.avg(F.pow(1 - pt, F.lit(gamma)) * CE).alias("focal"))
+    pt = F.when(T() == 1, P()).otherwise(1 - P())
+    return scored.groupBy("group_id").agg((F.avg(CE()) + dice_of(P())).alias("bce_dice"), F.avg(CE() * F.when(T() == 1, weights[0]).otherwise(weights[1])).alias("wbce"), F.avg(F.pow(1 - pt, F.lit(gamma)) * CE()).alias("focal"))
 
 
 def bce_mse(voxels: DataFrame) -> DataFrame:
     """bce plus a tenth of the squared difference to the slices before and after; columns score, target."""
     w = Window.partitionBy("image_id", "y", "x").orderBy("z")
     v = voxels.withColumns({"_up": F.lead("score").over(w), "_down": F.lag("score").over(w)})
-    mse = F.coalesce(F.avg(F.pow(P - F.col("_up"), 2)), F.lit(0.0)) + F.coalesce(F.avg(F.pow(P - F.col("_down"), 2)), F.lit(0.0))
-    return v.groupBy("image_id").agg((F.avg(CE) + 0.1 * mse).alias("bce_mse"))
+    mse = F.coalesce(F.avg(F.pow(P() - F.col("_up"), 2)), F.lit(0.0)) + F.coalesce(F.avg(F.pow(P() - F.col("_down"), 2)), F.lit(0.0))
+    return v.groupBy("image_id").agg((F.avg(CE()) + 0.1 * mse).alias("bce_mse"))
 
 
 def centreline_dice(pred: DataFrame, truth: DataFrame, images: DataFrame, iters: int = 2) -> DataFrame:

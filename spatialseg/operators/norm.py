@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg.operators.project import per_image
 
-V = F.col("value")
+
+def V() -> Column:  # noqa: N802
+    return F.col("value")
 
 
 def norm_dtype(voxels: DataFrame, images: DataFrame) -> DataFrame:
     """Divided by the range of the source type; signed types are shifted first."""
     t = F.col("dtype")
-    scaled = F.when(t == "uint8", V / 255).when(t == "int8", (V + 128) / 255).when(t == "uint16", V / 65535).when(t == "int16", (V + 32768) / 65535).otherwise(V)
+    scaled = F.when(t == "uint8", V() / 255).when(t == "int8", (V() + 128) / 255).when(t == "uint16", V() / 65535).when(t == "int16", (V() + 32768) / 65535).otherwise(V())
     return voxels.join(images.select("image_id", "dtype"), "image_id").withColumn("value", scaled).select(voxels.columns)
 
 
 def norm_minmax(voxels: DataFrame) -> DataFrame:
     """(v - min) / (max - min); where the maximum is not positive, |min| is added to the values first."""
     lift = F.when(F.col("_hi") <= 0, F.abs("_lo")).otherwise(0.0)
-    return per_image(voxels, _lo=F.min("value"), _hi=F.max("value")).withColumn("value", (V + lift - F.col("_lo")) / F.nullif(F.col("_hi") + lift - F.col("_lo"), F.lit(0.0))).select(voxels.columns)
+    return per_image(voxels, _lo=F.min("value"), _hi=F.max("value")).withColumn("value", (V() + lift - F.col("_lo")) / F.nullif(F.col("_hi") + lift - F.col("_lo"), F.lit(0.0))).select(voxels.columns)
 
 
 def norm_meanstd(voxels: DataFrame) -> DataFrame:
-    return per_image(voxels, _m=F.avg("value"), _s=F.stddev_pop("value")).withColumn("value", (V - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).select(voxels.columns)
+    return per_image(voxels, _m=F.avg("value"), _s=F.stddev_pop("value")).withColumn("value", (V() - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).select(voxels.columns)
 
 
 def norm_percentile(voxels: DataFrame, lo: float = 1, hi: float = 99, exact: bool = True) -> DataFrame:
@@ -32,7 +34,7 @@ def norm_percentile(voxels: DataFrame, lo: float = 1, hi: float = 99, exact: boo
     at = F.array(F.lit(lo / 100), F.lit(hi / 100))
     both = F.percentile("value", at) if exact else F.percentile_approx("value", at, 100_000)
     j = per_image(voxels, _p=both).withColumns({"_lo": F.col("_p")[0], "_hi": F.col("_p")[1]})
-    unit = (F.greatest(F.least(V, F.col("_hi")), F.col("_lo")) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    unit = (F.greatest(F.least(V(), F.col("_hi")), F.col("_lo")) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     return j.withColumn("value", F.when(F.col("_lo") >= 0, unit).otherwise(2 * unit - 1)).select(voxels.columns)
 
 
@@ -40,13 +42,13 @@ def normalize_image(voxels: DataFrame) -> DataFrame:
     """Mean and deviation, then percentiles 1 and 99; values that still lie in [0, 255] beyond 1 are brought to [-1, 1]."""
     done = per_image(norm_percentile(norm_meanstd(voxels)), _lo=F.min("value"), _hi=F.max("value"))
     out = (F.col("_lo") >= 0) & (F.col("_hi") > 1) & (F.col("_hi") <= 255)
-    return done.withColumn("value", F.when(out, V / 255 * 2 - 1).otherwise(V)).select(voxels.columns)
+    return done.withColumn("value", F.when(out, V() / 255 * 2 - 1).otherwise(V())).select(voxels.columns)
 
 
 def adaptive_threshold(voxels: DataFrame) -> DataFrame:
     """1 where a value reaches mean over deviation of its z-slice."""
     stats = voxels.groupBy("image_id", "z").agg((F.avg("value") / F.nullif(F.stddev_pop("value"), F.lit(0.0))).alias("_t"))
-    return voxels.join(stats, ["image_id", "z"]).withColumn("value", F.coalesce((V >= F.col("_t")).cast("int"), F.lit(0))).select(voxels.columns)
+    return voxels.join(stats, ["image_id", "z"]).withColumn("value", F.coalesce((V() >= F.col("_t")).cast("int"), F.lit(0))).select(voxels.columns)
 
 
 def rank_channels_by_snr(voxels: DataFrame, channel: str = "z") -> DataFrame:
@@ -55,7 +57,7 @@ def rank_channels_by_snr(voxels: DataFrame, channel: str = "z") -> DataFrame:
 
 
 def image_stats(voxels: DataFrame) -> DataFrame:
-    return voxels.groupBy("image_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count_if(V > 0).alias("foreground"))
+    return voxels.groupBy("image_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count_if(V() > 0).alias("foreground"))
 
 
 def z_projection(voxels: DataFrame) -> DataFrame:
@@ -64,6 +66,6 @@ def z_projection(voxels: DataFrame) -> DataFrame:
 
 def busiest_slice(voxels: DataFrame, images: DataFrame, t: float = 0) -> DataFrame:
     """The slice with most foreground: the first of equals, the middle one where there is none."""
-    by_slice = voxels.groupBy("image_id", "z").agg(F.count_if(V > t).alias("_n"))
+    by_slice = voxels.groupBy("image_id", "z").agg(F.count_if(V() > t).alias("_n"))
     best = by_slice.groupBy("image_id").agg(F.max_by("z", F.struct("_n", -F.col("z"))).alias("_z"), F.max("_n").alias("n"))
     return best.join(images.select("image_id", "nz"), "image_id").select("image_id", F.when(F.col("n") > 0, F.col("_z")).otherwise(F.floor(F.col("nz") / 2)).cast("int").alias("z"), "n")

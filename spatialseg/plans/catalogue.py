@@ -660,7 +660,7 @@ def _(s, d):
     return L.curvature(A.points(s, d), "segment")
 
 
-ANGLE = "an AS (SELECT *, degrees(acos(greatest(-1, least(1, (ax * nx + ay * ny + az * nz) / nullif(sqrt(ax * ax + ay * ay + az * az) * sqrt(nx * nx + ny * ny + nz * nz), 0))))) AS angle FROM (SELECT *, " + ", ".join(f"lag({c}) OVER w - {c} AS a{c}, lead({c}) OVER w - {c} AS n{c}" for c in "xyz") + f" FROM points {W}))"
+ANGLE = "an AS (SELECT *, CASE WHEN cosine IS NOT NULL THEN degrees(acos(greatest(-1, least(1, cosine)))) END AS angle FROM (SELECT *, (ax * nx + ay * ny + az * nz) / nullif(sqrt(ax * ax + ay * ay + az * az) * sqrt(nx * nx + ny * ny + nz * nz), 0) AS cosine FROM (SELECT *, " + ", ".join(f"lag({c}) OVER w - {c} AS a{c}, lead({c}) OVER w - {c} AS n{c}" for c in "xyz") + f" FROM points {W})))"
 
 
 @query("f5_angle_between", sql("points", "SELECT * FROM an", f"{SEG}, point_id", "angle", ANGLE))
