@@ -43,3 +43,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def salt_of(*keys, width: int):
     """A reproducible salt in [0, width) from key columns."""
     return F.pmod(F.xxhash64(*keys), F.lit(width)).cast("int")
+
+
+class Scratch:
+    """A folder of intermediate tables of one operator, removed when its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.n = spark, work_path(spark, name), 0
+
+    def cut(self, df: DataFrame, name: str = "step") -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
