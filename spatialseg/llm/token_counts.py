@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Distinct words that a Python worker keeps the counts of.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 TEXTS_AT_ONCE = 256
 
 
