@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg.llm.ranks import rank_within
-from spatialseg.runtime import shuffle_width
+from spatialseg.runtime import cut, shuffle_width
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +74,20 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return ranked.withColumn("_copies", copies.cast("long")).drop("_none", "_source", "_hash", "_class", "_first", "_in_class")
 
 
-def mix(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of the mix, each as often as it was drawn, with the columns of ``docs``."""
-    drawn = mix_plan(docs, **kw).where(F.col("_copies") > 0)
-    return drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """The rows of the mix, each as often as it was drawn, with the columns of ``docs``.
+
+    Sizes and digests of the texts are written once and drawn from; the texts
+    themselves are shuffled once, to meet the number of their copies.
+    """
+    key = [F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.xxhash64(text_col).alias("_digest")]
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = cut(docs.select(*key, size.alias("_size")), "sizes")
+    drawn = mix_plan(sizes, "_id", None, "_src", **kw)
+    copies = cut(drawn.groupBy("_id", "_src", "_digest").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "copies")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (F.xxhash64(text_col) == F.col("_digest"))
+    met = docs.join(copies.where("_rows = 1"), same)
+    if not copies.where("_rows > 1").isEmpty():
+        # rows that repeat were drawn each; one of them stands for the copies of all
+        met = met.unionByName(docs.join(copies.where("_rows > 1"), same).dropDuplicates(["_id", "_src", "_digest"]))
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")

@@ -135,6 +135,16 @@ def test_mixing(spark, docs, rows):
     assert mixing.mix_plan(empty(docs)).count() == 0
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["_copies"] for r in plan.collect())
+    want = Counter()
+    for r in plan.collect():
+        want[(r["doc_id"], r["text"])] += r["_copies"]
+    assert Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == +want
+    # rows that repeat, a null id among them, keep the copies of each
+    odd = spark.createDataFrame([(None, t, "s") for t in ("a b", "a b", None, "c")] + [(7, "x y z", None)] * 40, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix_plan(odd).collect():
+        want[(r["doc_id"], r["text"])] += r["_copies"]
+    assert Counter((r["doc_id"], r["text"]) for r in mixing.mix(odd).collect()) == +want
     targets = {r["_source"]: r["_target"] for r in mixing.source_targets(spark.createDataFrame([(False, "a", 10), (False, "b", 100), (False, "c", 1000), (True, "", 0)], "_none boolean, _source string, _total long")).collect()}
     assert targets["a"] == 20 and targets["b"] == 200 and targets[""] == 0 and abs(sum(targets.values()) - 1665) < 1e-6
 
