@@ -23,14 +23,30 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/spatialseg/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` once and go on from the written table."""
+#: The session setting that frees a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and return the written table; the shuffle files of the write are freed when it ends, not when the driver next collects garbage."""
     spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` once and go on from the written table."""
+    return write_table(df, work_path(df.sparkSession, name))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, the width that hot groups are salted to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -53,9 +69,7 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str = "step") -> DataFrame:
         self.n += 1
-        path = f"{self.base}/{self.n}-{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return write_table(df, f"{self.base}/{self.n}-{name}")
 
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
