@@ -28,6 +28,9 @@ def test_stages(spark):
     before, after = seen["near_duplicates"]
     comp = components({r["doc_id"]: words(r["text"], 5) for r in before}, 80, 100)
     assert sorted(r["doc_id"] for r in after) == sorted({i for i, c in comp.items() if i == c})
+    twice = spark.createDataFrame([(5, "one two three four five six", "a", "s", 1)] * 3 + [(5, "quite another text than that one", "a", "s", 1), (None, None, None, None, None), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, twice, SF).collect()
+    assert sorted(str(r["text"]) for r in kept) == ["None", "None", "one two three four five six", "quite another text than that one"]
     before, after = seen["personal_data"]
     text = {r["doc_id"]: r["text"] for r in before}
     assert len(after) == len(before)
