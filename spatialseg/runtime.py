@@ -71,6 +71,15 @@ class Scratch:
         self.n += 1
         return write_table(df, f"{self.base}/{self.n}-{name}")
 
+    def drop(self, df: DataFrame) -> None:
+        """Remove a table of this folder that nothing reads any more."""
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/{self.base.rsplit('/', 1)[1]}/" in folder:
+                self._delete(folder)
+
     def close(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        self._delete(self.base)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
