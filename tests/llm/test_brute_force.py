@@ -250,8 +250,9 @@ def words(text, n):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_jaccard(spark, docs, n, num, den):
+@pytest.mark.parametrize(("n", "num", "den", "broadcast_rows"), [(3, 90, 100, jaccard.BROADCAST_ROWS), (5, 80, 100, jaccard.BROADCAST_ROWS), (5, 80, 100, 0)])
+def test_jaccard(spark, docs, monkeypatch, n, num, den, broadcast_rows):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast_rows)  # 0: all joins are shuffled
     rng = np.random.default_rng(7)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     vocab = [f"w{i}" for i in range(400)]
