@@ -50,7 +50,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.in_fold(F.col("doc_id"), 3) == 1, F.lit(False)))
     models = langid.train(docs.where(~F.col("held_out")))
-    return langid.identify(docs, models, ["doc_id", "held_out"])
+    return langid.identify(docs, models, ["doc_id", "held_out"], seen=~F.col("held_out"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

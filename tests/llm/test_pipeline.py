@@ -1,8 +1,11 @@
 """Every stage of the pipeline against a plain version."""
 
 import math
+import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from spatialseg.llm import pii
 from spatialseg.runtime import cut
@@ -45,3 +48,16 @@ def test_stages(spark):
     assert Counter(r["doc_id"] for r in after if r["piece"] == 0) == Counter(r["doc_id"] for r in before)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, seen[name][0] and spark.createDataFrame(seen[name][0][:1]).limit(0).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang", "cast(source as string) source", "cast(n_chars as long) n_chars"), SF).count() == 0
+
+
+@pytest.mark.parametrize("percent", [1, 5, 20])
+def test_planted_noise_goes(spark, percent):
+    """Noise that is marked as English is trained on with the rest, and goes; no text of the table goes with it."""
+    rng = random.Random(percent)
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    n = round(real.where("lang = 'en'").count() * percent / (100 - percent))
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(rng.randint(20, 200))) for _ in range(n)]
+    docs = cut(real.union(spark.createDataFrame([(1_000_000 + i, t, "en", "s", len(t)) for i, t in enumerate(noise)], real.schema)), "noisy")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, SF).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 1_000_000]
+    assert kept == {r["doc_id"] for r in real.where("text rlike '\\\\p{L}'").collect()}
