@@ -10,7 +10,8 @@ Documents that share a signature are candidates and are verified exactly.
 A signature shared by many documents is not expanded into all pairs: rounds of
 pivots tie its members together, members that are in one component already need
 no further test, and the pivots are doubled until no untested pair of different
-components is left. Equal sets are one node from the start.
+components is left. Equal sets are one node from the start. For the numbers of
+links, the other pairs inside a component are then verified block by block.
 
 Edge cases: null and empty texts have the empty set, a component of their own
 and no links; fewer words than ``n`` make one shingle of the whole sequence;
@@ -36,6 +37,7 @@ from spatialseg.runtime import Scratch
 BAND, OVERLAP, LOOKUP = 1.5, 0.5, 32.0  # ratio of band ends; share of common tokens and members of a bucket that the cost model expects
 SMALL_BUCKET = 16  # a bucket of so few members is finished with all its pairs
 BROADCAST_ROWS = 500_000  # rows of two longs that may be broadcast; beyond that the join is shuffled
+LINK_BLOCK = 256  # members of a component that a task compares with so many others
 MEMO_WORDS = 100_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -208,8 +210,43 @@ def may_link(num: int, den: int):
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (bits * (den + num) <= (na + nb) * (den - num))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links): components of links with similarity num/den or more, named by their smallest id. n_links counts the links found and verified to a text with another set."""
+def links_inside(members: DataFrame, comp: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the links inside the components of (sig, node) ``members``. Pairs meet in their component, or in its signatures if these have fewer pairs; a bucket is dealt in blocks, each with each."""
+    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    known = links.join(comp, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("known"))
+    size = size.join(known, "component").where("m * (m - 1) / 2 > known").select("component", "m")
+    of_sig = members.select("sig", "node").distinct().join(comp, "node").join(size, "component")
+    pairs = of_sig.groupBy("component", "sig").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.sum(F.col("k") * F.col("k")).alias("of_sigs"))
+    whole = size.join(pairs, "component", "left").where("of_sigs is null or m * m <= of_sigs or m <= 16").select("component", "m")
+    inside = comp.join(whole, "component").select("component", F.lit(0).cast("long").alias("bucket"), "node")
+    apart = of_sig.join(whole.select("component"), "component", "left_anti").select("component", F.col("sig").alias("bucket"), "node")
+    placed = inside.unionByName(apart)
+    blocks = placed.groupBy("component", "bucket").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(blocks, ["component", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def run(t: pa.Table) -> pa.Table:
+        own, node, size = (t.column(c).to_numpy() for c in ("own", "node", "n_shingles"))
+        tokens = [x.values.to_numpy() for x in t.column("tokens")]
+        right = np.flatnonzero(own == t.column("j")[0].as_py())
+        left = np.flatnonzero(own == t.column("i")[0].as_py())
+        flat, starts = np.concatenate([tokens[r] for r in right] or [np.zeros(0, np.int64)]), np.cumsum(size[right]) - size[right]
+        a, b = [], []
+        for x in left if len(right) else ():
+            mine = tokens[x].view(np.uint64)
+            at = np.minimum(np.searchsorted(mine, flat.view(np.uint64)), len(mine) - 1)
+            both = np.add.reduceat((tokens[x][at] == flat).astype(np.int64), starts)
+            linked = right[(both * den >= (size[x] + size[right] - both) * num) & (node[right] != node[x])]
+            a.append(np.minimum(node[x], node[linked]))
+            b.append(np.maximum(node[x], node[linked]))
+        a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (a, b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return each.select("component", "bucket", "i", "j", "own", "node", "n_shingles", "tokens").groupBy("component", "bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, n_links): components of links with similarity num/den or more, named by their smallest id. n_links counts the different sets of other texts that are linked; it is null without ``count_links``."""
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "jaccard")
     cut = scratch.cut
@@ -259,7 +296,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     links = cut(verified(pairs), "links")
     comp = cut(connected_components(links, "a", "b"), "components")
-    tested, found, step = [pairs], [links], 1
+    tested, found, step, shared_by = [pairs], [links], 1, members.select("sig", "node")
     while True:
         named = members.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         open_ = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "n", "first")
@@ -287,16 +324,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             fresh = over.join(comp, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
             comp = cut(kept.union(fresh).distinct(), "components")
         step += 1
+    all_links = found[0]
+    for f in found[1:]:
+        all_links = all_links.union(f)
+    if count_links:
+        all_links = cut(all_links.union(links_inside(shared_by, comp, all_links, sets, num, den)).distinct(), "all-links")
     # rows of one id tie their sets together
     ties = copies.select("node", "rep").distinct()
     repeated = ties.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     if not repeated.isEmpty() or not nodes.groupBy("node").count().where("count > 1").join(ties, "node", "left_semi").isEmpty() or not ties.join(nodes, "node", "left_semi").isEmpty():
         comp = cut(connected_components(ties.toDF("a", "b").union(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "components")
-    all_links = found[0]
-    for f in found[1:]:
-        all_links = all_links.union(f)
     degree = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    of_group = groups.join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_group = groups.join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links"))
     linked = light.join(of_group, ["d1", "d2", "n_shingles"]).select("node", "n_shingles", "component_id", "n_links")
     alone = ids.where("n_shingles = 0 or node is null").select("node", "n_shingles", F.col("node").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     result = runtime.cut(linked.unionByName(alone).withColumnRenamed("node", id_col), "classes")

@@ -275,6 +275,27 @@ def test_jaccard(spark, docs, monkeypatch, n, num, den, broadcast_rows):
     assert jaccard.jaccard_components(data.limit(0), n, num, den).count() == 0
 
 
+@pytest.mark.parametrize("block", [jaccard.LINK_BLOCK, 16])
+def test_jaccard_links(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, (size, copies, edits) in enumerate([(90, 120, 2), (90, 60, 6), (40, 30, 3)]):
+        base = [f"w{i}" for i in rng.integers(0, 400, size)]
+        for c in range(copies):
+            w = list(base)
+            for _ in range(edits):
+                w[int(rng.integers(0, size)) if g else c % size] = f"x{c}"
+            rows.append((1000 * g + c, " ".join(w)))
+    rows += [(9000, rows[0][1]), (9001, "alone"), (9002, None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_components(data, 3, 90, 100).collect()}
+    sets = {i: frozenset(words(t, 3)) for i, t in rows}
+    other = {s for s in sets.values() if s}
+    want = {i: sum(len(s & o) * 100 >= 90 * len(s | o) for o in other if o != s) if s else 0 for i, s in sets.items()}
+    assert got == want and max(want.values()) >= 100
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.sets(st.integers(1, 2**60), min_size=1, max_size=60), st.data())
 def test_pigeonhole(tokens, data):
