@@ -34,6 +34,9 @@ CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
 URL = re.compile(r"://[^\s<>\"'`{}|\\^\[\]]++")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){2,8}")
+#: Characters of a country's IBAN.
+IBAN_LENGTH = {c: int(n) for n, cs in (x.split(":") for x in "15:NO;16:BE;18:DK FI FK FO GL NL SD;19:MK SI;20:AT BA EE KZ LT LU MN XK;21:CH HR LI LV;22:BG BH CR DE GB GE IE ME RS VA;23:AE GI IL IQ OM SO TL;24:AD CZ ES MD PK RO SA SE SK TN VG;25:LY PT ST;26:IS TR;27:BI DJ FR GR IT MC MR SM;28:AL AZ BY CY DO GT HN HU LB NI PL SV;29:BR EG PS QA UA;30:JO KW MU YE;31:MT SC;32:LC;33:RU".split(";")) for c in cs.split()}
+IBAN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 AFTER_CUE = re.compile(r"(?:\s{0,2}(?:no|nr|num|number|code|#|nº|n°)\b\.?)?\s{0,2}[:#=]?\s{0,2}([A-Z]{0,3}[0-9][A-Z0-9-]{4,29})(?![A-Za-z0-9])", re.I)
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _AUTOMATON: list = []
@@ -67,6 +70,19 @@ def iban_valid(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int:
+    """End of the IBAN that begins at ``at``, or 0: of its country's length, else all that its characters reach."""
+    m = IBAN.match(text, at)
+    if not m or at and text[at - 1] in IBAN_CHARS and text[max(0, at - 4) : at].upper() != "IBAN":
+        return 0
+    end, left = at, IBAN_LENGTH.get(text[at : at + 2], 0)
+    while left and end < len(text) and (text[end] in IBAN_CHARS or text[end] == " " and text[end - 1] != " "):
+        left -= text[end] != " "
+        end += 1
+    whole = left == 0 and end > at and not (end < len(text) and text[end] in IBAN_CHARS)
+    return end if whole and iban_valid(text[at:end]) else m.end() if iban_valid(m[0]) else 0
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind and start; code points, end exclusive."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -75,6 +91,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     for last, (what, n) in automaton().iter(low):
         at = last - n + 1
         if what == "0":
+            if at - 2 >= free["iban"] and text[at - 1] in IBAN_CHARS and (end := iban_end(text, at - 2)):
+                free["iban"] = end
+                found["iban"].append((at - 2, end))
             if at >= free["card"]:
                 m = CHAIN.match(text, at)
                 free["card"] = m.end() if m else at + 1
@@ -124,9 +143,6 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if m and sum("0" <= c <= "9" for c in m[1]) >= 4:
                 free["account"] = m.end(1)
                 found["account"].append(m.span(1))
-    for m in IBAN.finditer(text) if re.search(r"[A-Z]{2}[0-9]{2}", text) else ():
-        if iban_valid(m[0]):
-            found["iban"].append(m.span())
     return [(k, s, e) for k in KINDS for s, e in sorted(found[k])]
 
 

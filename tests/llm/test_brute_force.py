@@ -339,6 +339,16 @@ def test_pii_base(text):
     assert [x for x in pii.spans(text) if x[0] in pii.BASE] == base_spans(text)
 
 
+def test_iban_ends():
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"):
+        for before, after in (("", ""), ("to ", " Bank"), ("IBAN ", " BIC X"), ("AB12 CD34 ", " Please"), ("x;", " 12 EUR"), ("", "; DE"), ("", ".")):
+            text = before + iban + after
+            assert [text[s:e] for k, s, e in pii.spans(text) if k == "iban"] == [iban], text
+    two = "DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 A"
+    assert pii.redacted(two) == "[IBAN] [IBAN] A"
+    assert not [x for x in pii.spans("DE88 3704 0044 0532 0130 00 Bank, XDE89370400440532013000, DE893704004405320130001") if x[0] == "iban"]
+
+
 def test_pii_rows(docs, rows):
     got = {r["doc_id"]: r for r in pii.pii_digest(pii.find_pii(docs, ["doc_id"]), ["doc_id"]).collect()}
     assert len(got) == len(rows)
