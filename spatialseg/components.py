@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatialseg.runtime import cut
+from spatialseg import runtime
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,21 +25,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(node, component) of every node of ``edges`` that has an edge to another; a component is named by its smallest node.
 
     Self loops and repeated edges make no difference, null ends are ignored. The
     number of rounds grows with the logarithm of a component's width; each round
-    is written, so that lost executors cost no more than one.
+    is written, so that lost executors cost no more than one, and removed when the
+    next one is. ``cut`` writes the result (else into a table of its own).
     """
-    e = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "edges")
+    scratch = runtime.Scratch(edges.sparkSession, "components")
+    e = scratch.cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "edges")
     last = None
     while True:
-        e = cut(_small_star(_large_star(e)), "stars")
+        before, e = e, scratch.cut(_small_star(_large_star(e)), "stars")
+        scratch.drop(before)
         # finished when every edge leads straight to a root and a round changes nothing
         now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if last == tuple(now):
             break
         last = tuple(now)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    found = (cut or runtime.cut)(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    scratch.close()
+    return found

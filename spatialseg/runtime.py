@@ -7,17 +7,22 @@ executor costs a re-read and nothing more.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a local one only where none is configured (tests)."""
+    """A new path in the shared folder. Where none is configured, a local session takes a temporary one; on a cluster, whose executors would not see it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spatialseg-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/spatialseg/{name}-{uuid.uuid4().hex}"
@@ -42,9 +47,29 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` once and go on from the written table."""
-    return write_table(df, work_path(df.sparkSession, name))
+    """Write ``df`` once and go on from the written table, which stays until ``release`` or the end of the program: a result may be read from it."""
+    path = work_path(df.sparkSession, name)
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((df.sparkSession, path))
+    return write_table(df, path)
+
+
+def delete_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Remove all tables that ``cut`` has written; call it when the results that read from them are saved."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Py4JError, OSError):  # at the end of a program, Spark may be gone
+            delete_path(spark, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -75,11 +100,7 @@ class Scratch:
         """Remove a table of this folder that nothing reads any more."""
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if f"/{self.base.rsplit('/', 1)[1]}/" in folder:
-                self._delete(folder)
+                delete_path(self.spark, folder)
 
     def close(self) -> None:
-        self._delete(self.base)
-
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, self.base)
