@@ -1,28 +1,35 @@
 """N-gram Jaccard join by universe partition and the pigeonhole principle.
 
 Two sets with Jaccard similarity t or more differ in at most H tokens, H
-following from their sizes. The tokens' universe is hashed into segments, as
-many for each size band as its cost model gives; of the first H+1 segments that
-are not empty, one must then be equal in both sets. A segment of weight two
-is indexed with its one-deletion neighbourhood and stands for two of the H+1.
-Documents that share a signature are candidates and are verified exactly.
-
-A signature shared by many documents is not expanded into all pairs: rounds of
-pivots tie its members together, members that are in one component already need
-no further test, and the pivots are doubled until no untested pair of different
-components is left. Equal sets are one node from the start. For the numbers of
-links, the other pairs inside a component are then verified block by block.
+following from their sizes. The tokens' universe is hashed into segments, their
+number set by the size band. A segment of weight one is indexed whole; one of
+weight two also with its one-deletion neighbourhood and so stands for two. Of
+segments of total weight H+1 one must agree, so documents that share a signature
+are candidates; they are verified exactly.
+
+Small sets take segments of weight two. For larger ones the weights are allocated
+by measured cost: segments whose buckets turn out large (a passage that many
+documents share) are given up, each made good by raising a rare segment of the
+same document to weight two, if the buckets it then looks into are smaller.
+
+Buckets of any size are dealt in blocks, each with each. First the members of a
+block meet its first and last one, which ties copies together; then those that
+are still in different components meet. Sizes and parity sketches reject most
+pairs before a set is fetched. Equal sets are one node from the start. For the
+numbers of links, the other pairs inside a component are verified block by block.
 
 Edge cases: null and empty texts have the empty set, a component of their own
 and no links; fewer words than ``n`` make one shingle of the whole sequence;
 rows that share an id are one node; rows with a null id get null; repeated rows
-each get their row; an empty table gives an empty result.
+each get their row; ids may be of any type with an order; very long texts are read
+whole; other columns, whatever their names, are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,12 +41,16 @@ from spatialseg import runtime
 from spatialseg.components import connected_components
 from spatialseg.runtime import Scratch
 
-BAND, OVERLAP, LOOKUP = 1.5, 0.5, 32.0  # ratio of band ends; share of common tokens and members of a bucket that the cost model expects
-SMALL_BUCKET = 16  # a bucket of so few members is finished with all its pairs
-BROADCAST_ROWS = 500_000  # rows of two longs that may be broadcast; beyond that the join is shuffled
-LINK_BLOCK = 256  # members of a component that a task compares with so many others
+BAND = 1.5  # ratio of band ends
+SMALL = 64  # bands up to this size take segments of weight two
+HOT = 64  # members of a bucket beyond which a segment is given up where others can make it good
+BLOCK, LINK_BLOCK = 2048, 256  # members of a bucket, and of a component, that a task compares with so many others
+SKETCH_BITS = (128, 2048)  # least and most bits of a sketch; between them two for each token
+BROADCAST_BYTES = 16 << 20  # most bytes of rows that are broadcast; beyond that a join is shuffled
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 100_000, 200_000
 MEMO_WORDS = 100_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+RAISED, ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # keep kinds of signatures apart
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -90,164 +101,332 @@ def differ(size: int, num: int, den: int) -> int:
 
 @lru_cache(maxsize=4096)
 def allocation(band: int, num: int, den: int) -> tuple[int, int]:
-    """(segments of weight two, segments of weight one) of a band, by least cost of index entries and expected lookups, with some to spare for empty ones."""
+    """(segments, weight of each) of a band, with some to spare for empty ones."""
     size = band_ends()[band + 1] - 1
     need = differ(size, num, den) + 1
+    if size <= SMALL:
+        return (1 if need <= 2 else -(-need // 2) + 1), 2
+    empty = need * math.exp(-size / need)
+    return need + math.ceil(empty + 6 * math.sqrt(empty)) + 2, 1
 
-    def cost(twos: int) -> float:
-        ones = max(0, need - 2 * twos)
-        length = max(1.0, size / (ones + 2 * twos))
-        one = 1 + LOOKUP * OVERLAP**length
-        wide = 2 * length
-        two = 1 + wide + LOOKUP * (wide * (1 - OVERLAP) * OVERLAP ** (wide - 1) + OVERLAP**wide)
-        return ones * one + twos * two
-
-    twos = min({0, need // 8, need // 4, need // 2}, key=lambda d: (cost(d), d))
-    ones = max(0, need - 2 * twos)
-    if need == 1:
-        return 0, 1
-    empty = (ones + 2 * twos) * math.exp(-size / (ones + 2 * twos))
-    return twos, ones + math.ceil(empty + 3 * math.sqrt(empty))
-
-
-def signatures(x: np.ndarray, num: int, den: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Of a set: its signatures; those of empty segments if a band has too few others for it; those of empty segments otherwise."""
-    sigs, short, spare = [], [], []
-    n = len(x)
-    own = int(np.searchsorted(band_ends(), n, "right")) - 1
-    lowest = -(-n * num // den)  # the smallest partner
-    for band in range(int(np.searchsorted(band_ends(), lowest, "right")) - 1, own + 1):
-        need = differ(min(n, band_ends()[band + 1] - 1), num, den) + 1
-        twos, ones = allocation(band, num, den)
-        lanes = 2 * twos + ones
+
+def bands_of(n: int, num: int, den: int) -> range:
+    """Bands of a set's size and of the smaller sets that it can be linked with."""
+    first, own = np.searchsorted(band_ends(), (-(-n * num // den), n), "right") - 1
+    return range(int(first), int(own) + 1)
+
+
+class Segments:
+    """A set in the segments of a band; ``used`` are the first ones whose weights reach H+1, or all if none do."""
+
+    def __init__(self, x: np.ndarray, band: int, num: int, den: int):
+        self.need = differ(min(len(x), band_ends()[band + 1] - 1), num, den) + 1
+        n, self.weight = allocation(band, num, den)
+        with np.errstate(over="ignore"):
+            self.of = (((mixed(x + np.uint64(band + 1)) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+            self.count = np.bincount(self.of, minlength=n)
+            self.token = mixed(x)
+            self.sums = np.zeros(n, np.uint64)
+            filled = np.flatnonzero(self.count)
+            self.sums[filled] = np.add.reduceat(self.token[np.argsort(self.of, kind="stable")], np.cumsum(self.count)[filled] - self.count[filled])
+            self.salt = mixed((np.arange(n, dtype=np.uint64) + np.uint64(1)) * M1 + np.uint64(band + 1))
+        reached = np.cumsum(np.minimum(self.count, self.weight))
+        self.enough = bool(reached[-1] >= self.need)
+        self.filled = filled
+        self.used = filled[filled <= np.searchsorted(reached, self.need)]
+
+    def whole(self, at: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            lane = ((mixed(x + np.uint64(band + 1)) >> np.uint64(32)) * np.uint64(lanes)) >> np.uint64(32)
-            seg = np.where(lane < 2 * twos, lane // np.uint64(2), lane - np.uint64(twos)).astype(np.int64)
-            count = np.bincount(seg, minlength=twos + ones)
-            token = mixed(x)
-            order = np.argsort(seg, kind="stable")
-            sums = np.zeros(twos + ones, np.uint64)
-            filled = np.flatnonzero(count)
-            starts = np.cumsum(count)[filled] - count[filled]
-            sums[filled] = np.add.reduceat(token[order], starts)
-            salt = mixed((np.arange(twos + ones, dtype=np.uint64) + np.uint64(1)) * M1 + np.uint64(band + 1))
-            weight = np.where(count == 0, 0, np.where((np.arange(twos + ones) < twos) & (count > 1), 2, 1))
-            reached = np.cumsum(weight)
-            upto = int(np.searchsorted(reached, need)) + 1
-            use = filled[filled < upto]
-            sigs.append(mixed(sums[use] + salt[use]))
-            deep = (seg < min(twos, upto)) & (count[seg] > 1)
-            if deep.any():
-                sigs.append(mixed(sums[seg[deep]] - token[deep] + salt[seg[deep]]))
-            none = mixed(salt[np.flatnonzero(count == 0)])
-            (short if reached[-1] < need else spare).append(none)
-    return sigs, short, spare
-
-
-def sketch(x: np.ndarray) -> np.ndarray:
-    """Parities of 256 token classes: two sketches differ in no more bits than their sets in tokens."""
-    bits = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+            return mixed(self.sums[at] + self.salt[at])
+
+    def deletions(self, at: np.ndarray) -> np.ndarray:
+        """Signatures of the segments ``at`` without one token each."""
+        mine = np.zeros(len(self.count), bool)
+        mine[at] = True
+        t = np.flatnonzero(mine[self.of] & (self.count[self.of] > 1))
+        with np.errstate(over="ignore"):
+            return mixed(self.sums[self.of[t]] - self.token[t] + self.salt[self.of[t]])
+
+
+def signatures(x: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Signatures of a set; any two sets that are linked and not equal share one.
+
+    A set with too few filled segments shares one with every partner that has
+    enough; among such sets alone, single tokens are signatures too.
+    """
+    out = [np.zeros(0, np.uint64)]
+    for band in bands_of(len(x), num, den):
+        s = Segments(x, band, num, den)
+        if s.need == 1:
+            continue
+        out.append(s.whole(s.used))
+        if s.weight == 2:
+            out.append(s.deletions(s.used))
+        if not s.enough:
+            out.append(mixed(x ^ ALONE))
+    return np.unique(np.concatenate(out))
+
+
+def raised(x: np.ndarray, frequent: dict[int, int], num: int, den: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of a set with large buckets: those it leaves, the signatures it looks for instead, those it is found by.
+
+    In a band with k large buckets among H+1 segments, k of the other segments are
+    raised to weight two, those with the smallest buckets first. The set looks for
+    its other segments whole and for these with one deletion; it is found by all
+    segments and all their one-deletion neighbours. Where fewer than k segments can
+    be raised, it stays in its buckets.
+    """
+    left, sought, found = [], [], []
+    for band in bands_of(len(x), num, den):
+        s = Segments(x, band, num, den)
+        if s.need == 1 or s.weight == 2:
+            continue
+        found += [s.whole(s.filled), s.deletions(s.filled)]
+        size = np.array([frequent.get(int(k), 1) for k in s.whole(s.used).view(np.int64)])
+        hot = size > HOT
+        cold, rare = s.used[~hot], size[~hot]
+        can = np.flatnonzero(s.count[cold] > 1)
+        if s.enough and hot.any() and len(can) >= hot.sum():
+            best = cold[can[np.lexsort((s.count[cold[can]], rare[can]))[: hot.sum()]]]
+            left += s.whole(s.used[hot]).view(np.int64).tolist()
+            sought += [s.whole(cold), s.deletions(best)]
+    flat = lambda parts: mixed(np.unique(np.concatenate(parts)) ^ RAISED) if parts else np.zeros(0, np.uint64)
+    return left, flat(sought), flat(found)
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of token classes, about two for each token: two sketches differ in no more bits than their sets in tokens."""
+    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(x) - 1).bit_length()), SKETCH_BITS[1])
+    odd = np.bincount((mixed(x ^ M2) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sketches of many sets, each folded to all widths up to its own."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(b) * 8 for b in raw], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        above: tuple[np.ndarray, np.ndarray] | None = None
+        for bits in sorted(set(self.width.tolist()), reverse=True):
+            while above is not None and above[1].shape[1] * 64 > bits:
+                half = above[1].shape[1] // 2
+                above = above[0], above[1][:, :half] ^ above[1][:, half:]
+            rows = np.flatnonzero(self.width == bits)
+            own = np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(len(rows), -1)
+            above = (rows, own) if above is None else (np.concatenate([above[0], rows]), np.concatenate([above[1], own]))
+            self.folded[bits] = above
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of each pair differ, at the width of the narrower."""
+        out = np.zeros(len(a), np.int64)
+        both = np.minimum(self.width[a], self.width[b])
+        for bits, (rows, words) in self.folded.items():
+            at = np.flatnonzero(both == bits)
+            if len(at):
+                place = np.zeros(len(self.width), np.int64)
+                place[rows] = np.arange(len(rows))
+                out[at] = np.bitwise_count(words[place[a[at]]] ^ words[place[b[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(node, n_shingles, d1, d2, k0..k3, sigs, short, spare) of (node, text) rows; d1 and d2 are the digest of a set."""
+    """(node, n_shingles, d1, d2, sketch, sigs) of (node, text) rows; d1 and d2 are the digest of a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        join = lambda a: np.unique(np.concatenate(a)).view(np.int64) if a else np.zeros(0, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                rows = []
-                for t in part.column("text"):
-                    x = shingle_set(t.as_py(), n)
-                    d = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)
-                    found = signatures(x, num, den) if len(x) else ([], [], [])
-                    rows.append((len(x), *d.tolist(), *sketch(x).tolist(), *map(join, found)))
-                types = [pa.int64()] * 7 + [pa.list_(pa.int64())] * 3
-                yield pa.record_batch([part.column("node"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=["node", "n_shingles", "d1", "d2", "k0", "k1", "k2", "k3", "sigs", "short", "spare"])
-            pa.default_memory_pool().release_unused()
+        for part in in_parts(batches):
+            rows = []
+            for t in part.column("text"):
+                x = shingle_set(t.as_py(), n)
+                sigs = signatures(x, num, den).view(np.int64) if len(x) else np.zeros(0, np.int64)
+                rows.append((len(x), *np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64).tolist(), sketch(x) if len(x) else b"", sigs))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.record_batch([part.column("node"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=["node", "n_shingles", "d1", "d2", "sketch", "sigs"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, n_shingles long, d1 long, d2 long, k0 long, k1 long, k2 long, k3 long, sigs array<long>, short array<long>, spare array<long>")
+    return docs.select("node", "text").mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, n_shingles long, d1 long, d2 long, sketch binary, sigs array<long>")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """(node, n_shingles, tokens) of (node, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                sets = [shingle_set(t.as_py(), n).view(np.int64) for t in part.column("text")]
-                yield pa.record_batch([part.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n_shingles", "tokens"])
+        for part in in_parts(batches):
+            sets = [shingle_set(t.as_py(), n).view(np.int64) for t in part.column("text")]
+            yield pa.record_batch([part.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n_shingles", "tokens"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, n_shingles long, tokens array<long>")
+    return docs.select("node", "text").mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, n_shingles long, tokens array<long>")
 
 
-def few(df: DataFrame) -> bool:
-    """Whether ``df`` has few enough rows to be broadcast."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
+def raised_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, sig, role) of (node, text, sigs, sizes) rows, whose buckets are of those sizes: what a set leaves (-1), is found by (0), looks for (1)."""
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcasting if a count shows that it is small."""
-    return F.broadcast(df) if few(df) else df
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches, 64):
+            at, sig, role = [], [], []
+            for i, (t, s, k) in enumerate(zip(part.column("text"), part.column("sigs").to_pylist(), part.column("sizes").to_pylist(), strict=True)):
+                for r, got in zip((-1, 1, 0), raised(shingle_set(t.as_py(), n), dict(zip(s, k, strict=True)), num, den), strict=True):
+                    got = np.array(got, np.int64) if r < 0 else got.view(np.int64)
+                    at.append(np.full(len(got), i))
+                    sig.append(got)
+                    role.append(np.full(len(got), r, np.int8))
+            yield pa.record_batch([part.column("node").take(pa.array(np.concatenate(at), pa.int64())), pa.array(np.concatenate(sig), pa.int64()), pa.array(np.concatenate(role), pa.int8())], names=["node", "sig", "role"])
 
+    return docs.select("node", "text", "sigs", "sizes").mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, sig long, role byte")
 
-def side(df: DataFrame, mark: str, cols: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{mark}_{c}") for c in cols])
 
+def few(df: DataFrame) -> bool:
+    """Whether the rows of ``df``, all of fixed width, are few enough to be broadcast."""
+    most = BROADCAST_BYTES // sum(32 if t == "string" else 8 for _, t in df.dtypes)
+    return df.limit(most + 1).count() <= most
 
-SKETCH = ["k0", "k1", "k2", "k3"]
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcasting if a count shows that it is small."""
+    return F.broadcast(df) if few(df) else df
 
-def may_link(num: int, den: int):
-    """Condition on two sides: sizes and sketches allow a link."""
-    na, nb = F.col("a_n_shingles"), F.col("b_n_shingles")
-    bits = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH), F.lit(0))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (bits * (den + num) <= (na + nb) * (den - num))
 
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the start of each, from batches that are sorted by ``keys``. A group is of bounded size."""
+    kept: list[pa.RecordBatch] = []
+    waiting = 0
+    for b in batches:
+        kept.append(b)
+        waiting += b.num_rows
+        if waiting >= ROWS_AT_ONCE:
+            t = pa.Table.from_batches(kept).combine_chunks()
+            starts = group_starts(t, keys)
+            if starts[-1]:
+                yield t.slice(0, starts[-1]), starts[:-1]
+                t = t.slice(starts[-1])
+            kept, waiting = t.to_batches(), t.num_rows
+    if waiting:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        yield t, group_starts(t, keys)
+
+
+def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        x = t.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def star_pairs(t: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a group with its first one, and with its last one."""
+    sizes = np.diff(np.append(starts, t.num_rows))
+    every = np.arange(t.num_rows)
+    first, last = np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)
+    yield first[every > first], every[every > first]
+    inner = (every > first) & (every < last)
+    yield every[inner], last[inner]
+
+
+def all_pairs(t: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group: of block i with block j, or inside the one block."""
+    own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
+    sizes = np.diff(np.append(starts, t.num_rows))
+    inside = i[starts] == j[starts]
+    for m in np.unique(sizes[inside]):
+        a, b = np.triu_indices(m, 1)
+        these = starts[inside & (sizes == m)]
+        step = max(1, PAIRS_AT_ONCE // max(1, len(a)))
+        for k in range(0, len(these), step):
+            part = these[k : k + step, None]
+            yield (part + a).ravel(), (part + b).ravel()
+    for s, m in zip(starts[~inside], sizes[~inside], strict=True):
+        of = own[s : s + m]
+        a, b = s + np.flatnonzero(of == i[s]), s + np.flatnonzero(of == j[s])
+        yield np.repeat(a, len(b)), np.tile(b, len(a))
+
+
+def met_pairs(dealt: DataFrame, keys: list[str], pairs_of: Callable, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of a group of ``dealt`` (keys, node, component, n_shingles, sketch, probe) whose components differ and whose sizes and sketches allow a link."""
+    kind = dealt.schema["node"].dataType.simpleString()
 
-def links_inside(members: DataFrame, comp: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in groups_of(batches, keys):
+            node, comp = (t.column(c).combine_chunks().dictionary_encode() for c in ("node", "component"))
+            code, c = (x.indices.to_numpy() for x in (node, comp))
+            size, probe = t.column("n_shingles").to_numpy(), t.column("probe").to_numpy()
+            marks = Sketches(t.column("sketch").to_pylist())
+            found = [np.zeros(0, np.int64)]
+            for a, b in pairs_of(t, starts):
+                low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                ok = (code[a] != code[b]) & (c[a] != c[b]) & (probe[a] | probe[b]) & (low * den >= high * num)
+                a, b = a[ok], b[ok]
+                for k in range(0, len(a), PAIRS_AT_ONCE):
+                    x, y = a[k : k + PAIRS_AT_ONCE], b[k : k + PAIRS_AT_ONCE]
+                    near = marks.differ(x, y) * (den + num) <= (size[x] + size[y]) * (den - num)
+                    x, y = code[x[near]].astype(np.int64), code[y[near]].astype(np.int64)
+                    found.append(np.unique(np.minimum(x, y) << 32 | np.maximum(x, y)))
+            both = np.unique(np.concatenate(found))
+            yield pa.record_batch([node.dictionary.take(pa.array(both >> 32)), node.dictionary.take(pa.array(both & 0xFFFFFFFF))], names=["a", "b"])
+
+    rows = dealt.select(*keys, *[c for c in ("own",) if c not in keys], "node", "component", "n_shingles", "sketch", "probe").repartition(*keys).sortWithinPartitions(*keys, "node")
+    met = rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def in_blocks(rows: DataFrame, keys: list[str], sizes: DataFrame, block: int) -> DataFrame:
+    """``rows`` dealt into blocks of about ``block`` rows: with own, and once for each other block, the lower and higher of both in i and j."""
+    zero = F.lit(0).cast("int")
+    whole = rows.join(sizes.where(F.col("n") <= block).select(*keys), keys).withColumns({"own": zero, "i": zero, "j": zero})
+    blocks = sizes.where(F.col("n") > block).select(*keys, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = rows.join(small(blocks), keys).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return whole.unionByName(dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other"))
+
+
+def links_inside(members: DataFrame, comp: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, cut: Callable) -> DataFrame:
     """(a, b): the links inside the components of (sig, node) ``members``. Pairs meet in their component, or in its signatures if these have fewer pairs; a bucket is dealt in blocks, each with each."""
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     known = links.join(comp, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("known"))
-    size = size.join(known, "component").where("m * (m - 1) / 2 > known").select("component", "m")
+    size = small(cut(size.join(known, "component").where("m * (m - 1) / 2 > known").select("component", "m"), "component-sizes"))
     of_sig = members.select("sig", "node").distinct().join(comp, "node").join(size, "component")
     pairs = of_sig.groupBy("component", "sig").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.sum(F.col("k") * F.col("k")).alias("of_sigs"))
-    whole = size.join(pairs, "component", "left").where("of_sigs is null or m * m <= of_sigs or m <= 16").select("component", "m")
+    whole = size.join(pairs, "component", "left").where("of_sigs is null or m * m <= of_sigs or m <= 16").select("component")
+    whole = small(cut(whole, "whole"))
     inside = comp.join(whole, "component").select("component", F.lit(0).cast("long").alias("bucket"), "node")
-    apart = of_sig.join(whole.select("component"), "component", "left_anti").select("component", F.col("sig").alias("bucket"), "node")
+    apart = of_sig.join(whole, "component", "left_anti").select("component", F.col("sig").alias("bucket"), "node")
     placed = inside.unionByName(apart)
-    blocks = placed.groupBy("component", "bucket").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, ["component", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    sizes = cut(placed.groupBy("component", "bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    each = in_blocks(placed, ["component", "bucket"], sizes, LINK_BLOCK).join(sets, "node")
+    kind = comp.schema["node"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
-        own, node, size = (t.column(c).to_numpy() for c in ("own", "node", "n_shingles"))
+        own, size = t.column("own").to_numpy(), t.column("n_shingles").to_numpy()
+        node = t.column("node").combine_chunks()
         tokens = [x.values.to_numpy() for x in t.column("tokens")]
-        right = np.flatnonzero(own == t.column("j")[0].as_py())
-        left = np.flatnonzero(own == t.column("i")[0].as_py())
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        right, left = np.flatnonzero(own == j), np.flatnonzero(own == i)
         flat, starts = np.concatenate([tokens[r] for r in right] or [np.zeros(0, np.int64)]), np.cumsum(size[right]) - size[right]
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in left if len(right) else ():
             mine = tokens[x].view(np.uint64)
             at = np.minimum(np.searchsorted(mine, flat.view(np.uint64)), len(mine) - 1)
             both = np.add.reduceat((tokens[x][at] == flat).astype(np.int64), starts)
-            linked = right[(both * den >= (size[x] + size[right] - both) * num) & (node[right] != node[x])]
-            a.append(np.minimum(node[x], node[linked]))
-            b.append(np.maximum(node[x], node[linked]))
-        a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            linked = right[(both * den >= (size[x] + size[right] - both) * num) & ((right > x) if i == j else (right != x))]
+            a.append(np.full(len(linked), x))
+            b.append(linked)
+        return pa.table({"x": node.take(pa.array(np.concatenate(a))), "y": node.take(pa.array(np.concatenate(b)))})
 
-    return each.select("component", "bucket", "i", "j", "own", "node", "n_shingles", "tokens").groupBy("component", "bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    met = each.select("component", "bucket", "i", "j", "own", "node", "n_shingles", "tokens").groupBy("component", "bucket", "i", "j").applyInArrow(run, f"x {kind}, y {kind}")
+    return met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """(id, n_shingles, component_id, n_links): components of links with similarity num/den or more, named by their smallest id. n_links counts the different sets of other texts that are linked; it is null without ``count_links``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "jaccard")
     cut = scratch.cut
     table = cut(set_table(texts, n, num, den), "sets")
@@ -258,82 +437,77 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     groups = cut(light.groupBy("d1", "d2", "n_shingles").agg(F.min("node").alias("rep")), "groups")
     copies = cut(light.join(groups, ["d1", "d2", "n_shingles"]).where("node <> rep").select("node", "rep", "d1", "d2").distinct(), "copies")
     reps = full.join(small(copies.select("node", "d1", "d2")), ["node", "d1", "d2"], "left_anti")
-    info = ["node", "n_shingles", *SKETCH]
-    nodes = cut(reps.select(*info, "d1", "d2").dropDuplicates(["node", "d1", "d2"]), "nodes")
-    rows = reps.select(*info, F.explode("sigs").alias("sig"))
-    shared = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b"), "shared")
-
-    def with_info(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(side(nodes, "a", info), F.col("a") == F.col("a_node")).join(side(nodes, "b", info), F.col("b") == F.col("b_node"))
-        return pairs.where(may_link(num, den)).select("a", "b").distinct()
-
-    pairs = with_info(shared.select("a", "b").distinct())
-    if not (lacking := reps.where(F.size("short") > 0)).isEmpty():
-        # too few segments of these are filled: their empty ones count as well, against those of all others
-        left = lacking.select(*info, F.explode("short").alias("sig"))
-        right = left.unionByName(reps.select(*info, F.explode("spare").alias("sig")))
-        met = side(left, "a", [*info, "sig"]).join(side(right, "b", [*info, "sig"]), (F.col("a_sig") == F.col("b_sig")) & (F.col("a_node") != F.col("b_node")) & may_link(num, den))
-        pairs = pairs.union(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))).distinct()
-    pairs = cut(pairs, "pairs")
-    members = cut(rows.join(small(shared.where("n > 2").select("sig")), "sig"), "members")
-    # signatures are not read again, and take the most room
-    scratch.drop(table)
-    scratch.drop(shared)
-    needed = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    sets = sets_of(texts.join(small(cut(needed, "needed")), "node", "left_semi"), n)
-    if not light.groupBy("node").count().where("count > 1").isEmpty():
-        sets = sets.distinct()
-    sets = cut(sets, "tokens")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    nodes = cut(reps.select("node", "n_shingles", "sketch", "d1", "d2").dropDuplicates(["node", "d1", "d2"]), "nodes")
+    rows = reps.select("node", F.explode("sigs").alias("sig"))
+    shared = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    repeats = not light.groupBy("node").count().where("count > 1").isEmpty()
+    members = rows.join(small(shared.select("sig")), "sig")
+    members = cut(members.distinct() if repeats else members, "members")
+    scratch.drop(table)  # signatures are not read again, and take the most room
+    hot = small(shared.where(f"n > {HOT}"))
+    in_hot = cut(members.join(hot, "sig").select("node").distinct(), "in-hot")
+    if not in_hot.isEmpty():
+        # documents in large buckets leave them where rarer segments with one deletion make them good
+        sizes = members.join(small(in_hot), "node").join(shared, "sig").groupBy("node").agg(F.collect_list("sig").alias("sigs"), F.collect_list("n").alias("sizes"))
+        roles = cut(raised_table(texts.join(small(in_hot), "node", "left_semi").join(sizes, "node"), n, num, den), "roles")
+        of_role = roles.where("role >= 0").groupBy("sig", "node").agg(F.max("role").alias("role"))
+        # only where the buckets that it then looks into are the smaller ones, all told
+        later = cut(of_role.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "later")
+        price = lambda r, sized: roles.where(F.col("role") == r).join(sized, "sig").groupBy("node").agg(F.sum("n").alias("n"))
+        old, new = price(-1, small(shared.where(f"n > {HOT}"))).withColumnRenamed("n", "old"), price(1, later).withColumnRenamed("n", "new")
+        movers = cut(old.join(new, "node", "left").where("new is null or new < old").select("node").withColumn("moves", F.lit(True)), "movers")
+        probed = of_role.join(small(movers), "node", "left").select("sig", "node", (F.col("moves").isNotNull() & (F.col("role") > 0)).alias("probe"))
+        wanted = probed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("probe").alias("any")).where("n > 1 and any").select("sig")
+        left = roles.where("role < 0").select("sig", "node").distinct().join(small(movers.select("node")), "node", "left_semi")
+        old, members = members, cut(members.join(left, ["sig", "node"], "left_anti").withColumn("probe", F.lit(True)).unionByName(probed.join(small(cut(wanted, "wanted")), "sig")), "members")
+        scratch.drop(roles)
+        scratch.drop(old)
+    else:
+        members = members.withColumn("probe", F.lit(True))
+
+    def with_sketch(dealt: DataFrame) -> DataFrame:
+        return dealt.join(nodes.select("node", "n_shingles", "sketch"), "node")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("a_tokens", "b_tokens"))
         union = F.col("a_n_shingles") + F.col("b_n_shingles") - both
-        cols = ["node", "n_shingles", "tokens"]
-        # few pairs go to the sets, and of the sets only those of a pair are shuffled
-        of_b = sets.join(small(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi") if few(pairs) else sets
-        joined = small(pairs).join(side(sets, "a", cols), F.col("a") == F.col("a_node")).join(side(of_b, "b", cols), F.col("b") == F.col("b_node"))
+        side = lambda m: sets.select(*[F.col(c).alias(f"{m}_{c}") for c in ("node", "n_shingles", "tokens")])
+        joined = small(pairs).join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
         return joined.where(both * den >= union * num).select("a", "b").distinct()
 
-    links = cut(verified(pairs), "links")
-    comp = cut(connected_components(links, "a", "b"), "components")
-    tested, found, step, shared_by = [pairs], [links], 1, members.select("sig", "node")
-    while True:
-        named = members.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        open_ = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "n", "first")
-        state = cut(named.join(open_, "sig"), "open")
-        if state.isEmpty():
-            break
-        every = F.greatest(F.lit(1), F.floor(F.col("n") / (1 << step)).cast("long"))
-        pivot = (F.col("n") <= SMALL_BUCKET) | (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", "sig"), every) == 0)
-        cols = ["sig", "c", *info]
-        met = side(state.where(pivot), "a", cols).join(side(state, "b", cols), (F.col("a_sig") == F.col("b_sig")) & (F.col("a_c") != F.col("b_c")) & may_link(num, den))
-        pairs = met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        new = cut(verified(pairs), "links")
-        tested.append(pairs)
-        found.append(new)
-        members = state.where(~pivot).select("sig", *info)  # a pivot has met all members of its bucket
+    def fetch(needed: DataFrame, name: str) -> DataFrame:
+        sets = sets_of(texts.join(small(cut(needed, f"{name}-ids")), "node", "left_semi"), n)
+        return cut(sets.distinct() if repeats else sets, name)
+
+    ends = lambda pairs: pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    bucket = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = members.join(bucket, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")).withColumn("component", F.col("node"))
+    tested = cut(met_pairs(with_sketch(star), ["sig", "own"], star_pairs, num, den), "pairs")
+    sets = fetch(ends(tested), "tokens")
+    links = cut(verified(tested, sets), "links")
+    comp = cut(connected_components(links, "a", "b", cut), "components")
+    # what is in different components still meets
+    named = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi").select("sig", "n")
+    open_ = cut(open_, "open")
+    dealt = in_blocks(named, ["sig"], open_, BLOCK)
+    late = cut(met_pairs(with_sketch(dealt), ["sig", "i", "j"], all_pairs, num, den).join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not late.isEmpty():
+        more = fetch(ends(late).join(sets, "node", "left_anti"), "tokens")
+        sets = sets.unionByName(more)
+        new = cut(verified(late, sets), "links")
         if not new.isEmpty():
-            # components of the components
-            old_a, old_b = side(comp, "x", ["node", "component"]), side(comp, "y", ["node", "component"])
-            merged = new.join(old_a, F.col("a") == F.col("x_node"), "left").join(old_b, F.col("b") == F.col("y_node"), "left").select(F.coalesce("x_component", "a").alias("a"), F.coalesce("y_component", "b").alias("b"))
-            over = cut(connected_components(merged, "a", "b").toDF("was", "now"), "merged")
-            kept = comp.join(over, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
-            fresh = over.join(comp, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
-            comp = cut(kept.union(fresh).distinct(), "components")
-        step += 1
-    all_links = found[0]
-    for f in found[1:]:
-        all_links = all_links.union(f)
+            links = links.unionByName(new)
+            tied = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comp = cut(connected_components(tied.unionByName(new), "a", "b", cut), "components")
+    all_links = links
     if count_links:
-        all_links = cut(all_links.union(links_inside(shared_by, comp, all_links, sets, num, den)).distinct(), "all-links")
+        all_links = cut(links.unionByName(links_inside(members, comp, links, sets, num, den, cut)).distinct(), "all-links")
     # rows of one id tie their sets together
     ties = copies.select("node", "rep").distinct()
     repeated = ties.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    if not repeated.isEmpty() or not nodes.groupBy("node").count().where("count > 1").join(ties, "node", "left_semi").isEmpty() or not ties.join(nodes, "node", "left_semi").isEmpty():
-        comp = cut(connected_components(ties.toDF("a", "b").union(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "components")
+    if repeats and (not repeated.isEmpty() or not nodes.groupBy("node").count().where("count > 1").join(ties, "node", "left_semi").isEmpty() or not ties.join(nodes, "node", "left_semi").isEmpty()):
+        comp = cut(connected_components(ties.toDF("a", "b").union(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b", cut), "components")
     degree = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     of_group = groups.join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links"))
     linked = light.join(of_group, ["d1", "d2", "n_shingles"]).select("node", "n_shingles", "component_id", "n_links")

@@ -250,9 +250,10 @@ def words(text, n):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("n", "num", "den", "broadcast_rows"), [(3, 90, 100, jaccard.BROADCAST_ROWS), (5, 80, 100, jaccard.BROADCAST_ROWS), (5, 80, 100, 0)])
-def test_jaccard(spark, docs, monkeypatch, n, num, den, broadcast_rows):
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast_rows)  # 0: all joins are shuffled
+@pytest.mark.parametrize(("n", "num", "den", "limits"), [(3, 90, 100, {}), (5, 80, 100, {}), (5, 80, 100, {"BROADCAST_BYTES": 0, "BLOCK": 8}), (5, 80, 100, {"HOT": 3}), (3, 90, 100, {"HOT": 2, "BLOCK": 16, "ROWS_AT_ONCE": 50})])
+def test_jaccard(spark, docs, monkeypatch, n, num, den, limits):
+    for name, value in limits.items():  # broadcasts off: all joins are shuffled
+        monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(7)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     vocab = [f"w{i}" for i in range(400)]
@@ -296,24 +297,48 @@ def test_jaccard_links(spark, monkeypatch, block):
     assert got == want and max(want.values()) >= 100
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.sets(st.integers(1, 2**60), min_size=1, max_size=60), st.data())
-def test_pigeonhole(tokens, data):
-    """Any two sets that are similar enough share a signature."""
-    num, den = data.draw(st.sampled_from([(90, 100), (80, 100)]))
-    x = sorted(tokens)
-    drop = data.draw(st.sets(st.sampled_from(x), max_size=len(x) // 4))
-    more = data.draw(st.sets(st.integers(2**61, 2**62), max_size=len(x) // 4))
-    y = set(x) - drop | more
-    both = len(y & tokens)
-    if not y or both * den < num * (len(x) + len(y) - both):
+@st.composite
+def similar_sets(draw):
+    num, den = draw(st.sampled_from([(90, 100), (80, 100)]))
+    rng = np.random.default_rng(draw(st.integers(0, 2**32)))
+    n = draw(st.one_of(st.integers(1, 30), st.integers(30, 400)))
+    x = rng.integers(1, 2**60, n)
+    k = draw(st.integers(0, max(0, n // 5)))
+    y = set(x[k:].tolist()) | set(rng.integers(2**61, 2**62, draw(st.integers(0, max(0, n // 5)))).tolist())
+    return set(x.tolist()), y, num, den
+
+
+@settings(max_examples=600, deadline=None)
+@given(similar_sets())
+def test_pigeonhole(case):
+    """Any two sets that are similar enough, and not equal, share a signature, and their sketches tell no more differences than there are."""
+    x, y, num, den = case
+    both = len(x & y)
+    if not y or x == y or both * den < num * (len(x) + len(y) - both):
         return
-    a, b = (jaccard.signatures(np.array(sorted(s), np.uint64), num, den) for s in (x, y))
-    flat = lambda parts: {int(v) for p in parts for v in p}
-    ok = flat(a[0]) & flat(b[0]) or flat(a[1]) & (flat(b[1]) | flat(b[2])) or flat(b[1]) & (flat(a[1]) | flat(a[2]))
-    assert ok
-    ka, kb = (jaccard.sketch(np.array(sorted(s), np.uint64)) for s in (x, y))
-    assert sum(bin(int(p) & (2**64 - 1) ^ int(q) & (2**64 - 1)).count("1") for p, q in zip(ka, kb)) <= len(tokens ^ y)
+    a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+    assert np.intersect1d(jaccard.signatures(a, num, den), jaccard.signatures(b, num, den)).size
+    marks = jaccard.Sketches([jaccard.sketch(a), jaccard.sketch(b)])
+    assert marks.differ(np.array([0]), np.array([1]))[0] <= len(x ^ y)
+
+
+@settings(max_examples=300, deadline=None)
+@given(similar_sets(), st.integers(0, 2**32))
+def test_raised_segments(case, seed):
+    """Whatever buckets are large, two linked sets meet: in a bucket that neither leaves, or one looks for what the other is found by."""
+    x, y, num, den = case
+    both = len(x & y)
+    if not y or x == y or both * den < num * (len(x) + len(y) - both):
+        return
+    rng = np.random.default_rng(seed)
+    a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+    sa, sb = (set(jaccard.signatures(s, num, den).view(np.int64).tolist()) for s in (a, b))
+    share = rng.choice([0.05, 0.3, 0.6])
+    frequent = {k: int(rng.choice([2, 10_000], p=[1 - share, share])) for k in sorted(sa | sb)}
+    hot = {k for k, n in frequent.items() if n > jaccard.HOT}
+    (la, pa_, fa), (lb, pb, fb) = (jaccard.raised(s, frequent, num, den) if sig & hot else ([], np.zeros(0, np.uint64), np.zeros(0, np.uint64)) for s, sig in ((a, sa), (b, sb)))
+    found = lambda probe, index: bool(np.intersect1d(probe, index).size)
+    assert (sa - set(la)) & (sb - set(lb)) or found(pa_, np.concatenate([fb, pb])) or found(pb, np.concatenate([fa, pa_]))
 
 
 def base_spans(t):
