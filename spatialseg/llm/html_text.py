@@ -7,8 +7,13 @@ density; the best one and its siblings that look like content are kept.
 
 Edge cases: null or empty html gives the empty text; a page without long
 paragraphs falls back to its article, main or body element; unclosed, crossed
-and stray tags are repaired as far as the nesting of blocks allows; an empty
-table gives an empty result.
+and stray tags are repaired as far as the nesting of blocks allows; very long pages
+are read whole; repeated rows each get their row; a kept column named text or n_chars
+is replaced by the result, other columns are ignored; an empty table gives an empty
+result.
+
+The names of furniture and of likely content follow the heuristics that public reader
+views use (Readability, Apache-2.0), in a list of our own.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spatialseg.llm.columns import declared, fresh, without
+
 #: Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -31,10 +38,15 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 BASE_SCORE = {"article": 10, "main": 8, "div": 5, "section": 4, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|agegate|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|cover-wrap|disqus|extra|foot|footer|gdpr|header|legends|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo\w*|related|remark|replies|reply|respond|rss|search|share|sharing|shoutbox|sidebar|signup|site-?header|site-?footer|skyscraper|social|sponsor\w*|subscribe|taboola|tags?|toolbar|topbar|widget)(?=$|[\s_-])", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|h-entry|main|page|post|text|blog|story)(?=$|[\s_-])", re.I)
+#: What a page's furniture is called, inside an article too, and the words that such names are made up with.
+FURNITURE = set("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion promotions replies reply respond search shoutbox sidebar signup sponsor sponsored subscribe toolbar".split())
+HELPERS = set("area article bar block body bottom box button container content global group inner item items left link links list main module outer page panel pane post primary right secondary section site slot text thread top unit widget wrap wrapper".split())
+#: A slash that closes a tag, not the end of a value without quotes.
+CLOSED = re.compile(r"(?:^|[\s\"'])/$|(?:^|\s)[^\s=\"'/]+/$")
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 #: For the rest of a page after a tag whose quotes do not end.
-PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+PLAIN_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RUN_MIN, LEVELS = 25, 6
 
@@ -45,7 +57,7 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.name, self.hint, self.drop, self.block = [-1], ["#root"], [""], [False], [0]
         self.runs: list[tuple[int, str, int]] = []  # (element, text, characters inside links)
-        self.stack, self.open = [0], {"#root": 1}
+        self.stack, self.open, self.blocks = [0], {"#root": [0]}, [0]  # the open elements, places of each name in the stack, places of blocks
         self.pieces: list[str] = []
         self.linked = 0
         self.read(source)
@@ -72,7 +84,7 @@ class Page:
                 self.end(name)
                 continue
             self.start(name, m[3])
-            if name in RAW and not m[3].endswith("/"):
+            if name in RAW and not CLOSED.search(m[3]):
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(s, at)
                 at = seen = close.end() if close else len(s)
                 self.end(name)
@@ -94,9 +106,11 @@ class Page:
 
     def pop(self) -> None:
         name = self.name[self.stack.pop()]
-        self.open[name] -= 1
+        self.open[name].pop()
         if not self.open[name]:
             del self.open[name]
+        if self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
 
     def start(self, name: str, rest: str) -> None:
         if name == "br":
@@ -121,10 +135,14 @@ class Page:
         hint = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         top = self.stack[-1]
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        unlikely = bool(hint) and name not in ("html", "body", "main") and UNLIKELY.search(hint) is not None and not (name == "article" and LIKELY.search(hint) and not re.search("comment|related|promo|sponsor|advert", hint, re.I))
+        inside = "article" in self.open or "main" in self.open
+        if inside or name in ("h1", "h2", "h3", "h4", "h5", "h6"):  # an article is left as it is, but for what is plainly furniture
+            unlikely = any(furniture(x) for x in (*attrs.get("class", "").split(), attrs.get("id", "").strip()))
+        else:
+            unlikely = bool(hint) and name not in ("html", "body", "main") and UNLIKELY.search(hint) is not None and not (name == "article" and LIKELY.search(hint) and not re.search("comment|related|promo|sponsor|advert", hint, re.I))
         header = name == "header" and "article" not in self.open and "main" not in self.open
         drop = self.drop[top] or name in DROPPED or header or hidden or unlikely or attrs.get("role", "").lower() in ROLES
-        if name in VOID or rest.endswith("/") and name not in RAW and name in INLINE:
+        if name in VOID or name not in RAW and name in INLINE and CLOSED.search(rest):
             return
         self.parent.append(top)
         self.name.append(name)
@@ -133,8 +151,10 @@ class Page:
         self.block.append(len(self.name) - 1 if block else self.block[top])
         if drop and not self.drop[top]:
             self.pieces and self.pieces.append(" ")
+        if block:
+            self.blocks.append(len(self.stack))
+        self.open.setdefault(name, []).append(len(self.stack))
         self.stack.append(len(self.name) - 1)
-        self.open[name] = self.open.get(name, 0) + 1
 
     def end(self, name: str) -> None:
         if name not in self.open:
@@ -143,17 +163,19 @@ class Page:
             return
         if name not in INLINE:
             self.flush()
-        else:  # an inline end tag does not close blocks
-            i = len(self.stack) - 1
-            while self.name[self.stack[i]] != name and self.name[self.stack[i]] in INLINE and len(self.stack) - i < 100:
-                i -= 1
-            if self.name[self.stack[i]] != name:
-                return
+        elif self.open[name][-1] < self.blocks[-1]:  # an inline end tag does not close blocks
+            return
         while self.name[self.stack[-1]] != name:
             self.pop()
         self.pop()
 
 
+def furniture(label: str) -> bool:
+    """Whether a class or id names menus, headers, footers, sidebars, notices, adverts, forms or comments, by all of its words."""
+    words = [w for w in re.split(r"[-_]", label.lower()) if w]
+    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in HELPERS or w.isdigit() for w in words)
+
+
 def main_text(source: str | None) -> str:
     """The kept blocks of a page, joined by one space."""
     if not source:
@@ -207,9 +229,10 @@ def main_text(source: str | None) -> str:
                 keep.update(found[:1])
                 break
     inside = [False] * n
+    whole = any(name[i] in ("article", "main") for i in keep)  # lists of links inside an article are part of it
     for i in range(n):
         inside[i] = i in keep or i > 0 and inside[parent[i]]
-        if inside[i] and i not in keep and name[i] in ("ul", "ol", "table", "div", "section") and density(i) > 0.5:
+        if inside[i] and i not in keep and not whole and name[i] in ("ul", "ol", "table", "div", "section") and density(i) > 0.5:
             inside[i] = False
     return " ".join(text for at, text, _ in page.runs if inside[at])
 
@@ -217,10 +240,12 @@ def main_text(source: str | None) -> str:
 def extract_main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """``keep`` columns, text and n_chars (code points), one row per row of ``pages``."""
 
+    keep = without(keep, ("text", "n_chars"))
+    source = fresh("source", keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(s.as_py()) for s in b.column("_html")]
+            texts = [main_text(s.as_py()) for s in b.column(source)]
             yield pa.record_batch([*(b.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    kept = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep)
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, f"{kept}, text string, n_chars long")
+    return pages.select(*keep, F.col(html_col).alias(source)).mapInArrow(run, f"{declared(pages, keep)}text string, n_chars long")

@@ -7,12 +7,15 @@ further inside are carved.
 
 Edge cases: null bytes give null type and no embedded media; bytes that match no
 format get ``application/octet-stream``; hits inside carved media are not carved
-again; equal bytes give equal results; an empty table gives an empty result.
+again; equal bytes give equal results; repeated rows each get their row; very long
+values are read whole; a kept column with the name of a result is replaced by it,
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spatialseg.llm.columns import declared, fresh, without
+
 #: The formats' magic bytes.
 MAGIC = {
     b"RIFF": "audio/wav",
@@ -29,9 +34,10 @@ MAGIC = {
     b"GIF87a": "image/gif",
     b"GIF89a": "image/gif",
     b"BM": "image/bmp",
-    b"P5\n": "image/x-portable-graymap",
+    b"P5": "image/x-portable-graymap",
     b"\xff\xd8\xff": "image/jpeg",
 }
+PGM = re.compile(rb"P5(?:[ \t-\r]|#[^\r\n]*[\r\n])++([0-9]++)(?:[ \t-\r]|#[^\r\n]*[\r\n])++([0-9]++)(?:[ \t-\r]|#[^\r\n]*[\r\n])++([0-9]++)[ \t-\r]")
 UNKNOWN = "application/octet-stream"
 SAMPLE_RATE = 8000
 
@@ -43,12 +49,13 @@ def wav_length(b: bytes, at: int) -> int:
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     if end > len(b):
         return 0
-    p, seen = at + 12, []
-    while p + 8 <= end and len(seen) < 64:
+    p, form, data = at + 12, 0, 0
+    while p + 8 <= end:
         size = struct.unpack_from("<I", b, p + 4)[0]
-        seen.append(b[p : p + 4])
+        form = form or p * (b[p : p + 4] == b"fmt ")
+        data = data or p * (b[p : p + 4] == b"data")
         p += 8 + size + (size & 1)
-    return end - at if p == end and b"fmt " in seen and b"data" in seen and seen.index(b"fmt ") < seen.index(b"data") else 0
+    return end - at if p == end and 0 < form < data else 0
 
 
 def png_length(b: bytes, at: int) -> int:
@@ -96,24 +103,21 @@ def bmp_length(b: bytes, at: int) -> int:
 
 
 def pgm_length(b: bytes, at: int) -> int:
-    head = b[at + 3 : at + 40].split(None, 3)
-    if len(head) < 4 or not all(x.isdigit() and len(x) <= 9 for x in head[:3]) or head[2] != b"255":
+    """Blanks and comments may stand between the numbers of the header; samples above 255 take two bytes."""
+    m = PGM.match(b, at)
+    if not m or any(len(x.lstrip(b"0")) > 18 for x in m.groups()):
         return 0
-    lead = 3 + b[at + 3 : at + 40].index(head[2], b[at + 3 : at + 40].index(head[1], len(head[0])) + len(head[1])) + 4
-    size = lead + int(head[0]) * int(head[1])
-    return size if size > lead and at + size <= len(b) else 0
+    w, h, top = map(int, m.groups())
+    end = m.end() + w * h * (1 + (top > 255))
+    return end - at if w and h and 0 < top < 65536 and end <= len(b) else 0
 
 
 def jpeg_length(b: bytes, at: int) -> int:
     p = at + 2
-    for _ in range(256):
-        if p + 4 > len(b) or b[p] != 0xFF:
-            return 0
+    while p + 4 <= len(b) and b[p] == 0xFF and 0xC0 <= b[p + 1] <= 0xFE:
         if b[p + 1] == 0xDA:
             end = b.find(b"\xff\xd9", p + 2)
             return end + 2 - at if end > 0 else 0
-        if not 0xC0 <= b[p + 1] <= 0xFE:
-            return 0
         p += 2 + struct.unpack_from(">H", b, p + 2)[0]
     return 0
 
@@ -185,16 +189,18 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def media_features(df: DataFrame, keep: list[str], media_col: str = "media", declared_col: str = "declared") -> DataFrame:
     """``keep`` columns and what the bytes show: media_type, corrected, payload digest and length where the medium holds samples, features, and the embedded media (type, start, length, bytes)."""
-    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    out = f"{kept}, media_type string, corrected boolean, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, embedded array<struct<type:string,start:long,length:long,bytes:binary>>"
+    results = ("media_type", "corrected", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "embedded")
+    keep = without(keep, results)
+    media_in, declared_in = fresh("media", keep), fresh("declared", keep)
+    out = f"{declared(df, keep)}media_type string, corrected boolean, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, embedded array<struct<type:string,start:long,length:long,bytes:binary>>"
 
-    def one(b: bytes | None, declared: str | None) -> dict:
+    def one(b: bytes | None, said: str | None) -> dict:
         if b is None:
             return {"media_type": None, "corrected": False, "embedded": []}
         found = sniff(b)
         kind = found[0][0] if found and found[0][1] == 0 else UNKNOWN
         inner = [x for x in found if x[1]]
-        row = {"media_type": kind, "corrected": kind != (declared or UNKNOWN), "media_bytes": len(b), "media_sha256": hashlib.sha256(b).hexdigest()}
+        row = {"media_type": kind, "corrected": kind != (said or UNKNOWN), "media_bytes": len(b), "media_sha256": hashlib.sha256(b).hexdigest()}
         row["embedded"] = [{"type": k, "start": s, "length": n, "bytes": b[s : s + n]} for k, s, n in inner]
         if kind == "audio/wav":
             pcm = pcm_of(b)
@@ -211,10 +217,10 @@ def media_features(df: DataFrame, keep: list[str], media_col: str = "media", dec
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                rows = [one(m, d) for m, d in zip(part.column("_media").to_pylist(), part.column("_declared").to_pylist(), strict=True)]
+                rows = [one(m, d) for m, d in zip(part.column(media_in).to_pylist(), part.column(declared_in).to_pylist(), strict=True)]
                 if schema is None:
                     item = pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())])
                     schema = [("media_type", pa.string()), ("corrected", pa.bool_()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string()), ("embedded", pa.list_(item))]
                 yield pa.record_batch([part.column(k) for k in keep] + [pa.array([r.get(k) for r in rows], t) for k, t in schema], names=[*keep, *[k for k, _ in schema]])
 
-    return df.select(*keep, F.col(media_col).alias("_media"), F.col(declared_col).alias("_declared")).mapInArrow(run, out)
+    return df.select(*keep, F.col(media_col).alias(media_in), F.col(declared_col).alias(declared_in)).mapInArrow(run, out)

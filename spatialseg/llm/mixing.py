@@ -9,7 +9,11 @@ size keeps the words taken within about one long document of the target.
 Edge cases: a null source is a source of its own, last in order; a null text has
 size 0; documents of size 0 may be emitted but take no words; a source whose
 documents are all empty has target 0; repeated rows are sampled each; an empty
-table gives an empty result. All of it is DataFrame functions.
+table gives an empty result; very long texts are counted whole. ``mix`` takes columns of
+any names; in ``mix_plan`` a column of ``docs`` with the name of a result (_size,
+_total, _target, _copies) is replaced by it. Targets are worked out on one row a
+source, in one task: sources must be some million at most. All of it is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from spatialseg.runtime import cut, shuffle_width
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 TWO_32 = 1 << 32
+#: Names of results, and of columns on the way to them.
+OWN = {"_size", "_total", "_target", "_copies", "_none", "_source", "_hash", "_class", "_first", "_in_class", "_part", "_n", "_start", "_inside", "_words"}
 
 
 def uniform32(key: Column) -> Column:
@@ -53,6 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``docs`` with _size, _total (its source's size), _target (its source's words to take) and _copies."""
     width = shuffle_width(docs.sparkSession)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in OWN and c not in (id_col, text_col, source_col) and (text_col or c != "_size")])
     sized = docs.withColumns({
         "_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long") if text_col else F.col("_size"),
         "_none": F.col(source_col).isNull(),
@@ -65,7 +72,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     classes = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
     smaller = Window.partitionBy("_none", "_source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(classes.groupBy("_none", "_source").agg(F.sum("_words").alias("_total")), weights, share, most)
-    starts = classes.select(*keys, F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_first")).join(F.broadcast(targets), ["_none", "_source"])
+    starts = classes.select(*keys, F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_first")).join(targets, ["_none", "_source"])
     ranked = rank_within(sized, keys, part, ["_hash", id_col, "_size"], "_in_class").join(starts, keys)
     rate = F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(0.0)
     offset = uniform32(F.concat(F.lit(seed), F.col("_source"), F.col("_none").cast("string"))) / F.lit(float(TWO_32))
@@ -80,6 +87,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sizes and digests of the texts are written once and drawn from; the texts
     themselves are shuffled once, to meet the number of their copies.
     """
+    names = docs.columns
+    place = {n: f"c{i}" for i, n in enumerate(names)}  # names of our own cannot clash with these
+    docs, id_col, text_col, source_col = docs.toDF(*place.values()), place[id_col], place[text_col], place[source_col]
     key = [F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.xxhash64(text_col).alias("_digest")]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = cut(docs.select(*key, size.alias("_size")), "sizes")
@@ -90,4 +100,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if not copies.where("_rows > 1").isEmpty():
         # rows that repeat were drawn each; one of them stands for the copies of all
         met = met.unionByName(docs.join(copies.where("_rows > 1"), same).dropDuplicates(["_id", "_src", "_digest"]))
-    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("col").toDF(*names)

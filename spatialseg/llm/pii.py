@@ -6,11 +6,13 @@ left and right as far as its grammar goes and validates what it has. Every
 parser goes over a run of characters once, so a text's cost is linear.
 
 Base kinds: email, ip, card, phone. Added kinds: url (scheme addresses), iban
-(checked modulo 97), account (an identifier behind a cue such as "passport no").
+(checked modulo 97), account (an identifier behind a cue such as "passport no"),
+secret (keys of public services by their beginnings, values behind "password=").
 
 Edge cases: a null text is the empty text; no finding gives zeros, empty lists and
 the digest of the empty string; spans of different kinds may overlap; repeated
-rows each get their row; an empty table gives an empty result.
+rows each get their row; very long texts are read whole; a kept column named found is
+replaced by the result, other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
+from spatialseg.llm.columns import declared, fresh, without
+
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
 BASE = KINDS[:4]
 #: Cues before identifiers.
 CUES = ("ssn", "social security", "passport", "iban", "account", "acct", "konto", "compte", "cuenta", "tax id", "steuer-id", "dni", "nif", "driver license", "driving licence", "national id")
@@ -37,7 +41,12 @@ IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){2,8}")
 #: Characters of a country's IBAN.
 IBAN_LENGTH = {c: int(n) for n, cs in (x.split(":") for x in "15:NO;16:BE;18:DK FI FK FO GL NL SD;19:MK SI;20:AT BA EE KZ LT LU MN XK;21:CH HR LI LV;22:BG BH CR DE GB GE IE ME RS VA;23:AE GI IL IQ OM SO TL;24:AD CZ ES MD PK RO SA SE SK TN VG;25:LY PT ST;26:IS TR;27:BI DJ FR GR IT MC MR SM;28:AL AZ BY CY DO GT HN HU LB NI PL SV;29:BR EG PS QA UA;30:JO KW MU YE;31:MT SC;32:LC;33:RU".split(";")) for c in cs.split()}
 IBAN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-AFTER_CUE = re.compile(r"(?:\s{0,2}(?:no|nr|num|number|code|#|nº|n°)\b\.?)?\s{0,2}[:#=]?\s{0,2}([A-Z]{0,3}[0-9][A-Z0-9-]{4,29})(?![A-Za-z0-9])", re.I)
+AFTER_CUE = re.compile(r"(?:\s{0,2}(?:no|nr|num|number|code|#|nº|n°)\b\.?)?\s{0,2}[:#=]?\s{0,2}([A-Z]{0,3}+[0-9][A-Z0-9-]{4,}+)", re.I)
+#: How public services' keys begin, and what follows.
+KEYS = {"akia": re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), "ghp_": re.compile(r"(?<![A-Za-z0-9_])ghp_[A-Za-z0-9]{36,}+"), "sk_live_": re.compile(r"(?<![A-Za-z0-9_])sk_live_[A-Za-z0-9]{16,}+"), "xoxb-": re.compile(r"(?<![A-Za-z0-9-])xoxb-[A-Za-z0-9-]{16,}+"), "-----begin ": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]*PRIVATE KEY-----")}
+SECRET_CUES = ("password", "passwd", "secret", "token", "api key", "api_key", "api-key", "apikey")
+#: A secret's value stands after a sign; it is long, without blanks, and has a digit.
+AFTER_SECRET = re.compile(r"\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_./+=!@#$%^&*-]{8,}+)")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _AUTOMATON: list = []
 
@@ -52,6 +61,10 @@ def automaton():
         a.add_word("://", (":", 3))
         for c in CUES:
             a.add_word(c, ("cue", len(c)))
+        for c in KEYS:
+            a.add_word(c, (c, len(c)))
+        for c in SECRET_CUES:
+            a.add_word(c, ("secret", len(c)))
         a.make_automaton()
         _AUTOMATON.append(a)
     return _AUTOMATON[0]
@@ -138,6 +151,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 if end > at + 3:
                     found["url"].append((start, end))
                     free["url"] = end
+        elif what in KEYS or what == "secret":
+            m = KEYS[what].match(text, at) if what in KEYS else AFTER_SECRET.match(text, last + 1)
+            span = m.span(m.lastindex or 0) if m else (0, 0)
+            if m and span[0] >= free["secret"] and (what in KEYS or any(c.isdigit() for c in m[1])):
+                free["secret"] = span[1]
+                found["secret"].append(span)
         elif (at == 0 or not low[at - 1].isalnum()) and at >= free["account"]:
             m = AFTER_CUE.match(text, last + 1)
             if m and sum("0" <= c <= "9" for c in m[1]) >= 4:
@@ -146,7 +165,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, s, e) for k in KINDS for s, e in sorted(found[k])]
 
 
-def redacted(text: str | None, kinds: tuple[str, ...] = ("email", "ip", "card", "phone", "iban", "account")) -> str | None:
+def redacted(text: str | None, kinds: tuple[str, ...] = ("email", "ip", "card", "phone", "iban", "account", "secret")) -> str | None:
     """The text with each union of overlapping spans replaced by the kind that begins it, in brackets. Addresses of pages stay, unless they hold another kind."""
     if not text:
         return text
@@ -164,25 +183,26 @@ def join_spans(found: list[tuple[str, int, int]]) -> str:
 
 def find_pii(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns and found: array of (kind, start, end)."""
+    keep = without(keep, ("found",))
+    text = fresh("text", keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            rows = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(t.as_py() or "")] for t in b.column("_text")]
+            rows = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(t.as_py() or "")] for t in b.column(text)]
             yield pa.record_batch([*(b.column(k) for k in keep), pa.array(rows, kind)], names=[*keep, "found"])
 
-    kept = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{kept}found array<struct<kind:string,start:long,end:long>>")
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, f"{declared(docs, keep)}found array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; all rows and columns stay."""
-    names = docs.columns
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.array([redacted(t.as_py()) for t in b.column(text_col)], pa.string())
-            yield pa.record_batch([texts if n == text_col else b.column(n) for n in names], names=names)
+            texts = pa.array([redacted(t.as_py()) for t in b.column(at)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
