@@ -7,10 +7,10 @@ weight two also with its one-deletion neighbourhood and so stands for two. Of
 segments of total weight H+1 one must agree, so documents that share a signature
 are candidates; they are verified exactly.
 
-Small sets take segments of weight two. For larger ones the weights are allocated
-by measured cost: segments whose buckets turn out large (a passage that many
-documents share) are given up, each made good by raising a rare segment of the
-same document to weight two, if the buckets it then looks into are smaller.
+Small sets take segments of weight two, larger ones segments of weight one and some
+more than the H+1. What a set then looks for is allocated by measured cost: it stays
+in all its buckets to be found, but does not look into its largest ones (a passage
+that many documents share), as many as it has segments to spare.
 
 Buckets of any size are dealt in blocks, each with each. First the members of a
 block meet its first and last one, which ties copies together; then those that
@@ -34,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg import runtime
@@ -43,14 +43,14 @@ from spatialseg.runtime import Scratch
 
 BAND = 1.5  # ratio of band ends
 SMALL = 64  # bands up to this size take segments of weight two
-HOT = 64  # members of a bucket beyond which a segment is given up where others can make it good
+HOT = 64  # members of a bucket beyond which a document with segments to spare does not look into it
 BLOCK, LINK_BLOCK = 2048, 256  # members of a bucket, and of a component, that a task compares with so many others
 SKETCH_BITS = (128, 2048)  # least and most bits of a sketch; between them two for each token
 BROADCAST_BYTES = 16 << 20  # most bytes of rows that are broadcast; beyond that a join is shuffled
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 100_000, 200_000
 MEMO_WORDS = 100_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-RAISED, ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # keep kinds of signatures apart
+ALONE = np.uint64(0xD6E8FEB86659FD93)  # keeps signatures of tokens apart from those of segments
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -116,82 +116,38 @@ def bands_of(n: int, num: int, den: int) -> range:
     return range(int(first), int(own) + 1)
 
 
-class Segments:
-    """A set in the segments of a band; ``used`` are the first ones whose weights reach H+1, or all if none do."""
+def signatures(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """Signatures of a set, the last two bits of each telling its band, and by these bits how many segments it has to spare.
 
-    def __init__(self, x: np.ndarray, band: int, num: int, den: int):
-        self.need = differ(min(len(x), band_ends()[band + 1] - 1), num, den) + 1
-        n, self.weight = allocation(band, num, den)
-        with np.errstate(over="ignore"):
-            self.of = (((mixed(x + np.uint64(band + 1)) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-            self.count = np.bincount(self.of, minlength=n)
-            self.token = mixed(x)
-            self.sums = np.zeros(n, np.uint64)
-            filled = np.flatnonzero(self.count)
-            self.sums[filled] = np.add.reduceat(self.token[np.argsort(self.of, kind="stable")], np.cumsum(self.count)[filled] - self.count[filled])
-            self.salt = mixed((np.arange(n, dtype=np.uint64) + np.uint64(1)) * M1 + np.uint64(band + 1))
-        reached = np.cumsum(np.minimum(self.count, self.weight))
-        self.enough = bool(reached[-1] >= self.need)
-        self.filled = filled
-        self.used = filled[filled <= np.searchsorted(reached, self.need)]
-
-    def whole(self, at: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed(self.sums[at] + self.salt[at])
-
-    def deletions(self, at: np.ndarray) -> np.ndarray:
-        """Signatures of the segments ``at`` without one token each."""
-        mine = np.zeros(len(self.count), bool)
-        mine[at] = True
-        t = np.flatnonzero(mine[self.of] & (self.count[self.of] > 1))
-        with np.errstate(over="ignore"):
-            return mixed(self.sums[self.of[t]] - self.token[t] + self.salt[self.of[t]])
-
-
-def signatures(x: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of a set; any two sets that are linked and not equal share one.
-
-    A set with too few filled segments shares one with every partner that has
-    enough; among such sets alone, single tokens are signatures too.
+    Any two sets that are linked and not equal share a signature, also when either of
+    them leaves out as many as it has to spare. A set with too few filled segments
+    shares one with every partner that has enough; among such sets alone, single
+    tokens are signatures too.
     """
-    out = [np.zeros(0, np.uint64)]
+    out, spare = [np.zeros(0, np.uint64)], [0, 0, 0, 0]
     for band in bands_of(len(x), num, den):
-        s = Segments(x, band, num, den)
-        if s.need == 1:
-            continue
-        out.append(s.whole(s.used))
-        if s.weight == 2:
-            out.append(s.deletions(s.used))
-        if not s.enough:
-            out.append(mixed(x ^ ALONE))
-    return np.unique(np.concatenate(out))
-
-
-def raised(x: np.ndarray, frequent: dict[int, int], num: int, den: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Of a set with large buckets: those it leaves, the signatures it looks for instead, those it is found by.
-
-    In a band with k large buckets among H+1 segments, k of the other segments are
-    raised to weight two, those with the smallest buckets first. The set looks for
-    its other segments whole and for these with one deletion; it is found by all
-    segments and all their one-deletion neighbours. Where fewer than k segments can
-    be raised, it stays in its buckets.
-    """
-    left, sought, found = [], [], []
-    for band in bands_of(len(x), num, den):
-        s = Segments(x, band, num, den)
-        if s.need == 1 or s.weight == 2:
-            continue
-        found += [s.whole(s.filled), s.deletions(s.filled)]
-        size = np.array([frequent.get(int(k), 1) for k in s.whole(s.used).view(np.int64)])
-        hot = size > HOT
-        cold, rare = s.used[~hot], size[~hot]
-        can = np.flatnonzero(s.count[cold] > 1)
-        if s.enough and hot.any() and len(can) >= hot.sum():
-            best = cold[can[np.lexsort((s.count[cold[can]], rare[can]))[: hot.sum()]]]
-            left += s.whole(s.used[hot]).view(np.int64).tolist()
-            sought += [s.whole(cold), s.deletions(best)]
-    flat = lambda parts: mixed(np.unique(np.concatenate(parts)) ^ RAISED) if parts else np.zeros(0, np.uint64)
-    return left, flat(sought), flat(found)
+        need = differ(min(len(x), band_ends()[band + 1] - 1), num, den) + 1
+        if need == 1:
+            continue  # only equal sets are linked
+        n, weight = allocation(band, num, den)
+        with np.errstate(over="ignore"):
+            of = (((mixed(x + np.uint64(band + 1)) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+            count = np.bincount(of, minlength=n)
+            token, sums = mixed(x), np.zeros(n, np.uint64)
+            filled = np.flatnonzero(count)
+            sums[filled] = np.add.reduceat(token[np.argsort(of, kind="stable")], np.cumsum(count)[filled] - count[filled])
+            salt = mixed((np.arange(n, dtype=np.uint64) + np.uint64(1)) * M1 + np.uint64(band + 1))
+            found = [mixed(sums[filled] + salt[filled])]
+            if weight == 2:
+                t = np.flatnonzero(count[of] > 1)
+                found.append(mixed(sums[of[t]] - token[t] + salt[of[t]]))
+        reached = int(np.minimum(count, weight).sum())
+        if reached < need:
+            found.append(mixed(x ^ ALONE))
+        elif weight == 1:
+            spare[band & 3] = reached - need
+        out.append(np.concatenate(found) & ~np.uint64(3) | np.uint64(band & 3))
+    return np.unique(np.concatenate(out)), spare
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -238,7 +194,7 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.
 
 
 def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(node, n_shingles, d1, d2, sketch, sigs) of (node, text) rows; d1 and d2 are the digest of a set."""
+    """(node, n_shingles, d1, d2, sketch, spare, sigs) of (node, text) rows; d1 and d2 are the digest of a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -247,12 +203,12 @@ def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             rows = []
             for t in part.column("text"):
                 x = shingle_set(t.as_py(), n)
-                sigs = signatures(x, num, den).view(np.int64) if len(x) else np.zeros(0, np.int64)
-                rows.append((len(x), *np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64).tolist(), sketch(x) if len(x) else b"", sigs))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.record_batch([part.column("node"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=["node", "n_shingles", "d1", "d2", "sketch", "sigs"])
+                sigs, spare = signatures(x, num, den) if len(x) else (x, [0, 0, 0, 0])
+                rows.append((len(x), *np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64).tolist(), sketch(x) if len(x) else b"", spare, sigs.view(np.int64)))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.record_batch([part.column("node"), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=["node", "n_shingles", "d1", "d2", "sketch", "spare", "sigs"])
 
-    return docs.select("node", "text").mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, n_shingles long, d1 long, d2 long, sketch binary, sigs array<long>")
+    return docs.select("node", "text").mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, n_shingles long, d1 long, d2 long, sketch binary, spare array<int>, sigs array<long>")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -266,23 +222,6 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, n_shingles long, tokens array<long>")
 
 
-def raised_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(node, sig, role) of (node, text, sigs, sizes) rows, whose buckets are of those sizes: what a set leaves (-1), is found by (0), looks for (1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_parts(batches, 64):
-            at, sig, role = [], [], []
-            for i, (t, s, k) in enumerate(zip(part.column("text"), part.column("sigs").to_pylist(), part.column("sizes").to_pylist(), strict=True)):
-                for r, got in zip((-1, 1, 0), raised(shingle_set(t.as_py(), n), dict(zip(s, k, strict=True)), num, den), strict=True):
-                    got = np.array(got, np.int64) if r < 0 else got.view(np.int64)
-                    at.append(np.full(len(got), i))
-                    sig.append(got)
-                    role.append(np.full(len(got), r, np.int8))
-            yield pa.record_batch([part.column("node").take(pa.array(np.concatenate(at), pa.int64())), pa.array(np.concatenate(sig), pa.int64()), pa.array(np.concatenate(role), pa.int8())], names=["node", "sig", "role"])
-
-    return docs.select("node", "text", "sigs", "sizes").mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, sig long, role byte")
-
-
 def few(df: DataFrame) -> bool:
     """Whether the rows of ``df``, all of fixed width, are few enough to be broadcast."""
     most = BROADCAST_BYTES // sum(32 if t == "string" else 8 for _, t in df.dtypes)
@@ -437,33 +376,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     groups = cut(light.groupBy("d1", "d2", "n_shingles").agg(F.min("node").alias("rep")), "groups")
     copies = cut(light.join(groups, ["d1", "d2", "n_shingles"]).where("node <> rep").select("node", "rep", "d1", "d2").distinct(), "copies")
     reps = full.join(small(copies.select("node", "d1", "d2")), ["node", "d1", "d2"], "left_anti")
-    nodes = cut(reps.select("node", "n_shingles", "sketch", "d1", "d2").dropDuplicates(["node", "d1", "d2"]), "nodes")
+    nodes = cut(reps.select("node", "n_shingles", "sketch", "spare", "d1", "d2").dropDuplicates(["node", "d1", "d2"]), "nodes")
     rows = reps.select("node", F.explode("sigs").alias("sig"))
     shared = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     repeats = not light.groupBy("node").count().where("count > 1").isEmpty()
     members = rows.join(small(shared.select("sig")), "sig")
     members = cut(members.distinct() if repeats else members, "members")
     scratch.drop(table)  # signatures are not read again, and take the most room
+    # documents with segments to spare are found in large buckets, but do not look into them
     hot = small(shared.where(f"n > {HOT}"))
-    in_hot = cut(members.join(hot, "sig").select("node").distinct(), "in-hot")
-    if not in_hot.isEmpty():
-        # documents in large buckets leave them where rarer segments with one deletion make them good
-        sizes = members.join(small(in_hot), "node").join(shared, "sig").groupBy("node").agg(F.collect_list("sig").alias("sigs"), F.collect_list("n").alias("sizes"))
-        roles = cut(raised_table(texts.join(small(in_hot), "node", "left_semi").join(sizes, "node"), n, num, den), "roles")
-        of_role = roles.where("role >= 0").groupBy("sig", "node").agg(F.max("role").alias("role"))
-        # only where the buckets that it then looks into are the smaller ones, all told
-        later = cut(of_role.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "later")
-        price = lambda r, sized: roles.where(F.col("role") == r).join(sized, "sig").groupBy("node").agg(F.sum("n").alias("n"))
-        old, new = price(-1, small(shared.where(f"n > {HOT}"))).withColumnRenamed("n", "old"), price(1, later).withColumnRenamed("n", "new")
-        movers = cut(old.join(new, "node", "left").where("new is null or new < old").select("node").withColumn("moves", F.lit(True)), "movers")
-        probed = of_role.join(small(movers), "node", "left").select("sig", "node", (F.col("moves").isNotNull() & (F.col("role") > 0)).alias("probe"))
-        wanted = probed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("probe").alias("any")).where("n > 1 and any").select("sig")
-        left = roles.where("role < 0").select("sig", "node").distinct().join(small(movers.select("node")), "node", "left_semi")
-        old, members = members, cut(members.join(left, ["sig", "node"], "left_anti").withColumn("probe", F.lit(True)).unionByName(probed.join(small(cut(wanted, "wanted")), "sig")), "members")
-        scratch.drop(roles)
-        scratch.drop(old)
-    else:
-        members = members.withColumn("probe", F.lit(True))
+    band = F.col("sig").bitwiseAND(3).cast("int")
+    spare = nodes.groupBy("node").agg(*[F.min(F.col("spare")[i]).alias(f"s{i}") for i in range(4)])
+    largest = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "sig"))
+    in_hot = members.join(hot, "sig").withColumn("band", band).withColumn("place", largest).join(spare, "node")
+    in_hot = in_hot.select("sig", "node", (F.col("place") > F.element_at(F.array(*[f"s{i}" for i in range(4)]), F.col("band") + 1)).alias("probe"))
+    old, members = members, cut(members.join(hot.select("sig"), "sig", "left_anti").withColumn("probe", F.lit(True)).unionByName(in_hot), "members")
+    scratch.drop(old)
 
     def with_sketch(dealt: DataFrame) -> DataFrame:
         return dealt.join(nodes.select("node", "n_shingles", "sketch"), "node")
@@ -480,7 +408,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         return cut(sets.distinct() if repeats else sets, name)
 
     ends = lambda pairs: pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    bucket = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bucket = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("probe").alias("any")).where("n > 1 and any").drop("any")
     star = members.join(bucket, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")).withColumn("component", F.col("node"))
     tested = cut(met_pairs(with_sketch(star), ["sig", "own"], star_pairs, num, den), "pairs")
     sets = fetch(ends(tested), "tokens")
@@ -488,7 +416,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     comp = cut(connected_components(links, "a", "b", cut), "components")
     # what is in different components still meets
     named = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi").select("sig", "n")
+    open_ = named.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("any")).where("n > 2 and lo < hi and any").select("sig", "n")
     open_ = cut(open_, "open")
     dealt = in_blocks(named, ["sig"], open_, BLOCK)
     late = cut(met_pairs(with_sketch(dealt), ["sig", "i", "j"], all_pairs, num, den).join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -130,6 +130,38 @@ def test_bin_completion(counts):
     assert {n: sum(e - s for s, e in x) for n, x in spans.items()} == counts
 
 
+def fewest(counts, capacity):
+    """Fewest bins, by trying for each item all fillings of the levels of open bins."""
+    best = [sum(counts.values())]
+    items = sorted((n for n, c in counts.items() for _ in range(c)), reverse=True)
+    seen = set()
+
+    def place(i, rooms):
+        if len(rooms) >= best[0] or (i, rooms) in seen:
+            return
+        seen.add((i, rooms))
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= items[i]:
+                k = rooms.index(r)
+                place(i + 1, tuple(sorted((*rooms[:k], *rooms[k + 1 :], r - items[i]))))
+        place(i + 1, tuple(sorted((*rooms, capacity - items[i]))))
+
+    place(0, ())
+    return best[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(3, 30), st.integers(1, 3), min_size=1, max_size=5))
+def test_fewest_bins(counts):
+    want = fewest(counts, 30)
+    assert packing.least_bins(counts, 30) <= want
+    for exact in (False, True):
+        assert sum(c for _, c in packing.bin_completion(counts, 30, exact=exact)) == want
+
+
 def test_mixing(spark, docs, rows):
     import duckdb
 
@@ -221,10 +253,47 @@ def test_language(spark, docs, rows):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and sum(r["rejected"] for i, r in got.items() if i < 10_000) == 0
     none = langid.train(empty(docs))
     assert {r["lang_pred"] for r in langid.identify(docs, none, ["doc_id"]).collect()} == {"und"}
-    g = langid.grams(langid.letters("then"), 4)
-    for context in {int(x) >> langid.BITS for x in g}:
-        p = np.exp(models.gram_logp((context << langid.BITS) | np.unique(models.keys[0] & langid.MASK))).sum(axis=0) + np.exp(models.base)
-        assert np.all(p > 0.95) and np.all(p < 1.1)
+
+
+def plain_kneser_ney(texts, order):
+    """p(gram) by the textbook, from the packed grams of the texts of a language."""
+    top = Counter(int(g) for t in texts for g in langid.grams(langid.letters(t), order))
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g & ((1 << langid.BITS * k) - 1) for g in levels[k + 1])
+    d = {}
+    for k, c in levels.items():
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d[k] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+    def p(g, k, alphabet):
+        if k == 0:
+            return 1 / alphabet
+        low = p(g & ((1 << langid.BITS * (k - 1)) - 1), k - 1, alphabet)
+        here = {x: c for x, c in levels[k].items() if x >> langid.BITS == g >> langid.BITS}
+        if not here:
+            return low
+        total = sum(here.values())
+        return max(here.get(g, 0) - d[k], 0) / total + d[k] * len(here) / total * low
+
+    return p, {g & langid.MASK for g in levels[1]}
+
+
+def test_kneser_ney(spark):
+    """Models against the textbook, on grams seen and not seen; and what is stored of a language whose grams are too many."""
+    texts = {"a": ["the cat sat on the mat", "a cat and a hat"], "b": ["der Hund und die Katze", "die Hunde", "Äpfel"], "c": ["xyzzy"]}
+    rows = spark.createDataFrame([(lang, t, i % 2) for lang, ts in texts.items() for i, t in enumerate(ts)], "lang string, text string, n int")
+    models = langid.train(rows)
+    plain = {lang: plain_kneser_ney(ts, 4) for lang, ts in texts.items()}
+    alphabet = len(set().union(*(s for _, s in plain.values()))) + 1
+    grams = np.unique(np.concatenate([langid.grams(langid.letters(t), 4) for t in ("the hound and the hat", "die Katze", "xyz", "qq Äx")]))
+    got = np.exp(models.gram_logp(grams))
+    for i, lang in enumerate(models.langs):
+        want = [plain[lang][0](int(g), 4, alphabet) for g in grams]
+        assert np.allclose(got[:, i], want, rtol=1e-5, atol=0)
+    counts = langid.cut(langid.gram_counts(rows.select("lang", "text")), "grams")
+    short = langid.counted_models(counts, 4, 30)[-1]
+    assert short.langs == ["a", "b", "c"] and all(len(k) <= 50 for k in short.keys) and all((lp != 0).any(axis=0).all() for lp in short.logp)
 
 
 def test_quality(spark):
@@ -244,6 +313,33 @@ def test_quality(spark):
     assert quality.score(odd, model, ["doc_id"]).count() == len(ODD)
 
 
+def test_risk_and_prior():
+    """The fit minimises the non-negative risk as plain numpy has it, and the prior is found without labels of the other class."""
+    rng = np.random.default_rng(2)
+    make = lambda n, good: rng.normal(size=(n, 4)) + (1.5 if good else -1.5) * np.array([1, 0.5, 0, 0])
+    for share in (0.3, 0.7):
+        pos, unl = make(1500, True), np.concatenate([make(int(3000 * share), True), make(3000 - int(3000 * share), False)])
+        prior = quality.class_prior(pos, unl)
+        assert abs(prior - share) < 0.06
+        w, b = quality.fit_nnpu(pos, unl, prior)
+
+        def risk(w, b):
+            zp, zu = pos @ w + b, unl @ w + b
+            return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()) + 5e-4 * w @ w
+
+        near = [risk(w + 0.3 * d[:4], b + 0.3 * d[4]) for d in rng.normal(size=(200, 5))]
+        assert risk(w, b) <= min(near) + 0.06 and risk(w, b) < risk(w * 0, 0.0) - 0.1
+        truth = np.arange(len(unl)) < int(3000 * share)
+        assert np.mean((unl @ w + b > 0) == truth) > 0.9
+
+
+def test_labels_that_conflict(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 7} of words") for i in range(60)] + [(3, "again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 0), *((i, i % 2) for i in range(10, 40)), (None, 1), (5, None), (6, 7)], "doc_id long, quality int")
+    scores = quality.score(docs, quality.fit(docs, labels), ["doc_id"]).collect()
+    assert len(scores) == 110 and all(0 <= r["score"] <= 1 for r in scores)
+
+
 def components(sets, num, den):
     parent = {i: i for i in sets}
 
@@ -334,28 +430,25 @@ def test_pigeonhole(case):
     if not y or x == y or both * den < num * (len(x) + len(y) - both):
         return
     a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
-    assert np.intersect1d(jaccard.signatures(a, num, den), jaccard.signatures(b, num, den)).size
+    assert np.intersect1d(jaccard.signatures(a, num, den)[0], jaccard.signatures(b, num, den)[0]).size
     marks = jaccard.Sketches([jaccard.sketch(a), jaccard.sketch(b)])
     assert marks.differ(np.array([0]), np.array([1]))[0] <= len(x ^ y)
 
 
 @settings(max_examples=300, deadline=None)
 @given(similar_sets(), st.integers(0, 2**32))
-def test_raised_segments(case, seed):
-    """Whatever buckets are large, two linked sets meet: in a bucket that neither leaves, or one looks for what the other is found by."""
+def test_segments_to_spare(case, seed):
+    """Whichever segments a set does not look into, as many as it has to spare, it meets all that it is linked with."""
     x, y, num, den = case
     both = len(x & y)
     if not y or x == y or both * den < num * (len(x) + len(y) - both):
         return
     rng = np.random.default_rng(seed)
-    a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
-    sa, sb = (set(jaccard.signatures(s, num, den).view(np.int64).tolist()) for s in (a, b))
-    share = rng.choice([0.05, 0.3, 0.6])
-    frequent = {k: int(rng.choice([2, 10_000], p=[1 - share, share])) for k in sorted(sa | sb)}
-    hot = {k for k, n in frequent.items() if n > jaccard.HOT}
-    (la, pa_, fa), (lb, pb, fb) = (jaccard.raised(s, frequent, num, den) if sig & hot else ([], np.zeros(0, np.uint64), np.zeros(0, np.uint64)) for s, sig in ((a, sa), (b, sb)))
-    found = lambda probe, index: bool(np.intersect1d(probe, index).size)
-    assert (sa - set(la)) & (sb - set(lb)) or found(pa_, np.concatenate([fb, pb])) or found(pb, np.concatenate([fa, pa_]))
+    a, b = (jaccard.signatures(np.array(sorted(s), np.uint64), num, den) for s in (x, y))
+    for (sigs, spare), (others, _) in ((a, b), (b, a)):
+        common = rng.permutation(np.intersect1d(sigs, others))
+        left = [s for band in range(4) for s in common[common & np.uint64(3) == band][: spare[band]].tolist()]
+        assert len(set(common.tolist()) - set(left))
 
 
 def base_spans(t):
