@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialseg import runtime
 from spatialseg.functions.geometry import AXES
 from spatialseg.operators.knn import knn
 from spatialseg.operators.project import dense_ids
@@ -40,6 +43,11 @@ def downsample_medoid(points: DataFrame, cell: float) -> DataFrame:
     return nearest_original(points, cell, ["seg_id"]).select("cloud_id", F.col("dst").alias("point_id"), F.col("t_seg_id").alias("seg_id"), *[F.col(f"t_{c}").alias(c) for c in AXES])
 
 
+def downsample_rgb(points: DataFrame, cell: float) -> DataFrame:
+    """Centroids with the colour of their nearest original point."""
+    return nearest_original(points, cell, ["r", "g", "b"]).select("cloud_id", *AXES, *[F.col(f"t_{c}").alias(c) for c in "rgb"])
+
+
 def random_downsample(points: DataFrame, frac: float, seed: int = 0) -> DataFrame:
     """Keeps int(n * frac) points of each cloud, by the order of a hash: the bound comes from counts by hash bucket, and only the bucket at the bound is ranked."""
     buckets = 4096
@@ -58,7 +66,7 @@ def bounding_box(points: DataFrame, expand: float = 0.1) -> DataFrame:
     return b.select("cloud_id", *[(F.col(f"lo_{c}") - more[c]).alias(f"lo_{c}") for c in AXES], *[(F.col(f"hi_{c}") + more[c]).alias(f"hi_{c}") for c in AXES])
 
 
-def patch_counts(bbox: DataFrame, size: float) -> DataFrame:
+def patch_counts(bbox: DataFrame, size: float | Column) -> DataFrame:
     """Centres along each axis, two at least; half as many in z."""
     n = {c: F.greatest(F.ceil((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / size), F.lit(2)).cast("int") for c in AXES}
     n["z"] = F.greatest(F.floor(n["z"] / 2), F.lit(2)).cast("int")
@@ -74,32 +82,56 @@ def patch_grid(bbox: DataFrame, size: float) -> DataFrame:
     return g.select("cloud_id", pid.alias("patch_id"), *[(F.col(f"lo_{c}") + F.col(f"i_{c}") * (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / (F.col(f"n_{c}") - 1)).alias(f"c_{c}") for c in AXES])
 
 
-def points_in_patches(points: DataFrame, bbox: DataFrame, size: float, overlap: float = 0.15) -> DataFrame:
+def points_in_patches(points: DataFrame, bbox: DataFrame, size: float | Column, overlap: float = 0.15) -> DataFrame:
     """(cloud_id, patch_id, point_id): every patch whose box holds the point. Boxes reach half the distance of centres, and the overlap, so none of the space is left out; candidates come from index arithmetic."""
-    j = points.join(patch_counts(bbox, size), "cloud_id")
+    return boxes_of(points, patch_counts(bbox, size), overlap).select("cloud_id", "patch_id", "point_id")
+
+
+def boxes_of(points: DataFrame, grid: DataFrame, overlap: float) -> DataFrame:
+    """Points with the rows of their cloud's ``grid``, once for each patch that holds them, patch_id added."""
+    j = points.join(grid, "cloud_id")
     for c in AXES:
         step = (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / (F.col(f"n_{c}") - 1)
         at = F.when(step > 0, (F.col(c) - F.col(f"lo_{c}")) / step).otherwise(0.0)
         reach = 0.5 * (1 + overlap)
         first, last = F.greatest(F.ceil(at - reach - 1e-9), F.lit(0)).cast("int"), F.least(F.floor(at + reach + 1e-9).cast("int"), F.col(f"n_{c}") - 1)
         j = j.withColumn(f"i_{c}", F.explode(F.sequence(first, last)))
-    pid = (F.col("i_x") * F.col("n_y") + F.col("i_y")) * F.col("n_z") + F.col("i_z")
-    return j.select("cloud_id", pid.alias("patch_id"), "point_id")
+    return j.withColumn("patch_id", (F.col("i_x") * F.col("n_y") + F.col("i_y")) * F.col("n_z") + F.col("i_z"))
 
 
 def choose_patch_size(points: DataFrame, max_points: int, overlap: float = 0.15, batch: int = 8) -> float:
     """A tenth of the x extent, less a fixed step until no patch has more points; a batch of sizes is counted by one job."""
-    b = bounding_box(points).agg(F.max(F.col("hi_x") - F.col("lo_x")), F.max(F.col("hi_y") - F.col("lo_y"))).first()
+    boxes = runtime.cut(bounding_box(points), "boxes")
+    b = boxes.agg(F.max(F.col("hi_x") - F.col("lo_x")), F.max(F.col("hi_y") - F.col("lo_y"))).first()
     size, step = float(b[0]) / 10, max(float(b[1]) / 100, 1e-6)
     while True:
         tried = [s for s in (size - i * step for i in range(batch)) if s > step] or [size / 2]
+        grids = patch_counts(boxes.withColumn("_size", F.explode(F.array(*map(F.lit, tried)))), F.col("_size"))
+        counted = boxes_of(points, grids, overlap).groupBy("_size", "cloud_id", "patch_id").count().groupBy("_size").agg(F.max("count").alias("worst"))
+        worst = {r["_size"]: r["worst"] for r in counted.collect()}  # one row a size
         for s in tried:
-            worst = points_in_patches(points, bounding_box(points), s, overlap).groupBy("cloud_id", "patch_id").count().agg(F.max("count")).first()[0]
-            if worst <= max_points or s <= step / 64:
+            if worst[s] <= max_points or s <= step / 64:
                 return s
         size = tried[-1] - step if tried[-1] - step > step else tried[-1] / 2
 
 
+def random_patches(points: DataFrame, max_points: int = 500, n: int = 10, seed: int = 0, ratio: float = 1.01) -> DataFrame:
+    """(cloud_id, patch_id, half, point_id): cubes around ``n`` points of each cloud, drawn by a hash. A cube is the largest of a geometric row of sizes that holds at most ``max_points``, found from counts by size, so that no cube's points are sorted or gathered."""
+    drawn = F.row_number().over(Window.partitionBy("cloud_id").orderBy("_h", "point_id"))
+    # the n smallest hashes of each part of a cloud hold those of the cloud
+    parts = Window.partitionBy("cloud_id", "_p").orderBy("_h", "point_id")
+    p = points.withColumn("_h", F.xxhash64("point_id", F.lit(seed))).withColumn("_p", F.pmod(F.xxhash64("point_id"), F.lit(runtime.shuffle_width(points.sparkSession))))
+    centres = p.withColumn("_k", F.row_number().over(parts)).where(F.col("_k") <= n).withColumn("patch_id", drawn - 1).where(F.col("patch_id") < n)
+    centres = centres.select("cloud_id", "patch_id", *[F.col(c).alias(f"c_{c}") for c in AXES])
+    far = F.greatest(*[F.abs(F.col(c) - F.col(f"c_{c}")) for c in AXES])
+    bin_ = F.when(far > 0, F.ceil(F.ln(far) / math.log(ratio))).otherwise(-(1 << 20)).cast("int")
+    near = points.join(centres, "cloud_id").withColumn("_bin", bin_)
+    upto = Window.partitionBy("cloud_id", "patch_id").orderBy("_bin")
+    sizes = near.groupBy("cloud_id", "patch_id", "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    best = sizes.where((F.col("_upto") <= max_points) | (F.col("_upto") == F.col("_n"))).groupBy("cloud_id", "patch_id").agg(F.max("_bin").alias("_most"))
+    return near.join(best, ["cloud_id", "patch_id"]).where(F.col("_bin") <= F.col("_most")).select("cloud_id", "patch_id", F.pow(F.lit(ratio), F.col("_most")).alias("half"), "point_id")
+
+
 def merge_small_patches(members: DataFrame, max_points: int) -> DataFrame:
     """Neighbouring patches joined first-fit in patch order while they fit. Only the counts of a cloud's patches come together."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spatialseg.components import connected_components
 from spatialseg.functions.geometry import AXES, along, squared
+from spatialseg.operators.cloud import build_patches, downsample_medoid, scale_cloud
 from spatialseg.operators.knn import knn
 from spatialseg.operators.project import dense_ids
 
@@ -144,3 +145,19 @@ def score_patches(patch_points: DataFrame, scorer: Callable[[pd.DataFrame], pd.D
 
     scored = patch_points.groupBy("cloud_id", "patch_id").applyInPandas(run, f"cloud_id {cloud}, patch_id int, src long, dst long, prob double")
     return scored.withColumn("prob", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("prob")))
+
+
+#: How each kind of labelled set becomes a graph: neighbours of a point, 0 for the chains of filaments.
+KINDS = {"filament": 0, "part": 6, "indoor": 6, "room": 8}
+
+
+def load_labelled_dataset(points: DataFrame, kind: str, px: float = 1.0, cell: float | None = None, max_points: int = 500) -> dict[str, DataFrame]:
+    """Tables ``points`` (scaled, down-sampled by ``cell``), ``patches`` and ``edges`` (true edges inside a patch) of a labelled set."""
+    k = KINDS[kind]
+    scaled = scale_cloud(points, px)
+    if cell:
+        scaled = downsample_medoid(scaled, cell).withColumn("ord", F.col("point_id"))
+    patches = build_patches(scaled, max_points)
+    edges = chain_edges(scaled) if k == 0 else knn_edges(scaled, k).select(*PAIR)
+    end = lambda c: patches.select("cloud_id", "patch_id", F.col("point_id").alias(c))
+    return {"points": scaled, "patches": patches, "edges": edges.join(end("src"), ["cloud_id", "src"]).join(end("dst"), ["cloud_id", "patch_id", "dst"]).select("cloud_id", "patch_id", "src", "dst")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialseg.operators.graph import cut_graph
 from spatialseg.operators.tiles import soft_skeleton
 
 EPS = 1e-16
@@ -175,6 +176,22 @@ def image_benchmark(scored: DataFrame) -> DataFrame:
     return by.agg(*[F.avg(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "iou", "ap", "auc")])
 
 
+def graph_benchmark(scored: DataFrame, pred: DataFrame, truth: DataFrame, t: float = 0.5) -> DataFrame:
+    """Means over patches of IoU and AUC, and over clouds of the coverage of cut segments."""
+    patches = iou(scored, t).join(roc_auc(scored), "group_id").agg(F.avg("iou").alias("iou"), F.avg("auc").alias("auc"))
+    return patches.crossJoin(mean_coverage(pred, truth).agg(F.avg("mcov").alias("mcov"), F.avg("mwcov").alias("mwcov")))  # a row each
+
+
+def coverage_by_threshold(edges: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = (0.25, 0.5, 0.9), k: int = 2, prune: int = 5) -> DataFrame:
+    """(cloud_id, threshold, mcov, mwcov) of graph cuts at all thresholds in one job: each is a cloud of its own. A cut that leaves nothing counts as 0. ``truth`` has point_id, coordinates and seg_id."""
+    named = lambda df: df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("_cloud", F.col("cloud_id")).withColumn("cloud_id", F.concat_ws("@", F.col("threshold").cast("string"), "cloud_id"))
+    of = named(edges)
+    cut = cut_graph(of.where(F.col("prob") >= F.col("threshold")).select(edges.columns), 0.0, k, prune)
+    true = named(truth)
+    pred = cut.join(true.select("cloud_id", F.col("point_id").alias("node"), "x", "y", "z"), ["cloud_id", "node"])
+    return mean_coverage(pred, true).join(true.select("cloud_id", "_cloud", "threshold").distinct(), "cloud_id").select(F.col("_cloud").alias("cloud_id"), "threshold", "mcov", "mwcov")
+
+
 def region_metrics(scored: DataFrame, region: Column, t: float = 0.5) -> DataFrame:
     c = rates(confusion(scored.where(region), t))
     tp, fp, fn = (F.col(x) for x in ("tp", "fp", "fn"))

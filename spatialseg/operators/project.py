@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialseg import runtime
+
 
 def to_physical(points: DataFrame, images: DataFrame, key: str = "cloud_id") -> DataFrame:
     """Pixel coordinates to ångström: coordinate times pixel size plus offset."""
@@ -155,7 +157,12 @@ def prepare_tile(voxels: DataFrame, mask: DataFrame, images: DataFrame, size: in
 
 
 def dense_ids(df: DataFrame, keys: list[str], column: str, start: int = 0) -> DataFrame:
-    """``column`` renumbered from ``start`` within ``keys``, by a rank over its distinct values."""
-    names = df.select(*keys, column).distinct()
-    ranked = names.withColumn("_id", F.row_number().over(Window.partitionBy(*keys).orderBy(column)) - 1 + start)
+    """``column`` renumbered from ``start`` within ``keys``, by a rank over its distinct values. The values are dealt out by range and ranked within each range, which starts where the ranges before it end: a key may have any number of them."""
+    spark = df.sparkSession
+    names = df.select(*keys, column).distinct().repartitionByRange(runtime.shuffle_width(spark), *keys, column).withColumn("_range", F.spark_partition_id())
+    names = runtime.cut(names, "ids")  # ranges stay as they were dealt
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = names.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(column)) - 1
+    ranked = names.withColumn("_inside", inside).join(starts, [*keys, "_range"]).select(*keys, column, (F.col("_start") + F.col("_inside") + start).alias("_id"))
     return df.join(ranked, [*keys, column]).withColumn(column, F.col("_id").cast("long")).select(df.columns)

@@ -382,12 +382,13 @@ BALL = "ball AS (SELECT z AS dz, y AS dy, x AS dx FROM range(-2, 3) a(z), range(
 FRAME = "z BETWEEN 0 AND 6 AND y BETWEEN 0 AND 50 AND x BETWEEN 0 AND 63"
 
 
-@query("r2_ball_offsets", sql("", "SELECT * FROM ball, (SELECT count(*) AS n FROM events)", "dz, dy, dx, n", "", BALL))
+@query("r2_ball_offsets", sql("", "SELECT cloud_id, z + dz AS z, y + dy AS y, x + dx AS x, count(*) AS n FROM tracks, ball WHERE z + dz >= 0 AND y + dy >= 0 AND x + dx >= 0 GROUP BY ALL", "cloud_id, z::INT AS z, y::INT AS y, x::INT AS x, n", "", f"{TRACKS}, {BALL}"))
 def _(s, d):
-    return R.ball_offsets(s, 2).crossJoin(F.broadcast(table(s, d, "events").agg(F.count(F.lit(1)).alias("n"))))
+    cells = tracks(s, d).select("cloud_id", *[F.col(c).cast("int").alias(c) for c in "zyx"])
+    return R.stamp(cells, R.ball_offsets(s, 2), (1000, 1000, 1000)).groupBy("cloud_id", "z", "y", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r3_draw_instances")
+@query("r3_draw_instances", f"WITH drawn AS ({SQL['r1_interpolate_polyline']}), {BALL} SELECT cloud_id, z + dz AS z, y + dy AS y, x + dx AS x, max(seg_id) + 1 AS value FROM drawn, ball WHERE z + dz BETWEEN 0 AND 6 AND y + dy BETWEEN 0 AND 50 AND x + dx BETWEEN 0 AND 63 GROUP BY ALL")
 def _(s, d):
     return R.draw_instances(tracks(s, d), (7, 51, 64), 1.0, 4.0)
 
@@ -441,6 +442,11 @@ def _(s, d):
     return C.downsample_medoid(A.cloud3(s, d), 0.1)
 
 
+@query("c5_downsample_rgb", sql("cloud3", "SELECT c.cloud_id, c.x, c.y, c.z, n.dst % 251 AS r, n.dst % 7 AS g, n.dst % 3 AS b FROM cent c JOIN near n ON c.point_id = n.src", "cloud_id, r, g, b", XYZ, f"{CENT}, {near_sql('cent', 'cloud3', 1)}"))
+def _(s, d):
+    return C.downsample_rgb(A.cloud3(s, d).withColumns({c: F.col("point_id") % n for c, n in (("r", 251), ("g", 7), ("b", 3))}), 0.1)
+
+
 @query("c6_random_downsample")
 def _(s, d):
     return C.random_downsample(A.points(s, d), 0.3)
@@ -478,6 +484,16 @@ def _(s, d):
     return C.merge_small_patches(C.points_in_patches(p, C.bounding_box(p), 100.0), 500)
 
 
+@query("c13_random_patches")
+def _(s, d):
+    return C.random_patches(A.cloud3(s, d), 100)
+
+
+@query("c21_load_labelled_dataset")
+def _(s, d):
+    return G.load_labelled_dataset(A.cloud3(s, d), "part", max_points=100)["edges"]
+
+
 @query("c14_build_patches")
 def _(s, d):
     return C.build_patches(A.points(s, d), 500, size=100.0)
@@ -568,9 +584,9 @@ def _(s, d):
     return G.merge_edges_median(A.edges(s, d), 0.7)
 
 
-@query("g8_mutual_edges", sql("edges", "SELECT * FROM mut", PAIR, "prob", KEPT.replace("FROM edges WHERE", "FROM edges WHERE src % 3 <> 0 AND")))
+@query("g8_mutual_edges", sql("edges", "SELECT * FROM mut", PAIR, "prob", KEPT.replace("FROM edges WHERE", "FROM (SELECT * REPLACE (CASE WHEN src % 3 = 0 THEN dst + 1 ELSE dst END AS dst) FROM edges) WHERE")))
 def _(s, d):
-    return G.mutual_edges(G.merge_edges_median(A.edges(s, d).where("src % 3 <> 0"), 0.7))
+    return G.mutual_edges(G.merge_edges_median(A.edges(s, d).withColumn("dst", F.when(F.col("src") % 3 == 0, F.col("dst") + 1).otherwise(F.col("dst"))), 0.7))
 
 
 @query("g9_top_k_edges", sql("edges", "SELECT * FROM kept", PAIR, "prob", KEPT))
@@ -588,6 +604,11 @@ def _(s, d):
     return G.prune_segments(G.segment_components(G.kept_edges(A.edges(s, d), 0.7, 2)), 5)
 
 
+@query("g12_number_segments", sql("edges", "SELECT cloud_id, node, dense_rank() OVER (ORDER BY component) - 1 AS seg_id FROM comp", "cloud_id, node, seg_id", "", REACH))
+def _(s, d):
+    return G.number_segments(G.segment_components(G.kept_edges(A.edges(s, d), 0.7, 2)))
+
+
 @query("g13_segment_transitive", sql("edges", "SELECT 'all' AS cloud_id, node, min(other) AS component FROM reach GROUP BY 2", "cloud_id, node, component", "", "e AS (SELECT DISTINCT src, dst FROM edges WHERE prob >= 1), reach(node, other) AS (SELECT DISTINCT src, src FROM e UNION SELECT r.node, e.dst FROM reach r JOIN e ON r.other = e.src)"))
 def _(s, d):
     return G.segment_transitive(A.edges(s, d), 1.0)
@@ -927,19 +948,37 @@ def _(s, d):
     return E.precision_at_recall(E.pr_curve(A.scored(s, d), 100), 0.5)
 
 
-@query("e14_batch_benchmark", sql("scored", "SELECT group_id, avg(precision) AS mean_precision FROM cu GROUP BY 1", "group_id", "mean_precision", SWEEP.format(1000) + CURVE[CURVE.index(", cu AS"):]))
+HALF = PRF.replace("0.05", "0.5")
+
+
+@query("e14_batch_benchmark", sql("scored", "SELECT group_id, precision, recall, f1, mean_precision, precision_at_recall FROM prf JOIN (SELECT group_id, avg(precision) AS mean_precision FROM cu GROUP BY 1) USING (group_id) JOIN par USING (group_id)", "group_id", "precision recall f1 mean_precision precision_at_recall", f"{HALF}, {SWEEP.format(1000)}{CURVE[CURVE.index(', cu AS') :]}, {PAR.replace('0.5', '0.9')}"))
+def _(s, d):
+    return E.batch_benchmark(A.scored(s, d))
+
+
+@query("e15_image_benchmark", sql("scored", f"SELECT avg(accuracy) AS accuracy, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, avg(tp / (tp + fp + fn + 1e-16)) AS iou, avg(ap) AS ap, avg(auc) AS auc FROM prf JOIN ({AP}) USING (group_id) JOIN ({AUC}) USING (group_id)", "", "accuracy precision recall f1 iou ap auc", f"{HALF}, {RANK}"))
+def _(s, d):
+    return E.image_benchmark(A.scored(s, d))
+
+
+COVER = "SELECT cloud_id, avg(coalesce(b, 0)) AS mcov, sum(coalesce(b, 0) * tn) / sum(tn) AS mwcov FROM tn LEFT JOIN (SELECT cloud_id, ts, max(n / (pn + tn - n)) AS b FROM i JOIN pn USING (cloud_id, ps) JOIN tn USING (cloud_id, ts) GROUP BY ALL) USING (cloud_id, ts) GROUP BY 1"
+
+
+@query("e16_graph_benchmark", sql("scored points", f"SELECT * FROM (SELECT avg(tp / (tp + fp + fn + 1e-16)) AS iou, avg(auc) AS auc FROM conf JOIN ({AUC}) USING (group_id)), (SELECT avg(mcov) AS mcov, avg(mwcov) AS mwcov FROM ({COVER}))", "", "iou auc mcov mwcov", f"{CONF}, {RANK}, {PT}"))
 def _(s, d):
-    return E.batch_benchmark(A.scored(s, d)).select("group_id", "mean_precision")
+    return E.graph_benchmark(A.scored(s, d), *moved(s, d), 0.05)
 
 
-@query("e15_image_benchmark", sql("scored", f"SELECT avg(ap) AS ap, avg(auc) AS auc FROM ({AP}) JOIN ({AUC}) USING (group_id)", "", "ap auc", RANK))
+@query("e17_coverage_by_threshold")
 def _(s, d):
-    return E.image_benchmark(A.scored(s, d)).select("ap", "auc")
+    p = F.col("p_partkey")
+    truth = table(s, d, "part").select(F.lit("all").alias("cloud_id"), p.alias("point_id"), F.floor(p / 7).alias("seg_id"), p.cast("double").alias("x"), (p * 31 % 64).cast("double").alias("y"), (p % 5).cast("double").alias("z"))
+    return E.coverage_by_threshold(A.edges(s, d), truth, (0.6, 0.7, 0.9))
 
 
-@query("e18_region_metrics", sql("scored", "SELECT group_id, tp, fp, fn, tp / (tp + fp + fn + 1e-16) AS iou, 2 * tp / (2 * tp + fp + fn + 1e-16) AS dice FROM conf", "group_id, tp, fp, fn", "iou dice", CONF.replace("FROM scored", "FROM scored WHERE item_id % 3 <> 0")))
+@query("e18_region_metrics", sql("scored", "SELECT group_id, tp, fp, fn, precision, recall, f1, tp / (tp + fp + fn + 1e-16) AS iou, 2 * tp / (2 * tp + fp + fn + 1e-16) AS dice FROM prf", "group_id, tp, fp, fn", "precision recall f1 iou dice", PRF.replace("FROM scored", "FROM scored WHERE item_id % 3 <> 0")))
 def _(s, d):
-    return E.region_metrics(A.scored(s, d), F.col("item_id") % 3 != 0, 0.05).select("group_id", "tp", "fp", "fn", "iou", "dice")
+    return E.region_metrics(A.scored(s, d), F.col("item_id") % 3 != 0, 0.05)
 
 
 @query("e19_propagate_nearest", sql("cloud3", "SELECT cloud_id, src AS point_id, t_seg_id AS seg_id FROM near", "cloud_id, point_id, seg_id", "", "far AS (SELECT * FROM cloud3 WHERE y > 0.1), " + near_sql("cloud3", "far", 1)))
@@ -1010,9 +1049,10 @@ def _(s, d):
     return E.centreline_dice(v.withColumn("value", F.col("value") / 120000), v.withColumn("value", (F.col("value") >= 50000).cast("double")), i, 1)
 
 
-@query("e29_mask_diagonal", sql("edges", "SELECT group_id, count(*) AS n, count(*) FILTER (src <> dst) AS kept FROM se GROUP BY 1", "group_id, kept", "", SE))
+@query("e29_mask_diagonal", sql("edges", "SELECT 'drop' AS mode, group_id, src, dst, score, target FROM se WHERE src <> dst UNION ALL SELECT 'force', group_id, src, dst, CASE WHEN src = dst THEN 1 ELSE score END, CASE WHEN src = dst THEN 1 ELSE target END FROM se", "mode, group_id, src, dst, target", "score", SE))
 def _(s, d):
-    return E.mask_diagonal(scored_edges(s, d)).groupBy("group_id").agg(F.count(F.lit(1)).alias("kept"))
+    e = scored_edges(s, d)
+    return E.mask_diagonal(e).withColumn("mode", F.lit("drop")).unionByName(E.mask_diagonal(e, "force").withColumn("mode", F.lit("force")))
 
 
 def queries() -> dict[str, Query]:

@@ -187,3 +187,36 @@ def test_graph_of_rings(spark):
     ring = line(spark, [(0, 0, 0, 0), (0, 3, 0, 0), (0, 3, 3, 0), (0, 0, 3, 0), (1, 50, 0, 0)])
     e = {(r["src"], r["dst"]) for r in graph.chain_edges(ring).collect()}
     assert (3, 0) in e and (0, 3) in e and (4, 4) in e and not any(4 in p and p != (4, 4) for p in e)
+
+
+def test_random_patches(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", i, *map(float, rng.normal(size=3))) for i in range(600)] + [("b", i, float(i), 0.0, 0.0) for i in range(30)]
+    points = spark.createDataFrame(rows, "cloud_id string, point_id long, x double, y double, z double")
+    got = cloud.random_patches(points, 50, 4).toPandas()
+    sizes = got.groupby(["cloud_id", "patch_id"]).size()
+    assert len(sizes) == 8 and sizes.loc["a"].between(25, 50).all() and (sizes.loc["b"] == 30).all()
+
+
+def test_labelled_sets(spark):
+    pts = line(spark, [(i // 10, i % 10, 50 * (i // 10), 0) for i in range(40)])
+    sets = {k: graph.load_labelled_dataset(pts, k, max_points=500) for k in graph.KINDS}
+    assert sets["filament"]["edges"].count() == 4 * (10 + 18) and sets["filament"]["patches"].select("patch_id").distinct().count() == 1
+    assert sets["part"]["edges"].groupBy("src").count().agg(F.max("count"), F.min("count")).first()[:] == (6, 6)
+
+
+def test_coverage_by_threshold(spark):
+    truth = line(spark, [(i // 8, i % 8, 9 * (i // 8), 0) for i in range(16)])
+    edges = [("c", 0, a, b, p) for i in range(15) if i != 7 for p in [0.95 if i < 7 else 0.6] for a, b in ((i, i + 1), (i + 1, i))]
+    got = metrics.coverage_by_threshold(spark.createDataFrame(edges, "cloud_id string, patch_id int, src long, dst long, prob double"), truth, (0.5, 0.9, 0.99)).collect()
+    assert {(r["threshold"], r["mcov"]) for r in got} == {(0.5, 1.0), (0.9, 0.5), (0.99, 0.0)}
+
+
+def test_numbers_over_ranges(spark):
+    from spatialseg.operators.project import dense_ids
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(v)) for k, v in zip(rng.integers(0, 3, 5000), rng.integers(0, 2000, 5000))]
+    got = dense_ids(spark.createDataFrame([(k, v, v) for k, v in rows], "cloud_id int, was long, seg_id long"), ["cloud_id"], "seg_id").distinct().collect()
+    want = {k: {v: i for i, v in enumerate(sorted({y for x, y in rows if x == k}))} for k in range(3)}
+    assert all(r["seg_id"] == want[r["cloud_id"]][r["was"]] for r in got) and len(got) == sum(map(len, want.values()))
