@@ -12,6 +12,7 @@ from spatialseg import runtime
 from spatialseg.functions.geometry import AXES
 from spatialseg.operators.knn import knn
 from spatialseg.operators.project import dense_ids
+from spatialseg.operators.quantiles import group_quantiles
 
 
 def foreground_points(voxels: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def scale_cloud(points: DataFrame, px: float, factor: float = 1.0) -> DataFrame:
 
 def median_nn_distance(points: DataFrame) -> DataFrame:
     near = knn(points, points, 1, exclude_self=True)
-    return near.groupBy("cloud_id").agg(F.percentile("dist", F.lit(0.5)).alias("median_nn"))
+    return group_quantiles(near, ["cloud_id"], "dist", [0.5], "_q").select("cloud_id", F.col("_q")[0].alias("median_nn"))
 
 
 def labels_from_color(points: DataFrame) -> DataFrame:

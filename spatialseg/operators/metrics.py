@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg.operators.graph import cut_graph
+from spatialseg.operators.quantiles import group_quantiles
 from spatialseg.operators.tiles import soft_skeleton
 
 EPS = 1e-16
@@ -79,15 +80,16 @@ def soft_prf(scored: DataFrame) -> DataFrame:
     return s.select("group_id", (1 - (one + zero) / 2).alias("loss"))
 
 
-def ranked_sums(scored: DataFrame, parts: int = 256) -> DataFrame:
+def ranked_sums(scored: DataFrame, parts: int = 64) -> DataFrame:
     """(group_id, score, tp, fp, positives, negatives): cumulative counts down the distinct scores.
 
-    Equal scores are collapsed first; score bins split a group, so that a window
-    holds a bin and another one the bins' totals.
+    Equal scores are collapsed first; bins of about equally many scores, their edges
+    from a sketch, split a group, so that a window holds a bin and another one the
+    bins' totals. Sums do not depend on where the edges lie.
     """
     by = scored.groupBy("group_id", "score").agg(F.sum((T() == 1).cast("long")).alias("_p"), F.sum((T() != 1).cast("long")).alias("_q"))
-    ends = by.groupBy("group_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"))
-    b = by.join(ends, "group_id").withColumn("_bin", F.coalesce(F.floor((P() - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * (parts - 1)), F.lit(0)))
+    ends = by.groupBy("group_id").agg(F.percentile_approx("score", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 1000).alias("_cuts"), F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"))
+    b = by.join(ends, "group_id").withColumn("_bin", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= P())), F.lit(0))).drop("_cuts")
     totals = b.groupBy("group_id", "_bin").agg(F.sum("_p").alias("_tp"), F.sum("_q").alias("_tq"))
     above = Window.partitionBy("group_id").orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("group_id", "_bin", F.coalesce(F.sum("_tp").over(above), F.lit(0)).alias("_op"), F.coalesce(F.sum("_tq").over(above), F.lit(0)).alias("_oq"))
@@ -201,8 +203,8 @@ def region_metrics(scored: DataFrame, region: Column, t: float = 0.5) -> DataFra
 def quantile_bins(values: DataFrame, n: int = 5, top_pct: float = 1.0) -> DataFrame:
     """Rows of positive value with their bin (equal counts, the last closed), and again as bin ``top`` where they reach the upper tail."""
     pos = values.where("value > 0")
-    edges = pos.groupBy("group_id").agg(F.percentile("value", F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_e"), F.percentile("value", F.lit(1 - top_pct / 100)).alias("_t"))
-    j = pos.join(edges, "group_id")
+    edges = group_quantiles(pos, ["group_id"], "value", [*[i / n for i in range(1, n)], 1 - top_pct / 100], "_q")
+    j = pos.join(edges.select("group_id", F.slice("_q", 1, n - 1).alias("_e"), F.element_at("_q", n).alias("_t")), "group_id")
     bins = j.withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col("value"))).cast("string"))
     top = j.where(F.col("value") >= F.col("_t")).withColumn("bin", F.lit("top"))
     return bins.unionByName(top).select(*values.columns, "bin")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg.operators.project import per_image
+from spatialseg.operators.quantiles import group_quantiles
 
 
 def V() -> Column:  # noqa: N802
@@ -31,9 +32,9 @@ def norm_meanstd(voxels: DataFrame) -> DataFrame:
 
 def norm_percentile(voxels: DataFrame, lo: float = 1, hi: float = 99, exact: bool = True) -> DataFrame:
     """Clipped to percentiles and stretched: to [0, 1] if the lower bound is not negative, else to [-1, 1]."""
-    at = F.array(F.lit(lo / 100), F.lit(hi / 100))
-    both = F.percentile("value", at) if exact else F.percentile_approx("value", at, 100_000)
-    j = per_image(voxels, _p=both).withColumns({"_lo": F.col("_p")[0], "_hi": F.col("_p")[1]})
+    at = [lo / 100, hi / 100]
+    both = per_image(voxels, _p=F.percentile_approx("value", F.array(*map(F.lit, at)), 100_000)) if not exact else voxels.join(group_quantiles(voxels, ["image_id"], "value", at, "_p"), "image_id", "left")
+    j = both.withColumns({"_lo": F.col("_p")[0], "_hi": F.col("_p")[1]})
     unit = (F.greatest(F.least(V(), F.col("_hi")), F.col("_lo")) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     return j.withColumn("value", F.when(F.col("_lo") >= 0, unit).otherwise(2 * unit - 1)).select(voxels.columns)
 

@@ -220,3 +220,32 @@ def test_numbers_over_ranges(spark):
     got = dense_ids(spark.createDataFrame([(k, v, v) for k, v in rows], "cloud_id int, was long, seg_id long"), ["cloud_id"], "seg_id").distinct().collect()
     want = {k: {v: i for i, v in enumerate(sorted({y for x, y in rows if x == k}))} for k in range(3)}
     assert all(r["seg_id"] == want[r["cloud_id"]][r["was"]] for r in got) and len(got) == sum(map(len, want.values()))
+
+
+def test_group_quantiles(spark):
+    from spatialseg.operators.quantiles import group_quantiles
+
+    rng = np.random.default_rng(5)
+    at = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    groups = {"normal": rng.normal(size=3000), "ties": np.r_[np.zeros(2000), rng.exponential(size=500), -np.ones(3)], "skew": np.exp(rng.normal(0, 20, 2000)), "constant": np.full(900, 0.1), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([7.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(8)
+    for accuracy in (50, 400, 10_000):
+        got = {r["g"]: r["q"] for r in group_quantiles(df, ["g"], "v", at, "q", accuracy).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, at), rtol=1e-9, atol=1e-12), (g, accuracy)
+    assert group_quantiles(df.limit(0), ["g"], "v", at, "q").count() == 0
+
+
+def test_ranked_metrics_of_skewed_scores(spark):
+    rng = np.random.default_rng(6)
+    score = np.r_[rng.random(2000) ** 9, np.full(700, 0.5), 1e6]
+    target = (rng.random(len(score)) < 0.4).astype(int)
+    scored = spark.createDataFrame([("a", i, float(s), int(t)) for i, (s, t) in enumerate(zip(score, target))], "group_id string, item_id long, score double, target int")
+    tp = np.array([target[score >= s].sum() for s in score])
+    n = np.array([(score >= s).sum() for s in score])
+    assert math.isclose(metrics.average_precision(scored).first()["ap"], (target * tp / n).sum() / target.sum(), rel_tol=1e-9)
+    up, down = score[target == 1], score[target == 0]
+    auc = ((up[:, None] > down).mean() + (up[:, None] == down).mean() / 2).item()
+    assert math.isclose(metrics.roc_auc(scored).first()["auc"], auc, rel_tol=1e-9)
