@@ -643,7 +643,9 @@ def _(s, d):
         ids = pdf.sort_values("point_id")["point_id"].to_numpy()
         return pd.DataFrame({"src": ids[:-1], "dst": ids[1:], "prob": 0.9})
 
-    return G.score_patches(A.cloud3(s, d).select("cloud_id", F.col("seg_id").cast("int").alias("patch_id"), "point_id", "x", "y", "z"), chain)
+    pts = A.cloud3(s, d)
+    patches = C.build_patches(pts, 500)
+    return G.score_patches(patches.join(pts.select("cloud_id", "point_id", "x", "y", "z"), ["cloud_id", "point_id"]), chain)
 
 
 # 2.8 filaments -----------------------------------------------------------------------------

@@ -249,3 +249,95 @@ def test_ranked_metrics_of_skewed_scores(spark):
     up, down = score[target == 1], score[target == 0]
     auc = ((up[:, None] > down).mean() + (up[:, None] == down).mean() / 2).item()
     assert math.isclose(metrics.roc_auc(scored).first()["auc"], auc, rel_tol=1e-9)
+
+
+def test_resample_by_arc_length(spark):
+    pts = line(spark, [(1, 0, 0, 0), (1, 1, 0, 0), (1, 2, 0, 0), (2, 0, 0, 0), (2, 3, 0, 0), (2, 3, 4, 0), (3, 9, 9, 9)])
+    got = {}
+    for r in filament.resample(pts, 0.5).orderBy("seg_id", "ord").collect():
+        got.setdefault(r["seg_id"], []).append((r["x"], r["y"], r["z"]))
+    assert np.allclose(got[1], [(k / 2, 0, 0) for k in range(len(got[1]))]) and len(got[1]) > 3
+    bent = np.array(got[2])
+    assert np.allclose(bent[:6], [(k / 2, 0, 0) for k in range(6)]) and np.allclose(bent[6:], [(3, k / 2, 0) for k in range(len(bent) - 6)]) and len(bent) >= 14
+    assert got[3] == [(9.0, 9.0, 9.0)]
+
+
+def image_rows(a):
+    return [("i", *map(int, at), float(v)) for at, v in np.ndenumerate(a)]
+
+
+def shifted(a, offsets, worst, best):
+    padded = np.pad(a, 1, constant_values=worst)
+    z, y, x = a.shape
+    return best([padded[1 + o[0] : 1 + o[0] + z, 1 + o[1] : 1 + o[1] + y, 1 + o[2] : 1 + o[2] + x] for o in offsets])
+
+
+def soft_skeleton_of(a, iters):
+    cross = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    box = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    erode = lambda x: shifted(x, cross, np.inf, lambda p: np.min(p, axis=0))
+    rest = lambda x: np.maximum(x - shifted(erode(x), box, -np.inf, lambda p: np.max(p, axis=0)), 0)
+    s = rest(a)
+    for _ in range(iters):
+        a = erode(a)
+        d = rest(a)
+        s = s + np.maximum(d - s * d, 0)
+    return s
+
+
+def test_soft_skeleton_and_centreline_dice(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.random((3, 6, 7)), (rng.random((3, 6, 7)) > 0.4).astype(float)
+    frame = spark.createDataFrame([("i", 3, 6, 7)], "image_id string, nz int, ny int, nx int")
+    va, vb = (spark.createDataFrame(image_rows(m), "image_id string, z int, y int, x int, value double") for m in (a, b))
+    got = np.zeros(a.shape)
+    for r in tiles.soft_skeleton(va, frame, 2).collect():
+        got[r["z"], r["y"], r["x"]] = r["value"]
+    sa, sb = soft_skeleton_of(a, 2), soft_skeleton_of(b, 2)
+    assert np.allclose(got, sa)
+    p, s = ((sa * b).sum() + 1) / (sa.sum() + 1), ((sb * a).sum() + 1) / (sb.sum() + 1)
+    assert math.isclose(metrics.centreline_dice(va, vb, frame, 2).first()["cldice"], 1 - 2 * p * s / (p + s), rel_tol=1e-9)
+
+
+def test_intensity_along_a_line(spark):
+    a = np.arange(2 * 5 * 6, dtype=float).reshape(2, 5, 6)
+    v = spark.createDataFrame(image_rows(a), "image_id string, z int, y int, x int, value double").withColumn("image_id", F.lit("c"))
+    r = filament.intensity_along(line(spark, [(1, 0, 2, 1), (1, 4, 2, 1)]), v).first()
+    under = a[1, 2, :5]
+    assert (r["mean_intensity"], r["sum_intensity"]) == (under.mean(), under.sum())
+    assert (r["mean_intensity_per_length"], r["sum_intensity_per_length"]) == (under.mean() / 4, under.sum() / 4)
+
+
+def test_thin_order_smooth(spark):
+    rng = np.random.default_rng(8)
+    along = rng.permutation(60)
+    pts = line(spark, [(1, x, 0, 0) for x in along] + [(2, 500 + i / 10, 0, 0) for i in range(5)])
+    got = filament.thin_order_smooth(pts, 5.0).orderBy("ord").collect()
+    assert {r["seg_id"] for r in got} == {1} and len(got) == 12  # one medoid a cell; segment 2 has one and goes
+    x = np.array([r["x"] for r in got])
+    assert (np.diff(x) > 0).all() or (np.diff(x) < 0).all()
+
+
+def test_near_segments_become_one(spark):
+    pts = line(spark, [(1, x, 0, 0) for x in range(0, 50, 5)] + [(2, x, 0, 0) for x in range(60, 110, 5)] + [(3, x, 900, 0) for x in range(0, 50, 5)])
+    got = {(r["seg_id"], tuple(sorted({p["x"] < 55 for p in r["p"]})), len(r["p"])) for r in filament.connect_near_segments(pts, 40.0, 20.0).groupBy("seg_id").agg(F.collect_list(F.struct("x", "y")).alias("p")).collect()}
+    assert sorted((sides, n) for _, sides, n in got) == [((False, True), 20), ((True,), 10)]
+
+
+def test_scored_patches(spark):
+    pts = spark.createDataFrame([("a", p, i, float(i), 0.0, 0.0) for p in (0, 1) for i in range(4)], "cloud_id string, patch_id int, point_id long, x double, y double, z double")
+    chain = lambda pdf: pd.DataFrame({"src": pdf["point_id"], "dst": np.roll(pdf["point_id"], 1), "prob": 0.25})
+    got = graph.score_patches(pts, chain).collect()
+    assert len(got) == 8 and {r["prob"] for r in got} == {0.25} and {r["patch_id"] for r in got} == {0, 1}
+    kernel = {(r["src"], r["dst"]): r["prob"] for r in graph.score_patches(pts.where("patch_id = 0"), sigma=2.0).collect()}
+    assert len(kernel) == 16 and all(math.isclose(p, math.exp(-((a - b) ** 2) / 8)) for (a, b), p in kernel.items())
+
+
+def test_split_of_tiles(spark):
+    many = spark.range(5000).select(F.lit("i").alias("image_id"), *[F.expr(e).cast("int").alias(c) for c, e in (("tz", "id div 100"), ("ty", "id % 10"), ("tx", "(id div 10) % 10"))])
+    got = cloud.train_test_split(many)
+    share = got.where("split = 'test'").count() / 5000
+    assert got.count() == 5000 and 0.02 < share < 0.06
+    few = many.where("tz < 9").withColumn("image_id", F.concat(F.lit("i"), F.col("tz")))
+    by = {r["image_id"]: r["n"] for r in cloud.train_test_split(few).groupBy("image_id").agg(F.count_if(F.col("split") == "test").alias("n")).collect()}
+    assert len(by) == 9 and set(by.values()) <= {0, 4}
