@@ -341,3 +341,32 @@ def test_split_of_tiles(spark):
     few = many.where("tz < 9").withColumn("image_id", F.concat(F.lit("i"), F.col("tz")))
     by = {r["image_id"]: r["n"] for r in cloud.train_test_split(few).groupBy("image_id").agg(F.count_if(F.col("split") == "test").alias("n")).collect()}
     assert len(by) == 9 and set(by.values()) <= {0, 4}
+
+
+def test_random_flip_turns_one_axis(spark):
+    from spatialseg.operators import project
+
+    a = np.arange(2 * 3 * 4, dtype=float).reshape(2, 3, 4)
+    names = [f"i{n}" for n in range(30)]
+    v = spark.createDataFrame([(n, *r[1:]) for n in names for r in image_rows(a)], "image_id string, z int, y int, x int, value double")
+    frame = spark.createDataFrame([(n, *a.shape) for n in names], "image_id string, nz int, ny int, nx int")
+    flips = {axis: np.flip(a, axis) for axis in range(3)}
+    got, again = ({n: np.zeros(a.shape) for n in names} for _ in range(2))
+    for out in (got, again):
+        for r in project.random_flip(v, frame).collect():
+            out[r["image_id"]][r["z"], r["y"], r["x"]] = r["value"]
+    axes = [next(k for k, f in flips.items() if (got[n] == f).all()) for n in names]
+    assert set(axes) == {0, 1, 2} and all((got[n] == again[n]).all() for n in names)
+
+
+def test_filament_classes(spark):
+    # a box-shaped surface near pole 0; pole 1 lies far along x
+    mesh = spark.createDataFrame([("c", i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate((x, y, z) for x in (0, 20) for y in (0, 20) for z in (0, 20))], "cloud_id string, point_id long, x double, y double, z double")
+    poles = spark.createDataFrame([("c", 0, 10.0, 10.0, 10.0), ("c", 1, 1000.0, 10.0, 10.0)], "cloud_id string, pole_id int, x double, y double, z double")
+    ends = {1: ((1, 1, 1), (19, 19, 19)), 2: ((-2, 0, 0), (-300, 0, 0)), 3: ((-40, 0, 0), (-300, 0, 0)), 4: ((300, 0, 0), (900, 0, 0)), 5: ((600, 0, 0), (900, 0, 0)), 6: ((10, 10, 75), (1000, 10, 60))}
+    pts = line(spark, [(k, *p) for k, two in ends.items() for p in two])
+    got = {r["seg_id"]: r["group"] for r in classify.classify_filaments(pts, mesh, poles, 5.0, 60.0).collect()}
+    want = {1: "attached_0_inside", 2: "attached_0_outside", 3: "mid", 4: "interdigitating", 5: "remaining", 6: "mid"}
+    assert got == want
+    near = spark.createDataFrame([("c", 0, 290.0, 0.0, 0.0), ("c", 1, 910.0, 0.0, 0.0)], poles.schema)
+    assert classify.classify_filaments(pts.where("seg_id = 4"), mesh, near, 5.0, 60.0).first()["group"] == "bridging"
