@@ -1,8 +1,11 @@
 """Exact nearest neighbours on a grid: equi-joins on cell keys, no tree and no cross join.
 
-A query meets the targets of its own and the adjoining cells; it is finished when
-it has ``k`` hits and the last is no farther than one cell. The others go round
-again with doubled cells, until the cells cover the cloud.
+Cells are split where targets are crowded, so that dense spots of a cloud have
+small cells and one far point does not make large ones. A query meets the targets
+of its own and the adjoining cells, all of its own cell's size; it is finished
+when it has ``k`` hits and the last is no farther than one cell. The others go
+round again with doubled cells (from the fourth time on four times as wide),
+until the cells cover the cloud.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg.functions.geometry import AXES, distance
-from spatialseg.runtime import cut
+from spatialseg.runtime import cut, shuffle_width
 
 
 def cell_of(size: Column, shift: int = 0) -> list[Column]:
@@ -40,6 +43,52 @@ def band_pairs(a: DataFrame, b: DataFrame, dist: float, keys: list[str], a_cols:
     return left.join(right, [*keys, *GRID]).drop(*GRID).withColumn("dist", distance("a_", "b_")).where(F.col("dist") <= dist)
 
 
+def grid_at(cell: Column, prefix: str = "") -> dict[str, Column]:
+    return {f"_g{c}": F.floor(F.col(f"{prefix}{c}") / cell) for c in AXES}
+
+
+def side() -> Column:
+    """The side of a cell of a row's level; cells of a level are halves of those of the level before."""
+    return F.col("_size") * F.pow(F.lit(2.0), -F.col("_level"))
+
+
+#: Cells with more than CROWDED times k + 1 targets are split, down to level DEEPEST.
+CROWDED, DEEPEST = 8, 30
+
+
+def crowded_cells(targets: DataFrame, frame: DataFrame, k: int, keys: list[str]) -> list[DataFrame]:
+    """(keys, level, cell, next level, place) of crowded cells, one table for each round of splitting; a cell whose targets share one place has no next level.
+
+    The next level is where cells would hold about ``k + 1`` targets if they lay
+    on a surface. A round counts the targets of crowded cells only.
+    """
+    at = [*keys, "_level", *GRID]
+    steps: list[DataFrame] = []
+    points = targets.select(*keys, *AXES).join(frame.select(*keys, "_size"), keys).withColumn("_level", F.lit(0))
+    while True:
+        points = points.withColumns(grid_at(side()))
+        ends = [f(c).alias(f"_{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+        full = points.groupBy(*at, "_size").agg(F.count(F.lit(1)).alias("_n"), *ends).where((F.col("_n") > CROWDED * (k + 1)) & (F.col("_level") < DEEPEST))
+        width = F.greatest(*[F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in AXES])
+        deeper = F.ceil(F.log2(side()) - F.log2(width * F.sqrt((k + 1) / F.col("_n"))))
+        level = F.when(width > 0, F.least(F.lit(DEEPEST), F.col("_level") + F.greatest(F.lit(1), deeper)).cast("int"))
+        step = cut(full.select(*at, level.alias("_next"), *[F.col(f"_lo{c}").alias(c) for c in AXES]), "crowded")
+        if step.isEmpty():
+            return steps
+        steps.append(step)
+        points = cut(points.join(step.where("_next is not null").select(*at, "_next"), at).select(*keys, *AXES, "_size", F.col("_next").alias("_level")), "points")
+
+
+def first_of_piles(targets: DataFrame, steps: list[DataFrame], k: int, keys: list[str]) -> DataFrame:
+    """Of crowded targets at one place only the ``k + 1`` smallest ids: no answer holds more of them."""
+    place = [*keys, *AXES]
+    piles = reduce(DataFrame.unionByName, [s.where("_next is null").select(*place) for s in steps])
+    few = targets.join(piles, place, "left_semi").withColumn("_salt", F.pmod(F.xxhash64("point_id"), F.lit(shuffle_width(targets.sparkSession))))
+    for by in ([*place, "_salt"], place):
+        few = few.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("point_id"))).where(F.col("_nth") <= k + 1)
+    return targets.join(piles, place, "left_anti").unionByName(few.drop("_salt", "_nth"))
+
+
 def knn(queries: DataFrame, targets: DataFrame, k: int, keys: list[str] | None = None, carry: list[str] | None = None, exclude_self: bool = False) -> DataFrame:
     """(keys, src, dst, dist, rank, carried columns of the target as t_): the k nearest targets of each query, ties to the smaller id."""
     keys = keys or ["cloud_id"]
@@ -53,26 +102,32 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, keys: list[str] | None =
     volume = reduce(lambda v, w: v * F.when(w > widest / 1000, w).otherwise(1.0), widths, F.lit(1.0))
     size = F.when(widest > 0, F.pow(volume * (k + 1) / F.col("_n"), 1 / F.greatest(flat, F.lit(1)))).otherwise(1.0)
     frame = cut(both.join(count, keys).select(*keys, size.alias("_size"), (widest + 1e-9).alias("_all")), "frame")
-    open_ = queries.select(*keys, F.col("point_id").alias("src"), *AXES)
+    open_ = queries.select(*keys, F.col("point_id").alias("src"), *AXES).join(frame, keys).withColumn("_level", F.lit(0))
+    steps = crowded_cells(targets, frame, k, keys)
+    for step in steps:
+        split = step.where("_next is not null").select(*keys, "_level", *GRID, "_next")
+        open_ = open_.withColumns(grid_at(side())).join(split, [*keys, "_level", *GRID], "left").withColumn("_level", F.coalesce("_next", "_level")).drop("_next", *GRID)
+    if steps:
+        targets, open_ = first_of_piles(targets, steps, k, keys), cut(open_, "levels")
     right = targets.select(*keys, F.col("point_id").alias("dst"), *[F.col(c).alias(f"t_{c}") for c in AXES], *[F.col(c).alias(f"t_{c}") for c in carry if c not in AXES])
     done: list[DataFrame] = []
     best = Window.partitionBy(*keys, "src").orderBy("dist", "dst")
-    factor = 1.0
+    whole = Window.partitionBy(*keys, "src")
+    coarser = 0
     while True:
-        f = frame.withColumn("_cell", F.col("_size") * factor)
-        q = near_cells(open_.join(f, keys), F.col("_cell"))
-        t = right.join(f.select(*keys, "_cell"), keys).withColumns({f"_g{c}": F.floor(F.col(f"t_{c}") / F.col("_cell")) for c in AXES}).drop("_cell")
-        met = q.join(t, [*keys, *GRID]).withColumn("dist", F.sqrt(sum(((F.col(c) - F.col(f"t_{c}")) * (F.col(c) - F.col(f"t_{c}")) for c in AXES), F.lit(0.0))))
+        levels = open_.select(*keys, "_size", "_level").distinct()
+        q = near_cells(open_.withColumn("_cell", side()), F.col("_cell")).drop("_size")
+        t = right.join(levels, keys).withColumns(grid_at(side(), "t_")).drop("_size")
+        met = q.join(t, [*keys, "_level", *GRID]).withColumn("dist", F.sqrt(sum(((F.col(c) - F.col(f"t_{c}")) * (F.col(c) - F.col(f"t_{c}")) for c in AXES), F.lit(0.0))))
         if exclude_self:
             met = met.where("src <> dst")
         top = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        whole = Window.partitionBy(*keys, "src")
         top = top.withColumns({"_k": F.count(F.lit(1)).over(whole), "_far": F.max("dist").over(whole)})
         fine = (F.col("_k") == k) & (F.col("_far") <= F.col("_cell")) | (F.col("_cell") >= F.col("_all"))
         ready = cut(top.where(fine).select(*keys, "src", "dst", "dist", "rank", *[f"t_{c}" for c in {*AXES, *carry}]), "knn")
         done.append(ready)
-        covered = frame.where(F.col("_size") * factor >= F.col("_all")).select(*keys)
-        open_ = cut(open_.join(ready.select(*keys, "src").distinct(), [*keys, "src"], "left_anti").join(covered, keys, "left_anti").join(frame.select(*keys), keys, "left_semi"), "open")
+        left = open_.where(side() < F.col("_all")).join(ready.select(*keys, "src").distinct(), [*keys, "src"], "left_anti")
+        coarser += 1
+        open_ = cut(left.withColumn("_level", F.col("_level") - (1 if coarser < 4 else 2)), "open")
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        factor *= 2

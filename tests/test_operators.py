@@ -122,6 +122,25 @@ def test_knn_against_brute_force(spark):
     assert got == {i: [int(j) for j in np.lexsort((np.arange(len(x)), d[i]))[:4]] for i in range(len(x))}
 
 
+
+@pytest.mark.parametrize("self_too", [True, False])
+def test_knn_of_uneven_clouds(spark, self_too):
+    """A dense line, a far outlier, a pile of points at one place and a null coordinate; cells are split and no answer changes."""
+    rng = np.random.default_rng(5)
+    at = np.concatenate([np.c_[np.linspace(0, 1, 400), np.zeros((400, 2))], rng.normal(3, 1e-4, (300, 3)), np.full((150, 3), 2.0), [[1e6, 1e6, 1e6], [-5e5, 0, 0]]])
+    rows = [("c", i, 0, *map(float, p)) for i, p in enumerate(at)]
+    p = spark.createDataFrame([*rows, ("c", 9999, 0, None, 0.0, 0.0), ("one", 0, 0, 1.0, 1.0, 1.0)], "cloud_id string, point_id long, seg_id long, x double, y double, z double")
+    got = {}
+    for r in knn(p, p, 4, exclude_self=not self_too).orderBy("src", "rank").where("cloud_id = 'c'").collect():
+        got.setdefault(r["src"], []).append(r["dst"])
+    for i in range(len(at)):
+        d = np.sqrt(((at - at[i]) ** 2).sum(axis=1))
+        want = [j for j in np.lexsort((np.arange(len(at)), d)) if self_too or j != i][:4]
+        assert np.allclose(d[got[i]], d[want], rtol=1e-12, atol=0) and len(got[i]) == 4
+        if 700 <= i < 850:
+            assert got[i] == want
+
+
 def test_patches(spark):
     p = entry.catalogue.A.points(spark, SF)
     b = cloud.build_patches(p, 60)
