@@ -7,14 +7,17 @@ are verified with their exact inner product. The search of a block ends when it
 has enough verified vectors within the radius that the windows stand for.
 
 Vectors are set on a sphere by one more coordinate, so the largest inner product
-is the nearest point. Queries come in blocks of bounded size, each block against
-every vector; a block of vectors gives its best ``k`` for each query, and these
-are merged. Copies of a vector inside a block share one entry, of which the
+is the nearest point. Queries come in sets of bounded size, each set against every
+vector. A task keeps the best ``k`` of each query over its blocks, so later blocks
+stop widening at the radius of the worst of them; the tasks' answers are merged.
+Copies of a vector inside a block share one entry, of which the
 smallest ids are kept, as many as any answer can hold.
 
 Edge cases: null, zero and non-finite vectors and null ids take no part; vectors
 are compared with those of their own length only; a query is never its own
-neighbour, but its copies are; fewer candidates than ``k`` are all returned; an
+neighbour, but its copies are; a row that repeats both id and vector counts once,
+and of an id with several vectors the smallest vector is the query, all are
+candidates; fewer candidates than ``k`` are all returned; an
 empty table gives an empty result.
 """
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from spatialseg.runtime import cut
 
 PROJECTIONS, WIDTH, SLACK, START, STEP = 64, 1.45, 1.2, 0.4, 1.25
-BLOCK, QUERIES_AT_ONCE = 16_384, 4096
+BLOCK, QUERY_BYTES = 16_384, 32 << 20
 P_NEAR = 0.853  # chance that a vector at the radius falls into one window of WIDTH standard deviations
 
 
@@ -43,6 +46,9 @@ class Block:
         distinct, first = np.unique(x[order], axis=0, return_inverse=True)
         first = first.reshape(-1)
         by = np.argsort(first, kind="stable")
+        again = np.zeros(len(by), bool)
+        again[1:] = (first[by][1:] == first[by][:-1]) & (ids[order][by][1:] == ids[order][by][:-1])
+        by = by[~again]  # a repeated row counts once
         starts = np.searchsorted(first[by], np.arange(len(distinct)))
         place = np.arange(len(by)) - starts[first[by]]
         few = place <= k  # the k smallest ids of a vector, and one for the query itself
@@ -62,8 +68,8 @@ class Block:
         self.sorted = (np.take_along_axis(proj, self.order, axis=1) + self.lane[:, None]).ravel()
         self.order = self.order.ravel()
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the nearest found."""
+    def search(self, q: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the nearest found; those below ``bar`` are of no interest."""
         n, m = len(self.x), PROJECTIONS
         at = (np.append(q, 0.0) / np.linalg.norm(q)) @ self.axes
         need = m * (P_NEAR - SLACK * np.sqrt(P_NEAR * (1 - P_NEAR) / m))
@@ -83,14 +89,14 @@ class Block:
             new = np.flatnonzero((count >= need) & np.isneginf(score)) if radius < 2.1 else np.flatnonzero(np.isneginf(score))
             score[new] = (self.x[new] * q).sum(axis=1)  # the same bits wherever a vector lies
             within = score >= scale * (1 - radius * radius / 2)
-            if size[within].sum() > k or radius >= 2.1:
+            if size[within].sum() > k or radius >= 2.1 or scale * (1 - radius * radius / 2) < bar:
                 break
             radius *= STEP
-        seen = np.flatnonzero(~np.isneginf(score))
+        seen = np.flatnonzero(~np.isneginf(score) & (score >= bar))
         if len(seen) > k + 1:
             bar = np.partition(score[seen], -(k + 1))[-(k + 1)]
             seen = seen[score[seen] >= bar]
-        rows = np.concatenate([np.arange(self.copies[i], self.copies[i + 1]) for i in seen])
+        rows = np.concatenate([np.arange(0), *[np.arange(self.copies[i], self.copies[i + 1]) for i in seen]])
         ids, s = self.ids[rows], score[self.copy_of[rows]]
         other = ids != own
         ids, s = ids[other], s[other]
@@ -109,51 +115,68 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def best_of_blocks(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best of each block of ``vectors`` for each of a bounded set of queries, given by length."""
-    spark = vectors.sparkSession
-    sent = spark.sparkContext.broadcast(queries)
-
-    def answer(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        qids, qs = sent.value.get(x.shape[1], (np.zeros(0, np.int64), np.zeros((0, 1))))
-        if not len(qids):
-            return
-        block = Block(ids, x, k)
-        out: list[list] = [[], [], []]
-        for qid, q in zip(qids, qs, strict=True):
-            near, s = block.search(q, qid, k)
-            out[0].append(np.full(len(near), qid))
-            out[1].append(near)
-            out[2].append(s)
-        yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+class Best:
+    """The best ``k`` so far for each of a set of queries, over the blocks of a task."""
+
+    def __init__(self, qids: np.ndarray, qs: np.ndarray, k: int):
+        self.qids, self.qs, self.k = qids, qs, k
+        self.score, self.id = np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), np.int64)
+
+    def add(self, block: Block) -> None:
+        for i, (qid, q) in enumerate(zip(self.qids, self.qs, strict=True)):
+            ids, s = block.search(q, qid, self.k, self.score[i, -1])
+            if len(ids):
+                held = ~np.isneginf(self.score[i])
+                ids, s = np.append(self.id[i, held], ids), np.append(self.score[i, held], s)
+                order = np.lexsort((ids, -s))
+                ids, s = ids[order], s[order]
+                new = np.append(True, (ids[1:] != ids[:-1]) | (s[1:] != s[:-1]))
+                n = min(self.k, new.sum())
+                self.id[i, :n], self.score[i, :n] = ids[new][:n], s[new][:n]
+
+    def rows(self) -> pa.RecordBatch:
+        held = ~np.isneginf(self.score)
+        columns = [np.repeat(self.qids, held.sum(axis=1)), self.id[held], self.score[held]]
+        return pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def best_of_tasks(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each partition of ``vectors`` for each of a bounded set of queries, given by length."""
+    sent = vectors.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {d: Best(*of, k) for d, of in sent.value.items()}
         waiting: dict[int, list] = {}
         for b in batches:
             lengths = b.column("v").value_lengths().to_numpy()
-            for d in np.unique(lengths):
+            for d in {*np.unique(lengths).tolist()} & best.keys():
                 part = b.filter(pa.array(lengths == d))
-                rows = waiting.setdefault(int(d), [0, [], []])
+                rows = waiting.setdefault(d, [0, [], []])
                 rows[0] += part.num_rows
                 rows[1].append(part.column("vid").to_numpy())
-                rows[2].append(matrix(part.column("v"), int(d)))
+                rows[2].append(matrix(part.column("v"), d))
                 if rows[0] >= BLOCK:
-                    del waiting[int(d)]
-                    yield from answer(np.concatenate(rows[1]), np.concatenate(rows[2]))
-        for rows in waiting.values():
-            yield from answer(np.concatenate(rows[1]), np.concatenate(rows[2]))
+                    del waiting[d]
+                    best[d].add(Block(np.concatenate(rows[1]), np.concatenate(rows[2]), k))
+        for d, rows in waiting.items():
+            best[d].add(Block(np.concatenate(rows[1]), np.concatenate(rows[2]), k))
+        yield from (b.rows() for b in best.values())
 
     return vectors.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", at_once: int = QUERIES_AT_ONCE) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that meets ``is_query`` (a condition on ``vid``), its ``k`` nearest of all other rows."""
+def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that meets ``is_query`` (a condition on ``vid``), its ``k`` nearest of all other rows.
+
+    The table is read once for each ``query_bytes`` of queries and their answers.
+    """
     spark = df.sparkSession
     vectors = usable(df, id_col, vec_col)
-    queries = vectors.where(is_query).dropDuplicates(["vid"])
-    blocks = max(1, -(-queries.count() // (at_once // 2)))
+    queries = vectors.where(is_query).groupBy("vid").agg(F.min("v").alias("v"))
+    n = queries.agg(F.sum(F.size("v") * 8 + k * 16)).first()[0] or 0
+    blocks = -(-n // query_bytes)
     done = []
-    for i in range(blocks):  # each block is of bounded size: half of ``at_once`` on average
+    for i in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("vid"), F.lit(blocks)) == i).toArrow()
         by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         v = part.column("v").combine_chunks()
@@ -161,8 +184,10 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
         for d in np.unique(lengths):
             mask = pa.array(lengths == d)
             by_length[int(d)] = (part.column("vid").combine_chunks().filter(mask).to_numpy(), matrix(v.filter(mask), int(d)))
-        found = best_of_blocks(vectors, by_length, k)
+        found = best_of_tasks(vectors, by_length, k)
         done.append(cut(found, "neighbours") if blocks > 1 else found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "query_id long, vec_id long, score double")
-    return merged.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # rows that repeat in other tasks have equal ranks; Spark drops ranks beyond k before the shuffle
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = merged.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
+    return best.dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")

@@ -227,7 +227,7 @@ def test_nearest(spark):
     rows += [(3000, None), (3001, [0.0] * 64), (3002, [float("nan")] + [1.0] * 63), (3003, [None] + [1.0] * 63), (3020, [1.0, 2.0]), (3021, [1.0, 1.0])]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in neighbours.nearest(data, "vid % 20 = 0", at_once=16).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(data.union(data.where("vec_id % 3 = 0")).repartition(3), "vid % 20 = 0", query_bytes=16_000).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     usable = {i: np.array(v, np.float32).astype(float) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
     hits = total = 0
@@ -243,6 +243,21 @@ def test_nearest(spark):
     assert neighbours.nearest(empty(data), "vid % 20 = 0").count() == 0
 
 
+
+def test_nearest_over_blocks():
+    """Recall over several blocks of one task, on 12 000 vectors in loose groups."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 64))[rng.integers(0, 300, 12_000)] + rng.normal(size=(12_000, 64)) * 0.7
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    best = neighbours.Best(np.arange(0, 12_000, 100), x[::100], 20)
+    for i in range(0, 12_000, 3000):
+        best.add(neighbours.Block(np.arange(i, i + 3000), x[i : i + 3000], 20))
+    full = x[::100] @ x.T
+    full[np.arange(120), np.arange(0, 12_000, 100)] = -np.inf
+    want = np.argsort(-full, axis=1)[:, :20]
+    assert np.mean([len({*a} & {*b}) / 20 for a, b in zip(best.id, want, strict=True)]) >= 0.95
+
+
 def test_language(spark, docs, rows):
     held = langid.in_fold(docs.doc_id, 3) == 1
     models = langid.train(docs.where(~held))
