@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spatialseg.runtime import cut
+
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Distinct words that a Python worker keeps the counts of.
 MEMO_WORDS = 200_000
 TEXTS_AT_ONCE = 256
+#: Keys of 8 bytes of repeated texts that are broadcast at most.
+REPEATED_KEYS = 1_000_000
 
 
 def tokenizer_version(path: str) -> str:
@@ -121,6 +125,26 @@ def encode_misses(misses: DataFrame, model_path: str) -> DataFrame:
     return misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
 
 
+def first_of_digest(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("digest").agg(F.first("text").alias("text"))
+
+
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """(digest, text), each digest once.
+
+    Texts that occur once stay where they are read; only those whose short key
+    occurs again are grouped. Where the repeated keys are too many to broadcast,
+    all texts are grouped.
+    """
+    short = F.xxhash64("digest").alias("short")
+    repeated = cut(keyed.groupBy(short).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short"), "repeated")
+    if repeated.limit(REPEATED_KEYS + 1).count() > REPEATED_KEYS:
+        return first_of_digest(keyed)
+    keys, texts = F.broadcast(repeated), keyed.withColumn("short", short)
+    once, again = texts.join(keys, "short", "left_anti"), texts.join(keys, "short", "left_semi")
+    return once.select("digest", "text").unionByName(first_of_digest(again))
+
+
 def token_counts(docs: DataFrame, model_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit. Appends what was missing to the table at ``cache_path``."""
     spark = docs.sparkSession
@@ -135,9 +159,10 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, id_col: str
     keyed = docs.select(content_digest(F.col(text_col)).alias("digest"), text.alias("text"))
     known = cached()
     if not known.isEmpty():
-        missing = keyed.select("digest").distinct().join(known, "digest", "left_anti")
-        keyed = keyed.join(missing, "digest", "left_semi")
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+        keyed = keyed.join(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "digest", "left_semi")
+        misses = first_of_digest(keyed)
+    else:
+        misses = distinct_texts(keyed)
     encode_misses(misses, model_path).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col(text_col)).alias("digest"))

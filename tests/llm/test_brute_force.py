@@ -33,7 +33,7 @@ def empty(df):
     return df.limit(0)
 
 
-def test_token_counts(spark, docs, rows, tmp_path):
+def test_token_counts(spark, docs, rows, tmp_path, monkeypatch):
     import sentencepiece
 
     model = tokenizer_file("piece_bpe_32k.model")
@@ -41,12 +41,17 @@ def test_token_counts(spark, docs, rows, tmp_path):
     want = {i: (len((t or "").encode()), len(sp.encode(t or ""))) for i, t, *_ in rows}
     cache = f"file://{tmp_path}/cache"
     assert token_counts.token_counts(empty(docs), model, cache).count() == 0
-    for _ in range(2):  # the second time all are hits
+    assert token_counts.token_counts(docs.where("doc_id % 2 = 0"), model, cache).count() == sum(i % 2 == 0 for i, *_ in rows)
+    for _ in range(2):  # some are hits, the second time all are
         got = token_counts.token_counts(docs, model, cache).collect()
         assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in got} == want and len(got) == len(rows)
         assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got)
         stored = spark.read.parquet(cache)
         assert stored.count() == len({t or "" for _, t, *_ in rows})
+    keyed = docs.selectExpr("sha2(coalesce(text, ''), 256) as digest", "coalesce(text, '') as text")
+    for most in (1_000_000, 0):  # with and without the broadcast
+        monkeypatch.setattr(token_counts, "REPEATED_KEYS", most)
+        assert sorted(r["text"] for r in token_counts.distinct_texts(keyed.union(keyed)).collect()) == sorted({t or "" for _, t, *_ in rows})
 
 
 @settings(max_examples=60, deadline=None)
