@@ -22,6 +22,9 @@ IMAGE_SUFFIXES = (".mrc", ".rec", ".map", ".tif", ".tiff", ".am")
 #: Voxel types by header mode, and their bytes.
 MODES = {0: ("int8", "i1"), 1: ("int16", "<i2"), 2: ("float32", "<f4"), 6: ("uint16", "<u2"), 12: ("float16", "<f2")}
 HEADER = 1024
+#: What ends the header of a binary spatial graph, and the bytes of its field types.
+DATA_FOLLOWS = b"# Data section follows\n"
+FIELD_TYPES = {"float": "<f4", "int": "<i4", "double": "<f8", "short": "<i2", "byte": "u1"}
 
 
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -83,13 +86,33 @@ def spatial_graph_rows(text: str) -> Iterator[tuple]:
             row += 1
 
 
+def binary_graph_rows(content: bytes) -> Iterator[tuple]:
+    """The rows of ``spatial_graph_rows`` of a little-endian binary spatial graph; each block is as long as the header says, since its bytes may look like a mark."""
+    head, follows, body = content.partition(DATA_FOLLOWS)
+    if not follows:
+        raise ValueError("a binary spatial graph without a data section")
+    text = head.decode("iso-8859-1")
+    rows = {m[1]: int(m[2]) for m in re.finditer(r"^\s*define\s+(\w+)\s+(\d+)", text, re.M)}
+    fields = {m[5]: m for m in re.finditer(r"^\s*(VERTEX|EDGE|POINT)\s*\{\s*(\w+?)(?:\[(\d+)\])?\s+(\w+)\s*\}\s*@(\d+)", text, re.M)}
+    at = 0
+    while mark := re.compile(rb"\s*@(\d+)[^\n]*\n").match(body, at):
+        section, kind, width, name, _ = fields[mark[1].decode()].groups()
+        shape = rows.get(section, 0), int(width or 1)
+        values = np.frombuffer(body, FIELD_TYPES[kind], shape[0] * shape[1], mark.end())
+        at = mark.end() + values.nbytes
+        for row, v in enumerate(values.reshape(shape).astype(float).tolist()):
+            yield section, name, row, v
+
+
 def ingest_spatial_graphs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """sg_vertex, sg_edge, sg_point and sg_label of ASCII spatial-graph files; a point's edge follows from the edges' point counts."""
+    """sg_vertex, sg_edge, sg_point and sg_label of ASCII or little-endian binary spatial-graph files; a point's edge follows from the edges' point counts. A binary file that is cut short is an error."""
 
     def parse(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(p, *r) for r in spatial_graph_rows(bytes(content).decode("utf-8", "replace"))]
+                raw = bytes(content)
+                binary = b"BINARY-LITTLE-ENDIAN" in raw.partition(b"\n")[0]
+                rows = [(p, *r) for r in (binary_graph_rows(raw) if binary else spatial_graph_rows(raw.decode("utf-8", "replace")))]
                 yield pd.DataFrame(rows, columns=["cloud_id", "section", "name", "row", "v"])
 
     rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "cloud_id string, section string, name string, row int, v array<double>")

@@ -174,6 +174,20 @@ def test_files(spark, tmp_path):
     (tmp_path / "g.am").write_text("# AmiraMesh 3D ASCII 2.0\ndefine VERTEX 2\nVERTEX { float[3] VertexCoordinates } @1\nEDGE { int[2] EdgeConnectivity } @2\nEDGE { int NumEdgePoints } @3\nPOINT { float[3] EdgePointCoordinates } @4\n\n@1\n0 0 0\n2 0 0\n\n@2\n0 1\n1 0\n\n@3\n3\n2\n\n@4\n0 0 0\n1 0 0\n2 0 0\n2 0 0\n0 0 0\n")
     g = files.ingest_spatial_graphs(spark, f"{root}/g.am")
     assert g["sg_vertex"].count() == 2 and [tuple(r) for r in g["sg_point"].groupBy("edge_id").count().orderBy("edge_id").collect()] == [(0, 3), (1, 2)]
+    head = "# AmiraMesh BINARY-LITTLE-ENDIAN 3.0\n\ndefine VERTEX 2\ndefine EDGE 2\ndefine POINT 5\n\nVERTEX { float[3] VertexCoordinates } @1\nEDGE { int[2] EdgeConnectivity } @2\nEDGE { int NumEdgePoints } @3\nPOINT { float[3] EdgePointCoordinates } @4\nEDGE { int Pole } @5\n\n# Data section follows\n"
+    at = [0, 0, 0, 1, 0, 0, 2, 0, 0, struct.unpack("<f", b"\n@2\n")[0], 0, 0, 0, 0, 0]
+    blocks = [struct.pack("<6f", 0, 0, 0, 2, 0, 0), struct.pack("<4i", 0, 1, 1, 0), struct.pack("<2i", 3, 2), struct.pack("<15f", *at), struct.pack("<2i", 7, 9)]
+    whole = head.encode() + b"".join(b"@%d\n%s\n" % (i + 1, b) for i, b in enumerate(blocks))
+    (tmp_path / "binary").mkdir()
+    (tmp_path / "binary/g.am").write_bytes(whole)
+    b = files.ingest_spatial_graphs(spark, f"{root}/binary")
+    assert [tuple(r) for r in b["sg_vertex"].select("v_id", "x", "y", "z").orderBy("v_id").collect()] == [(0, 0, 0, 0), (1, 2, 0, 0)]
+    assert [(r["v0"], r["v1"], r["n_points"]) for r in b["sg_edge"].orderBy("edge_id").collect()] == [(0, 1, 3), (1, 0, 2)]
+    assert [(r["edge_id"], r["ord"], r["x"]) for r in b["sg_point"].orderBy("edge_id", "ord").collect()] == [(e, o, x) for (e, o), x in zip([(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)], at[::3], strict=True)]
+    assert [(r["label"], r["value"]) for r in b["sg_label"].orderBy("edge_id").collect()] == [("Pole", 7), ("Pole", 9)]
+    for end in (whole.index(b"@4"), whole.rindex(b"@4") + 20):
+        with pytest.raises(ValueError):
+            list(files.binary_graph_rows(whole[:end]))
     (tmp_path / "v.mrc").write_bytes(struct.pack("<4i", 4, 3, 2, 0) + bytes(24) + struct.pack("<f", 40.0) + bytes(1024 - 44) + bytes(range(24)))
     h = files.scan_volume_headers(spark, f"{root}/v.mrc").first()
     v = files.scan_volume_slabs(spark, f"{root}/v.mrc", 1)
