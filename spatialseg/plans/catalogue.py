@@ -564,9 +564,10 @@ def _(s, d):
     return G.knn_edge_features(A.cloud3(s, d), 6, [0.1, 0.5]).select("cloud_id", "src", "dst", F.col("feat")[0].alias("f0"), F.col("feat")[1].alias("f1"))
 
 
-@query("g4_pairwise_features", sql("cloud3", "SELECT a.cloud_id, a.seg_id AS patch_id, a.point_id AS src, b.point_id AS dst, CASE WHEN a.point_id = b.point_id THEN 1 ELSE exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / (2 * 0.04::DOUBLE)) END AS prob FROM cloud3 a JOIN cloud3 b ON a.seg_id = b.seg_id", "cloud_id, patch_id, src, dst", "prob"))
+@query("g4_pairwise_features", sql("cloud3", "SELECT a.cloud_id, (a.point_id // 64)::BIGINT AS patch_id, a.point_id AS src, b.point_id AS dst, CASE WHEN a.point_id = b.point_id THEN 1 ELSE exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / (2 * 0.04::DOUBLE)) END AS prob FROM cloud3 a JOIN cloud3 b ON a.cloud_id = b.cloud_id AND a.point_id // 64 = b.point_id // 64", "cloud_id, patch_id, src, dst", "prob"))
 def _(s, d):
-    return G.pairwise_features(A.cloud3(s, d).withColumnRenamed("seg_id", "patch_id"), 0.2)
+    # patches of at most 64 points with ids that follow each other
+    return G.pairwise_features(A.cloud3(s, d).withColumn("patch_id", F.expr("point_id div 64")), 0.2)
 
 
 @query("g5_incoming_neighbours", sql("cloud3", "SELECT cloud_id, src, dst, dist, row_number() OVER (PARTITION BY cloud_id, dst ORDER BY dist, src) AS rank FROM near QUALIFY rank <= 3", f"{PAIR}, rank", "dist", near_sql("cloud3", "cloud3", 6)))
