@@ -15,7 +15,34 @@ from spatialseg.operators.knn import band_pairs
 from spatialseg.operators.project import dense_ids
 from spatialseg.operators.raster import interpolate_polyline
 
-ORDER_MOST = 200_000  # points of one segment that order_points takes
+ORDER_MOST = 2_000_000  # points of one segment that order_points takes
+
+
+def nearest_walk(x: np.ndarray) -> list[int]:
+    """Indices of ``x`` from the point farthest from the mean, always to the nearest point left, ties to the smaller index.
+
+    Points lie in cells of about four, so a step looks at the cells nearby, and at all points left only where those hold none that is surely the nearest.
+    """
+    at = int(np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1).round(9)))
+    side = float(np.linalg.norm(x.max(axis=0) - x.min(axis=0))) * 4 / len(x) or 1.0
+    cell = np.floor((x - x.min(axis=0)) / side).astype(np.int64)
+    cells: dict[tuple, list[int]] = {}
+    for i, c in enumerate(map(tuple, cell.tolist())):
+        cells.setdefault(c, []).append(i)
+    near = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    left, way = np.ones(len(x), bool), [at]
+    while len(way) < len(x):
+        left[at] = False
+        a, b, c = cell[at].tolist()
+        cells[a, b, c].remove(at)
+        some = np.array(sorted(p for i, j, k in near for p in cells.get((a + i, b + j, c + k), ())), np.int64)
+        d = ((x[some] - x[at]) ** 2).sum(axis=1)
+        if not len(d) or d.min() >= side * side * (1 - 1e-9):
+            some = np.flatnonzero(left)
+            d = ((x[some] - x[at]) ** 2).sum(axis=1)
+        at = int(some[np.argmin(d)])
+        way.append(at)
+    return way
 
 
 def order_points(points: DataFrame) -> DataFrame:
@@ -26,17 +53,7 @@ def order_points(points: DataFrame) -> DataFrame:
         n = len(pdf)
         if n > ORDER_MOST:
             raise ValueError(f"a segment of {n} points cannot be ordered; split it first")
-        x = pdf[list(AXES)].to_numpy(float)
-        way = list(range(n))
-        if n > 2:
-            at = int(np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1).round(9)))
-            left, way = np.ones(n, bool), []
-            for _ in range(n):
-                way.append(at)
-                left[at] = False
-                d = np.where(left, ((x - x[at]) ** 2).sum(axis=1), np.inf)
-                at = int(np.argmin(d))
-        pdf["ord"] = np.argsort(way)
+        pdf["ord"] = np.argsort(nearest_walk(pdf[list(AXES)].to_numpy(float)) if n > 2 else range(n))
         return pdf
 
     out = points.drop("ord").withColumn("ord", F.lit(0))

@@ -123,6 +123,27 @@ def test_knn_against_brute_force(spark):
 
 
 
+
+@pytest.mark.parametrize("kind", ["line", "cloud", "ties", "jumps", "one place"])
+def test_nearest_walk(kind):
+    rng = np.random.default_rng(2)
+    t = rng.permutation(np.linspace(0, 20, 700))
+    x = {
+        "line": np.c_[np.cos(t), np.sin(t), t / 3] + rng.normal(size=(700, 3)) * 0.01,
+        "cloud": rng.normal(size=(500, 3)),
+        "ties": rng.integers(0, 6, (400, 3)).astype(float),
+        "jumps": np.repeat(rng.normal(size=(5, 3)) * 100, 60, axis=0) + rng.normal(size=(300, 3)) * 0.01,
+        "one place": np.ones((50, 3)),
+    }[kind]
+    at = int(np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1).round(9)))
+    left, want = np.ones(len(x), bool), []
+    for _ in range(len(x)):
+        want.append(at)
+        left[at] = False
+        at = int(np.argmin(np.where(left, ((x - x[at]) ** 2).sum(axis=1), np.inf)))
+    assert filament.nearest_walk(x) == want
+
+
 @pytest.mark.parametrize("self_too", [True, False])
 def test_knn_of_uneven_clouds(spark, self_too):
     """A dense line, a far outlier, a pile of points at one place and a null coordinate; cells are split and no answer changes."""
