@@ -224,7 +224,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
 
 def few(df: DataFrame) -> bool:
     """Whether the rows of ``df``, all of fixed width, are few enough to be broadcast."""
-    most = BROADCAST_BYTES // sum(32 if t == "string" else 8 for _, t in df.dtypes)
+    most = BROADCAST_BYTES // sum(32 if t in ("string", "binary") else 8 for _, t in df.dtypes)
     return df.limit(most + 1).count() <= most
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatialseg.llm import chat, html_text, jaccard, langid, media, mixing, neighbours, packing, pii, quality, token_counts
+from spatialseg.llm import chat, html_text, jaccard, langid, media, mixing, neighbours, packing, pii, prefix_trie, quality, repair, token_counts
 from spatialseg.runtime import cut, table, work_path
 
 
@@ -79,7 +79,22 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_best_fit_packing, op4_source_mixing, op5_html_extraction, op6_nearest_neighbours, op7_language_id, op8_quality_classifier, op9_jaccard_join, op10_pii, op11_chat_formatting)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are rebuilt on sequences of turn digests: the first turns of the conversation at the last multiple of 20, then their own."""
+    own = cut(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "sequences")
+    most = 3
+    lent = own.where("conv_id % 20 = 0").select(F.col("conv_id").alias("_lender"), F.expr(f"substring(seq, 1, {most * prefix_trie.CELL})").alias("_lent"))
+    taken = (F.crc32(F.col("conv_id").cast("string")) % (most + 1) * prefix_trie.CELL).cast("int")
+    seqs = own.withColumn("_lender", F.col("conv_id") - F.col("conv_id") % 20).join(lent, "_lender", "left")
+    first = F.coalesce(F.substring("_lent", F.lit(1), taken), F.lit(b""))
+    return prefix_trie.prefix_trie(seqs.select("conv_id", F.concat(first, F.substring("seq", taken + 1, F.lit(2**31 - 1))).alias("seq")))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), "copies")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_media_columns, op3_best_fit_packing, op4_source_mixing, op5_html_extraction, op6_nearest_neighbours, op7_language_id, op8_quality_classifier, op9_jaccard_join, op10_pii, op11_chat_formatting, op12_prefix_trie, op13_structure_repair)}
 
 #: Sizes, targets and draws of the mix: the ranks inside a source go by size class, digest, id and size, as in the operator.
 OP4_SQL = """
@@ -131,4 +146,93 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": OP4_SQL, "op11_chat_formatting": OP11_SQL}
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    signs = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    bits = "list_reduce(list_prepend(xor(a, b), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {signs}), lambda a, b: {bits}), 4294967295::BIGINT)"
+
+
+#: A node is named by its smallest conversation and its depth; a node's subtree is what is named by its members.
+OP12_SQL = rf"""
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k,
+         {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id AS c, {crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM o),
+p AS (
+  SELECT c, 0 AS part, k, said FROM ids JOIN o ON o.conv_id = c - c % 20 WHERE k <= h
+  UNION ALL SELECT c, 1, k, said FROM ids JOIN o ON o.conv_id = c WHERE k > h),
+t AS (SELECT c, list(said ORDER BY part, k) AS path FROM p GROUP BY c),
+a AS (SELECT c, coalesce(path, []) AS path FROM ids LEFT JOIN t USING (c)),
+m AS (SELECT c, d, path[1:d] AS prefix, len(path) = d AS ended FROM (SELECT c, path, unnest(range(len(path) + 1)) AS d FROM a)),
+n AS (
+  SELECT d, prefix, min(c) AS low, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(prefix[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM m GROUP BY d, prefix),
+w AS (SELECT c, m.d, low FROM m JOIN n ON m.d = n.d AND m.prefix = n.prefix),
+ch AS (SELECT w.low, n.d - 1 AS d, count(*) AS n_children FROM n JOIN w ON w.c = n.low AND w.d = n.d - 1 GROUP BY ALL),
+sub AS (
+  SELECT w.low, w.d, sum((n_convs - 1) * words)::BIGINT AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM n LEFT JOIN ch ON ch.low = n.low AND ch.d = n.d JOIN w ON w.c = n.low AND w.d <= n.d GROUP BY ALL)
+SELECT n.low AS conv_id, n.d AS depth, w.low AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends AS ends_sha256
+FROM n JOIN sub ON sub.low = n.low AND sub.d = n.d LEFT JOIN ch ON ch.low = n.low AND ch.d = n.d LEFT JOIN w ON w.c = n.low AND w.d = n.d - 1
+"""
+
+
+def edit_sql(cost: str, letter: str, then: str) -> str:
+    """Cost, eight digits, and audit, with one more edit in front."""
+    return f"lpad((substr({then}, 1, 8)::INT + {cost})::VARCHAR, 8, '0') || '{letter}' || substr({then}, 9)"
+
+
+def plain_sql(q: int, keeps: dict[str, int], sets: int) -> str:
+    kept = " ".join(f"WHEN initial = '{i}' THEN {edit_sql('late', 'K', f'f{to}')}" for i, to in keeps.items())
+    return f"CASE WHEN gone THEN {edit_sql('3', 'D', f'f{q}')} ELSE least({edit_sql('3', 'D', f'f{q}')}, CASE {kept} ELSE '9' END, {edit_sql('2 + late', 'R', f'f{sets}')}) END AS g{q}"
+
+
+#: The edits of least (cost, audit) from the end, for each state of the grammar (f0 to f3), and then the walk through the audit.
+OP13_SQL = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS x FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role,
+         CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE x WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS initial FROM d),
+s AS (
+  SELECT *, body = '' AS blank, body <> '' AND again AS duplicate, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+         body = '' OR again AS gone, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM r),
+c AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM s GROUP BY conv_id),
+b AS (
+  SELECT conv_id, n + 1 AS i, '00000000' AS f0, '00000004II' AS f1, '00000002I' AS f2, '00000000' AS f3 FROM c
+  UNION ALL
+  SELECT conv_id, i, least(g0, {edit_sql("2", "I", "two")}), least(g1, {edit_sql("2", "I", "two")}), two, least(g3, {edit_sql("2", "I", "g2")})
+  FROM (SELECT *, least(g2, {edit_sql("2", "I", "g3")}) AS two
+        FROM (SELECT b.conv_id, s.i, {plain_sql(0, {"s": 1, "u": 2}, 2)}, {plain_sql(1, {"u": 2}, 2)}, {plain_sql(2, {"a": 3}, 3)}, {plain_sql(3, {"u": 2}, 2)}
+              FROM (SELECT * FROM b) b JOIN (SELECT *, truncated::INT AS late FROM s) s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i - 1))),
+e AS (SELECT conv_id, substr(f0, 1, 8)::BIGINT AS cost, substr(f0, 9) AS audit FROM b WHERE i = 1),
+u AS (
+  SELECT conv_id, audit, 0 AS p, 0 AS i, 0 AS q, []::VARCHAR[] AS lines FROM e
+  UNION ALL
+  SELECT u.conv_id, audit, p + 1, CASE WHEN edit = 'I' THEN u.i ELSE u.i + 1 END,
+         CASE WHEN edit = 'D' THEN q WHEN q = 2 THEN 3 WHEN edit = 'K' AND initial = 's' THEN 1 ELSE 2 END,
+         CASE WHEN edit = 'D' THEN lines ELSE list_append(lines, CASE WHEN edit = 'K' THEN role WHEN q = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END) END
+  FROM (SELECT *, substr(audit, p + 1, 1) AS edit FROM u WHERE p < length(audit)) u LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM u.conv_id AND s.i = u.i + 1),
+z AS (SELECT conv_id, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM u WHERE p = length(audit))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": OP4_SQL, "op11_chat_formatting": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_structure_repair": OP13_SQL}

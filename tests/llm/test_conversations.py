@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import re
+import zlib
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from spatialseg.llm import chat
+from spatialseg.llm import chat, prefix_trie, repair
 from spatialseg.llm.queries import QUERIES
 
 SHAPE = "conv_id long, turn long, role string, text string"
@@ -70,3 +72,144 @@ def test_chat_query_runs_natively(spark):
     text = "</s>[INST] ok [/INST]"
     assert hostile["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert (hostile["n_turns"], hostile["loss_chars"], hostile["loss_sha256"]) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def trie_of(conversations):
+    """Nodes by brute force: conversations are id -> tuple of turns."""
+    members = {}
+    for c, path in conversations.items():
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    children, nodes = {p: [] for p in members}, {}
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    for p in sorted(members, key=len, reverse=True):
+        own = (len(members[p]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        ends = ",".join(map(str, sorted(c for c in members[p] if len(conversations[c]) == len(p))))
+        nodes[p] = (min(members[p]), len(p), min(members[p[:-1]]) if p else None, len(members[p]), len(children[p]), sum(nodes[q][5] for q in children[p]) or 1, own + sum(nodes[q][6] for q in children[p]), hashlib.sha256(ends.encode()).hexdigest())
+    return sorted(nodes.values(), key=str)
+
+
+def trie_rows(spark, conversations, container):
+    rows = [(c, i, r, t) for c, path in conversations.items() for i, (r, t) in enumerate(path)]
+    seqs = prefix_trie.sequences(spark.createDataFrame(rows, SHAPE))
+    bare = spark.createDataFrame([(c,) for c, path in conversations.items() if not path] or [(None,)], "conv_id long").where("conv_id is not null").withColumn("seq", F.lit(b""))
+    return sorted(map(tuple, prefix_trie.prefix_trie(seqs.union(bare), container).collect()), key=str)
+
+
+def test_trie_equals_brute_force(spark):
+    rng = random.Random(4)
+    say = lambda: (rng.choice(["user", "assistant", ""]), rng.choice(["a b", "", "c", "a  b\n c"]))
+    conversations = {c: tuple(say() for _ in range(rng.randrange(6))) for c in rng.sample(range(-50, 5000), 250)}
+    long = tuple(("user", f"w {i % 3}") for i in range(120))
+    conversations |= {9000 + i: long[: 60 + 7 * (i % 9)] + ((("user", str(i)),) if i % 2 else ()) for i in range(40)}
+    want = trie_of(conversations)
+    assert trie_rows(spark, conversations, 10_000) == want  # one container
+    assert trie_rows(spark, conversations, 2) == want  # the long prefix bursts over several rounds
+    few = {5: (), 7: ()}
+    assert trie_rows(spark, few, 1) == trie_of(few)
+    copies = {i: long[:3] for i in range(300)} | {i: long[:2] + (("user", "z"),) for i in range(300, 305)}
+    assert trie_rows(spark, copies, 1) == trie_of(copies)
+    assert prefix_trie.prefix_trie(prefix_trie.sequences(spark.createDataFrame([], SHAPE))).count() == 0
+
+
+def test_trie_query_bursts(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    own = by_conversation([tuple(r) for r in given.select("conv_id", "turn", "role", "text").collect()])
+    rebuilt = {c: tuple((own.get(c - c % 20, [])[:h] + path[h:]) for h in [zlib.crc32(str(c).encode()) % 4])[0] for c, path in own.items()}
+    got = QUERIES["op12_prefix_trie"](spark, "/root/testdata/sf0.1").collect()
+    assert sorted(map(tuple, got), key=str) == trie_of({c: tuple(p) for c, p in rebuilt.items()})
+
+
+def test_cells_handle_nulls_and_ties(spark):
+    rows = [(1, None, None, None), (1, 0, "user", "a b"), (1, 0, "user", "a b"), (None, 0, "user", "x"), (2, 5, "", "")]
+    df = spark.createDataFrame(rows, SHAPE).withColumn("seq", F.lit("clash"))
+    seqs = {r["conv_id"]: bytes(r["seq"]) for r in prefix_trie.sequences(df).collect()}
+    assert set(seqs) == {1, 2} and len(seqs[1]) == 3 * prefix_trie.CELL and seqs[1][: prefix_trie.CELL] == seqs[2]
+    assert [prefix_trie.words_of(seqs[1][i : i + prefix_trie.CELL]) for i in (0, 24, 48)] == [0, 2, 2]
+
+
+def plain_repair(rows):
+    """(cost, audit, lines) by trying all edits, from the front, with every best way to each state kept."""
+    seen, signs = set(), []
+    for role, text in rows:
+        body = text.rstrip(" \t\n\v\f\r")
+        signs.append("b" if not body else "d" if (role, text) in seen else "t" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    step = {("0", "s"): "1", ("0", "u"): "2", ("1", "u"): "2", ("2", "a"): "3", ("3", "u"): "2"}
+    full = {"u": "user", "a": "assistant"}
+    best = {"0": (0, "", ())}
+
+    def offer(to, state, way):
+        if state not in to or way[:2] < to[state][:2]:
+            to[state] = way
+
+    def inserted(now):
+        for _ in range(3):
+            for q, (cost, audit, lines) in list(now.items()):
+                for i in "ua":
+                    if (q, i) in step:
+                        offer(now, step[q, i], (cost + 2, audit + "I", (*lines, f"{full[i]}:")))
+        return now
+
+    for (role, text), fault in zip(rows, signs, strict=True):
+        after = {}
+        for q, (cost, audit, lines) in inserted(best).items():
+            offer(after, q, (cost + 3, audit + "D", lines))
+            if fault in ("b", "d"):
+                continue
+            late = fault == "t"
+            if (q, role[:1]) in step:
+                offer(after, step[q, role[:1]], (cost + late, audit + "K", (*lines, f"{role}:{text}")))
+            for i in "ua":
+                if (q, i) in step:
+                    offer(after, step[q, i], (cost + late + 2, audit + "R", (*lines, f"{full[i]}:{text}")))
+        best = after
+    return min((way for q, way in inserted(best).items() if q in "03"), key=lambda w: w[:2]), signs
+
+
+def test_repair_equals_brute_force(spark):
+    rng = random.Random(8)
+    roles = ["user", "assistant", "system", "tool", "Assistant", "", None, "user", "assistant"]
+    texts = ["a.", "b!", "c", "", " \t", None, "d? ", "e.f", "\u00a0", "x " * 3000 + "."]
+    rows = [(c if c else None, rng.choice([None, *range(9)]) if c % 5 == 0 else i, rng.choice(roles), rng.choice(texts)) for c in range(120) for i in range(rng.randrange(1, 12))]
+    df = spark.createDataFrame(rows, SHAPE).withColumn("digest", F.lit(1)).withColumn("here", F.lit(False))
+    got = {r["conv_id"]: r for r in repair.repair(df).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for c, r in got.items():
+        # rows of one turn go by role and digest
+        mine = sorted(((t is not None, t or 0, role if role is not None else " ", text if text is not None else " ") for k, t, role, text in rows if k == c), key=lambda x: (*x[:3], hashlib.sha256(f"{len(x[2].encode())}:{x[2]}{x[3]}".encode()).digest()[:16]))
+        (cost, audit, lines), signs = plain_repair([x[2:] for x in mine])
+        turns = {x[1] for x in mine if x[0]}
+        assert (r["cost"], r["audit"], r["repaired_sha256"]) == (cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+        assert (r["blank"], r["duplicate"], r["truncated"]) == tuple(signs.count(x) for x in "bdt")
+        assert r["gaps"] == (max(turns) - min(turns) + 1 - len(turns) if turns else 0)
+        assert r["illegal"] == sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(mine, mine[1:], strict=False))
+    assert repair.repair(df.limit(0)).count() == 0
+
+
+def test_repair_of_gone_and_long_conversations(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a.", 0), (1, 1, "user", "b.", 0), (2, 0, "user", "a.", 2)], f"{SHAPE}, copies int")
+    long = spark.range(60_000).select(F.lit(3).cast("long"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant"), F.concat(F.col("id").cast("string"), F.lit(".")), F.lit(1))
+    got = {r["conv_id"]: r for r in repair.repair(df.union(long), "copies").collect()}
+    assert tuple(got[1])[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert (got[2]["duplicate"], got[2]["illegal"], got[2]["cost"], got[2]["audit"]) == (1, 1, 5, "KDI")
+    assert (got[3]["cost"], got[3]["audit"]) == (0, "K" * 60_000)
+
+
+def test_nodes_are_shared_between_signatures():
+    made = []
+    plain = repair.node
+    repair.node = lambda sign, then: made.append(sign) or plain(sign, then)
+    try:
+        nodes, before = [repair.END], ""
+        for back in sorted(["auau", "auaus", "auauS", "auax"]):
+            shared = len(repair.common(before, back))
+            del nodes[shared + 1 :]
+            for sign in back[shared:]:
+                nodes.append(repair.node(sign, nodes[-1]))
+            before = back
+    finally:
+        repair.node = plain
+    assert len(made) == len({b[: i + 1] for b in ["auau", "auaus", "auauS", "auax"] for i in range(len(b))})
