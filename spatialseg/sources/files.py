@@ -1,13 +1,12 @@
-"""Readers and writers of files of coordinates, graphs, meshes and volumes.
+"""Readers and writers of files of coordinates, graphs and meshes; volumes are in ``volumes``.
 
 Paths are read by Spark's own sources, or through ``binaryFile`` rows, so any
-store that Spark reads will do. A parser gets one file or one slab at a time.
+store that Spark reads will do. A parser gets one file at a time.
 """
 
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spatialseg.functions.geometry import AXES
+from spatialseg.operators.cloud import labels_from_color
+from spatialseg.sources.volumes import scan_volume_headers, scan_volume_slabs  # noqa: F401
 
 IMAGE_SUFFIXES = (".mrc", ".rec", ".map", ".tif", ".tiff", ".am")
-#: Voxel types by header mode, and their bytes.
-MODES = {0: ("int8", "i1"), 1: ("int16", "<i2"), 2: ("float32", "<f4"), 6: ("uint16", "<u2"), 12: ("float16", "<f2")}
-HEADER = 1024
 #: What ends the header of a binary spatial graph, and the bytes of its field types.
 DATA_FOLLOWS = b"# Data section follows\n"
 FIELD_TYPES = {"float": "<f4", "int": "<i4", "double": "<f8", "short": "<i2", "byte": "u1"}
@@ -62,7 +60,7 @@ def read_ply_points(spark: SparkSession, path: str, palette: DataFrame | None =
     part = F.split(F.trim("value"), r"\s+")
     p = rows.select("cloud_id", *[part[i].cast("double").alias(c) for i, c in enumerate(AXES)], *[part[3 + i].cast("int").alias(c) for i, c in enumerate("rgb")])
     if palette is None:
-        palette = p.select("r", "g", "b").distinct().withColumn("seg_id", (F.dense_rank().over(Window.orderBy("r", "g", "b")) - 1).cast("long"))
+        return labels_from_color(p)
     return p.join(palette, ["r", "g", "b"], "left")
 
 
@@ -165,54 +163,6 @@ def catalog_files(spark: SparkSession, path: str, allow: tuple[str, ...] = IMAGE
     return f.where(F.col("suffix").isin(*allow) & ~F.col("stem").rlike(f"({bad})$" if deny else "^$"))
 
 
-def volume_header(content: bytes) -> tuple:
-    nx, ny, nz, mode = struct.unpack_from("<4i", content, 0)
-    xlen = struct.unpack_from("<f", content, 40)[0]
-    extended = struct.unpack_from("<i", content, 92)[0]
-    if mode not in MODES:
-        raise ValueError(f"voxel mode {mode} is not supported")
-    return nz, ny, nx, MODES[mode][0], round(xlen / nx, 3) if nx else 0.0, HEADER + extended
-
-
-VOLUME = "image_id string, nz int, ny int, nx int, dtype string, pixel_size double, data_start long, odd_axes boolean"
-
-
-def scan_volume_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Shape, type and pixel size of volumes from their headers, and whether the axes look swapped (nz > 2 ny)."""
-
-    def parse(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for p, head in zip(pdf["path"], pdf["head"], strict=True):
-                h = volume_header(bytes(head))
-                rows.append((p, *h, h[0] > 2 * h[1]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in VOLUME.split(", ")])
-
-    head = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEADER).alias("head"))
-    return head.mapInPandas(parse, VOLUME)
-
-
-def scan_volume_slabs(spark: SparkSession, path: str, rows_per_slab: int = 8) -> DataFrame:
-    """(image_id, z, y, x, value) of volumes by slabs of z; of a truncated file the whole slices that exist. Signed bytes are shifted by 128."""
-
-    def slabs(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                content = bytes(content)
-                nz, ny, nx, dtype, _, start = volume_header(content)
-                kind = np.dtype(next(k for n, k in MODES.values() if n == dtype))
-                for z in range(0, nz, rows_per_slab):
-                    n = min(rows_per_slab, nz - z, (len(content) - start) // (kind.itemsize * ny * nx) - z)
-                    if n <= 0:
-                        break
-                    v = np.frombuffer(content, kind, n * ny * nx, start + z * ny * nx * kind.itemsize).astype(float)
-                    v = v + 128 if dtype == "int8" else v
-                    zs, ys, xs = np.unravel_index(np.arange(len(v)), (n, ny, nx))
-                    yield pd.DataFrame({"image_id": p, "z": (zs + z).astype("int32"), "y": ys.astype("int32"), "x": xs.astype("int32"), "value": v})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(slabs, "image_id string, z int, y int, x int, value double")
-
-
 def convert_points(spark: SparkSession, src: str, dst: str, to: str = "csv") -> None:
     """Coordinates of a folder, CSV or spatial graphs, as CSV or Parquet."""
     if src.rstrip("/").endswith(".am"):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg.functions.geometry import AXES, SEGMENT
+from spatialseg.operators.project import dense_ids
 
 
 def pair_images_masks(images: DataFrame, masks: DataFrame) -> DataFrame:
@@ -21,10 +22,10 @@ def check_layout(pairs: DataFrame) -> DataFrame:
 
 
 def to_spatial_graph_tables(points: DataFrame, labels: dict[str, DataFrame] | None = None, scores: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Vertex, edge, point and label tables: edge i leads from vertex 2i to 2i + 1, the first and last point of segment i."""
+    """Vertex, edge, point and label tables: edge i leads from vertex 2i to 2i + 1, the first and last point of segment i. Points of no segment are in none of them."""
     p = F.struct(*AXES)
     seg = points.groupBy(*SEGMENT).agg(F.min_by(p, "ord").alias("a"), F.max_by(p, "ord").alias("b"), F.count(F.lit(1)).alias("n_points"))
-    seg = seg.withColumn("edge_id", F.row_number().over(Window.partitionBy("cloud_id").orderBy("seg_id")) - 1)
+    seg = dense_ids(seg.where("seg_id is not null").withColumn("edge_id", F.col("seg_id")), ["cloud_id"], "edge_id")
     edge = seg.select("cloud_id", "edge_id", (F.col("edge_id") * 2).alias("v0"), (F.col("edge_id") * 2 + 1).alias("v1"), "n_points")
     if scores is not None:
         edge = edge.join(seg.select(*SEGMENT, "edge_id").join(scores, SEGMENT).drop("seg_id"), ["cloud_id", "edge_id"], "left")

@@ -212,7 +212,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "v.mrc").write_bytes(struct.pack("<4i", 4, 3, 2, 0) + bytes(24) + struct.pack("<f", 40.0) + bytes(1024 - 44) + bytes(range(24)))
     h = files.scan_volume_headers(spark, f"{root}/v.mrc").first()
     v = files.scan_volume_slabs(spark, f"{root}/v.mrc", 1)
-    assert (h["nz"], h["ny"], h["nx"], h["dtype"], h["pixel_size"]) == (2, 3, 4, "int8", 10.0) and v.count() == 24 and v.where("z = 1 and y = 2 and x = 3").first()["value"] == 151
+    assert (h["nz"], h["ny"], h["nx"], h["dtype"], h["pixel_size"]) == (2, 3, 4, "uint8", 10.0) and v.count() == 24 and v.where("z = 1 and y = 2 and x = 3").first()["value"] == 23
     assert files.catalog_files(spark, f"{root}").select("stem").collect() and {r["stem"] for r in files.catalog_files(spark, root).collect()} == {"g", "v"}
     m = files.materialize(p.withColumn("cloud_id", F.lit("c")), f"{root}/kept")
     assert m.count() == 5 and set(m.columns) == set(p.columns)
