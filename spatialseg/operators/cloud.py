@@ -182,9 +182,9 @@ def median_nn_distance(points: DataFrame) -> DataFrame:
 
 
 def labels_from_color(points: DataFrame) -> DataFrame:
-    """Distinct colours as dense labels, in order of colour."""
-    colours = points.select("r", "g", "b").distinct().withColumn("seg_id", (F.dense_rank().over(Window.orderBy("r", "g", "b")) - 1).cast("long"))
-    return points.drop("seg_id").join(colours, ["r", "g", "b"])
+    """Distinct colours as dense labels, in order of colour; a colour with a null has no label."""
+    known = F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull()
+    return dense_ids(points.drop("seg_id").withColumn("seg_id", F.when(known, F.struct("r", "g", "b"))), [], "seg_id")
 
 
 def train_test_split(tiles: DataFrame, seed: int = 0) -> DataFrame:

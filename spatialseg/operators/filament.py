@@ -12,7 +12,7 @@ from spatialseg.functions.geometry import AXES, SEGMENT, along, angle_between, c
 from spatialseg.operators.cloud import downsample_medoid
 from spatialseg.operators.graph import kept_edges
 from spatialseg.operators.knn import band_pairs
-from spatialseg.operators.project import dense_ids
+from spatialseg.operators.project import dense_ids, null_safe
 from spatialseg.operators.raster import interpolate_polyline
 
 ORDER_MOST = 2_000_000  # points of one segment that order_points takes
@@ -107,7 +107,8 @@ def cut_sharp_bends(points: DataFrame, min_angle: float = 150.0) -> DataFrame:
     run = Window.partitionBy(*SEGMENT, "_calm", "_sharp").orderBy("ord")
     p = p.withColumn("_cut", F.when((F.col("_sharp") == 1) & (F.row_number().over(run) % 2 == 1), 1).otherwise(0))
     p = p.withColumn("_part", F.coalesce(F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dense_ids(p.withColumn("seg_id", F.struct("seg_id", "_part")).withColumn("seg_id", F.col("seg_id")).drop("angle", "_sharp", "_calm", "_cut", "_part").select("cloud_id", F.col("seg_id"), *[c for c in points.columns if c not in SEGMENT]), ["cloud_id"], "seg_id")
+    named = p.withColumn("seg_id", F.when(F.col("seg_id").isNotNull(), F.struct("seg_id", "_part")))
+    return dense_ids(named.select("cloud_id", "seg_id", *[c for c in points.columns if c not in SEGMENT]), ["cloud_id"], "seg_id")
 
 
 def resample(points: DataFrame, spacing: float) -> DataFrame:
@@ -136,9 +137,9 @@ def renumber(points: DataFrame, start: int = 0) -> DataFrame:
 
 
 def sort_by_length(points: DataFrame) -> DataFrame:
-    """The shortest segment of a cloud becomes 0."""
-    order = segment_length(points).withColumn("_new", F.row_number().over(Window.partitionBy("cloud_id").orderBy("length", "seg_id")) - 1)
-    return points.join(order, SEGMENT).withColumn("seg_id", F.col("_new").cast("long")).select(points.columns)
+    """The shortest segment of a cloud becomes 0, ties by id. Segments are dealt out by range of length, so a cloud may have any number of them; points of no segment stay as they are."""
+    order = dense_ids(segment_length(points).where("seg_id is not null").withColumn("_new", F.struct("length", "seg_id")), ["cloud_id"], "_new").select(*[F.col(c).alias(f"_k_{c}") for c in SEGMENT], "_new")
+    return points.join(order, null_safe(points, order, SEGMENT), "left").withColumn("seg_id", F.col("_new")).select(points.columns)
 
 
 def filter_short(points: DataFrame, min_length: float = 1000.0) -> DataFrame:
@@ -244,4 +245,4 @@ def offset_union(sets: list[DataFrame]) -> DataFrame:
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return dense_ids(both.withColumn("seg_id", F.struct("_set", "seg_id")).drop("_set"), ["cloud_id"], "seg_id")
+    return dense_ids(both.withColumn("seg_id", F.when(F.col("seg_id").isNotNull(), F.struct("_set", "seg_id"))).drop("_set"), ["cloud_id"], "seg_id")

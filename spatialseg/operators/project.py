@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg import runtime
@@ -156,13 +158,19 @@ def prepare_tile(voxels: DataFrame, mask: DataFrame, images: DataFrame, size: in
     return both.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """The condition that ``left``'s keys equal those of ``right``, which have _k_ before their names; nulls equal each other."""
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_k_{c}"]) for c in keys], F.lit(True))
+
+
 def dense_ids(df: DataFrame, keys: list[str], column: str, start: int = 0) -> DataFrame:
-    """``column`` renumbered from ``start`` within ``keys``, by a rank over its distinct values. The values are dealt out by range and ranked within each range, which starts where the ranges before it end: a key may have any number of them."""
+    """``column`` renumbered from ``start`` within ``keys``, by a rank over its distinct values. The values are dealt out by range and ranked within each range, which starts where the ranges before it end: a key may have any number of them. A null stays null and takes no number; a null key is a key."""
     spark = df.sparkSession
-    names = df.select(*keys, column).distinct().repartitionByRange(runtime.shuffle_width(spark), *keys, column).withColumn("_range", F.spark_partition_id())
+    names = df.where(F.col(column).isNotNull()).select(*keys, column).distinct().repartitionByRange(runtime.shuffle_width(spark), *keys, column).withColumn("_range", F.spark_partition_id())
     names = runtime.cut(names, "ids")  # ranges stay as they were dealt
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = names.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = names.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "_range"]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(column)) - 1
-    ranked = names.withColumn("_inside", inside).join(starts, [*keys, "_range"]).select(*keys, column, (F.col("_start") + F.col("_inside") + start).alias("_id"))
-    return df.join(ranked, [*keys, column]).withColumn(column, F.col("_id").cast("long")).select(df.columns)
+    ranked = names.withColumn("_inside", inside)
+    ranked = ranked.join(starts, null_safe(ranked, starts, [*keys, "_range"])).select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, column]], (F.col("_start") + F.col("_inside") + start).alias("_id"))
+    return df.join(ranked, null_safe(df, ranked, [*keys, column]), "left").withColumn(column, F.col("_id").cast("long")).select(df.columns)

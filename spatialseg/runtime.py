@@ -17,14 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of local sessions that have none configured, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. Where none is configured, a local session takes a temporary one; on a cluster, whose executors would not see it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spatialseg-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # the setting of a running session cannot be changed, so the folder is kept here
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spatialseg-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/spatialseg/{name}-{uuid.uuid4().hex}"
 
 
