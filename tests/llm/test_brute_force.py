@@ -339,8 +339,8 @@ def test_risk_and_prior():
     make = lambda n, good: rng.normal(size=(n, 4)) + (1.5 if good else -1.5) * np.array([1, 0.5, 0, 0])
     for share in (0.3, 0.7):
         pos, unl = make(1500, True), np.concatenate([make(int(3000 * share), True), make(3000 - int(3000 * share), False)])
-        prior = quality.class_prior(pos, unl)
-        assert abs(prior - share) < 0.06
+        prior, least = quality.class_prior(pos, unl)
+        assert abs(prior - share) < 0.06 and share - 0.15 < least < prior
         w, b = quality.fit_nnpu(pos, unl, prior)
 
         def risk(w, b):
