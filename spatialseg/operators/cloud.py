@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg import runtime
 from spatialseg.functions.geometry import AXES
 from spatialseg.operators.knn import knn
-from spatialseg.operators.project import dense_ids
+from spatialseg.operators.project import dense_ids, prefix_sums
 from spatialseg.operators.quantiles import group_quantiles
 
 
@@ -133,21 +132,46 @@ def random_patches(points: DataFrame, max_points: int = 500, n: int = 10, seed:
     return near.join(best, ["cloud_id", "patch_id"]).where(F.col("_bin") <= F.col("_most")).select("cloud_id", "patch_id", F.pow(F.lit(ratio), F.col("_most")).alias("half"), "point_id")
 
 
-def merge_small_patches(members: DataFrame, max_points: int) -> DataFrame:
-    """Neighbouring patches joined first-fit in patch order while they fit. Only the counts of a cloud's patches come together."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("patch_id")
-        new, full, group = [], 0, -1
-        for n in pdf["n"]:
-            if group < 0 or full + n > max_points:
-                group, full = group + 1, 0
-            full += n
-            new.append(group)
-        return pd.DataFrame({"cloud_id": pdf["cloud_id"], "patch_id": pdf["patch_id"], "merged_id": new})
+def next_starts(patches: DataFrame, max_points: int) -> DataFrame:
+    """(cloud_id, _i, _j): where the group that starts with patch ``_i`` ends and the next one starts, from prefix sums of the patches' counts ``n``.
+
+    The next start is the patch in whose span of the sums the limit falls, or the one
+    after ``_i`` where that patch alone is above it. Spans and limits meet in cells of
+    ``max_points``, which hold no more than that many of each.
+    """
+    first, last = F.col("_sum") - F.col("n"), F.col("_sum") - 1
+    spans = patches.select("cloud_id", F.explode(F.sequence(F.floor(first / max_points), F.floor(last / max_points))).alias("_cell"), first.alias("_at"), F.lit(0).alias("_asks"), "_i", "_sum")
+    limits = patches.select("cloud_id", F.floor((first + max_points) / max_points).alias("_cell"), (first + max_points).alias("_at"), F.lit(1).alias("_asks"), "_i", "_sum")
+    upto = Window.partitionBy("cloud_id", "_cell").orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = spans.unionByName(limits).withColumn("_span", F.last(F.when(F.col("_asks") == 0, F.struct("_i", "_sum")), ignorenulls=True).over(upto))
+    inside = F.when(F.col("_span._sum") > F.col("_at"), F.col("_span._i"))
+    return met.where("_asks = 1").select("cloud_id", "_i", F.greatest(inside, F.when(inside.isNotNull(), F.col("_i") + 1)).alias("_j")).where("_j is not null")
 
+
+def starts_of_groups(steps: DataFrame) -> DataFrame:
+    """(cloud_id, _i) of all patches that the chain of next starts from patch 0 comes by. Pointers reach four times as far in each round."""
+    reached = runtime.cut(steps.select("cloud_id", F.lit(0).cast("long").alias("_i")).distinct(), "starts")
+    jump = steps
+    while True:
+        over = lambda left, by, to: left.join(jump.select("cloud_id", F.col("_i").alias(by), F.col("_j").alias(to)), ["cloud_id", by], "left")  # noqa: B023, E731
+        far = over(over(over(jump.select("cloud_id", "_i", F.col("_j").alias("_1")), "_1", "_2"), "_2", "_3"), "_3", "_4")
+        far = runtime.cut(far.select("cloud_id", "_i", "_1", "_2", "_3", "_4"), "jumps")
+        new = reached.join(far, ["cloud_id", "_i"]).select("cloud_id", F.explode(F.array("_1", "_2", "_3")).alias("_i")).where("_i is not null")
+        before, reached = reached, runtime.cut(reached.unionByName(new), "starts")
+        if reached.count() == before.count():
+            return reached
+        jump = far.where("_4 is not null").select("cloud_id", "_i", F.col("_4").alias("_j"))
+
+
+def merge_small_patches(members: DataFrame, max_points: int) -> DataFrame:
+    """Neighbouring patches joined first-fit in patch order while they fit; a patch that is too large stays alone."""
     sizes = members.groupBy("cloud_id", "patch_id").agg(F.count(F.lit(1)).alias("n"))
-    merged = sizes.groupBy("cloud_id").applyInPandas(fit, f"cloud_id {members.schema['cloud_id'].dataType.simpleString()}, patch_id int, merged_id int")
+    patches = runtime.cut(prefix_sums(sizes, ["cloud_id"], "patch_id", "n"), "patches")
+    steps = runtime.cut(next_starts(patches, max_points), "next")
+    alone = patches.where("_i = 0").select("cloud_id", "_i")  # of clouds that are one group
+    starts = starts_of_groups(steps).unionByName(alone).distinct().withColumn("_starts", F.lit(1))
+    marked = patches.join(starts, ["cloud_id", "_i"], "left").select("cloud_id", "patch_id", F.coalesce("_starts", F.lit(0)).alias("_starts"))
+    merged = prefix_sums(marked, ["cloud_id"], "patch_id", "_starts").select("cloud_id", "patch_id", (F.col("_sum") - 1).cast("int").alias("merged_id"))
     return members.join(merged, ["cloud_id", "patch_id"]).select("cloud_id", F.col("merged_id").alias("patch_id"), "point_id").distinct()
 
 

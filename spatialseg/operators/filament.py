@@ -14,45 +14,127 @@ from spatialseg.operators.graph import kept_edges
 from spatialseg.operators.knn import band_pairs
 from spatialseg.operators.project import dense_ids, null_safe
 from spatialseg.operators.raster import interpolate_polyline
+from spatialseg.runtime import cut
 
-ORDER_MOST = 2_000_000  # points of one segment that order_points takes
+LEAF = 128  # points of a leaf of the tree that orders points
+
+
+def tree_of(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Order of ``x`` by leaves of a k-d tree of 2^depth leaves, each split at the median of its widest axis, and where each leaf starts."""
+    order, parts = np.arange(len(x)), [(0, len(x))]
+    for _ in range(max(0, (len(x) // LEAF).bit_length())):
+        halves = []
+        for a, b in parts:
+            v = x[order[a:b]]
+            axis, mid = int(np.argmax(np.ptp(v, axis=0))), (b - a) // 2
+            order[a:b] = order[a:b][np.argpartition(v[:, axis], mid)]
+            halves += [(a, a + mid), (a + mid, b)]
+        parts = halves
+    return order, [a for a, _ in parts]
 
 
 def nearest_walk(x: np.ndarray) -> list[int]:
     """Indices of ``x`` from the point farthest from the mean, always to the nearest point left, ties to the smaller index.
 
-    Points lie in cells of about four, so a step looks at the cells nearby, and at all points left only where those hold none that is surely the nearest.
+    The points lie in the leaves of a k-d tree. A leaf keeps those that are left in
+    front; a search looks at the leaf it stands in, and then at those parts of the
+    tree whose boxes are no farther than the best point found and not yet empty.
     """
     at = int(np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1).round(9)))
-    side = float(np.linalg.norm(x.max(axis=0) - x.min(axis=0))) * 4 / len(x) or 1.0
-    cell = np.floor((x - x.min(axis=0)) / side).astype(np.int64)
-    cells: dict[tuple, list[int]] = {}
-    for i, c in enumerate(map(tuple, cell.tolist())):
-        cells.setdefault(c, []).append(i)
-    near = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    left, way = np.ones(len(x), bool), [at]
-    while len(way) < len(x):
-        left[at] = False
-        a, b, c = cell[at].tolist()
-        cells[a, b, c].remove(at)
-        some = np.array(sorted(p for i, j, k in near for p in cells.get((a + i, b + j, c + k), ())), np.int64)
-        d = ((x[some] - x[at]) ** 2).sum(axis=1)
-        if not len(d) or d.min() >= side * side * (1 - 1e-9):
-            some = np.flatnonzero(left)
-            d = ((x[some] - x[at]) ** 2).sum(axis=1)
-        at = int(some[np.argmin(d)])
+    order, starts = tree_of(x)
+    first_leaf = len(starts)
+    sizes = np.diff([*starts, len(x)])
+    cx, cy, cz = (np.ascontiguousarray(x[order, i]) for i in range(3))
+    name = order.copy()
+    leaf_at = np.empty(len(x), np.int64)
+    leaf_at[order] = np.repeat(np.arange(first_leaf), sizes)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.arange(len(x))
+    leaf_at, place, left = leaf_at.tolist(), place.tolist(), sizes.tolist()
+    # boxes and numbers of leaves with points, as a heap: node k has the parts 2k and 2k + 1
+    low, high = np.empty((2 * first_leaf, 3)), np.empty((2 * first_leaf, 3))
+    low[first_leaf:], high[first_leaf:] = np.minimum.reduceat(x[order], starts), np.maximum.reduceat(x[order], starts)
+    for k in range(first_leaf - 1, 0, -1):
+        low[k], high[k] = np.minimum(low[2 * k], low[2 * k + 1]), np.maximum(high[2 * k], high[2 * k + 1])
+    boxes = [tuple(b) for b in np.hstack([low, high]).tolist()]
+    full = [0] * first_leaf + [1] * first_leaf
+    for k in range(first_leaf - 1, 0, -1):
+        full[k] = full[2 * k] + full[2 * k + 1]
+    coordinates, way = x.tolist(), [at]
+    for _ in range(len(x) - 1):
+        # the point leaves its leaf: the leaf's last one takes its place
+        leaf = leaf_at[at]
+        left[leaf] -= 1
+        p, q = place[at], starts[leaf] + left[leaf]
+        if p != q:
+            moved = int(name[q])
+            cx[p], cy[p], cz[p], name[p], place[moved] = cx[q], cy[q], cz[q], moved, p
+        k = leaf + first_leaf
+        if not left[leaf]:
+            up = k
+            while up:
+                full[up] -= 1
+                up >>= 1
+        px, py, pz = coordinates[at]
+        best, at = np.inf, -1
+        look = [k] if left[leaf] else []
+        while True:
+            while look:
+                n = look.pop()
+                if not full[n]:
+                    continue
+                if n != k:
+                    a, b, c, d, e, f = boxes[n]
+                    away = 0.0
+                    if px < a:
+                        away += (a - px) * (a - px)
+                    elif px > d:
+                        away += (px - d) * (px - d)
+                    if py < b:
+                        away += (b - py) * (b - py)
+                    elif py > e:
+                        away += (py - e) * (py - e)
+                    if pz < c:
+                        away += (c - pz) * (c - pz)
+                    elif pz > f:
+                        away += (pz - f) * (pz - f)
+                    if away > best * (1 + 1e-12):
+                        continue
+                if n < first_leaf:
+                    # the half on this side first
+                    near = 2 * n
+                    box = boxes[near]
+                    if not (box[0] <= px <= box[3] and box[1] <= py <= box[4] and box[2] <= pz <= box[5]):
+                        near += 1
+                    look += [near ^ 1, near]
+                    continue
+                s = starts[n - first_leaf]
+                t = s + left[n - first_leaf]
+                dx, dy, dz = cx[s:t] - px, cy[s:t] - py, cz[s:t] - pz
+                dist = dx * dx + dy * dy + dz * dz
+                i = int(dist.argmin())
+                d = float(dist[i])
+                if d <= best:
+                    found = int(name[s + i])
+                    if np.count_nonzero(dist == d) > 1:
+                        found = int(name[s:t][dist == d].min())
+                    at = found if d < best or at < 0 else min(at, found)
+                    best = d
+            if k == 1:
+                break
+            look.append(k ^ 1)
+            k >>= 1
+            n = k
         way.append(at)
     return way
 
 
 def order_points(points: DataFrame) -> DataFrame:
-    """``points`` with ``ord`` along the line: from an end, always to the nearest point left. One segment is one bounded group; two points keep their order."""
+    """``points`` with ``ord`` along the line: from an end, always to the nearest point left; two points keep their order. Each step depends on all before it, so one segment is walked in one task, in time n log n and some 200 bytes a point."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id", kind="stable").reset_index(drop=True)
         n = len(pdf)
-        if n > ORDER_MOST:
-            raise ValueError(f"a segment of {n} points cannot be ordered; split it first")
         pdf["ord"] = np.argsort(nearest_walk(pdf[list(AXES)].to_numpy(float)) if n > 2 else range(n))
         return pdf
 
@@ -174,15 +256,45 @@ def end_links(points: DataFrame, max_dist: float, cylinder: float) -> DataFrame:
     return best.join(back, back.columns, "left_semi")
 
 
+def chain_places(links: DataFrame, chains: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cloud_id, seg_id, _before, _turn): how many points of its chain lie before a segment, and whether the chain runs through it backwards.
+
+    A state is a segment and the end at which it is entered; a link leads from it to
+    the state of the next segment. Pointers double their reach from round to round and
+    add up the points they pass, until all lead to the end of their chain. Of the two
+    directions of a chain the one that ends at the larger segment is taken. A ring is
+    opened before end 0 of its smallest segment.
+    """
+    ends = links.groupBy("cloud_id", F.col("a_seg_id").alias("seg_id")).agg(F.count(F.lit(1)).alias("_l")).join(chains, SEGMENT)
+    rings = ends.groupBy("cloud_id", "_new").agg(F.min("_l").alias("_least")).where("_least = 2").select("cloud_id", F.col("_new").alias("_ring"))
+    opened = rings.select("cloud_id", F.col("_ring").alias("seg_id"), F.lit(0).alias("end"), F.lit(True).alias("_cut"))
+    side = lambda p: opened.select("cloud_id", *[F.col(c).alias(f"{p}_{c}") for c in ("seg_id", "end")])
+    kept = links.join(side("a"), ["cloud_id", "a_seg_id", "a_end"], "left_anti").join(side("b"), ["cloud_id", "b_seg_id", "b_end"], "left_anti")
+    members = chains.join(sizes, SEGMENT)
+    states = members.withColumn("_in", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = kept.select("cloud_id", F.col("a_seg_id").alias("seg_id"), (1 - F.col("a_end")).alias("_in"), F.struct(F.col("b_seg_id").alias("s"), F.col("b_end").alias("e")).alias("_to"))
+    key = ["cloud_id", "seg_id", "_in"]
+    now = cut(states.join(out, key, "left").select(*key, "_to", F.col("_n").alias("_passed"), F.struct(F.col("seg_id").alias("s"), F.col("_in").alias("e")).alias("_last")), "chains")
+    while not now.where("_to is not null").isEmpty():
+        then = now.select("cloud_id", F.struct(F.col("seg_id").alias("s"), F.col("_in").alias("e")).alias("_to"), F.col("_to").alias("_next"), F.col("_passed").alias("_more"), F.col("_last").alias("_end"))
+        now = cut(now.join(then, ["cloud_id", "_to"], "left").select(*key, F.col("_next").alias("_to"), (F.col("_passed") + F.coalesce("_more", F.lit(0))).alias("_passed"), F.coalesce("_end", "_last").alias("_last")), "chains")
+    by_end = now.groupBy(*SEGMENT).agg(F.max_by(F.struct("_in", "_passed"), "_last").alias("_way"), F.sum("_passed").alias("_both")).join(sizes, SEGMENT)
+    return by_end.select(*SEGMENT, (F.col("_both") - F.col("_n") - F.col("_way._passed")).alias("_before"), (F.col("_way._in") == 1).alias("_turn"), "_n")
+
+
 def connect_ends(points: DataFrame, max_dist: float = 2500.0, cylinder: float = 250.0) -> DataFrame:
-    """Segments joined at facing ends get one id and a new order; ids are renumbered."""
-    links = end_links(points, max_dist, cylinder)
+    """Segments joined at facing ends get one id, ids are renumbered. A joined line keeps the points of its segments in their order, each segment forwards or backwards; ``ord`` counts along the line."""
+    links = cut(end_links(points, max_dist, cylinder), "links")
     node = lambda c: F.struct("cloud_id", F.col(c).alias("s"))
-    comp = connected_components(links.select(node("a_seg_id").alias("src"), node("b_seg_id").alias("dst"))).select("node.cloud_id", F.col("node.s").alias("seg_id"), F.col("component.s").alias("_new"))
-    joined = points.join(comp, SEGMENT, "left").withColumn("_was", F.coalesce("_new", "seg_id"))
-    changed = order_points(joined.where("_new is not null").withColumn("seg_id", F.col("_was")).drop("_new", "_was"))
-    same = joined.where("_new is null").drop("_new", "_was")
-    return renumber(changed.select(points.columns).unionByName(same.select(points.columns)))
+    chains = connected_components(links.select(node("a_seg_id").alias("src"), node("b_seg_id").alias("dst"))).select("node.cloud_id", F.col("node.s").alias("seg_id"), F.col("component.s").alias("_new"))
+    sizes = points.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("_n"))
+    places = chains.join(chain_places(links, chains, sizes), SEGMENT)
+    nth = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("ord", "point_id")) - 1
+    linked = points.join(places, SEGMENT).withColumn("_r", nth)
+    ord_ = F.col("_before") + F.when(F.col("_turn"), F.col("_n") - 1 - F.col("_r")).otherwise(F.col("_r"))
+    joined = linked.withColumns({"ord": ord_.cast(points.schema["ord"].dataType), "seg_id": F.col("_new")}).select(points.columns)
+    same = points.join(chains, SEGMENT, "left_anti")
+    return renumber(joined.unionByName(same))
 
 
 def connect_near_segments(points: DataFrame, max_dist: float = 1000.0, cylinder: float = 250.0) -> DataFrame:

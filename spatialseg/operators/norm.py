@@ -30,13 +30,33 @@ def norm_meanstd(voxels: DataFrame) -> DataFrame:
     return per_image(voxels, _m=F.avg("value"), _s=F.stddev_pop("value")).withColumn("value", (V() - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).select(voxels.columns)
 
 
-def norm_percentile(voxels: DataFrame, lo: float = 1, hi: float = 99, exact: bool = True) -> DataFrame:
-    """Clipped to percentiles and stretched: to [0, 1] if the lower bound is not negative, else to [-1, 1]."""
+#: The ranges of integer types. Of other types values are brought to -1 to 1.
+RANGES = {"uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767)}
+
+
+def norm_percentile(voxels: DataFrame, lo: float = 1, hi: float = 99, exact: bool = True, images: DataFrame | None = None) -> DataFrame:
+    """Clipped to percentiles and stretched to the range of the type, which starts at 0 if the lower bound is not negative; integers are cut off at the point.
+
+    The type is what ``images`` has as dtype; without it values are floats, and go to
+    [0, 1] or [-1, 1]. Of uint8 an upper bound from 250 on becomes 256 and a lower one
+    up to 5 becomes 0. Where both bounds are equal, values are clipped to the range.
+    """
     at = [lo / 100, hi / 100]
     both = per_image(voxels, _p=F.percentile_approx("value", F.array(*map(F.lit, at)), 100_000)) if not exact else voxels.join(group_quantiles(voxels, ["image_id"], "value", at, "_p"), "image_id", "left")
-    j = both.withColumns({"_lo": F.col("_p")[0], "_hi": F.col("_p")[1]})
+    kind = F.lit("float")
+    if images is not None:
+        both, kind = both.join(images.select("image_id", F.col("dtype").alias("_dtype")), "image_id", "left"), F.coalesce("_dtype", F.lit("float"))
+    low, high = F.col("_p")[0], F.col("_p")[1]
+    byte = kind == "uint8"
+    j = both.withColumns({"_lo": F.when(byte & (low <= 5), 0.0).otherwise(low), "_hi": F.when(byte & (high >= 250), 256.0).otherwise(high)})
+    least, most = F.lit(-1.0), F.lit(1.0)
+    for name, (a, b) in RANGES.items():
+        least, most = F.when(kind == name, float(a)).otherwise(least), F.when(kind == name, float(b)).otherwise(most)
+    least = F.when(F.col("_lo") >= 0, F.greatest(least, F.lit(0.0))).otherwise(least)
     unit = (F.greatest(F.least(V(), F.col("_hi")), F.col("_lo")) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return j.withColumn("value", F.when(F.col("_lo") >= 0, unit).otherwise(2 * unit - 1)).select(voxels.columns)
+    out = F.coalesce(unit * (most - least) + least, F.when(F.col("_lo") == F.col("_hi"), F.greatest(F.least(V(), most), least)))
+    whole = F.when(out >= 0, F.floor(out)).otherwise(F.ceil(out)).cast("double")
+    return j.withColumn("value", F.when(kind.isin(*RANGES), whole).otherwise(out)).select(voxels.columns)
 
 
 def normalize_image(voxels: DataFrame) -> DataFrame:

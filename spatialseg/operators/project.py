@@ -120,6 +120,60 @@ def random_flip(voxels: DataFrame, images: DataFrame, seed: int = 0) -> DataFram
     return j.withColumns(new).select(voxels.columns)
 
 
+#: Codes of drawn transforms: flips of z, y and x, one to three quarter turns, none.
+FLIPS, TURNS, NOTHING = {"z": 0, "y": 1, "x": 2}, {1: 3, 2: 4, 3: 5}, 6
+MOST_DRAWS = 3
+
+
+def drawn(key: str, seed: int, draw: Column, what: str, below: int) -> Column:
+    """A reproducible number from 0 on for a draw of an image."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed)), draw.cast("string"), F.lit(what)))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % below).cast("int")
+
+
+def transform_plan(images: DataFrame, seed: int = 0) -> DataFrame:
+    """A row an image: ``ops``, one to three drawn transforms, and what they come to, one integer map. New coordinate c is ``c.sign`` * (old coordinate ``c.axis``) + ``c.off``; nz, ny and nx are the new sides.
+
+    A draw is a flip or a turn, equally often. A flip is of z in four of ten cases, of
+    y and x in three each; a turn is none in four of nine, a quarter in three, a half in
+    two, in one direction in four of ten and in the other else.
+    """
+
+    def op(i: Column) -> Column:
+        state, turns = drawn("image_id", seed, i, "flip", 10), drawn("image_id", seed, i, "turns", 9)
+        quarters = F.when(turns <= 3, 0).when(turns <= 6, 1).otherwise(2)
+        back = drawn("image_id", seed, i, "way", 10) > 3
+        turn = F.when(quarters == 0, NOTHING).when(quarters == 2, TURNS[2]).when(back, TURNS[3]).otherwise(TURNS[1])
+        flip_ = F.when(state <= 3, FLIPS["z"]).when(state <= 6, FLIPS["y"]).otherwise(FLIPS["x"])
+        return F.when(drawn("image_id", seed, i, "which", 2) == 0, flip_).otherwise(turn)
+
+    n = 1 + drawn("image_id", seed, F.lit(0), "draws", MOST_DRAWS)
+    planned = images.select("image_id", *[F.col(f"n{c}").cast("int").alias(f"n{c}") for c in "zyx"], F.transform(F.sequence(F.lit(1), n), op).alias("ops"))
+    start = F.struct(*[F.struct(F.lit(i).alias("axis"), F.lit(1).alias("sign"), F.lit(0).alias("off")).alias(c) for i, c in enumerate("zyx")], *[F.col(f"n{c}") for c in "zyx"])
+
+    def then(s: Column, o: Column) -> Column:
+        turned = lambda c: F.struct(s[c]["axis"].alias("axis"), (-s[c]["sign"]).alias("sign"), (s[f"n{c}"] - 1 - s[c]["off"]).alias("off"))
+        same = {c: F.struct(*[s[c][f].alias(f) for f in ("axis", "sign", "off")]) for c in "zyx"}
+        z = F.when(o == FLIPS["z"], turned("z")).otherwise(same["z"])
+        y = F.when((o == FLIPS["y"]) | (o == TURNS[2]), turned("y")).when(o == TURNS[1], turned("x")).when(o == TURNS[3], same["x"]).otherwise(same["y"])
+        x = F.when((o == FLIPS["x"]) | (o == TURNS[2]), turned("x")).when(o == TURNS[1], same["y"]).when(o == TURNS[3], turned("y")).otherwise(same["x"])
+        swap = o.isin(TURNS[1], TURNS[3])
+        return F.struct(z.alias("z"), y.alias("y"), x.alias("x"), s["nz"].alias("nz"), F.when(swap, s["nx"]).otherwise(s["ny"]).alias("ny"), F.when(swap, s["ny"]).otherwise(s["nx"]).alias("nx"))
+
+    return planned.select("image_id", "ops", F.aggregate("ops", start, then).alias("_s")).select("image_id", "ops", "_s.*")
+
+
+def apply_transforms(voxels: DataFrame, plan: DataFrame) -> DataFrame:
+    """Voxels, with whatever columns they have, moved by the map of their image in one projection; images without a plan stay."""
+    j = voxels.join(plan.select("image_id", *[F.col(c).alias(f"_m{c}") for c in "zyx"]), "image_id", "left")
+    new = {}
+    for c in "zyx":
+        m = F.col(f"_m{c}")
+        old = F.when(m["axis"] == 0, F.col("z")).when(m["axis"] == 1, F.col("y")).otherwise(F.col("x"))
+        new[c] = F.coalesce(m["sign"] * old + m["off"], F.col(c)).cast(voxels.schema[c].dataType)
+    return j.withColumns(new).select(voxels.columns)
+
+
 def rotation_average(scored: DataFrame, images: DataFrame) -> DataFrame:
     """Mean of the scores of four rotated copies (column ``k``) at the voxel they stem from. Image sides must be even among rotations: ny and nx are those of the unrotated image."""
     j = scored.join(images.select("image_id", "ny", "nx"), "image_id")
@@ -148,13 +202,12 @@ def crop_around_points(voxels: DataFrame, points: DataFrame, images: DataFrame,
 
 
 def prepare_tile(voxels: DataFrame, mask: DataFrame, images: DataFrame, size: int, seed: int | None = None, channels: int = 1) -> DataFrame:
-    """Image and mask cut to a cube, flipped alike, the mask repeated for each channel."""
+    """Image and mask cut to a cube, moved alike by drawn transforms, the mask repeated for each channel."""
     cubes = [center_crop(v, images, (size,) * 3) for v in (voxels, mask)]
+    both = cubes[0].join(cubes[1].withColumnRenamed("value", "mask"), ["image_id", "z", "y", "x"], "left").fillna(0, ["mask"])
     if seed is not None:
         dims = images.select("image_id", *[F.lit(size).alias(f"n{c}") for c in "zyx"])
-        cubes = [random_flip(v, dims, seed) for v in cubes]
-    keys = ["image_id", "z", "y", "x"]
-    both = cubes[0].join(cubes[1].withColumnRenamed("value", "mask"), keys, "left").fillna(0, ["mask"])
+        both = apply_transforms(both, transform_plan(dims, seed))
     return both.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
 
 
@@ -174,3 +227,15 @@ def dense_ids(df: DataFrame, keys: list[str], column: str, start: int = 0) -> Da
     ranked = names.withColumn("_inside", inside)
     ranked = ranked.join(starts, null_safe(ranked, starts, [*keys, "_range"])).select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, column]], (F.col("_start") + F.col("_inside") + start).alias("_id"))
     return df.join(ranked, null_safe(df, ranked, [*keys, column]), "left").withColumn(column, F.col("_id").cast("long")).select(df.columns)
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, order, value, _i, _sum): the place of each row in its key by ``order``, whose values differ, from 0, and the sum of ``value`` up to it. Rows are dealt out by range, as in ``dense_ids``, so a key may have any number of them."""
+    dealt = df.select(*keys, order, value).repartitionByRange(runtime.shuffle_width(df.sparkSession), *keys, order).withColumn("_range", F.spark_partition_id())
+    dealt = runtime.cut(dealt, "sums")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    ranges = ranges.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    upto = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.withColumns({"_r": F.row_number().over(upto) - 1, "_t": F.sum(value).over(upto)})
+    return inside.join(ranges, [*keys, "_range"]).select(*keys, order, value, (F.col("_n0") + F.col("_r")).cast("long").alias("_i"), (F.col("_s0") + F.col("_t")).alias("_sum"))

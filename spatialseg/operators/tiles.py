@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spatialseg.operators.blocks import CELL, dilated, eroded, on_blocks
 from spatialseg.runtime import cut
 
-CELL = ["image_id", "z", "y", "x"]
 TILE = ["image_id", "tz", "ty", "tx"]
 
 
@@ -104,42 +103,50 @@ def resample_linear(voxels: DataFrame, images: DataFrame, dims: tuple[int, int,
     return g.where("_w > 0").join(v, ["image_id", "_iz", "_iy", "_ix"]).groupBy(*CELL).agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
 
 
-CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-BOX = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+#: Steps of the skeleton between two exchanges of halos, and the side of its blocks.
+STEPS, SKELETON_SIDE = 8, 64
 
 
-def stencil(voxels: DataFrame, images: DataFrame, offsets: list[tuple[int, int, int]], agg) -> DataFrame:
-    """Each cell's aggregate over its neighbours; cells that are absent do not count, cells outside the frame are dropped before the shuffle."""
-    near = F.explode(F.array(*[F.struct(*[F.lit(o).alias(c) for c, o in zip("zyx", off, strict=True)]) for off in offsets])).alias("_o")
-    j = voxels.join(images.select("image_id", "nz", "ny", "nx"), "image_id").select("*", near)
-    moved = j.select("image_id", *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in "zyx"], "value", "nz", "ny", "nx")
-    inside = reduce(lambda a, b: a & b, [(F.col(c) >= 0) & (F.col(c) < F.col(f"n{c}")) for c in "zyx"])
-    return moved.where(inside).groupBy(*CELL).agg(agg("value").alias("value"))
+def same_type(out: DataFrame, voxels: DataFrame) -> DataFrame:
+    return out.withColumn("value", F.col("value").cast(voxels.schema["value"].dataType))
 
 
 def erode(voxels: DataFrame, images: DataFrame) -> DataFrame:
-    return stencil(voxels, images, CROSS, F.min).join(voxels.select(*CELL), CELL, "left_semi")
+    """Each cell's minimum over itself and its six neighbours that are there; NaN and null count as absent."""
+    return same_type(on_blocks(voxels, images, lambda a, _: {"value": eroded(a["value"])}, ["value"], ["value"], 1), voxels)
 
 
 def dilate(voxels: DataFrame, images: DataFrame) -> DataFrame:
-    return stencil(voxels, images, BOX, F.max)
+    """The maximum over the 27 cells around, of each cell of the frame that has one there."""
+    return same_type(on_blocks(voxels, images, lambda a, frame: {"value": dilated(a["value"], frame)}, ["value"], ["value"], 1), voxels)
 
 
 def opening(voxels: DataFrame, images: DataFrame) -> DataFrame:
-    return dilate(erode(voxels, images), images)
-
-
-def soft_skeleton(voxels: DataFrame, images: DataFrame, iters: int) -> DataFrame:
-    """Sum of what openings of ever more eroded images leave: s + relu(d - s d) with d = relu(x - open(x)). Dense input; each step is written."""
-
-    def rest(x: DataFrame) -> DataFrame:
-        o = opening(x, images).withColumnRenamed("value", "_o")
-        return x.join(o, CELL, "left").select(*CELL, F.greatest(F.col("value") - F.coalesce("_o", F.lit(0.0)), F.lit(0.0)).alias("value"))
-
-    x, s = voxels, cut(rest(voxels), "skeleton")
-    for _ in range(iters):
-        x = cut(erode(x, images), "eroded")
-        d = rest(x).withColumnRenamed("value", "_d")
-        grown = F.col("value") + F.greatest(F.col("_d") - F.col("value") * F.col("_d"), F.lit(0.0))
-        s = cut(s.join(d, CELL, "left").select(*CELL, F.coalesce(grown, F.col("value")).alias("value")), "skeleton")
-    return s
+    return same_type(on_blocks(voxels, images, lambda a, frame: {"value": dilated(eroded(a["value"]), frame)}, ["value"], ["value"], 2), voxels)
+
+
+def soft_skeleton(voxels: DataFrame, images: DataFrame, iters: int, side: int = SKELETON_SIDE, steps: int = STEPS) -> DataFrame:
+    """Sum of what openings of ever more eroded images leave: s + relu(d - s d) with d = relu(x - open(x)). ``steps`` iterations run inside a block; between such runs the image and the skeleton are written and dealt out anew."""
+
+    def rest(x: np.ndarray, frame: np.ndarray) -> np.ndarray:
+        return np.maximum(x - np.nan_to_num(dilated(eroded(x), frame)), 0.0)
+
+    def run(n: int, first: bool):
+        def compute(a: dict[str, np.ndarray], frame: np.ndarray) -> dict[str, np.ndarray]:
+            x = a["value"]
+            s = rest(x, frame) if first else a["skeleton"]
+            for _ in range(n):
+                x = eroded(x)
+                d = rest(x, frame)
+                s = s + np.maximum(d - s * d, 0.0)
+            return {"value": x, "skeleton": s}
+
+        return compute
+
+    state, left, first = voxels.select(*CELL, "value"), iters, True
+    while first or left:
+        n = min(steps, left)
+        given = ["value"] if first else ["value", "skeleton"]
+        state = cut(on_blocks(state, images, run(n, first), given, ["value", "skeleton"], n + 2, side), "skeleton")
+        left, first = left - n, False
+    return state.select(*CELL, F.col("skeleton").alias("value"))

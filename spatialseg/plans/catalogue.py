@@ -202,6 +202,31 @@ def _(s, d):
     return P.rot90(*both(s, d), 1)
 
 
+def draw_sql(i: object, what: str, below: int) -> str:
+    return f"(('0x' || substr(md5(image_id::VARCHAR || ':7:{i}:{what}'), 1, 8))::BIGINT % {below})"
+
+
+def moved_sql(i: int) -> str:
+    """One drawn transform after the other, on the coordinates that the ones before it gave."""
+    quarter = f"CASE WHEN {draw_sql(i, 'turns', 9)} <= 3 THEN 0 WHEN {draw_sql(i, 'turns', 9)} <= 6 THEN CASE WHEN {draw_sql(i, 'way', 10)} > 3 THEN 3 ELSE 1 END ELSE 2 END"
+    flip = f"CASE WHEN {draw_sql(i, 'flip', 10)} <= 3 THEN 'z' WHEN {draw_sql(i, 'flip', 10)} <= 6 THEN 'y' ELSE 'x' END"
+    op = f"CASE WHEN {draw_sql(0, 'draws', 3)} + 1 < {i} THEN '0' WHEN {draw_sql(i, 'which', 2)} = 0 THEN {flip} ELSE ({quarter})::VARCHAR END"
+    y = "CASE op WHEN 'y' THEN ny - 1 - y WHEN '1' THEN nx - 1 - x WHEN '2' THEN ny - 1 - y WHEN '3' THEN x ELSE y END"
+    x = "CASE op WHEN 'x' THEN nx - 1 - x WHEN '1' THEN y WHEN '2' THEN nx - 1 - x WHEN '3' THEN ny - 1 - y ELSE x END"
+    side = lambda a, b: f"CASE WHEN op IN ('1', '3') THEN {b} ELSE {a} END"
+    return f"s{i} AS (SELECT image_id, CASE WHEN op = 'z' THEN nz - 1 - z ELSE z END AS z, {y} AS y, {x} AS x, value, mask, nz, {side('ny', 'nx')} AS ny, {side('nx', 'ny')} AS nx FROM (SELECT *, {op} AS op FROM s{i - 1}))"
+
+
+#: Image and mask of all voxels, as the steps move them.
+DRAWN = "s0 AS (SELECT image_id, z, y, x, value, (value >= 50000)::INT AS mask, nz, ny, nx FROM voxels JOIN images USING (image_id)), " + ", ".join(map(moved_sql, (1, 2, 3)))
+
+
+@query("p13_drawn_transforms", sql("voxels images", "SELECT * FROM s3", f"{CELL}, mask", "value", DRAWN))
+def _(s, d):
+    v, i = both(s, d)
+    return P.apply_transforms(v.withColumn("mask", (F.col("value") >= 50000).cast("int")), P.transform_plan(i, 7))
+
+
 @query("p14_rotation_average", sql("voxels", "SELECT * FROM voxels", CELL, "value"))
 def _(s, d):
     v, i = both(s, d)
@@ -246,7 +271,13 @@ def _(s, d):
 
 @query("n4_norm_percentile", sql("voxels", "SELECT image_id, z, y, x, (greatest(least(value, hi), lo) - lo) / (hi - lo) AS value FROM voxels JOIN (SELECT image_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM voxels GROUP BY 1) USING (image_id)", CELL, "value"))
 def _(s, d):
-    return N.norm_percentile(A.voxels(s, d))
+    return N.norm_percentile(cut(A.voxels(s, d), "voxels"))
+
+
+@query("n4_norm_percentile_dtype", sql("voxels images", "SELECT image_id, z, y, x, CASE WHEN dtype = 'float32' THEN unit ELSE trunc(unit * CASE dtype WHEN 'uint8' THEN 255 WHEN 'int8' THEN 127 ELSE 65535 END) END AS value FROM (SELECT *, (greatest(least(value, hi), lo) - lo) / (hi - lo) AS unit FROM whole JOIN (SELECT image_id, CASE WHEN any_value(dtype) = 'uint8' AND quantile_cont(value, 0.01) <= 5 THEN 0.0 ELSE quantile_cont(value, 0.01) END AS lo, CASE WHEN any_value(dtype) = 'uint8' AND quantile_cont(value, 0.99) >= 250 THEN 256.0 ELSE quantile_cont(value, 0.99) END AS hi FROM whole GROUP BY 1) USING (image_id))", CELL, "value", "whole AS (SELECT image_id, z, y, x, floor(value / 400) AS value, dtype FROM voxels JOIN images USING (image_id))"))
+def _(s, d):
+    v = cut(A.voxels(s, d).withColumn("value", F.floor(F.col("value") / 400).cast("double")), "voxels")
+    return N.norm_percentile(v, images=A.images(s, d))
 
 
 @query("n5_normalize_image", sql("voxels", "SELECT image_id, z, y, x, 2 * (greatest(least(value, hi), lo) - lo) / (hi - lo) - 1 AS value FROM m JOIN (SELECT image_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM m GROUP BY 1) USING (image_id)", CELL, "value", "m AS (SELECT image_id, z, y, x, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS value FROM voxels WINDOW w AS (PARTITION BY image_id))"))
@@ -478,7 +509,12 @@ def _(s, d):
     return C.points_in_patches(p, C.bounding_box(p), 100.0, 0.15)
 
 
-@query("c12_merge_small_patches")
+IN_PATCHES = "inp AS (SELECT g.cloud_id, g.patch_id, p.point_id FROM points p JOIN grid g ON p.cloud_id = g.cloud_id AND abs(p.x - c_x) <= sx * (0.575::DOUBLE + 1e-9) AND abs(p.y - c_y) <= sy * (0.575::DOUBLE + 1e-9) AND abs(p.z - c_z) <= sz * (0.575::DOUBLE + 1e-9))"
+#: First-fit as a walk along the patches of a cloud: ``full`` is what the group of the patch has so far.
+FIRST_FIT = "cnt AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY patch_id) AS i FROM (SELECT cloud_id, patch_id, count(*) AS n FROM inp GROUP BY ALL)), reach(cloud_id, i, grp, filled) AS (SELECT cloud_id, i, 0, n FROM cnt WHERE i = 1 UNION ALL SELECT c.cloud_id, c.i, CASE WHEN filled + n > 500 THEN grp + 1 ELSE grp END, CASE WHEN filled + n > 500 THEN n ELSE filled + n END FROM reach r JOIN cnt c ON c.cloud_id = r.cloud_id AND c.i = r.i + 1)"
+
+
+@query("c12_merge_small_patches", sql("points", "SELECT DISTINCT i.cloud_id, r.grp AS patch_id, point_id FROM inp i JOIN cnt c USING (cloud_id, patch_id) JOIN reach r ON r.cloud_id = c.cloud_id AND r.i = c.i", "cloud_id, patch_id, point_id", "", f"{GRIDS}, {IN_PATCHES}, {FIRST_FIT}"))
 def _(s, d):
     p = A.points(s, d)
     return C.merge_small_patches(C.points_in_patches(p, C.bounding_box(p), 100.0), 500)
@@ -722,9 +758,32 @@ def _(s, d):
     return L.filter_short(A.points(s, d), 3000.0).select("cloud_id", "seg_id", "point_id")
 
 
-@query("f12_connect_ends")
-def _(s, d):
-    return L.connect_ends(A.points(s, d), 60.0, 30.0).select("cloud_id", "seg_id", "point_id")
+GAP, VEC = ([f"(b.{c} - a.{c})" for c in "xyz"], [f"(a.v{c} * b.v{c})" for c in "xyz"])
+AXIAL = " + ".join(f"{g} * a.v{c}" for g, c in zip(GAP, "xyz", strict=True))
+APART = "sqrt(" + " + ".join(f"{g} * {g}" for g in GAP) + ")"
+#: Ends with the way out of them, the pairs that face each other best, and the states of a walk along them.
+FACING = f"""nth AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, seg_id ORDER BY ord, point_id) - 1 AS r, count(*) OVER (PARTITION BY cloud_id, seg_id) AS n,
+  {", ".join(f"{c} - lead({c}) OVER w AS o{c}, {c} - lag({c}) OVER w AS i{c}" for c in "xyz")} FROM points WINDOW w AS (PARTITION BY cloud_id, seg_id ORDER BY ord)),
+two AS (SELECT cloud_id, seg_id, 0 AS e, x, y, z, ox AS vx, oy AS vy, oz AS vz FROM nth WHERE n > 1 AND r = 0 UNION ALL SELECT cloud_id, seg_id, 1, x, y, z, ix, iy, iz FROM nth WHERE n > 1 AND r = n - 1),
+en AS (SELECT cloud_id, seg_id, e, x, y, z, {", ".join(f"v{c} / nullif(sqrt(vx * vx + vy * vy + vz * vz), 0.0) AS v{c}" for c in "xyz")} FROM two),
+good AS (SELECT a.cloud_id, a.seg_id AS s, a.e, b.seg_id AS t, b.e AS f, {APART} AS dist, {AXIAL} AS axial FROM en a JOIN en b ON a.cloud_id = b.cloud_id AND a.seg_id <> b.seg_id AND {APART} <= 60 WHERE {" + ".join(VEC)} < 0),
+best AS (SELECT * FROM good WHERE axial >= 0 AND sqrt(greatest(dist * dist - axial * axial, 0.0)) <= 30 QUALIFY row_number() OVER (PARTITION BY cloud_id, s, e ORDER BY dist, t, f) = 1),
+lnk AS (SELECT a.cloud_id, a.s, a.e, a.t, a.f FROM best a JOIN best b ON a.cloud_id = b.cloud_id AND a.t = b.s AND a.f = b.e AND b.t = a.s AND b.f = a.e),
+num AS (SELECT DISTINCT cloud_id, seg_id, n FROM nth),
+reach(cloud_id, s0, e0, s, e, k, passed, ring) AS (SELECT cloud_id, seg_id, e, seg_id, e, 0, n, false FROM num, (VALUES (0), (1)) v(e)
+  UNION ALL SELECT r.cloud_id, s0, e0, t, f, k + 1, passed + n, t = s0 FROM reach r JOIN lnk l ON l.cloud_id = r.cloud_id AND l.s = r.s AND l.e = 1 - r.e JOIN num m ON m.cloud_id = l.cloud_id AND m.seg_id = l.t WHERE NOT ring),
+rings AS (SELECT DISTINCT cloud_id, least(s0, min(s)) AS s FROM reach GROUP BY cloud_id, s0, e0 HAVING bool_or(ring)),
+lnk2 AS (SELECT l.* FROM lnk l WHERE NOT EXISTS (FROM rings g WHERE g.cloud_id = l.cloud_id AND (g.s = l.s AND l.e = 0 OR g.s = l.t AND l.f = 0))),
+wlk(cloud_id, s0, e0, s, e, k, passed) AS (SELECT cloud_id, seg_id, e, seg_id, e, 0, n FROM num, (VALUES (0), (1)) v(e)
+  UNION ALL SELECT r.cloud_id, s0, e0, t, f, k + 1, passed + n FROM wlk r JOIN lnk2 l ON l.cloud_id = r.cloud_id AND l.s = r.s AND l.e = 1 - r.e JOIN num m ON m.cloud_id = l.cloud_id AND m.seg_id = l.t),
+fin AS (SELECT cloud_id, s0, e0, max(passed) AS passed, arg_max(s, k) AS ls, arg_max(e, k) AS le, min(s) AS low FROM wlk GROUP BY ALL),
+way AS (SELECT cloud_id, s0 AS seg_id, min(low) AS chain, arg_max(e0, ls * 2 + le) AS turn, sum(passed) - arg_max(passed, ls * 2 + le) AS other FROM fin GROUP BY cloud_id, s0)"""
+CHAINED = "SELECT p.cloud_id, dense_rank() OVER (PARTITION BY p.cloud_id ORDER BY chain) - 1 AS seg_id, point_id, CASE WHEN other = n AND chain = p.seg_id AND NOT EXISTS (FROM lnk l WHERE l.cloud_id = p.cloud_id AND l.s = p.seg_id) THEN ord ELSE other - n + CASE WHEN turn = 1 THEN n - 1 - r ELSE r END END AS ord FROM nth p JOIN way USING (cloud_id, seg_id)"
+
+
+@query("f12_connect_ends", sql("points", CHAINED, "cloud_id, seg_id, point_id, ord", "", FACING))
+def _(s, d):
+    return L.connect_ends(A.points(s, d), 60.0, 30.0).select("cloud_id", "seg_id", "point_id", "ord")
 
 
 @query("f13_connect_near_segments")
