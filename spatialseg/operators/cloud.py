@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spatialseg import runtime
 from spatialseg.functions.geometry import AXES
 from spatialseg.operators.knn import knn
-from spatialseg.operators.project import dense_ids, prefix_sums
+from spatialseg.operators.project import dense_ids, digest, prefix_sums
 from spatialseg.operators.quantiles import group_quantiles
 
 
@@ -51,7 +51,7 @@ def downsample_rgb(points: DataFrame, cell: float) -> DataFrame:
 def random_downsample(points: DataFrame, frac: float, seed: int = 0) -> DataFrame:
     """Keeps int(n * frac) points of each cloud, by the order of a hash: the bound comes from counts by hash bucket, and only the bucket at the bound is ranked."""
     buckets = 4096
-    p = points.withColumn("_h", F.xxhash64("point_id", F.lit(seed))).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    p = points.withColumn("_h", digest("point_id", F.lit(seed))).withColumn("_b", F.floor(F.col("_h") / ((1 << 60) // buckets)))
     sizes = p.groupBy("cloud_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("cloud_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy("cloud_id"))})
@@ -211,17 +211,20 @@ def labels_from_color(points: DataFrame) -> DataFrame:
     return dense_ids(points.drop("seg_id").withColumn("seg_id", F.when(known, F.struct("r", "g", "b"))), [], "seg_id")
 
 
-def train_test_split(tiles: DataFrame, seed: int = 0) -> DataFrame:
-    """``tiles`` with split: under 1000 tiles one image in five gives four tiles, where it has more than ten; else a 25th, 1000 above 62 500 tiles."""
-    order = F.xxhash64("tz", "ty", "tx", F.lit(seed))
-    n = tiles.count()
+def train_test_split(tiles: DataFrame, seed: int = 0, holdout: tuple[str, ...] = ()) -> DataFrame:
+    """``tiles`` with split: images that ``holdout`` names are test, whole. Of the others, under 1000 tiles one image in five gives four tiles, where it has more than ten; else a 25th of the tiles, 1000 above 62 500."""
+    named = F.coalesce(F.col("image_id").cast("string").isin(*holdout), F.lit(False)) if holdout else F.lit(False)
+    rest = tiles.where(~named)
+    n = rest.count()
     if n < 1000:
-        w = Window.partitionBy("image_id").orderBy(order, "tz", "ty", "tx")
-        chosen = F.pmod(F.xxhash64("image_id", F.lit(seed)), F.lit(5)) == 0
+        w = Window.partitionBy("image_id").orderBy(digest("tz", "ty", "tx", F.lit(seed)), "tz", "ty", "tx")
+        chosen = digest("image_id", F.lit(seed)) % 5 == 0
         test = chosen & (F.count(F.lit(1)).over(Window.partitionBy("image_id")) > 10) & (F.row_number().over(w) <= 4)
-        return tiles.withColumn("split", F.when(test, "test").otherwise("train"))
-    share = 1000 / n if n > 62_500 else 1 / 25
-    return tiles.withColumn("split", F.when(F.pmod(F.xxhash64("image_id", "tz", "ty", "tx", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)), "test").otherwise("train"))
+    else:
+        share = 1000 / n if n > 62_500 else 1 / 25
+        test = digest("image_id", "tz", "ty", "tx", F.lit(seed)) < int(share * (1 << 60))
+    split = rest.withColumn("split", F.when(test, "test").otherwise("train"))
+    return split.unionByName(tiles.where(named).withColumn("split", F.lit("test"))) if holdout else split
 
 
 def one_hot_class(points: DataFrame, n: int = 200) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spatialseg.components import connected_components
 from spatialseg.functions.geometry import AXES, SEGMENT, along, angle_between, cross, distance, dot, norm, step
 from spatialseg.operators.cloud import downsample_medoid
-from spatialseg.operators.graph import kept_edges
+from spatialseg.operators.graph import cut_graph, kept_edges
 from spatialseg.operators.knn import band_pairs
 from spatialseg.operators.project import dense_ids, null_safe
 from spatialseg.operators.raster import interpolate_polyline
@@ -331,6 +331,17 @@ def thin_order_smooth(points: DataFrame, cell: float = 5.0, s: int = 2) -> DataF
     return smooth(order_points(thin.join(many, SEGMENT, "left_semi")), s)
 
 
+def segment_lines(edges: DataFrame, points: DataFrame, threshold: float = 0.5, k: int = 2, prune: int = 5, sort: bool = True, smooth_lines: bool = False, cell: float = 5.0) -> DataFrame:
+    """The graph cut with coordinates: (cloud_id, seg_id, point_id, ord, x, y, z) of the points of each segment, in order along it, or by id where ``sort`` is off. Smoothed lines are thinned by ``cell`` first, those of up to three points go, and segments keep their ids."""
+    cut_ = cut_graph(edges, threshold, k, prune)
+    found = points.select("cloud_id", "point_id", *AXES).join(cut_.withColumnRenamed("node", "point_id"), ["cloud_id", "point_id"])
+    found = found.withColumn("ord", F.lit(0)).select(*SEGMENT, "point_id", "ord", *AXES)
+    if smooth_lines:
+        return thin_order_smooth(found, cell).select(*SEGMENT, "point_id", "ord", *AXES)
+    by_id = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("point_id")) - 1
+    return order_points(found).select(found.columns) if sort else found.withColumn("ord", by_id)
+
+
 def intensity_along(points: DataFrame, voxels: DataFrame) -> DataFrame:
     """Mean and sum of the image under a filament, and both per length."""
     cells = interpolate_polyline(points).select(*SEGMENT, "z", "y", "x").distinct()

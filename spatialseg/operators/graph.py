@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,16 @@ def incoming_neighbours(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def neighbour_slots(edges: DataFrame, k: int) -> DataFrame:
+    """(cloud_id, node, side, rank, src, dst, dist): of each node its k nearest outgoing edges and its k nearest incoming ones, ties to the smaller other end."""
+
+    def of(side: str, node: str, other: str) -> DataFrame:
+        w = Window.partitionBy("cloud_id", node).orderBy("dist", other)
+        return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("cloud_id", F.col(node).alias("node"), F.lit(side).alias("side"), "rank", "src", "dst", "dist")
+
+    return of("out", "src", "dst").unionByName(of("in", "dst", "src"))
+
+
 def stitch_edges_mean(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*PAIR).agg(F.avg("prob").alias("prob"))
 
@@ -131,19 +143,59 @@ def knn_triangles(points: DataFrame, k: int = 6) -> DataFrame:
     return tri.select("cloud_id", "seg_id", *[F.col("t")[i].alias(n) for i, n in enumerate("abc")]).distinct()
 
 
-def score_patches(patch_points: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None, sigma: float = 1.0) -> DataFrame:
-    """Edge probabilities of each patch from ``scorer`` (rows of one patch -> src, dst, prob), self edges 1; without one the Gaussian kernel."""
-    if scorer is None:
+#: Points of a patch that a scorer takes at most.
+PATCH_MOST = 100_000
+#: Scorers that this Python worker has loaded.
+_LOADED: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
+
+
+def loaded(key: str, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The scorer of a key, loaded once in the life of a Python worker."""
+    if key not in _LOADED:
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
+def whole_patches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pd.DataFrame]:
+    """The rows of one patch after the other, from batches that are sorted by patch; a patch of more than ``most`` points is an error as soon as that is known."""
+    kept: list[pd.DataFrame] = []
+    name, rows = None, 0
+    for b in batches:
+        for key, part in b.to_pandas().groupby(["cloud_id", "patch_id"], sort=False, dropna=False):
+            if kept and key != name:
+                yield pd.concat(kept, ignore_index=True)
+                kept, rows = [], 0
+            name, rows = key, rows + len(part)
+            kept.append(part)
+            if rows > most:
+                raise ValueError(f"patch {name[1]} of cloud {name[0]} has more than {most} points")
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def score_patches(patch_points: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None, sigma: float = 1.0, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]] | None = None, most: int = PATCH_MOST) -> DataFrame:
+    """Edge probabilities of each patch from a scorer (rows of one patch by point_id -> src, dst, prob), self edges 1; without one the Gaussian kernel.
+
+    ``load`` makes the scorer where it runs, once for each Python worker and not for each
+    patch: that is where a model is read. Tasks stream through sorted patches and hold
+    one at a time.
+    """
+    if scorer is None and load is None:
         return pairwise_features(patch_points, sigma)
     cloud = patch_points.schema["cloud_id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = scorer(pdf)[["src", "dst", "prob"]].copy()
-        out.insert(0, "patch_id", pdf["patch_id"].iloc[0])
-        out.insert(0, "cloud_id", pdf["cloud_id"].iloc[0])
-        return out
-
-    scored = patch_points.groupBy("cloud_id", "patch_id").applyInPandas(run, f"cloud_id {cloud}, patch_id int, src long, dst long, prob double")
+    key = uuid.uuid4().hex
+    schema = f"cloud_id {cloud}, patch_id int, src long, dst long, prob double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+        for pdf in whole_patches(batches, most):
+            score = scorer if load is None else loaded(key, load)
+            out = score(pdf)[["src", "dst", "prob"]].astype({"src": "int64", "dst": "int64", "prob": "float64"})
+            kind = kind or pa.Schema.from_pandas(pdf[["cloud_id"]], preserve_index=False).field(0).type
+            n = len(out)
+            yield pa.record_batch([pa.array([pdf["cloud_id"].iloc[0]] * n, kind), pa.array([int(pdf["patch_id"].iloc[0])] * n, pa.int32()), *(pa.array(out[c].to_numpy()) for c in ("src", "dst", "prob"))], names=["cloud_id", "patch_id", "src", "dst", "prob"])
+
+    scored = patch_points.repartition("cloud_id", "patch_id").sortWithinPartitions("cloud_id", "patch_id", "point_id").mapInArrow(run, schema)
     return scored.withColumn("prob", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("prob")))
 
 

@@ -212,9 +212,35 @@ def quantile_bins(values: DataFrame, n: int = 5, top_pct: float = 1.0) -> DataFr
 
 def metrics_by_bin(scored: DataFrame, bins: DataFrame, t: float = 0.5) -> DataFrame:
     """Rates over all rows, over rows with a bin, and by bin."""
+    return rates(confusion(region_rows(scored, bins), t, ["group_id", "bin"]))
+
+
+def region_rows(scored: DataFrame, bins: DataFrame) -> DataFrame:
+    """Scored rows once for each region they lie in (column ``bin``): global, binned, their bin, and top."""
     named = scored.join(bins.select("group_id", "item_id", "bin"), ["group_id", "item_id"])
-    parts = scored.withColumn("bin", F.lit("global")).unionByName(named.where("bin <> 'top'").withColumn("bin", F.lit("binned"))).unionByName(named)
-    return rates(confusion(parts, t, ["group_id", "bin"]))
+    return scored.withColumn("bin", F.lit("global")).unionByName(named.where("bin <> 'top'").withColumn("bin", F.lit("binned"))).unionByName(named)
+
+
+def overlaps(df: DataFrame) -> DataFrame:
+    """``rates`` with IoU and Dice."""
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return rates(df).withColumns({"iou": tp / (tp + fp + fn + EPS), "dice": 2 * tp / (2 * tp + fp + fn + EPS)})
+
+
+def region_rollup(scored: DataFrame, bins: DataFrame, t: float = 0.5) -> DataFrame:
+    """Counts and rates by region and data set, by region over all data sets (level 1), and over everything (level 3), from one aggregation. Rows of several regions count in each, so level 3 is of the global region alone."""
+    rows = region_rows(scored, bins)
+    by = rows.rollup("bin", "group_id").agg(F.grouping_id().cast("int").alias("level"), *counts(P() >= t, T() == 1))
+    whole = rows.where("bin = 'global'").agg(*counts(P() >= t, T() == 1)).select(F.lit(None).cast("string").alias("bin"), F.lit(None).cast(scored.schema["group_id"].dataType).alias("group_id"), F.lit(3).alias("level"), "tp", "fp", "tn", "fn")
+    return overlaps(by.where("level < 3").unionByName(whole))
+
+
+def region_pivot(scored: DataFrame, bins: DataFrame, t: float = 0.5, metric: str = "f1", datasets: list[str] | None = None) -> DataFrame:
+    """A row a region, a column a data set with its ``metric``, and ``mean``, their mean. Without ``datasets`` their names are read first."""
+    by = overlaps(confusion(region_rows(scored, bins), t, ["group_id", "bin"]))
+    wide = by.groupBy("bin").pivot("group_id", datasets).agg(F.first(metric))
+    means = by.where(F.col("group_id").isin(datasets)) if datasets else by
+    return wide.join(means.groupBy("bin").agg(F.avg(metric).alias("mean")), "bin")
 
 
 def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -232,16 +258,38 @@ def append_score(run: DataFrame, path: str) -> None:
     run.write.mode("append").parquet(path)
 
 
-def early_stop(history: DataFrame, patience: int = 10, key: str = "run") -> DataFrame:
-    """Epochs since the last improvement of a loss (equal values neither improve nor count) and whether ``patience`` is reached."""
-    w = Window.partitionBy(key).orderBy("epoch")
-    best = F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    h = history.withColumn("_best", best)
-    h = h.withColumns({"_up": (F.col("_best").isNull() | (F.col("loss") < F.col("_best"))).cast("int"), "_worse": F.coalesce((F.col("loss") > F.col("_best")).cast("int"), F.lit(0))})
-    h = h.withColumn("_run", F.sum("_up").over(w))
-    since = Window.partitionBy(key, "_run").orderBy("epoch")
-    h = h.withColumn("counter", F.sum("_worse").over(since).cast("long"))
-    return h.select(key, "epoch", "loss", "counter", (F.col("counter") >= patience).alias("stop"))
+def early_stop(history: DataFrame, patience: int = 10, key: str = "run", min_delta: float = 0.0, column: str = "loss", higher: bool = False) -> DataFrame:
+    """Epochs without improvement and whether ``patience`` is reached.
+
+    A loss improves where it falls below the best one by more than ``min_delta``, a
+    score (``higher``) where it is above the best one less ``min_delta``; either then is
+    the best one, and the count starts anew. A value at exactly that distance neither
+    improves nor counts, nor does a null. Without ``min_delta`` the best value is a running
+    extreme; with it, it depends on each choice before, so the numbers of a run's epochs
+    are folded in order as one bounded array.
+    """
+    if min_delta == 0:
+        w = Window.partitionBy(key).orderBy("epoch")
+        v = -F.col(column) if higher else F.col(column)
+        h = history.withColumn("_v", v).withColumn("_best", F.min("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        first = F.col("_best").isNull() & F.col("_v").isNotNull()
+        h = h.withColumns({"_up": F.coalesce((first | (F.col("_v") < F.col("_best"))).cast("int"), F.lit(0)), "_worse": F.coalesce((F.col("_v") > F.col("_best")).cast("int"), F.lit(0))})
+        since = Window.partitionBy(key, "_run").orderBy("epoch")
+        h = h.withColumn("_run", F.sum("_up").over(w)).withColumn("counter", F.sum("_worse").over(since).cast("long"))
+        return h.select(key, "epoch", column, "counter", (F.col("counter") >= patience).alias("stop"))
+    known = F.sort_array(F.collect_list(F.struct("epoch", F.col(column).cast("double").alias("_v"))))
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).cast("long").alias("counter"), F.array().cast("array<long>").alias("out"))
+
+    def then(s: Column, x: Column) -> Column:
+        ahead = (x["_v"] - s["best"]) if higher else (s["best"] - x["_v"])
+        edge = F.lit(-min_delta if higher else min_delta)
+        better = s["best"].isNull() & x["_v"].isNotNull() | F.coalesce(ahead > edge, F.lit(False))
+        worse = F.coalesce(ahead < edge, F.lit(False))
+        counter = F.when(better, F.lit(0).cast("long")).when(worse, s["counter"] + 1).otherwise(s["counter"])
+        return F.struct(F.when(better, x["_v"]).otherwise(s["best"]).alias("best"), counter.alias("counter"), F.concat(s["out"], F.array(counter)).alias("out"))
+
+    runs = history.groupBy(key).agg(known.alias("_h")).select(key, F.explode(F.arrays_zip(F.col("_h"), F.aggregate("_h", start, then)["out"].alias("counter"))).alias("_x"))
+    return runs.select(key, F.col("_x._h.epoch").alias("epoch"), F.col("_x._h._v").alias(column), F.col("_x.counter").alias("counter"), (F.col("_x.counter") >= patience).alias("stop"))
 
 
 def log(p: Column) -> Column:
@@ -273,6 +321,14 @@ def losses(scored: DataFrame, gamma: float = 0.25, weights: tuple[float, float]
     return scored.groupBy("group_id").agg((F.avg(CE()) + dice_of(P())).alias("bce_dice"), F.avg(CE() * F.when(T() == 1, weights[0]).otherwise(weights[1])).alias("wbce"), F.avg(F.pow(1 - pt, F.lit(gamma)) * CE()).alias("focal"))
 
 
+def cross_entropy(logits: DataFrame) -> DataFrame:
+    """Mean softmax cross-entropy of rows (group_id, logits array, target class from 0), by the largest logit so that none overflows; rows without a target take no part."""
+    top = F.array_max("logits")
+    spread = F.ln(F.aggregate("logits", F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top)))
+    known = logits.where(T().isNotNull())
+    return known.groupBy("group_id").agg(F.avg(top + spread - F.element_at("logits", (T() + 1).cast("int"))).alias("cross_entropy"))
+
+
 def bce_mse(voxels: DataFrame) -> DataFrame:
     """bce plus a tenth of the squared difference to the slices before and after; columns score, target."""
     w = Window.partitionBy("image_id", "y", "x").orderBy("z")

@@ -112,9 +112,15 @@ def rot90(voxels: DataFrame, images: DataFrame, k: int) -> DataFrame:
     return j.withColumns({"y": turned[0], "x": turned[1]}).select(voxels.columns)
 
 
+def digest(*parts: str | Column) -> Column:
+    """A reproducible number in [0, 2^60) from columns and parameters."""
+    text = F.concat_ws(":", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def random_flip(voxels: DataFrame, images: DataFrame, seed: int = 0) -> DataFrame:
     """One axis for each image: of ten states, 0 to 3 flip z, 4 to 6 y, 7 to 9 x."""
-    state = F.pmod(F.xxhash64("image_id", F.lit(seed)), F.lit(10))
+    state = digest("image_id", F.lit(seed)) % 10
     j = voxels.join(images.select("image_id", "nz", "ny", "nx"), "image_id").withColumn("_s", state)
     new = {c: F.when((F.col("_s") >= lo) & (F.col("_s") <= hi), F.col(f"n{c}") - 1 - F.col(c)).otherwise(F.col(c)) for c, lo, hi in (("z", 0, 3), ("y", 4, 6), ("x", 7, 9))}
     return j.withColumns(new).select(voxels.columns)

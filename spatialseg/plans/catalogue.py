@@ -18,7 +18,7 @@ from spatialseg.operators import norm as N
 from spatialseg.operators import project as P
 from spatialseg.operators import raster as R
 from spatialseg.operators import tiles as T
-from spatialseg.runtime import cut, table
+from spatialseg.runtime import cut, table, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,11 +100,11 @@ def _(s, d):
     return tile_report(v, i, 50000.0)
 
 
-@query("s13_prediction_stats", sql("points", "SELECT cloud_id, sum(n)::BIGINT AS points, count(*) AS instances, bool_or(n > 1000) AS any_1000, bool_or(n > 15) AS any_large FROM (SELECT cloud_id, seg_id, count(*) AS n FROM points GROUP BY ALL) GROUP BY 1", "cloud_id, points, instances, any_1000, any_large"))
+@query("s13_prediction_stats", sql("points", "SELECT cloud_id, sum(n)::BIGINT AS points, count(*) AS instances, string_agg(n::VARCHAR, ',' ORDER BY n) AS sizes, bool_or(n > 1000) AS any_1000, bool_or(n > 15) AS any_large FROM (SELECT cloud_id, seg_id, count(*) AS n FROM points GROUP BY ALL) GROUP BY 1", "cloud_id, points, instances, sizes, any_1000, any_large"))
 def _(s, d):
     from spatialseg.sources.tables import prediction_stats
 
-    return prediction_stats(A.points(s, d), 1000, 15).drop("sizes")
+    return prediction_stats(A.points(s, d), 1000, 15).withColumn("sizes", F.array_join(F.transform("sizes", lambda n: n.cast("string")), ","))
 
 
 @query("s15_resume_pending", "SELECT doc_id AS image_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -192,7 +192,12 @@ def _(s, d):
     return P.flip(*both(s, d), "y")
 
 
-@query("p12_random_flip")
+def digest_sql(*parts: str) -> str:
+    """The number that operators draw by."""
+    return f"('0x' || substr(md5({" || ':' || ".join(f"({p})::VARCHAR" for p in parts)}), 1, 15))::BIGINT"
+
+
+@query("p12_random_flip", sql("voxels images", "SELECT image_id, CASE WHEN s <= 3 THEN nz - 1 - z ELSE z END AS z, CASE WHEN s BETWEEN 4 AND 6 THEN ny - 1 - y ELSE y END AS y, CASE WHEN s >= 7 THEN nx - 1 - x ELSE x END AS x, value FROM (SELECT *, " + digest_sql("image_id", "0") + " % 10 AS s FROM voxels JOIN images USING (image_id))", CELL, "value"))
 def _(s, d):
     return P.random_flip(*both(s, d))
 
@@ -478,7 +483,7 @@ def _(s, d):
     return C.downsample_rgb(A.cloud3(s, d).withColumns({c: F.col("point_id") % n for c, n in (("r", 251), ("g", 7), ("b", 3))}), 0.1)
 
 
-@query("c6_random_downsample")
+@query("c6_random_downsample", sql("points", "SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY " + digest_sql("point_id", "0") + ", point_id) <= floor(count(*) OVER (PARTITION BY cloud_id) * 0.3::DOUBLE)", "cloud_id, seg_id, point_id, ord", "x y z"))
 def _(s, d):
     return C.random_downsample(A.points(s, d), 0.3)
 
@@ -562,15 +567,20 @@ def _(s, d):
     return C.labels_from_color(p).select("point_id", "seg_id")
 
 
+@query("c20_named_holdout")
+def _(s, d):
+    return C.train_test_split(tiled(s, d).select("image_id", "tz", "ty", "tx").distinct(), holdout=("2", "5"))
+
+
 @query("c20_train_test_split")
 def _(s, d):
     return C.train_test_split(tiled(s, d).select("image_id", "tz", "ty", "tx").distinct())
 
 
-@query("c22_one_hot_class", sql("cloud3", "SELECT point_id, seg_id AS hot, 1.0 AS total FROM cloud3", "point_id, hot", "total"))
+@query("c22_one_hot_class", sql("cloud3", "SELECT point_id, seg_id AS hot, 1.0 AS total, array_to_string([CASE WHEN i = seg_id THEN 1 ELSE 0 END FOR i IN range(200)], '') AS bits FROM cloud3", "point_id, hot, bits", "total"))
 def _(s, d):
     o = C.one_hot_class(A.cloud3(s, d))
-    return o.select("point_id", (F.array_position("one_hot", 1.0) - 1).alias("hot"), F.aggregate("one_hot", F.lit(0.0), lambda a, b: a + b).alias("total"))
+    return o.select("point_id", (F.array_position("one_hot", 1.0) - 1).alias("hot"), F.aggregate("one_hot", F.lit(0.0), lambda a, b: a + b).alias("total"), F.array_join(F.transform("one_hot", lambda x: x.cast("int").cast("string")), "").alias("bits"))
 
 
 # 2.7 graphs --------------------------------------------------------------------------------
@@ -606,11 +616,25 @@ def _(s, d):
     return G.pairwise_features(A.cloud3(s, d).withColumn("patch_id", F.expr("point_id div 64")), 0.2)
 
 
+@query("s16_bucketed_patches", sql("cloud3", "SELECT a.cloud_id, (a.point_id // 64)::BIGINT AS patch_id, a.point_id AS src, b.point_id AS dst, CASE WHEN a.point_id = b.point_id THEN 1 ELSE exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / (2 * 0.04::DOUBLE)) END AS prob FROM cloud3 a JOIN cloud3 b ON a.cloud_id = b.cloud_id AND a.point_id // 64 = b.point_id // 64", "cloud_id, patch_id, src, dst", "prob"))
+def _(s, d):
+    from spatialseg.sources.files import materialize_buckets
+
+    patches = A.cloud3(s, d).withColumn("patch_id", F.expr("point_id div 64"))
+    path = work_path(s, "buckets")
+    return G.pairwise_features(materialize_buckets(patches, f"patches_{path[-12:]}", path), 0.2)
+
+
 @query("g5_incoming_neighbours", sql("cloud3", "SELECT cloud_id, src, dst, dist, row_number() OVER (PARTITION BY cloud_id, dst ORDER BY dist, src) AS rank FROM near QUALIFY rank <= 3", f"{PAIR}, rank", "dist", near_sql("cloud3", "cloud3", 6)))
 def _(s, d):
     return G.incoming_neighbours(near_edges(s, d), 3)
 
 
+@query("g5_neighbour_slots", sql("cloud3", "SELECT cloud_id, src AS node, 'out' AS side, row_number() OVER (PARTITION BY cloud_id, src ORDER BY dist, dst) AS rank, src, dst, dist FROM near QUALIFY rank <= 3 UNION ALL SELECT cloud_id, dst, 'in', row_number() OVER (PARTITION BY cloud_id, dst ORDER BY dist, src) AS rank, src, dst, dist FROM near QUALIFY rank <= 3", f"{PAIR}, node, side, rank", "dist", near_sql("cloud3", "cloud3", 6)))
+def _(s, d):
+    return G.neighbour_slots(near_edges(s, d), 3)
+
+
 @query("g6_stitch_edges_mean", sql("edges", "SELECT cloud_id, src, dst, avg(prob) AS prob FROM edges GROUP BY ALL", PAIR, "prob"))
 def _(s, d):
     return G.stitch_edges_mean(A.edges(s, d))
@@ -662,6 +686,13 @@ def _(s, d):
     return G.cut_graph(A.edges(s, d), 0.7, 2, 5)
 
 
+@query("g15_segment_lines", sql("edges", "SELECT s.cloud_id, seg_id, node AS point_id, row_number() OVER (PARTITION BY seg_id ORDER BY node) - 1 AS ord, p_partkey::DOUBLE AS x, (p_partkey * 31 % 64)::DOUBLE AS y, (p_partkey % 5)::DOUBLE AS z FROM seg s JOIN part ON p_partkey = node", "cloud_id, seg_id, point_id, ord", XYZ, BIG))
+def _(s, d):
+    p = F.col("p_partkey")
+    points = table(s, d, "part").select(F.lit("all").alias("cloud_id"), p.alias("point_id"), p.cast("double").alias("x"), (p * 31 % 64).cast("double").alias("y"), (p % 5).cast("double").alias("z"))
+    return L.segment_lines(A.edges(s, d), points, 0.7, 2, 5, sort=False)
+
+
 @query("g16_polyline_edges", sql("points", "SELECT cloud_id, seg_id, point_id AS src, lead(point_id) OVER (PARTITION BY cloud_id, seg_id ORDER BY ord) AS dst FROM points QUALIFY dst IS NOT NULL", "cloud_id, seg_id, src, dst"))
 def _(s, d):
     return G.polyline_edges(A.points(s, d))
@@ -733,7 +764,10 @@ def _(s, d):
     return L.cut_sharp_bends(A.points(s, d)).select("cloud_id", "seg_id", "point_id", "ord")
 
 
-@query("f7_resample")
+SPACED = "al AS (SELECT *, sum(step) OVER w AS pos FROM st WINDOW w AS (PARTITION BY cloud_id, seg_id ORDER BY ord)), nx AS (SELECT *, lead(pos) OVER w AS npos, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM al WINDOW w AS (PARTITION BY cloud_id, seg_id ORDER BY ord)), ks AS (SELECT *, unnest(CASE WHEN npos IS NULL AND pos = 0 THEN [0] WHEN npos IS NOT NULL THEN generate_series(ceil(pos / 100)::BIGINT, (ceil(npos / 100) - 1)::BIGINT) ELSE [] END) AS k FROM nx), pt AS (SELECT *, coalesce((k * 100 - pos) / nullif(npos - pos, 0), 0) AS part FROM ks)"
+
+
+@query("f7_resample", sql("points", "SELECT cloud_id, seg_id, k::INT AS ord, " + ", ".join(f"coalesce({c} + part * (n{c} - {c}), {c}) AS {c}" for c in "xyz") + " FROM pt", "cloud_id, seg_id, ord", XYZ, f"{LEN}, {SPACED}"))
 def _(s, d):
     return L.resample(A.points(s, d), 100.0)
 
@@ -758,15 +792,15 @@ def _(s, d):
     return L.filter_short(A.points(s, d), 3000.0).select("cloud_id", "seg_id", "point_id")
 
 
-GAP, VEC = ([f"(b.{c} - a.{c})" for c in "xyz"], [f"(a.v{c} * b.v{c})" for c in "xyz"])
-AXIAL = " + ".join(f"{g} * a.v{c}" for g, c in zip(GAP, "xyz", strict=True))
-APART = "sqrt(" + " + ".join(f"{g} * {g}" for g in GAP) + ")"
+TOWARD, FACE = [f"(b.{c} - a.{c})" for c in "xyz"], " + ".join(f"(a.v{c} * b.v{c})" for c in "xyz")
+AXIAL = " + ".join(f"{g} * a.v{c}" for g, c in zip(TOWARD, "xyz", strict=True))
+APART = "sqrt(" + " + ".join(f"{g} * {g}" for g in TOWARD) + ")"
 #: Ends with the way out of them, the pairs that face each other best, and the states of a walk along them.
 FACING = f"""nth AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, seg_id ORDER BY ord, point_id) - 1 AS r, count(*) OVER (PARTITION BY cloud_id, seg_id) AS n,
   {", ".join(f"{c} - lead({c}) OVER w AS o{c}, {c} - lag({c}) OVER w AS i{c}" for c in "xyz")} FROM points WINDOW w AS (PARTITION BY cloud_id, seg_id ORDER BY ord)),
 two AS (SELECT cloud_id, seg_id, 0 AS e, x, y, z, ox AS vx, oy AS vy, oz AS vz FROM nth WHERE n > 1 AND r = 0 UNION ALL SELECT cloud_id, seg_id, 1, x, y, z, ix, iy, iz FROM nth WHERE n > 1 AND r = n - 1),
 en AS (SELECT cloud_id, seg_id, e, x, y, z, {", ".join(f"v{c} / nullif(sqrt(vx * vx + vy * vy + vz * vz), 0.0) AS v{c}" for c in "xyz")} FROM two),
-good AS (SELECT a.cloud_id, a.seg_id AS s, a.e, b.seg_id AS t, b.e AS f, {APART} AS dist, {AXIAL} AS axial FROM en a JOIN en b ON a.cloud_id = b.cloud_id AND a.seg_id <> b.seg_id AND {APART} <= 60 WHERE {" + ".join(VEC)} < 0),
+good AS (SELECT a.cloud_id, a.seg_id AS s, a.e, b.seg_id AS t, b.e AS f, {APART} AS dist, {AXIAL} AS axial FROM en a JOIN en b ON a.cloud_id = b.cloud_id AND a.seg_id <> b.seg_id AND {APART} <= 60 WHERE {FACE} < 0),
 best AS (SELECT * FROM good WHERE axial >= 0 AND sqrt(greatest(dist * dist - axial * axial, 0.0)) <= 30 QUALIFY row_number() OVER (PARTITION BY cloud_id, s, e ORDER BY dist, t, f) = 1),
 lnk AS (SELECT a.cloud_id, a.s, a.e, a.t, a.f FROM best a JOIN best b ON a.cloud_id = b.cloud_id AND a.t = b.s AND a.f = b.e AND b.t = a.s AND b.f = a.e),
 num AS (SELECT DISTINCT cloud_id, seg_id, n FROM nth),
@@ -826,7 +860,10 @@ def _(s, d):
     return L.thin_order_smooth(A.points(s, d), 20.0)
 
 
-@query("f19_intensity_along")
+ROUTE = TRACKS + ", wk AS (SELECT *, greatest(coalesce(greatest(abs(dx), abs(dy), abs(dz)), 1), 1) AS n FROM (SELECT cloud_id, seg_id, ord, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, lead(x::BIGINT) OVER v - x::BIGINT AS dx, lead(y::BIGINT) OVER v - y::BIGINT AS dy, lead(z::BIGINT) OVER v - z::BIGINT AS dz FROM tracks WINDOW v AS (PARTITION BY cloud_id, seg_id ORDER BY ord))), rt AS (SELECT DISTINCT cloud_id, seg_id, " + ", ".join(f"({c} + sign(coalesce(d{c}, 0)) * ((2 * k * abs(coalesce(d{c}, 0)) + n) // (2 * n)))::INT AS {c}" for c in "zyx") + " FROM (SELECT *, unnest(range(n)) AS k FROM wk)), tl AS (SELECT cloud_id, seg_id, sum(s) AS length FROM (SELECT cloud_id, seg_id, coalesce(sqrt((x - lag(x) OVER v) * (x - lag(x) OVER v) + (y - lag(y) OVER v) * (y - lag(y) OVER v) + (z - lag(z) OVER v) * (z - lag(z) OVER v)), 0) AS s FROM tracks WINDOW v AS (PARTITION BY cloud_id, seg_id ORDER BY ord)) GROUP BY ALL)"
+
+
+@query("f19_intensity_along", sql("voxels", "SELECT cloud_id, seg_id, avg(value) AS mean_intensity, sum(value) AS sum_intensity, avg(value) / nullif(any_value(length), 0) AS mean_intensity_per_length, sum(value) / nullif(any_value(length), 0) AS sum_intensity_per_length FROM rt JOIN voxels v ON v.image_id = rt.cloud_id AND v.z = rt.z AND v.y = rt.y AND v.x = rt.x JOIN tl USING (cloud_id, seg_id) GROUP BY cloud_id, seg_id", SEG, "mean_intensity sum_intensity mean_intensity_per_length sum_intensity_per_length", ROUTE))
 def _(s, d):
     return L.intensity_along(tracks(s, d), A.voxels(s, d))
 
@@ -908,7 +945,13 @@ def _(s, d):
     return M.assign_to_pole(A.points(s, d), poles(s, d))
 
 
-@query("m10_classify_filaments")
+#: Ends with their distance to the surface and to the nearest pole, and whether a segment lies in the surface's box.
+SIDES = POLES + ", " + ENDS + ", sf AS (SELECT e.cloud_id, e.seg_id, " + ", ".join(f"min({pole_dist(f'e.{p}_')}) AS {p}_s" for p in "ab") + " FROM ends e JOIN mesh o USING (cloud_id) GROUP BY ALL), pd AS (SELECT e.cloud_id, e.seg_id, " + ", ".join(f"min({pole_dist(f'e.{p}_')}) AS {p}d, arg_min(pole_id, ({pole_dist(f'e.{p}_')}, pole_id)) AS {p}p" for p in "ab") + " FROM ends e JOIN poles o USING (cloud_id) GROUP BY ALL), bx AS (SELECT cloud_id, " + ", ".join(f"min({c}) AS l{c}, max({c}) AS h{c}" for c in "xyz") + " FROM mesh GROUP BY 1), ib AS (SELECT cloud_id, seg_id, " + " AND ".join(f"{p}_{c} BETWEEN l{c} AND h{c}" for p in "ab" for c in "xyz") + " AS inside FROM ends JOIN bx USING (cloud_id))"
+
+
+@query("m10_classify_filaments", sql("points", """SELECT cloud_id, seg_id, CASE WHEN a_s <= 10 OR b_s <= 10 THEN 'attached_' || CASE WHEN ad <= bd THEN ap ELSE bp END || CASE WHEN inside THEN '_inside' ELSE '_outside' END
+  WHEN least(a_s, b_s) <= 60 THEN 'mid' WHEN ap <> bp AND greatest(ad, bd) <= 60 THEN 'bridging' WHEN ap <> bp THEN 'interdigitating' ELSE 'remaining' END AS "group"
+  FROM (SELECT cloud_id, seg_id, a_s, b_s, ad, bd, ap, bp, inside FROM sf JOIN pd USING (cloud_id, seg_id) JOIN ib USING (cloud_id, seg_id))""", 'cloud_id, seg_id, "group"', "", SIDES))
 def _(s, d):
     return M.classify_filaments(A.points(s, d), mesh(s, d), poles(s, d), 10.0, 60.0)
 
@@ -1031,7 +1074,18 @@ def _(s, d):
     return E.graph_benchmark(A.scored(s, d), *moved(s, d), 0.05)
 
 
-@query("e17_coverage_by_threshold")
+#: The graph cut at each threshold, which is part of every key, and the coverage of the true segments.
+BY_THRESHOLD = """th(t) AS (VALUES (0.6), (0.7), (0.9)), med AS (SELECT t, src, dst, median(prob) AS prob FROM edges, th WHERE prob >= t AND src <> dst GROUP BY ALL),
+mut AS (SELECT m.* FROM med m SEMI JOIN med b ON m.t = b.t AND m.src = b.dst AND m.dst = b.src), top AS (SELECT * FROM mut QUALIFY row_number() OVER (PARTITION BY t, src ORDER BY prob DESC, dst) <= 2),
+kept AS (SELECT a.* FROM top a SEMI JOIN top b ON a.t = b.t AND a.src = b.dst AND a.dst = b.src),
+reach(t, node, other) AS (SELECT DISTINCT t, src, src FROM kept UNION SELECT r.t, r.node, k.dst FROM reach r JOIN kept k ON r.t = k.t AND r.other = k.src),
+comp AS (SELECT t, node, min(other) AS p FROM reach GROUP BY 1, 2), big AS (SELECT * FROM comp QUALIFY count(*) OVER (PARTITION BY t, p) >= 5),
+tru AS (SELECT t, p_partkey AS node, p_partkey // 7 AS s FROM part, th), pr AS (SELECT b.t, b.node, p FROM big b JOIN tru USING (t, node)),
+pn AS (SELECT t, p, count(*) AS pn FROM pr GROUP BY 1, 2), tn AS (SELECT t, s, count(*) AS tn FROM tru GROUP BY 1, 2), it AS (SELECT t, p, s, count(*) AS n FROM pr JOIN tru USING (t, node) GROUP BY ALL),
+bst AS (SELECT t, s, max(n / (pn + tn - n)) AS b FROM it JOIN pn USING (t, p) JOIN tn USING (t, s) GROUP BY ALL)"""
+
+
+@query("e17_coverage_by_threshold", sql("edges", "SELECT 'all' AS cloud_id, t::DOUBLE AS threshold, avg(coalesce(b, 0)) AS mcov, sum(coalesce(b, 0) * tn) / sum(tn) AS mwcov FROM tn LEFT JOIN bst USING (t, s) GROUP BY t", "cloud_id", "threshold mcov mwcov", BY_THRESHOLD))
 def _(s, d):
     p = F.col("p_partkey")
     truth = table(s, d, "part").select(F.lit("all").alias("cloud_id"), p.alias("point_id"), F.floor(p / 7).alias("seg_id"), p.cast("double").alias("x"), (p * 31 % 64).cast("double").alias("y"), (p % 5).cast("double").alias("z"))
@@ -1063,6 +1117,24 @@ def _(s, d):
     return E.metrics_by_bin(sc, E.quantile_bins(sc.withColumnRenamed("score", "value")), 0.05).select("group_id", "bin", "tp", "fp", "tn", "fn")
 
 
+#: Rows of all regions, and their counts by region and data set.
+REGIONS = BINS + ", rg AS (SELECT group_id, 'global' AS bin, score, target FROM scored UNION ALL SELECT b.group_id, CASE WHEN k = 0 THEN 'binned' ELSE b.bin END, s.score, s.target FROM bn b JOIN scored s ON s.group_id = b.group_id AND s.item_id = b.item_id, (VALUES (0), (1)) v(k) WHERE k = 1 OR b.bin <> 'top')"
+COUNTED = "count(*) FILTER (score >= 0.05 AND target = 1) AS tp, count(*) FILTER (score >= 0.05 AND target = 0) AS fp, count(*) FILTER (score < 0.05 AND target = 0) AS tn, count(*) FILTER (score < 0.05 AND target = 1) AS fn"
+RATED = "2 * (tp / (tp + fp + 1e-16)) * (tp / (tp + fn + 1e-16)) / (tp / (tp + fp + 1e-16) + tp / (tp + fn + 1e-16) + 1e-16) AS f1"
+
+
+@query("e21_region_rollup", sql("scored", f"SELECT *, {RATED}, tp / (tp + fp + fn + 1e-16) AS iou FROM (SELECT bin, group_id, grouping(bin) * 2 + grouping(group_id) AS level, {COUNTED} FROM rg GROUP BY GROUPING SETS ((bin, group_id), (bin)) UNION ALL SELECT NULL, NULL, 3, {COUNTED} FROM scored)", "bin, group_id, level::INT AS level, tp, fp, tn, fn", "f1 iou", REGIONS))
+def _(s, d):
+    sc = A.scored(s, d)
+    return E.region_rollup(sc, E.quantile_bins(sc.withColumnRenamed("score", "value")), 0.05).select("bin", "group_id", "level", "tp", "fp", "tn", "fn", "f1", "iou")
+
+
+@query("e21_region_pivot", sql("scored", f"SELECT bin, avg(f1) AS mean, " + ", ".join(f"max(f1) FILTER (group_id = '{g}') AS {g}" for g in ("de", "en", "es", "fr")) + f" FROM (SELECT *, {RATED} FROM (SELECT bin, group_id, {COUNTED} FROM rg GROUP BY ALL)) WHERE group_id IN ('de', 'en', 'es', 'fr') GROUP BY bin", "bin", "mean de en es fr", REGIONS))
+def _(s, d):
+    sc = A.scored(s, d)
+    return E.region_pivot(sc, E.quantile_bins(sc.withColumnRenamed("score", "value")), 0.05, datasets=["de", "en", "es", "fr"])
+
+
 def runs(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders")
     return o.select(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").alias("ts"), F.create_map(F.lit("a"), F.col("o_totalprice"), F.lit("b"), F.col("o_totalprice") % 1000).alias("metrics"))
@@ -1084,6 +1156,25 @@ def _(s, d):
     return E.early_stop(A.history(s, d).withColumn("run", F.lit("r"))).drop("run")
 
 
+#: A run's losses folded in order; a loss must beat the best one by more than a thousandth of the largest.
+STOPPING = "hs AS (SELECT *, row_number() OVER (ORDER BY epoch) AS i FROM history), reach(i, epoch, loss, best, counter) AS (SELECT i, epoch, loss, loss, 0::BIGINT FROM hs WHERE i = 1 UNION ALL SELECT h.i, h.epoch, h.loss, CASE WHEN best - h.loss > 500 THEN h.loss ELSE best END, CASE WHEN best - h.loss > 500 THEN 0 WHEN best - h.loss < 500 THEN counter + 1 ELSE counter END FROM reach r JOIN hs h ON h.i = r.i + 1)"
+
+
+@query("e24_early_stop_delta", sql("history", "SELECT epoch, loss, counter, counter >= 10 AS stop FROM reach", "epoch, counter, stop", "loss", STOPPING))
+def _(s, d):
+    return E.early_stop(A.history(s, d).withColumn("run", F.lit("r")), min_delta=500.0).drop("run")
+
+
+@query("e24_early_stop_score", sql("history", "SELECT epoch, loss, counter, counter >= 10 AS stop FROM reach", "epoch, counter, stop", "loss", STOPPING.replace("best - h.loss > 500", "h.loss > best").replace("best - h.loss < 500", "h.loss < best")))
+def _(s, d):
+    return E.early_stop(A.history(s, d).withColumn("run", F.lit("r")), higher=True).drop("run")
+
+
+@query("e27_cross_entropy", "WITH l AS (SELECT label AS group_id, [e::DOUBLE FOR e IN embedding[1:4]] AS g, vec_id % 4 AS t FROM embeddings), q AS (SELECT group_id, avg(ln(list_sum([exp(e) FOR e IN g])) - g[t + 1]) AS cross_entropy FROM l GROUP BY 1) SELECT group_id, round(cross_entropy, 6) + 0.0 AS cross_entropy FROM q")
+def _(s, d):
+    return E.cross_entropy(table(s, d, "embeddings").select(F.col("label").alias("group_id"), F.transform(F.slice("embedding", 1, 4), lambda e: e.cast("double")).alias("logits"), (F.col("vec_id") % 4).alias("target")))
+
+
 @query("e25_bce", sql("scored", f"SELECT group_id, avg({CE}) AS bce, coalesce(avg({CE}) FILTER (target = 1), 0) + coalesce(avg({CE}) FILTER (target = 0), 0) AS bce_by_class FROM scored GROUP BY 1", "group_id", "bce bce_by_class"))
 def _(s, d):
     return E.bce(A.scored(s, d))

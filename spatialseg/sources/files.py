@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from spatialseg.functions.geometry import AXES
 from spatialseg.operators.cloud import labels_from_color
+from spatialseg.runtime import shuffle_width
 from spatialseg.sources.volumes import scan_volume_headers, scan_volume_slabs  # noqa: F401
 
 IMAGE_SUFFIXES = (".mrc", ".rec", ".map", ".tif", ".tiff", ".am")
@@ -179,3 +180,18 @@ def materialize(df: DataFrame, path: str, key: str = "cloud_id") -> DataFrame:
     """Keep prepared rows for later passes, one folder a key."""
     df.write.partitionBy(key).parquet(path)
     return df.sparkSession.read.schema(T.StructType([*[f for f in df.schema if f.name != key], df.schema[key]])).parquet(path)
+
+
+def materialize_buckets(df: DataFrame, name: str, path: str, keys: tuple[str, ...] = ("cloud_id", "patch_id"), buckets: int | None = None) -> DataFrame:
+    """Keep prepared rows as table ``name``, dealt into buckets by ``keys`` and sorted by them, one file a bucket however many clouds there are. Joins and groupings on the keys need no exchange in later passes."""
+    n = buckets or shuffle_width(df.sparkSession)
+    df.repartition(n, *keys).write.mode("overwrite").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def attach_buckets(spark: SparkSession, name: str, path: str, keys: tuple[str, ...] = ("cloud_id", "patch_id"), buckets: int = 8) -> DataFrame:
+    """The table of ``materialize_buckets`` in another session; keys and number of buckets must be those it was written with."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    by = ", ".join(f"`{k}`" for k in keys)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)

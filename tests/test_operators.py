@@ -233,8 +233,8 @@ def test_streams(spark, tmp_path):
         streams.watch_points(spark, src, out, f"file://{tmp_path}/ck").awaitTermination()
         assert spark.read.parquet(out).count() == k + 1
     spark.createDataFrame([("m", "d", 1, 0.5), ("m", "d", 2, 0.4)], "model string, dataset string, ts long, score double").write.parquet(f"file://{tmp_path}/runs")
-    streams.watch_metrics(spark, f"file://{tmp_path}/runs", "best", f"file://{tmp_path}/ck2").awaitTermination()
-    assert tuple(spark.table("best").first()) == ("m", "d", 0.5, 1, 2)
+    streams.watch_metrics(spark, f"file://{tmp_path}/runs", f"file://{tmp_path}/best", f"file://{tmp_path}/ck2").awaitTermination()
+    assert tuple(streams.registry(spark, f"file://{tmp_path}/best").first()) == ("m", "d", 0.5, 1, 2)
 
 
 def test_graph_of_rings(spark):
