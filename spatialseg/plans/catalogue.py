@@ -400,10 +400,28 @@ def _(s, d):
     return T.opening(*both(s, d))
 
 
-@query("t12_soft_skeleton")
+def eroded_sql(src: str) -> str:
+    cross = "(VALUES (0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(dz, dy, dx)"
+    return f"SELECT a.* FROM (SELECT image_id, z + dz AS z, y + dy AS y, x + dx AS x, min(value) AS value FROM {src}, {cross} GROUP BY ALL) a SEMI JOIN {src} b ON a.image_id = b.image_id AND a.z = b.z AND a.y = b.y AND a.x = b.x"
+
+
+def skeleton_sql(src: str, iters: int, name: str) -> str:
+    """CTEs of the images eroded once to ``iters`` times, what openings leave of them, and the skeleton so far."""
+    out = []
+    for i in range(iters + 1):
+        x = src if i == 0 else f"{name}x{i}"
+        if i:
+            out.append(f"{x} AS ({eroded_sql(src if i == 1 else f'{name}x{i - 1}')})")
+        out += [f"{name}e{i} AS ({eroded_sql(x)})", f"{name}o{i} AS ({DILATE.format(f'{name}e{i}')})"]
+        out.append(f"{name}d{i} AS (SELECT x.image_id, x.z, x.y, x.x, greatest(x.value - coalesce(o.value, 0), 0.0) AS value FROM {x} x LEFT JOIN {name}o{i} o ON o.image_id = x.image_id AND o.z = x.z AND o.y = x.y AND o.x = x.x)")
+        out.append(f"{name}s{i} AS (" + (f"SELECT * FROM {name}d0" if i == 0 else f"SELECT s.image_id, s.z, s.y, s.x, s.value + greatest(d.value - s.value * d.value, 0.0) AS value FROM {name}s{i - 1} s JOIN {name}d{i} d ON s.image_id = d.image_id AND s.z = d.z AND s.y = d.y AND s.x = d.x") + ")")
+    return ", ".join(out)
+
+
+@query("t12_soft_skeleton", sql("voxels", "SELECT * FROM ks2", CELL, "value", "im AS (SELECT image_id, z, y, x, value / 131072 AS value FROM voxels), " + skeleton_sql("im", 2, "k")))
 def _(s, d):
     v, i = both(s, d)
-    return T.soft_skeleton(v.withColumn("value", F.col("value") / 100000), i, 2)
+    return T.soft_skeleton(v.withColumn("value", F.col("value") / 131072), i, 2)
 
 
 # 2.5 raster --------------------------------------------------------------------------------
@@ -535,7 +553,33 @@ def _(s, d):
     return G.load_labelled_dataset(A.cloud3(s, d), "part", max_points=100)["edges"]
 
 
-@query("c14_build_patches")
+#: Clouds of up to 500 points are one patch; of the others first-fit groups of boxes.
+BUILT = f"{GRIDS}, {IN_PATCHES}, {FIRST_FIT}, nn AS (SELECT cloud_id, count(*) AS n FROM points GROUP BY 1), bp AS (SELECT cloud_id, 0 AS patch_id, point_id FROM points JOIN nn USING (cloud_id) WHERE n <= 500 UNION SELECT i.cloud_id, r.grp, point_id FROM inp i JOIN cnt c USING (cloud_id, patch_id) JOIN reach r ON r.cloud_id = c.cloud_id AND r.i = c.i JOIN nn ON nn.cloud_id = i.cloud_id WHERE nn.n > 500)"
+
+
+def boxes_sql(c: str, src: str) -> str:
+    """Rows of ``src`` once for each box along an axis that holds the point."""
+    return f"i{c} AS (SELECT *, unnest(generate_series(greatest(ceil(at_{c} - 0.575 - 1e-9), 0)::INT, least(floor(at_{c} + 0.575 + 1e-9), n_{c} - 1)::INT)) AS i_{c} FROM {src})"
+
+
+#: The largest of a row of sizes at which no box has more than 500 points.
+SIZES = (
+    BOX.replace("box AS", "bx AS")
+    + ", sz AS (SELECT max(hi_x - lo_x) / 10 - i * greatest(max(hi_y - lo_y) / 100, 1e-6) AS size FROM bx, range(10) r(i) GROUP BY i HAVING size > greatest(max(hi_y - lo_y) / 100, 1e-6))"
+    + ", nb AS (SELECT *, greatest(ceil((hi_x - lo_x) / size), 2) AS n_x, greatest(ceil((hi_y - lo_y) / size), 2) AS n_y, greatest(floor(greatest(ceil((hi_z - lo_z) / size), 2) / 2), 2) AS n_z FROM bx, sz)"
+    + ", pl AS (SELECT p.cloud_id, size, n_x, n_y, n_z, " + ", ".join(f"({c} - lo_{c}) / ((hi_{c} - lo_{c}) / (n_{c} - 1)) AS at_{c}" for c in "xyz") + " FROM points p JOIN nb USING (cloud_id))"
+    + f", {boxes_sql('x', 'pl')}, {boxes_sql('y', 'ix')}, {boxes_sql('z', 'iy')}"
+    + ", worst AS (SELECT size, max(n) AS w FROM (SELECT size, cloud_id, i_x, i_y, i_z, count(*) AS n FROM iz GROUP BY ALL) GROUP BY 1)"
+)
+
+
+@query("c11_choose_patch_size", sql("points", "SELECT max(size) AS size FROM worst WHERE w <= 500", "", "size", SIZES))
+def _(s, d):
+    p = A.points(s, d)
+    return s.createDataFrame([(C.choose_patch_size(p, 500),)], "size double")
+
+
+@query("c14_build_patches", sql("points", "SELECT cloud_id, patch_id, point_id, row_number() OVER (PARTITION BY cloud_id, patch_id ORDER BY point_id) - 1 AS local_idx FROM bp", "cloud_id, patch_id, point_id, local_idx", "", BUILT))
 def _(s, d):
     return C.build_patches(A.points(s, d), 500, size=100.0)
 
@@ -567,12 +611,16 @@ def _(s, d):
     return C.labels_from_color(p).select("point_id", "seg_id")
 
 
-@query("c20_named_holdout")
+#: Under 1000 tiles: four tiles of one image in five.
+SPLIT = TV + ", tl AS (SELECT DISTINCT image_id, tz, ty, tx FROM tv), sp AS (SELECT *, CASE WHEN " + digest_sql("image_id", "0") + " % 5 = 0 AND count(*) OVER (PARTITION BY image_id) > 10 AND row_number() OVER (PARTITION BY image_id ORDER BY " + digest_sql("tz", "ty", "tx", "0") + ", tz, ty, tx) <= 4 THEN 'test' ELSE 'train' END AS split FROM tl)"
+
+
+@query("c20_named_holdout", sql("voxels images", "SELECT image_id, tz, ty, tx, CASE WHEN image_id IN (2, 5) THEN 'test' ELSE split END AS split FROM sp", f"{TILE}, split", "", SPLIT))
 def _(s, d):
     return C.train_test_split(tiled(s, d).select("image_id", "tz", "ty", "tx").distinct(), holdout=("2", "5"))
 
 
-@query("c20_train_test_split")
+@query("c20_train_test_split", sql("voxels images", "SELECT * FROM sp", f"{TILE}, split", "", SPLIT))
 def _(s, d):
     return C.train_test_split(tiled(s, d).select("image_id", "tz", "ty", "tx").distinct())
 
@@ -703,17 +751,19 @@ def _(s, d):
     return G.knn_triangles(A.cloud3(s, d), 4)
 
 
-@query("g18_score_patches")
+@query("g18_score_patches", sql("cloud3", "SELECT * FROM (SELECT cloud_id, (point_id // 300)::INT AS patch_id, point_id AS src, lead(point_id) OVER w AS dst, exp(-((x - lead(x) OVER w) * (x - lead(x) OVER w))) AS prob FROM cloud3 WINDOW w AS (PARTITION BY cloud_id, point_id // 300 ORDER BY point_id)) WHERE dst IS NOT NULL", "cloud_id, patch_id, src, dst", "prob"))
 def _(s, d):
+    import numpy as np
     import pandas as pd
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf.sort_values("point_id")["point_id"].to_numpy()
-        return pd.DataFrame({"src": ids[:-1], "dst": ids[1:], "prob": 0.9})
+    def load():
+        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"src": pdf["point_id"][:-1].to_numpy(), "dst": pdf["point_id"][1:].to_numpy(), "prob": np.exp(-(np.diff(pdf["x"]) ** 2))})
 
-    pts = A.cloud3(s, d)
-    patches = C.build_patches(pts, 500)
-    return G.score_patches(patches.join(pts.select("cloud_id", "point_id", "x", "y", "z"), ["cloud_id", "point_id"]), chain)
+        return chain
+
+    pts = A.cloud3(s, d).withColumn("patch_id", F.expr("point_id div 300").cast("int"))
+    return G.score_patches(pts.select("cloud_id", "patch_id", "point_id", "x", "y", "z"), load=load)
 
 
 # 2.8 filaments -----------------------------------------------------------------------------
@@ -759,7 +809,11 @@ def _(s, d):
     return L.bend_angles(A.points(s, d)).select("cloud_id", "seg_id", "point_id", "angle")
 
 
-@query("f6_cut_sharp_bends")
+#: Of a run of sharp bends every second one cuts, the first among them.
+BENT = ANGLE + ", sh AS (SELECT p.*, coalesce((angle < 150)::INT, 0) AS sharp FROM points p JOIN an USING (cloud_id, seg_id, point_id)), cl AS (SELECT *, sum(1 - sharp) OVER (PARTITION BY cloud_id, seg_id ORDER BY ord) AS calm FROM sh), ct AS (SELECT *, CASE WHEN sharp = 1 AND row_number() OVER (PARTITION BY cloud_id, seg_id, calm, sharp ORDER BY ord) % 2 = 1 THEN 1 ELSE 0 END AS cut_ FROM cl), pa AS (SELECT *, coalesce(sum(cut_) OVER (PARTITION BY cloud_id, seg_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM ct)"
+
+
+@query("f6_cut_sharp_bends", sql("points", "SELECT cloud_id, dense_rank() OVER (PARTITION BY cloud_id ORDER BY seg_id, part) - 1 AS seg_id, point_id, ord FROM pa", "cloud_id, seg_id, point_id, ord", "", BENT))
 def _(s, d):
     return L.cut_sharp_bends(A.points(s, d)).select("cloud_id", "seg_id", "point_id", "ord")
 
@@ -820,9 +874,9 @@ def _(s, d):
     return L.connect_ends(A.points(s, d), 60.0, 30.0).select("cloud_id", "seg_id", "point_id", "ord")
 
 
-@query("f13_connect_near_segments")
+@query("f13_connect_near_segments", sql("points", CHAINED, "cloud_id, seg_id, point_id, ord", "", FACING.replace("<= 60", "<= 40").replace("<= 30", "<= 20")))
 def _(s, d):
-    return L.connect_near_segments(A.points(s, d), 40.0, 20.0).select("cloud_id", "seg_id", "point_id")
+    return L.connect_near_segments(A.points(s, d), 40.0, 20.0).select("cloud_id", "seg_id", "point_id", "ord")
 
 
 @query("f14_confidence", sql("edges", "SELECT s.cloud_id, seg_id, avg(prob) AS confidence FROM kept k JOIN seg s ON k.src = s.node GROUP BY ALL", "cloud_id, seg_id", "confidence", BIG))
@@ -1195,7 +1249,11 @@ def _(s, d):
     return E.bce_mse(A.voxels(s, d).withColumns({"score": F.col("value") / 120000, "target": (F.col("value") >= 50000).cast("int")}))
 
 
-@query("e28_centreline_dice")
+#: How much of each one's skeleton lies in the other.
+LYING = "SELECT s.image_id, (sum(s.value * m.value) + 1) / (sum(s.value) + 1) AS {0} FROM {1} s JOIN {2} m ON s.image_id = m.image_id AND s.z = m.z AND s.y = m.y AND s.x = m.x GROUP BY 1"
+
+
+@query("e28_centreline_dice", sql("voxels", f"SELECT image_id, 1 - 2 * p * s / (p + s) AS cldice FROM ({LYING.format('p', 'ps1', 'tr')}) JOIN ({LYING.format('s', 'ts1', 'pd')}) USING (image_id)", "image_id", "cldice", "pd AS (SELECT image_id, z, y, x, value / 120000 AS value FROM voxels), tr AS (SELECT image_id, z, y, x, (value >= 50000)::DOUBLE AS value FROM voxels), " + skeleton_sql("pd", 1, "p") + ", " + skeleton_sql("tr", 1, "t")))
 def _(s, d):
     v, i = both(s, d)
     v = cut(v, "voxels")
