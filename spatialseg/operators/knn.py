@@ -53,7 +53,7 @@ def side() -> Column:
 
 
 #: Cells with more than CROWDED times k + 1 targets are split, down to level DEEPEST.
-CROWDED, DEEPEST = 8, 30
+CROWDED, DEEPEST = 24, 30
 
 
 def crowded_cells(targets: DataFrame, frame: DataFrame, k: int, keys: list[str]) -> list[DataFrame]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spatialseg.operators import cloud, filament, graph, metrics
-from spatialseg.sources import files
+from spatialseg.sources import files, labelled
 from spatialseg.streaming import streams
 
 
@@ -128,3 +128,30 @@ def test_named_holdout(spark):
     assert all(n == 4 for (i, s), n in got.items() if s == "test" and i != "i2")
 
 
+
+
+def test_labelled_sets_of_each_kind(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv/2.5_line.csv").write_text("ID,X,Y,Z\n0,0,0,0\n0,25,0,0\n0,50,0,0\n1,0,100,0\n1,0,125,0\n")
+    got = labelled.load_labelled_files(spark, "filament", f"file://{tmp_path}/csv")
+    assert sorted((r["seg_id"], r["x"], r["y"]) for r in got["points"].collect()) == [(0, 0, 0), (0, 10, 0), (0, 20, 0), (1, 0, 40), (1, 0, 50)]
+    assert sorted((r["src"], r["dst"]) for r in got["edges"].where("src < dst").collect()) == [(0, 1), (1, 2), (3, 4)]
+    (tmp_path / "g.am").write_text("# AmiraMesh 3D ASCII 2.0\ndefine VERTEX 2\nVERTEX { float[3] VertexCoordinates } @1\nEDGE { int[2] EdgeConnectivity } @2\nEDGE { int NumEdgePoints } @3\nPOINT { float[3] EdgePointCoordinates } @4\n\n@1\n0 0 0\n2 0 0\n\n@2\n0 1\n\n@3\n3\n\n@4\n0 0 0\n10 0 0\n20 0 0\n")
+    graph_ = labelled.load_labelled_files(spark, "filament", f"file://{tmp_path}/g.am")
+    assert graph_["points"].count() == 3 and graph_["edges"].where("src < dst").count() == 2 and graph_["patches"].count() == 3
+    rows = [(0.05 * i + 0.01, 0.01, 0.01, c) for i in range(20) for c in ["255 0 0" if i < 10 else "0 0 255"]]
+    (tmp_path / "m.ply").write_text("ply\nend_header\n" + "".join(f"{x} {y} {z} {c}\n" * 2 for x, y, z, c in rows))
+    for kind in ("part", "indoor"):
+        got = labelled.load_labelled_files(spark, kind, f"file://{tmp_path}/m.ply")
+        xs = sorted((r["x"], r["seg_id"]) for r in got["points"].collect())
+        assert len(xs) == 20 and np.allclose([x for x, _ in xs], np.arange(20) + 0.2) and [s for _, s in xs] == [1] * 10 + [0] * 10
+        seg = {r["point_id"]: r["seg_id"] for r in got["points"].collect()}
+        assert all(seg[r["src"]] == seg[r["dst"]] for r in got["edges"].collect()) and got["patches"].count() == 20
+    for i in range(2):
+        (tmp_path / f"rooms/office/{i}.txt").parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"rooms/office/{i}.txt").write_text("".join(f"{j} {i} 0 9 9 9\n" for j in range(12)))
+    got = labelled.load_labelled_files(spark, "room", f"file://{tmp_path}/rooms")
+    assert got["points"].count() == 24 and {r["cloud_id"] for r in got["points"].collect()} == {"office"}
+    assert got["edges"].groupBy("src").count().agg(F.max("count")).first()[0] <= 8
+    with pytest.raises(ValueError, match="no labelled set of kind"):
+        labelled.read_labelled(spark, "moon", f"file://{tmp_path}")
