@@ -326,8 +326,15 @@ def in_blocks(rows: DataFrame, keys: list[str], sizes: DataFrame, block: int) ->
     return whole.unionByName(dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other"))
 
 
-def links_inside(members: DataFrame, comp: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, cut: Callable) -> DataFrame:
-    """(a, b): the links inside the components of (sig, node) ``members``. Pairs meet in their component, or in its signatures if these have fewer pairs; a bucket is dealt in blocks, each with each."""
+def links_inside(members: DataFrame, comp: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int, cut: Callable, as_pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """The links inside the components of (sig, node) ``members``, and the components that are counted.
+
+    Pairs meet in their component, or in its signatures if these have fewer pairs; a
+    bucket is dealt in blocks, each with each. Where a component is one bucket, each pair
+    meets once: then a row (a, null, n) is the number of links of node a, and no pair
+    leaves its block. Pairs that may meet in several signatures, or all if ``as_pairs``,
+    are rows (a, b, n), each once.
+    """
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     known = links.join(comp, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("known"))
     size = small(cut(size.join(known, "component").where("m * (m - 1) / 2 > known").select("component", "m"), "component-sizes"))
@@ -335,8 +342,8 @@ def links_inside(members: DataFrame, comp: DataFrame, links: DataFrame, sets: Da
     pairs = of_sig.groupBy("component", "sig").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.sum(F.col("k") * F.col("k")).alias("of_sigs"))
     whole = size.join(pairs, "component", "left").where("of_sigs is null or m * m <= of_sigs or m <= 16").select("component")
     whole = small(cut(whole, "whole"))
-    inside = comp.join(whole, "component").select("component", F.lit(0).cast("long").alias("bucket"), "node")
-    apart = of_sig.join(whole, "component", "left_anti").select("component", F.col("sig").alias("bucket"), "node")
+    inside = comp.join(whole, "component").select("component", F.lit(0).cast("long").alias("bucket"), F.lit(not as_pairs).alias("counted"), "node")
+    apart = of_sig.join(whole, "component", "left_anti").select("component", F.col("sig").alias("bucket"), F.lit(False).alias("counted"), "node")
     placed = inside.unionByName(apart)
     sizes = cut(placed.groupBy("component", "bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
     each = in_blocks(placed, ["component", "bucket"], sizes, LINK_BLOCK).join(sets, "node")
@@ -349,18 +356,28 @@ def links_inside(members: DataFrame, comp: DataFrame, links: DataFrame, sets: Da
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         right, left = np.flatnonzero(own == j), np.flatnonzero(own == i)
         flat, starts = np.concatenate([tokens[r] for r in right] or [np.zeros(0, np.int64)]), np.cumsum(size[right]) - size[right]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, counted = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(t.num_rows, np.int64)
+        as_counts = t.column("counted")[0].as_py()
         for x in left if len(right) else ():
             mine = tokens[x].view(np.uint64)
             at = np.minimum(np.searchsorted(mine, flat.view(np.uint64)), len(mine) - 1)
             both = np.add.reduceat((tokens[x][at] == flat).astype(np.int64), starts)
             linked = right[(both * den >= (size[x] + size[right] - both) * num) & ((right > x) if i == j else (right != x))]
-            a.append(np.full(len(linked), x))
-            b.append(linked)
-        return pa.table({"x": node.take(pa.array(np.concatenate(a))), "y": node.take(pa.array(np.concatenate(b)))})
-
-    met = each.select("component", "bucket", "i", "j", "own", "node", "n_shingles", "tokens").groupBy("component", "bucket", "i", "j").applyInArrow(run, f"x {kind}, y {kind}")
-    return met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            if as_counts:
+                counted[x] += len(linked)
+                counted[linked] += 1
+            else:
+                a.append(np.full(len(linked), x))
+                b.append(linked)
+        if as_counts:
+            rows = np.flatnonzero(counted)
+            return pa.table({"x": node.take(pa.array(rows)), "y": pa.nulls(len(rows), node.type), "n": pa.array(counted[rows])})
+        x = np.concatenate(a)
+        return pa.table({"x": node.take(pa.array(x)), "y": node.take(pa.array(np.concatenate(b))), "n": pa.array(np.ones(len(x), np.int64))})
+
+    met = each.select("component", "bucket", "counted", "i", "j", "own", "node", "n_shingles", "tokens").groupBy("component", "bucket", "i", "j").applyInArrow(run, f"x {kind}, y {kind}, n long")
+    named = met.where("y is null or x <> y").select(F.least("x", "y").alias("a"), F.when(F.col("y").isNotNull(), F.greatest("x", "y")).alias("b"), "n")
+    return named.groupBy("a", "b").agg(F.sum("n").alias("n")), whole
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
@@ -428,16 +445,20 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             links = links.unionByName(new)
             tied = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
             comp = cut(connected_components(tied.unionByName(new), "a", "b", cut), "components")
-    all_links = links
+    degree = None
     if count_links:
-        all_links = cut(links.unionByName(links_inside(members, comp, links, sets, num, den, cut)).distinct(), "all-links")
+        inside, counted = links_inside(members, comp, links, sets, num, den, cut, repeats)
+        inside = cut(inside, "inside")
+        apart = links if repeats else links.join(comp, F.col("a") == F.col("node")).join(counted, "component", "left_anti").select("a", "b")
+        pairs = apart.unionByName(inside.where("b is not null").select("a", "b")).distinct()
+        ends_of = pairs.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n")).unionByName(inside.where("b is null").select(F.col("a").alias("rep"), "n"))
+        degree = cut(ends_of.groupBy("rep").agg(F.sum("n").alias("n_links")), "degrees")
     # rows of one id tie their sets together
     ties = copies.select("node", "rep").distinct()
     repeated = ties.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     if repeats and (not repeated.isEmpty() or not nodes.groupBy("node").count().where("count > 1").join(ties, "node", "left_semi").isEmpty() or not ties.join(nodes, "node", "left_semi").isEmpty()):
         comp = cut(connected_components(ties.toDF("a", "b").union(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b", cut), "components")
-    degree = all_links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    of_group = groups.join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links"))
+    of_group = (groups.join(degree, "rep", "left") if count_links else groups).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links"))
     linked = light.join(of_group, ["d1", "d2", "n_shingles"]).select("node", "n_shingles", "component_id", "n_links")
     alone = ids.where("n_shingles = 0 or node is null").select("node", "n_shingles", F.col("node").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     result = runtime.cut(linked.unionByName(alone).withColumnRenamed("node", id_col), "classes")

@@ -547,3 +547,37 @@ def test_pii_rows(docs, rows):
     assert kinds["url"] == "https://a.example/x?y=1" and kinds["iban"] == "DE89 3704 0044 0532 0130 00" and kinds["account"] == "X1234567"
     assert pii.redacted(text).endswith("passport no: [ACCOUNT] mail [EMAIL]") and pii.redacted(None) is None
     assert pii.redact(empty(docs)).count() == 0 and pii.redact(docs).columns == docs.columns
+
+
+def test_links_are_counted_in_blocks(spark, monkeypatch):
+    """A component of many near copies counts its links block by block, and says so without a row for each pair."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 4)):
+            t[at] = f"v{rng.integers(4)}"
+        texts.append(" ".join(t))
+    texts += [texts[3]] * 5 + [" ".join(f"z{i}" for i in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: words(t, 3) for i, t in enumerate(texts)}
+    different = {}
+    for i, s in sets.items():
+        different.setdefault(frozenset(s), i)
+    linked = lambda a, b: len(a & b) * 100 >= 90 * len(a | b)
+    want = {i: sum(s != o and linked(s, o) for o in different) for i, s in ((i, frozenset(s)) for i, s in sets.items())}
+    made, plain = [], jaccard.links_inside
+
+    def counting(*args):
+        met, whole = plain(*args)
+        made.append((met.where("b is null").count(), met.where("b is not null").count()))
+        return met, whole
+
+    monkeypatch.setattr(jaccard, "links_inside", counting)
+    for block in (7, 256):
+        monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+        got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_components(df, 3, 90, 100).collect()}
+        assert got == want
+    assert all(counts <= len(different) and pairs == 0 for counts, pairs in made)
+    assert sum(want.values()) > 10 * len(different)  # rows of pairs would be many times those of counts
