@@ -115,6 +115,10 @@ def choose_patch_size(points: DataFrame, max_points: int, overlap: float = 0.15,
         size = tried[-1] - step if tried[-1] - step > step else tried[-1] / 2
 
 
+#: Most centres of random patches that are broadcast.
+CENTRES = 100_000
+
+
 def random_patches(points: DataFrame, max_points: int = 500, n: int = 10, seed: int = 0, ratio: float = 1.01) -> DataFrame:
     """(cloud_id, patch_id, half, point_id): cubes around ``n`` points of each cloud, drawn by a hash. A cube is the largest of a geometric row of sizes that holds at most ``max_points``, found from counts by size, so that no cube's points are sorted or gathered."""
     drawn = F.row_number().over(Window.partitionBy("cloud_id").orderBy("_h", "point_id"))
@@ -122,7 +126,9 @@ def random_patches(points: DataFrame, max_points: int = 500, n: int = 10, seed:
     parts = Window.partitionBy("cloud_id", "_p").orderBy("_h", "point_id")
     p = points.withColumn("_h", F.xxhash64("point_id", F.lit(seed))).withColumn("_p", F.pmod(F.xxhash64("point_id"), F.lit(runtime.shuffle_width(points.sparkSession))))
     centres = p.withColumn("_k", F.row_number().over(parts)).where(F.col("_k") <= n).withColumn("patch_id", drawn - 1).where(F.col("patch_id") < n)
-    centres = centres.select("cloud_id", "patch_id", *[F.col(c).alias(f"c_{c}") for c in AXES])
+    centres = runtime.cut(centres.select("cloud_id", "patch_id", *[F.col(c).alias(f"c_{c}") for c in AXES]), "centres")
+    if centres.count() <= CENTRES:  # a few a cloud: then no point is shuffled to meet them
+        centres = F.broadcast(centres)
     far = F.greatest(*[F.abs(F.col(c) - F.col(f"c_{c}")) for c in AXES])
     bin_ = F.when(far > 0, F.ceil(F.ln(far) / math.log(ratio))).otherwise(-(1 << 20)).cast("int")
     near = points.join(centres, "cloud_id").withColumn("_bin", bin_)
