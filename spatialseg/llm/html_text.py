@@ -3,7 +3,9 @@
 A page becomes a tree of elements and of text runs (the text between two block
 boundaries). Each run passes points for its length and commas to the elements
 above it, less with each level; an element's points are discounted by its link
-density; the best one and its siblings that look like content are kept.
+density; the best one and its siblings that look like content are kept. An article or
+main element around it takes its place if the points of all its text, with a bonus for
+the tag, come to as many after the discount.
 
 Edge cases: null or empty html gives the empty text; a page without long
 paragraphs falls back to its article, main or body element; unclosed, crossed
@@ -36,11 +38,12 @@ DROPPED = {"script", "style", "noscript", "template", "nav", "footer", "aside",
 #: What an end tag or a new element of the same family closes, and the elements that hold it in.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 BASE_SCORE = {"article": 10, "main": 8, "div": 5, "section": 4, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|agegate|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|cover-wrap|disqus|extra|foot|footer|gdpr|header|legends|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo\w*|related|remark|replies|reply|respond|rss|search|share|sharing|shoutbox|sidebar|signup|site-?header|site-?footer|skyscraper|social|sponsor\w*|subscribe|taboola|tags?|toolbar|topbar|widget)(?=$|[\s_-])", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|h-entry|main|page|post|text|blog|story)(?=$|[\s_-])", re.I)
 #: What a page's furniture is called, inside an article too, and the words that such names are made up with.
 FURNITURE = set("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion promotions replies reply respond search shoutbox sidebar signup sponsor sponsored subscribe toolbar".split())
-HELPERS = set("area article bar block body bottom box button container content global group inner item items left link links list main module outer page panel pane post primary right secondary section site slot text thread top unit widget wrap wrapper".split())
+#: Furniture where no article or main element is open; inside one these name parts of the text.
+AROUND = FURNITURE | set("agegate masthead outbrain overlay pager related rss share sharing skyscraper social taboola topbar widget".split())
+HELPERS = set("area article articles bar block body bottom box button buttons container content entries global group icon icons inner item items left link links list main mobile module outer page panel pane post posts primary reader right secondary section site slot stories sub text thread top unit user widget wrap wrapper".split())
 #: A slash that closes a tag, not the end of a value without quotes.
 CLOSED = re.compile(r"(?:^|[\s\"'])/$|(?:^|\s)[^\s=\"'/]+/$")
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
@@ -49,6 +52,8 @@ TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-
 PLAIN_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RUN_MIN, LEVELS = 25, 6
+#: Points of an article or main element for its tag. Of unnamed blocks that are mostly links, those with more links than this, before the first or after the last paragraph, are menus.
+TAG_BONUS, MENU_LINKS = 25, 3
 
 
 class Page:
@@ -135,11 +140,9 @@ class Page:
         hint = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         top = self.stack[-1]
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        inside = "article" in self.open or "main" in self.open
-        if inside or name in ("h1", "h2", "h3", "h4", "h5", "h6"):  # an article is left as it is, but for what is plainly furniture
-            unlikely = any(furniture(x) for x in (*attrs.get("class", "").split(), attrs.get("id", "").strip()))
-        else:
-            unlikely = bool(hint) and name not in ("html", "body", "main") and UNLIKELY.search(hint) is not None and not (name == "article" and LIKELY.search(hint) and not re.search("comment|related|promo|sponsor|advert", hint, re.I))
+        inside = "article" in self.open or "main" in self.open or name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        named = FURNITURE if inside else AROUND
+        unlikely = name not in ("html", "body", "main") and any(furniture(x, named) for x in (*attrs.get("class", "").split(), attrs.get("id", "").strip()))
         header = name == "header" and "article" not in self.open and "main" not in self.open
         drop = self.drop[top] or name in DROPPED or header or hidden or unlikely or attrs.get("role", "").lower() in ROLES
         if name in VOID or name not in RAW and name in INLINE and CLOSED.search(rest):
@@ -170,10 +173,10 @@ class Page:
         self.pop()
 
 
-def furniture(label: str) -> bool:
+def furniture(label: str, named: set[str] = FURNITURE) -> bool:
     """Whether a class or id names menus, headers, footers, sidebars, notices, adverts, forms or comments, by all of its words."""
-    words = [w for w in re.split(r"[-_]", label.lower()) if w]
-    return any(w in FURNITURE for w in words) and all(w in FURNITURE or w in HELPERS or w.isdigit() for w in words)
+    words = [w for w in re.split(r"[-_0-9]+", label.lower()) if w]
+    return any(w in named for w in words) and all(w in named or w in HELPERS for w in words)
 
 
 def main_text(source: str | None) -> str:
@@ -183,14 +186,21 @@ def main_text(source: str | None) -> str:
     page = Page(source)
     parent, name = page.parent, page.name
     n = len(name)
-    score, chars, links = [0.0] * n, [0] * n, [0] * n
+    score, chars, links, points_in, anchors = [0.0] * n, [0] * n, [0] * n, [0.0] * n, [0] * n
     scored: set[int] = set()
-    for at, text, linked in page.runs:
-        chars[at] += len(text)
+    long_at: list[int] = []  # places of the runs that give points
+    for place, (at, text, linked) in enumerate(page.runs):
+        size = len(text) - text.count(" ")  # as characters inside links are counted
+        share = min(1.0, linked / size)
+        chars[at] += size
         links[at] += linked
         if len(text) < RUN_MIN or name[at] in ("h1", "h2", "h3", "h4", "h5", "h6", "#root", "html"):
             continue
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) // 100, 3)
+        points *= 1 - share
+        points_in[at] += points
+        if share < 0.5:
+            long_at.append(place)
         up, level = (parent[at], 0) if name[at] in ("p", "pre", "li", "td", "blockquote") else (at, 0)
         while up > 0 and level < LEVELS:
             score[up] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -199,27 +209,31 @@ def main_text(source: str | None) -> str:
     for i in range(n - 1, 0, -1):  # children come after their parents
         chars[parent[i]] += chars[i]
         links[parent[i]] += links[i]
+        points_in[parent[i]] += points_in[i]
+        anchors[parent[i]] += anchors[i] + (name[i] == "a")
     density = lambda i: links[i] / chars[i] if chars[i] else 0.0
+    weight = lambda i: BASE_SCORE.get(name[i], 0) + (25 if page.hint[i] and LIKELY.search(page.hint[i]) else 0)
     final = {}
     for i in scored:
-        weight = BASE_SCORE.get(name[i], 0) + (25 if page.hint[i] and LIKELY.search(page.hint[i]) else 0)
-        final[i] = (score[i] + weight) * (1 - density(i))
+        final[i] = (score[i] + weight(i)) * (1 - density(i))
     keep: set[int] = set()
     body = {i for i in scored if name[i] not in ("html", "#root")}
     if best := max(body, key=lambda i: (final[i], -i), default=0):
-        up = best
-        while up > 0 and name[up] not in ("article", "main"):
+        up, most = best, final[best]
+        while up > 0:
+            if name[up] in ("article", "main") and (points_in[up] + weight(up) + TAG_BONUS) * (1 - density(up)) >= most:
+                best = up
+                break
             up = parent[up]
-        if up > 0 and density(up) < 0.5:
-            best = up
         keep.add(best)
         if name[best] not in ("article", "main", "body"):
-            bar = max(10.0, 0.2 * final.get(best, 0.0))
+            own = lambda i: score[i] * (1 - density(i))  # noqa: E731  points of the text alone
+            bar = 0.2 * own(best)
             for i in range(1, n):
                 if i == best or parent[i] != parent[best]:
                     continue
-                bonus = 0.2 * final.get(best, 0.0) if page.hint[i] and page.hint[i] == page.hint[best] else 0.0
-                if final.get(i, 0.0) + bonus >= bar or name[i] in ("p", "h1", "h2", "h3", "pre", "blockquote") and chars[i] and density(i) < 0.25:
+                alike = i in scored and name[i] == name[best] and density(i) < 0.25 and (page.hint[i] == page.hint[best] != "" or name[i] == "section")
+                if alike or i in scored and own(i) >= bar or name[i] in ("p", "h1", "h2", "h3", "pre", "blockquote") and chars[i] and density(i) < 0.25:
                     keep.add(i)
         elif name[best] == "article":  # an article may come in several parts
             keep |= {i for i in body if name[i] == "article" and parent[i] == parent[best] and final[i] >= max(10.0, 0.2 * final.get(best, 0.0))}
@@ -229,11 +243,23 @@ def main_text(source: str | None) -> str:
                 keep.update(found[:1])
                 break
     inside = [False] * n
-    whole = any(name[i] in ("article", "main") for i in keep)  # lists of links inside an article are part of it
     for i in range(n):
         inside[i] = i in keep or i > 0 and inside[parent[i]]
-        if inside[i] and i not in keep and not whole and name[i] in ("ul", "ol", "table", "div", "section") and density(i) > 0.5:
-            inside[i] = False
+    if not any(name[i] in ("article", "main") for i in keep):  # inside these, lists of links are part of the text
+        bare = any(name[i] in ("body", "#root") for i in keep)
+        of_keep = [k for k in long_at if inside[page.runs[k][0]]]
+        first, last = (of_keep[0], of_keep[-1]) if of_keep else (0, -1)
+        starts, ends = [len(page.runs)] * n, [-1] * n  # the places of a block's first and last run
+        for place, (at, _, _) in enumerate(page.runs):
+            starts[at], ends[at] = min(starts[at], place), place
+        for i in range(n - 1, 0, -1):
+            starts[parent[i]], ends[parent[i]] = min(starts[parent[i]], starts[i]), max(ends[parent[i]], ends[i])
+        for i in range(n):
+            if i in keep or not inside[i]:
+                continue
+            edge = bare or ends[i] < first or starts[i] > last
+            menu = edge and anchors[i] > MENU_LINKS and density(i) > 0.5 and name[i] in ("ul", "ol", "table", "div", "section")
+            inside[i] = inside[parent[i]] and not menu or parent[i] < 0
     return " ".join(text for at, text, _ in page.runs if inside[at])
 
 

@@ -1,6 +1,7 @@
 """Every operator against a plain version of its contract."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -213,6 +214,39 @@ def test_html():
         html_text.main_text(hard)
 
 
+def test_html_without_article():
+    """Pages whose text lies in a plain div: names that only contain furniture words stay, furniture and menus go, scores choose."""
+    long = "This sentence, with commas, is long enough to be scored as a paragraph of text. "
+    inside = lambda inner: html_text.main_text(f"<body><div class='sidebar'><p>{long}</p></div><div id='content'><p>{long * 3}</p>{inner}<p>{long}</p></div></body>")
+    for kept in ("<section id='social-impact'>%s</section>", "<div id='search-algorithms'>%s</div>", "<div class='community extra'>%s</div>", "<div class='tags'>%s</div>", "<p class='remark'>%s</p>", "<p class='extra'>%s</p>", "<p class='legends'>%s</p>", "<ul><li><a href=/a>%s</a><li><a href=/b>two</a></ul>"):
+        assert inside(kept % "The part, kept.") == " ".join(f"{long * 3}The part, kept. {'two ' * ('two' in kept)}{long}".split()), kept
+    for gone in ("<div class='comments'>%s</div>", "<div id='ad-slot-3'>%s</div>", "<div class='share-buttons'>%s</div>", "<div class='related-posts'>%s</div>", "<nav>%s</nav>"):
+        assert inside(gone % long) == " ".join(f"{long * 4}".split()), gone
+    # an article of teasers does not win over the container with the text, nor does a main element full of links
+    teaser = "<article><p>A short teaser of some other story, read on.</p></article>"
+    assert html_text.main_text(f"<body>{teaser}<div>{f'<p>{long}</p>' * 6}</div>{teaser}</body>") == " ".join((long * 6).split())
+    menu = "".join(f"<li><a href=/{i}>an entry of the menu number {i}</a>" for i in range(200))
+    assert html_text.main_text(f"<body><main><div><ul>{menu}</ul></div><div>{f'<p>{long}</p>' * 6}</div></main></body>") == " ".join((long * 6).split())
+    html_text.main_text("<div>x" * 20000)
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(6, 18))) + rng.choice([".", ", yes.", ", but, no."])
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{word()}'>{word()} {word()}</a></li>" for _ in range(n)) + "</ul>"
+    for _ in range(300):
+        blocks, text = [], []
+        for k in range(rng.randint(5, 14)):
+            kind = "p" if k < 2 else rng.choice(["p", "p", "p", "h2", "list", "quote", "table"])
+            words = [" ".join(sentence() for _ in range(rng.randint(2, 6)))] if kind in ("p", "quote") else [word() for _ in range(3)]
+            blocks.append({"p": "<p>{}</p>", "h2": "<h2>{} {} {}</h2>", "list": "<ul><li>{}<li>{}<li>{}</ul>", "quote": "<blockquote><p>{}</p></blockquote>", "table": "<table><tr><td>{}<td>{}<td>{}</table>"}[kind].format(*words))
+            text += words
+        hint = rng.choice(["", "", " class='content'", " class='c12 tags'", " id='x7'", " class='extra'"])
+        before = rng.choice(["", f"<div>{links(8)}</div>", f"<div class='main-nav'>{links(5)}</div>", f"<div class='header'><p>{sentence()}</p></div>"])
+        after = rng.choice(["", f"<div class='sidebar'><p>{sentence()} {sentence()}</p></div>", f"<div id='comments'><p>{sentence() * 9}</p></div>", f"<div class='c3'>{links(9)}</div>"])
+        page = f"<html><body><nav>{links(4)}</nav>{before}<div{hint}>{''.join(blocks)}{rng.choice(['', links(7)])}</div>{after}<footer><p>{sentence()}</p></footer></body></html>"
+        assert html_text.main_text(page) == " ".join(text), page
+
+
 def test_html_rows(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = html_text.extract_main_text(pages, ["page_id", "url"]).collect()
