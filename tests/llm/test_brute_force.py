@@ -347,7 +347,19 @@ def test_kneser_ney(spark):
         assert np.allclose(got[:, i], want, rtol=1e-5, atol=0)
     counts = langid.cut(langid.gram_counts(rows.select("lang", "text")), "grams")
     short = langid.counted_models(counts, 4, 30)[-1]
-    assert short.langs == ["a", "b", "c"] and all(len(k) <= 50 for k in short.keys) and all((lp != 0).any(axis=0).all() for lp in short.logp)
+    assert short.langs == ["a", "b", "c"] and all(len(e.lang) <= 50 and {*e.lang} == {0, 1, 2} for e in short.grams)
+    # every language is scored from what it has itself: room does not grow with the number of languages
+    many = [(f"l{i}", " ".join(chr(97 + (i * 7 + j * (i + 3)) % 26) * 2 + chr(97 + (i + j) % 26) for j in range(40))) for i in range(60)]
+    counts = langid.cut(langid.gram_counts(spark.createDataFrame(many, "lang string, text string")), "grams")
+    found = langid.counted_models(counts, 4, 1_200_000)[-1]
+    assert len(found.langs) == 60 and [len(e.lang) for e in found.grams] == [r["n"] for r in langid.gram_statistics(counts, 4)[0].where("model = -1").groupBy("level").agg(langid.F.count("c").alias("n")).orderBy("level").collect()]
+    some = np.unique(np.concatenate([langid.grams(langid.letters(t), 4) for _, t in many[::20]]))
+    got = np.exp(found.gram_logp(some))
+    alphabet = len({int(g) & langid.MASK for _, t in many for g in langid.grams(langid.letters(t), 4)}) + 1
+    for i in (0, 17, 59):
+        lang, text = next(x for x in many if x[0] == found.langs[i])
+        plain = plain_kneser_ney([text], 4)[0]
+        assert np.allclose(got[:, i], [plain(int(g), 4, alphabet) for g in some], rtol=1e-5, atol=0)
 
 
 def test_quality(spark):
