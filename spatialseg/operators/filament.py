@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialseg.components import connected_components
-from spatialseg.functions.geometry import AXES, SEGMENT, along, angle_between, cross, distance, dot, norm, step
+from spatialseg.functions.geometry import AXES, SEGMENT, along, angle_between, cross, distance, norm, step
 from spatialseg.operators.cloud import downsample_medoid
 from spatialseg.operators.graph import cut_graph, kept_edges
-from spatialseg.operators.knn import band_pairs
+from spatialseg.operators.knn import Where, band_pairs, knn
 from spatialseg.operators.project import dense_ids, null_safe
 from spatialseg.operators.raster import interpolate_polyline
 from spatialseg.runtime import cut
@@ -241,17 +241,29 @@ def end_table(points: DataFrame) -> DataFrame:
     return e.withColumns({f"v{c}": F.col(f"v{c}") / length for c in AXES})
 
 
+def facing(cylinder: float) -> Where:
+    """Which pairs of ends, as arrays, are of two segments, lead towards each other and lie within the cylinder around the way out of the first."""
+
+    def good(a: dict, i: np.ndarray, b: dict, j: np.ndarray) -> np.ndarray:
+        gap = [b[f"t_{c}"][j] - a[c][i] for c in AXES]
+        va, vb = [a[f"v{c}"][i] for c in AXES], [b[f"t_v{c}"][j] for c in AXES]
+        product = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+        dist, axial = np.sqrt(product(gap, gap)), product(gap, va)
+        radial = np.sqrt(np.maximum(dist * dist - axial * axial, 0.0))
+        return (a["seg_id"][i] != b["t_seg_id"][j]) & (axial >= 0) & (radial <= cylinder) & (product(va, vb) < 0)
+
+    return good
+
+
 def end_links(points: DataFrame, max_dist: float, cylinder: float) -> DataFrame:
     """Pairs of ends of two segments that face each other: near, within the cylinder around the way out, and each other's best."""
-    e = end_table(points)
-    cols = ["seg_id", "end", "vx", "vy", "vz"]
-    met = band_pairs(e, e, max_dist, ["cloud_id"], cols, cols).where("a_seg_id <> b_seg_id")
-    gap = [F.col(f"b_{c}") - F.col(f"a_{c}") for c in AXES]
-    va, vb = [F.col(f"a_v{c}") for c in AXES], [F.col(f"b_v{c}") for c in AXES]
-    axial = dot(gap, va)
-    radial = F.sqrt(F.greatest(F.col("dist") * F.col("dist") - axial * axial, F.lit(0.0)))
-    good = met.where((axial >= 0) & (radial <= cylinder) & (dot(va, vb) < 0)).select("cloud_id", "a_seg_id", "a_end", "b_seg_id", "b_end", "dist").distinct()
-    best = good.withColumn("_r", F.row_number().over(Window.partitionBy("cloud_id", "a_seg_id", "a_end").orderBy("dist", "b_seg_id", "b_end"))).where("_r = 1").drop("_r")
+    e = end_table(points).where("vx is not null and vy is not null and vz is not null and seg_id is not null").withColumn("point_id", F.struct("seg_id", "end"))
+    # of ends at one place that lead the same way the first three stand for all: only two are of the segment that asks
+    alike = Window.partitionBy("cloud_id", *AXES, "vx", "vy", "vz").orderBy("seg_id", "end")
+    some = e.withColumn("_nth", F.row_number().over(alike)).where("_nth <= 3").drop("_nth")
+    way = ["seg_id", "vx", "vy", "vz"]
+    near = knn(e, some, 1, carry=way, own=way, within=max_dist, where=facing(cylinder))
+    best = near.select("cloud_id", *[F.col(f"{c}.{f}").alias(f"{p}_{f}") for p, c in (("a", "src"), ("b", "dst")) for f in ("seg_id", "end")], "dist")
     back = best.select("cloud_id", F.col("b_seg_id").alias("a_seg_id"), F.col("b_end").alias("a_end"), F.col("a_seg_id").alias("b_seg_id"), F.col("a_end").alias("b_end"))
     return best.join(back, back.columns, "left_semi")
 
@@ -309,10 +321,14 @@ def confidence(edges: DataFrame, nodes: DataFrame, threshold: float = 0.5, k: in
 
 def overlap_probability(a: DataFrame, b: DataFrame, dist: float, by_b: bool = False) -> DataFrame:
     """Share of each segment's points that have a point of ``b`` (of one segment of it, if ``by_b``) within ``dist``."""
-    met = band_pairs(a, b, dist, ["cloud_id"], ["seg_id", "point_id"], ["seg_id"])
+    if by_b:
+        met = band_pairs(a, b, dist, ["cloud_id"], ["seg_id", "point_id"], ["seg_id"]).withColumnRenamed("a_seg_id", "seg_id")
+    else:  # the nearest point of ``b`` says it
+        near = knn(a.withColumn("point_id", F.struct("seg_id", "point_id")), b, 1, within=dist)
+        met = near.select("cloud_id", "src.seg_id", F.col("src.point_id").alias("a_point_id"))
     keys = ["cloud_id", "seg_id", *(["b_seg_id"] if by_b else [])]
-    hits = met.withColumnRenamed("a_seg_id", "seg_id").select(*keys, "a_point_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    return a.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("_n")).join(hits, SEGMENT, "left").select(*keys, F.coalesce(F.col("_k") / F.col("_n"), F.lit(0.0)).alias("overlap"))
+    hits = met.select(*keys, "a_point_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    return a.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("_n")).join(hits.hint("merge"), SEGMENT, "left").select(*keys, F.coalesce(F.col("_k") / F.col("_n"), F.lit(0.0)).alias("overlap"))
 
 
 def compare_segmentations(a: DataFrame, b: DataFrame, dist: float = 175.0, min_overlap: float = 0.25) -> DataFrame:
@@ -346,8 +362,9 @@ def intensity_along(points: DataFrame, voxels: DataFrame) -> DataFrame:
     """Mean and sum of the image under a filament, and both per length."""
     cells = interpolate_polyline(points).select(*SEGMENT, "z", "y", "x").distinct()
     v = voxels.withColumnRenamed("image_id", "cloud_id") if "image_id" in voxels.columns else voxels
-    on = cells.join(v, ["cloud_id", "z", "y", "x"]).groupBy(*SEGMENT).agg(F.avg("value").alias("mean_intensity"), F.sum("value").alias("sum_intensity"))
-    j = on.join(segment_length(points), SEGMENT)
+    # the walked cells look few to the planner, which would broadcast them
+    on = cells.join(v.hint("merge"), ["cloud_id", "z", "y", "x"]).groupBy(*SEGMENT).agg(F.avg("value").alias("mean_intensity"), F.sum("value").alias("sum_intensity"))
+    j = on.join(segment_length(points).hint("merge"), SEGMENT)
     per = lambda c: (F.col(c) / F.nullif(F.col("length"), F.lit(0.0))).alias(f"{c}_per_length")
     return j.select(*SEGMENT, "mean_intensity", "sum_intensity", per("mean_intensity"), per("sum_intensity"))
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from spatialseg.operators import filament, metrics
 from spatialseg.operators import knn as K
 from spatialseg.operators.boxtree import Block
 
@@ -61,3 +62,26 @@ def test_queries_far_from_all_targets(spark, monkeypatch):
     asked = tree.within(q, np.array([np.sqrt(((t - v) ** 2).sum(axis=1)).min() for v in q]))[0]
     assert len(asked) < 4 * len(q)
     assert {r["src"]: r["dst"] for r in K.knn(table(spark, q), table(spark, t), 1, within=250.0).collect()} == {i: n[0] for i, v in enumerate(q) if (n := nearest(v, t, 1, far=250.0))}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_rows_are_not_broadcast(spark):
+    """Cells around points, walked cells and repeated truth look small to the planner."""
+    p = table(spark, np.random.default_rng(4).uniform(0, 9, (50, 3))).selectExpr("*", "point_id % 5 as seg_id", "point_id as ord")
+    v = spark.range(50).selectExpr("'c' as image_id", "cast(id % 7 as int) z", "cast(id % 6 as int) y", "cast(id % 5 as int) x", "double(id) value")
+    for df in (K.band_pairs(p, p, 1.0, ["cloud_id"], ["point_id"], ["point_id"]), filament.intensity_along(p, v), metrics.mean_coverage(p, p)):
+        assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
+
+
+def test_facing_ends_in_one_place(spark):
+    """Many ends at one place that lead the same way: each meets the nearest facing end of another segment."""
+    rows = []
+    for s in range(40):
+        back = s % 2
+        rows += [("c", s, 2 * s, 0, 10.0 * back, 0.0, 0.0), ("c", s, 2 * s + 1, 1, 4.0 + 2 * back, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "cloud_id string, seg_id long, point_id long, ord int, x double, y double, z double")
+    got = [(r["a_seg_id"], r["a_end"], r["b_seg_id"], r["b_end"]) for r in filament.end_links(p, 5.0, 1.0).collect()]
+    assert sorted(got) == [(0, 1, 1, 1), (1, 1, 0, 1)]
