@@ -125,7 +125,7 @@ def pair_counts(pred: DataFrame, truth: DataFrame) -> DataFrame:
     keys = ["cloud_id", "x", "y", "z"]
     a = pred.select(*keys, F.col("seg_id").alias("p_seg")).distinct()
     b = truth.select(*keys, F.col("seg_id").alias("t_seg")).distinct()
-    return a.join(b, keys).groupBy("cloud_id", "p_seg", "t_seg").agg(F.count(F.lit(1)).alias("inter"))
+    return a.join(b.hint("merge"), keys).groupBy("cloud_id", "p_seg", "t_seg").agg(F.count(F.lit(1)).alias("inter"))
 
 
 def instance_sizes(points: DataFrame, name: str) -> DataFrame:
@@ -140,9 +140,11 @@ def instance_precision(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 def mean_coverage(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean, and mean by size, of each true instance's best IoU."""
-    j = pair_counts(pred, truth).join(instance_sizes(pred, "p"), ["cloud_id", "p_seg"]).join(instance_sizes(truth, "t"), ["cloud_id", "t_seg"])
+    # tables of instances and of points grow with the input; what they are made of may look small enough to broadcast
+    sizes = {n: instance_sizes(df, n).hint("merge") for n, df in (("p", pred), ("t", truth))}
+    j = pair_counts(pred, truth).join(sizes["p"], ["cloud_id", "p_seg"]).join(sizes["t"], ["cloud_id", "t_seg"])
     best = j.groupBy("cloud_id", "t_seg").agg(F.max(F.col("inter") / (F.col("p_n") + F.col("t_n") - F.col("inter"))).alias("_b"))
-    c = instance_sizes(truth, "t").join(best, ["cloud_id", "t_seg"], "left").withColumn("_b", F.coalesce("_b", F.lit(0.0)))
+    c = sizes["t"].join(best, ["cloud_id", "t_seg"], "left").withColumn("_b", F.coalesce("_b", F.lit(0.0)))
     return c.groupBy("cloud_id").agg(F.avg("_b").alias("mcov"), (F.sum(F.col("_b") * F.col("t_n")) / F.sum("t_n")).alias("mwcov"))
 
 
@@ -190,8 +192,9 @@ def coverage_by_threshold(edges: DataFrame, truth: DataFrame, thresholds: tuple[
     of = named(edges)
     cut = cut_graph(of.where(F.col("prob") >= F.col("threshold")).select(edges.columns), 0.0, k, prune)
     true = named(truth)
-    pred = cut.join(true.select("cloud_id", F.col("point_id").alias("node"), "x", "y", "z"), ["cloud_id", "node"])
-    return mean_coverage(pred, true).join(true.select("cloud_id", "_cloud", "threshold").distinct(), "cloud_id").select(F.col("_cloud").alias("cloud_id"), "threshold", "mcov", "mwcov")
+    # neither side may be broadcast: the truth is repeated for each threshold, which the planner does not see
+    pred = cut.join(true.select("cloud_id", F.col("point_id").alias("node"), "x", "y", "z").hint("merge"), ["cloud_id", "node"])
+    return mean_coverage(pred, true).join(true.select("cloud_id", "_cloud", "threshold").distinct().hint("merge"), "cloud_id").select(F.col("_cloud").alias("cloud_id"), "threshold", "mcov", "mwcov")
 
 
 def region_metrics(scored: DataFrame, region: Column, t: float = 0.5) -> DataFrame:
