@@ -20,8 +20,10 @@ def count_true_runs(rows: DataFrame, keys: list[str], order: str, flag: str) ->
 def consecutive_runs(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
     """Runs of integers with step 1: first, last and size of each."""
     w = Window.partitionBy(*keys).orderBy(n)
-    island = rows.select(*keys, n).distinct().withColumn("_i", F.col(n) - F.row_number().over(w))
-    return island.groupBy(*keys, "_i").agg(F.min(n).alias("first"), F.max(n).alias("last"), F.count(F.lit(1)).alias("size")).drop("_i")
+    # equal numbers have equal ranks, so they need not be made distinct; a run's size follows from its ends
+    island = rows.select(*keys, n).withColumn("_i", F.col(n) - F.dense_rank().over(w))
+    size = F.coalesce(F.col("last") - F.col("first") + 1, F.lit(1)).cast("long")  # a null is a run of its own
+    return island.groupBy(*keys, "_i").agg(F.min(n).alias("first"), F.max(n).alias("last")).select(*keys, "first", "last", size.alias("size"))
 
 
 def fill_gaps(rows: DataFrame, keys: list[str], n: str, most: int) -> DataFrame:
