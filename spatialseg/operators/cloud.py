@@ -84,7 +84,7 @@ def patch_grid(bbox: DataFrame, size: float) -> DataFrame:
 
 def points_in_patches(points: DataFrame, bbox: DataFrame, size: float | Column, overlap: float = 0.15) -> DataFrame:
     """(cloud_id, patch_id, point_id): every patch whose box holds the point. Boxes reach half the distance of centres, and the overlap, so none of the space is left out; candidates come from index arithmetic."""
-    return boxes_of(points, patch_counts(bbox, size), overlap).select("cloud_id", "patch_id", "point_id")
+    return boxes_of(points, patch_counts(bbox, size), overlap).select("cloud_id", F.col("patch_id").cast("int").alias("patch_id"), "point_id")
 
 
 def boxes_of(points: DataFrame, grid: DataFrame, overlap: float) -> DataFrame:
@@ -96,11 +96,12 @@ def boxes_of(points: DataFrame, grid: DataFrame, overlap: float) -> DataFrame:
         reach = 0.5 * (1 + overlap)
         first, last = F.greatest(F.ceil(at - reach - 1e-9), F.lit(0)).cast("int"), F.least(F.floor(at + reach + 1e-9).cast("int"), F.col(f"n_{c}") - 1)
         j = j.withColumn(f"i_{c}", F.explode(F.sequence(first, last)))
-    return j.withColumn("patch_id", (F.col("i_x") * F.col("n_y") + F.col("i_y")) * F.col("n_z") + F.col("i_z"))
+    # small boxes are more than an int counts
+    return j.withColumn("patch_id", (F.col("i_x").cast("long") * F.col("n_y") + F.col("i_y")) * F.col("n_z") + F.col("i_z"))
 
 
 def choose_patch_size(points: DataFrame, max_points: int, overlap: float = 0.15, batch: int = 8) -> float:
-    """A tenth of the x extent, less a fixed step until no patch has more points; a batch of sizes is counted by one job."""
+    """A tenth of the x extent, less a fixed step until no patch has more points; from the step on a quarter of the last size again and again, down to a 64th of the step, which is taken as it is. A batch of sizes is counted by one job."""
     boxes = runtime.cut(bounding_box(points), "boxes")
     b = boxes.agg(F.max(F.col("hi_x") - F.col("lo_x")), F.max(F.col("hi_y") - F.col("lo_y"))).first()
     size, step = float(b[0]) / 10, max(float(b[1]) / 100, 1e-6)
@@ -188,7 +189,7 @@ def build_patches(points: DataFrame, max_points: int = 500, overlap: float = 0.1
     large = points.join(count.where(F.col("_n") > max_points), "cloud_id", "left_semi")
     if not large.isEmpty():
         size = size or choose_patch_size(large, max_points, overlap)
-        small = small.unionByName(merge_small_patches(points_in_patches(large, bounding_box(large), size, overlap), max_points))
+        small = small.unionByName(merge_small_patches(boxes_of(large, patch_counts(bounding_box(large), size), overlap).select("cloud_id", "patch_id", "point_id"), max_points))
     return small.withColumn("local_idx", F.row_number().over(Window.partitionBy("cloud_id", "patch_id").orderBy("point_id")) - 1)
 
 

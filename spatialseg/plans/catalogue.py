@@ -562,10 +562,12 @@ def boxes_sql(c: str, src: str) -> str:
     return f"i{c} AS (SELECT *, unnest(generate_series(greatest(ceil(at_{c} - 0.575 - 1e-9), 0)::INT, least(floor(at_{c} + 0.575 + 1e-9), n_{c} - 1)::INT)) AS i_{c} FROM {src})"
 
 
-#: The largest of a row of sizes at which no box has more than 500 points.
+#: The largest of a row of sizes at which no box has more than 500 points: a tenth of the x extent less a step until the step is reached, then a quarter of the last again and again; one of a 64th of the step or less is taken as it is.
 SIZES = (
     BOX.replace("box AS", "bx AS")
-    + ", sz AS (SELECT max(hi_x - lo_x) / 10 - i * greatest(max(hi_y - lo_y) / 100, 1e-6) AS size FROM bx, range(10) r(i) GROUP BY i HAVING size > greatest(max(hi_y - lo_y) / 100, 1e-6))"
+    + ", s0 AS (SELECT max(hi_x - lo_x) / 10 AS start, greatest(max(hi_y - lo_y) / 100, 1e-6) AS step FROM bx)"
+    + ", ev AS (SELECT start - i * step AS size, step FROM s0, unnest(generate_series(0, ceil(start / step)::BIGINT)) r(i) WHERE start - i * step > step)"
+    + ", sz AS (SELECT size FROM ev UNION ALL SELECT size FROM (SELECT coalesce((SELECT min(size) FROM ev), start * 2) / power(4, j) AS size, step, j FROM s0, range(1, 40) r(j)) WHERE j = 1 OR size * 4 > step / 64)"
     + ", nb AS (SELECT *, greatest(ceil((hi_x - lo_x) / size), 2) AS n_x, greatest(ceil((hi_y - lo_y) / size), 2) AS n_y, greatest(floor(greatest(ceil((hi_z - lo_z) / size), 2) / 2), 2) AS n_z FROM bx, sz)"
     + ", pl AS (SELECT p.cloud_id, size, n_x, n_y, n_z, " + ", ".join(f"({c} - lo_{c}) / ((hi_{c} - lo_{c}) / (n_{c} - 1)) AS at_{c}" for c in "xyz") + " FROM points p JOIN nb USING (cloud_id))"
     + f", {boxes_sql('x', 'pl')}, {boxes_sql('y', 'ix')}, {boxes_sql('z', 'iy')}"
@@ -573,7 +575,7 @@ SIZES = (
 )
 
 
-@query("c11_choose_patch_size", sql("points", "SELECT max(size) AS size FROM worst WHERE w <= 500", "", "size", SIZES))
+@query("c11_choose_patch_size", sql("points", "SELECT max(size) AS size FROM worst, s0 WHERE w <= 500 OR size <= step / 64", "", "size", SIZES))
 def _(s, d):
     p = A.points(s, d)
     return s.createDataFrame([(C.choose_patch_size(p, 500),)], "size double")
