@@ -279,7 +279,7 @@ def _(s, d):
     return N.norm_percentile(cut(A.voxels(s, d), "voxels"))
 
 
-@query("n4_norm_percentile_dtype", sql("voxels images", "SELECT image_id, z, y, x, CASE WHEN dtype = 'float32' THEN unit ELSE trunc(unit * CASE dtype WHEN 'uint8' THEN 255 WHEN 'int8' THEN 127 ELSE 65535 END) END AS value FROM (SELECT *, (greatest(least(value, hi), lo) - lo) / (hi - lo) AS unit FROM whole JOIN (SELECT image_id, CASE WHEN any_value(dtype) = 'uint8' AND quantile_cont(value, 0.01) <= 5 THEN 0.0 ELSE quantile_cont(value, 0.01) END AS lo, CASE WHEN any_value(dtype) = 'uint8' AND quantile_cont(value, 0.99) >= 250 THEN 256.0 ELSE quantile_cont(value, 0.99) END AS hi FROM whole GROUP BY 1) USING (image_id))", CELL, "value", "whole AS (SELECT image_id, z, y, x, floor(value / 400) AS value, dtype FROM voxels JOIN images USING (image_id))"))
+@query("n4_norm_percentile_dtype", sql("voxels images", "SELECT image_id, z, y, x, CASE WHEN dtype = 'float32' THEN scaled ELSE trunc(scaled) END AS value FROM (SELECT *, CASE WHEN lo = hi THEN greatest(least(value, most), 0) ELSE (greatest(least(value, hi), lo) - lo) / (hi - lo) * most END AS scaled FROM (SELECT *, CASE dtype WHEN 'uint8' THEN 255 WHEN 'int8' THEN 127 WHEN 'uint16' THEN 65535 ELSE 1 END AS most FROM whole) JOIN (SELECT image_id, CASE WHEN any_value(dtype) = 'uint8' AND quantile_cont(value, 0.01) <= 5 THEN 0.0 ELSE quantile_cont(value, 0.01) END AS lo, CASE WHEN any_value(dtype) = 'uint8' AND quantile_cont(value, 0.99) >= 250 THEN 256.0 ELSE quantile_cont(value, 0.99) END AS hi FROM whole GROUP BY 1) USING (image_id))", CELL, "value", "whole AS (SELECT image_id, z, y, x, floor(value / 400) AS value, dtype FROM voxels JOIN images USING (image_id))"))
 def _(s, d):
     v = cut(A.voxels(s, d).withColumn("value", F.floor(F.col("value") / 400).cast("double")), "voxels")
     return N.norm_percentile(v, images=A.images(s, d))
