@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,17 +132,66 @@ def nearest_walk(x: np.ndarray) -> list[int]:
     return way
 
 
-def order_points(points: DataFrame) -> DataFrame:
-    """``points`` with ``ord`` along the line: from an end, always to the nearest point left; two points keep their order. Each step depends on all before it, so one segment is walked in one task, in time n log n and some 200 bytes a point."""
+def nearest_walks(x: np.ndarray) -> np.ndarray:
+    """``nearest_walk`` of many segments of equally many points (segment, point, axis) at once, every point left looked at: for short ones."""
+    m, n = x.shape[:2]
+    rows, left, way = np.arange(m), np.ones((m, n), bool), np.empty((m, n), np.int64)
+    # the mean of a segment as of it alone: sums over another axis add in another order
+    mean = np.array([v.mean(axis=0) for v in x])
+    at = ((x - mean[:, None]) ** 2).sum(axis=2).round(9).argmax(axis=1)
+    for k in range(n):
+        way[:, k] = at
+        left[rows, at] = False
+        d = x - x[rows, at][:, None]
+        d = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+        at = np.where(left, d, np.inf).argmin(axis=1)
+    return way
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id", kind="stable").reset_index(drop=True)
-        n = len(pdf)
-        pdf["ord"] = np.argsort(nearest_walk(pdf[list(AXES)].to_numpy(float)) if n > 2 else range(n))
-        return pdf
 
-    out = points.drop("ord").withColumn("ord", F.lit(0))
-    return out.groupBy(*SEGMENT).applyInPandas(walk, out.schema)
+def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by segment and point, with ``ord``. Whole segments of a batch are walked together by their number of points, long ones alone; the last segment of a batch waits for the next."""
+
+    def ids_of(rows: pa.Table | pa.RecordBatch) -> pd.DataFrame:
+        return rows.select(SEGMENT).to_pandas(integer_object_nulls=True)
+
+    def numbered(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        ids = ids_of(table).groupby(SEGMENT, sort=False, dropna=False).ngroup().to_numpy()
+        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        size = np.diff(np.r_[start, len(ids)])
+        x, out = np.column_stack([table.column(c).to_numpy() for c in AXES]).astype(float), np.zeros(len(ids), np.int64)
+        for n in np.unique(size):
+            of = start[size == n]
+            if n <= 2:
+                way = np.tile(np.arange(n), (len(of), 1))
+            elif n <= LEAF:
+                few = max(1, (1 << 18) // n)
+                way = np.concatenate([nearest_walks(x[of[i : i + few, None] + np.arange(n)]) for i in range(0, len(of), few)])
+            else:
+                way = np.array([nearest_walk(x[a : a + n]) for a in of])
+            out[of[:, None] + way] = np.arange(n)
+        yield from table.append_column("ord", pa.array(out.astype(np.int32))).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = ids_of(b)
+        before = [ids_of(held[-1].slice(held[-1].num_rows - 1))] if held else []
+        code = pd.concat([*before, own]).groupby(SEGMENT, sort=False, dropna=False).ngroup().to_numpy()
+        if code[0] != code[-1]:  # else the segment goes on
+            n = int(np.argmax(code == code[-1])) - len(before)
+            yield from numbered([*held, b.slice(0, n)])
+            held, b = [], b.slice(n)
+        held.append(b)
+    if held:
+        yield from numbered(held)
+
+
+def order_points(points: DataFrame) -> DataFrame:
+    """``points`` with ``ord`` along the line: from an end, always to the nearest point left; two points keep their order. Each step depends on all before it, so one segment is walked in one task, in time n log n and some 200 bytes a point; short segments are walked many at a time."""
+    rows = points.drop("ord")
+    return rows.repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "point_id").mapInArrow(walked, rows.withColumn("ord", F.lit(0)).schema)
 
 
 def with_steps(points: DataFrame) -> DataFrame:
