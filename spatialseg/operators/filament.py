@@ -367,7 +367,10 @@ def connect_near_segments(points: DataFrame, max_dist: float = 1000.0, cylinder:
 
 def confidence(edges: DataFrame, nodes: DataFrame, threshold: float = 0.5, k: int = 2) -> DataFrame:
     """Mean probability of a segment's kept edges. ``nodes`` is what cut_graph returns."""
-    kept = kept_edges(edges, threshold, k)
+    return kept_confidence(kept_edges(edges, threshold, k), nodes)
+
+
+def kept_confidence(kept: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.join(nodes.withColumnRenamed("node", "src"), ["cloud_id", "src"]).groupBy("cloud_id", "seg_id").agg(F.avg("prob").alias("confidence"))
 
 

@@ -98,8 +98,11 @@ def top_k_edges(edges: DataFrame, k: int) -> DataFrame:
 
 def segment_components(edges: DataFrame) -> DataFrame:
     """(cloud_id, node, component) with the smallest node as name."""
-    named = edges.select(F.struct("cloud_id", F.col("src").alias("n")).alias("src"), F.struct("cloud_id", F.col("dst").alias("n")).alias("dst"))
-    return connected_components(named).select("node.cloud_id", F.col("node.n").alias("node"), F.col("component.n").alias("component"))
+    # a null cloud is a cloud of its own; joins need a key that is never null
+    cloud = F.when(F.col("cloud_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("cloud_id").cast("string")))
+    found = connected_components(edges.select(cloud.alias("_cloud"), "src", "dst"), keys=["_cloud"])
+    own = F.when(F.col("_cloud") != "-", F.substring("_cloud", 2, 2**31 - 1)).cast(edges.schema["cloud_id"].dataType)
+    return found.select(own.alias("cloud_id"), "node", "component")
 
 
 def prune_segments(components: DataFrame, min_points: int) -> DataFrame:
@@ -129,7 +132,11 @@ def kept_edges(edges: DataFrame, threshold: float, k: int) -> DataFrame:
 
 def cut_graph(edges: DataFrame, threshold: float = 0.5, k: int = 2, prune: int = 5) -> DataFrame:
     """Scored edges of overlapping patches to numbered segments: (cloud_id, node, seg_id)."""
-    return number_segments(prune_segments(segment_components(kept_edges(edges, threshold, k)), prune))
+    return cut_kept(kept_edges(edges, threshold, k), prune)
+
+
+def cut_kept(kept: DataFrame, prune: int = 5) -> DataFrame:
+    return number_segments(prune_segments(segment_components(kept), prune))
 
 
 def polyline_edges(points: DataFrame) -> DataFrame:

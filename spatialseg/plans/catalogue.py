@@ -883,8 +883,8 @@ def _(s, d):
 
 @query("f14_confidence", sql("edges", "SELECT s.cloud_id, seg_id, avg(prob) AS confidence FROM kept k JOIN seg s ON k.src = s.node GROUP BY ALL", "cloud_id, seg_id", "confidence", BIG))
 def _(s, d):
-    e = A.edges(s, d)
-    return L.confidence(e, G.cut_graph(e, 0.7, 2, 5), 0.7, 2)
+    kept = cut(G.kept_edges(A.edges(s, d), 0.7, 2), "kept")
+    return L.kept_confidence(kept, G.cut_kept(kept, 5))
 
 
 HIT = "a AS (SELECT * FROM points WHERE point_id % 2 = 0), b AS (SELECT * FROM points WHERE point_id % 2 = 1), hit AS (SELECT DISTINCT a.cloud_id, a.seg_id, b.seg_id AS b_seg_id, a.point_id FROM a JOIN b ON a.cloud_id = b.cloud_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 10)"
