@@ -179,7 +179,8 @@ def dominated(chosen: Pattern, lengths: list[int], counts: dict[int, int], slack
     used = dict(chosen)
     items = [n for n, k in chosen for _ in range(min(k, 2))]
     sums = {(n, n + slack) for n in items if slack} | {(a + b, a + b + slack) for i, a in enumerate(items) for b in items[i + 1 :]}
-    return any((lo < y or lo not in items and y == lo) and y <= hi and counts[y] > used.get(y, 0) for lo, hi in sums for y in lengths)
+    spare = lambda y: lengths[-1] <= y <= lengths[0] and counts.get(y, 0) > used.get(y, 0)
+    return any(spare(y) for lo, hi in sums for y in range(lo + (lo in items), min(hi, lengths[0]) + 1))
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
