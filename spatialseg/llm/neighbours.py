@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by collision counting.
 
-Each block of vectors keeps one sorted array per projection. A query opens a
-window around its own projection in each array and widens all of them together
-(virtual rehashing); vectors that fall into the windows of enough projections
-are verified with their exact inner product. The search of a block ends when it
-has enough verified vectors within the radius that the windows stand for.
+Every projection has a window on either side, beyond ``WINDOW`` standard deviations. A
+query and a vector collide where both lie in the same window, and clash where they lie in
+opposite ones; a block counts collisions less clashes of many queries at once, as a product
+of short numbers. Vectors of enough collisions are verified with their inner product. How
+many are enough follows from the radius: a wider one asks for fewer, in place of wider
+windows (virtual rehashing). The search of a block ends when it has enough verified vectors
+within the radius.
 
 Vectors are set on a sphere by one more coordinate, so the largest inner product
 is the nearest point. Queries come in sets of bounded size, each set against every
@@ -31,15 +33,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialseg.operators.boxtree import spans
 from spatialseg.runtime import cut
 
-PROJECTIONS, WIDTH, SLACK, START, STEP = 64, 1.45, 1.2, 0.4, 1.25
-BLOCK, QUERY_BYTES = 16_384, 32 << 20
-P_NEAR = 0.853  # chance that a vector at the radius falls into one window of WIDTH standard deviations
+PROJECTIONS, WINDOW, SLACK = 192, 0.6, 1.7  # windows begin at so many standard deviations of a projection, on either side
+RADII = np.append(np.arange(0.96, -0.3, -0.05), -1.0)  # the cosines at which a search may end; at the last one all is verified
+BLOCK, BLOCK_BYTES, TOGETHER, QUERY_BYTES = 32_768, 128 << 20, 128, 32 << 20
+
+
+def windows(proj: np.ndarray) -> np.ndarray:
+    """1 or -1 where a projection lies in the window of its side, else 0, in short numbers: a product counts collisions less clashes."""
+    return (proj > WINDOW).astype(np.float32) - (proj < -WINDOW)
+
+
+def needed(proj: np.ndarray) -> np.ndarray:
+    """(queries, RADII): the collisions less clashes of a vector at this cosine, less ``SLACK`` standard deviations.
+
+    Its projections are the query's times the cosine, and normal noise; a logistic curve stands for the normal one.
+    """
+    need = np.full((len(proj), len(RADII)), -PROJECTIONS, np.float32)
+    size = np.abs(proj)
+    inside = size > WINDOW
+    for i, c in enumerate(RADII[:-1]):
+        steep = np.float32(1.702 / np.sqrt(1 - c * c))
+        same, other = (inside / (1 + np.exp(np.minimum(steep * (np.float32(WINDOW) - np.float32(x) * size), 80))) for x in (c, -c))
+        mean = same - other
+        need[:, i] = mean.sum(axis=1) - SLACK * np.sqrt((same + other - mean * mean).sum(axis=1))
+    return need
 
 
 class Block:
-    """Sorted projections of up to some thousand vectors of one length."""
+    """Windows of up to some thousand vectors of one length."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, seed: int = 11):
         order = np.argsort(ids, kind="stable")
@@ -57,51 +81,55 @@ class Block:
         self.x = distinct
         norms = np.linalg.norm(distinct, axis=1)
         self.top = norms.max()
-        d = x.shape[1] + 1
+        self.size = np.diff(self.copies)
+        n, d = distinct.shape
         rng = np.random.default_rng(seed)
-        turns = [np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(-(-PROJECTIONS // d))]
-        self.axes = np.concatenate(turns, axis=1)[:, :PROJECTIONS]
-        lifted = np.concatenate([distinct, np.sqrt(np.maximum(0, self.top**2 - norms**2))[:, None]], axis=1) / self.top
-        proj = (lifted @ self.axes).T
-        self.order = np.argsort(proj, axis=1)
-        self.lane = 10.0 * np.arange(PROJECTIONS)  # the sorted arrays, one after another, far enough apart for one lookup in all
-        self.sorted = (np.take_along_axis(proj, self.order, axis=1) + self.lane[:, None]).ravel()
-        self.order = self.order.ravel()
-
-    def search(self, q: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the nearest found; those below ``bar`` are of no interest."""
-        n, m = len(self.x), PROJECTIONS
-        at = (np.append(q, 0.0) / np.linalg.norm(q)) @ self.axes
-        need = m * (P_NEAR - SLACK * np.sqrt(P_NEAR * (1 - P_NEAR) / m))
-        count = np.zeros(n, np.int64)
-        score = np.full(n, -np.inf)
-        lo = self.sorted.searchsorted(at + self.lane)
-        hi = lo.copy()
-        radius, size = START, np.diff(self.copies)
-        scale = np.linalg.norm(q) * self.top
+        turns = [np.linalg.qr(rng.normal(size=(d + 1, min(d + 1, PROJECTIONS))))[0] for _ in range(-(-PROJECTIONS // (d + 1)))]
+        self.axes = (np.concatenate(turns, axis=1)[:, :PROJECTIONS] * np.sqrt(d + 1)).astype(np.float32)
+        self.short = (distinct / self.top).astype(np.float32)
+        height = np.sqrt(np.maximum(0, 1 - (norms / self.top) ** 2)).astype(np.float32)
+        self.inside = windows(self.short @ self.axes[:-1] + height[:, None] * self.axes[-1])
+        self.verified = 0  # over all searches
+
+    def search(self, qs: np.ndarray, own: np.ndarray, k: int, bars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and inner products of the nearest found; those below its bar are of no interest."""
+        radius = 0
+        for at in range(0, len(qs), TOGETHER):
+            q = qs[at : at + TOGETHER]
+            lengths = np.linalg.norm(q, axis=1)
+            unit = (q / lengths[:, None]).astype(np.float32)
+            proj = unit @ self.axes[:-1]
+            count, need = windows(proj) @ self.inside.T, needed(proj)
+            for i in range(len(q)):
+                bar = bars[at + i]
+                found, radius = self.verified_within(unit[i], count[i], need[i], k, bar / (lengths[i] * self.top), max(0, radius - 2))
+                s = (self.x[found] * q[i]).sum(axis=1)  # the same bits wherever a vector lies
+                found, s = found[s >= bar], s[s >= bar]
+                copy, rows = spans(self.copies[found], self.size[found])
+                ids, s = self.ids[rows], s[copy]
+                other = ids != own[at + i]
+                ids, s = ids[other], s[other]
+                best = np.lexsort((ids, -s))[:k]
+                yield ids[best], s[best]
+
+    def verified_within(self, unit: np.ndarray, count: np.ndarray, need: np.ndarray, k: int, bar: float, radius: int) -> tuple[np.ndarray, int]:
+        """The vectors that may be among the ``k + 1`` nearest, and the place in ``RADII`` where the search ended, which begins at ``radius``."""
+        found, score = np.zeros(0, np.int64), np.zeros(0, np.float32)
         while True:
-            half = WIDTH * radius / np.sqrt(len(q) + 1)
-            a, b = self.sorted.searchsorted(at + self.lane - half), self.sorted.searchsorted(at + self.lane + half, "right")
-            parts = [self.order[i:j] for i, j in zip((*a, *hi), (*lo, *b), strict=True) if i < j]
-            lo, hi = a, b
-            if parts:
-                count += np.bincount(np.concatenate(parts), minlength=n)
-            new = np.flatnonzero((count >= need) & np.isneginf(score)) if radius < 2.1 else np.flatnonzero(np.isneginf(score))
-            score[new] = (self.x[new] * q).sum(axis=1)  # the same bits wherever a vector lies
-            within = score >= scale * (1 - radius * radius / 2)
-            if size[within].sum() > k or radius >= 2.1 or scale * (1 - radius * radius / 2) < bar:
-                break
-            radius *= STEP
-        seen = np.flatnonzero(~np.isneginf(score) & (score >= bar))
-        if len(seen) > k + 1:
-            bar = np.partition(score[seen], -(k + 1))[-(k + 1)]
-            seen = seen[score[seen] >= bar]
-        rows = np.concatenate([np.arange(0), *[np.arange(self.copies[i], self.copies[i + 1]) for i in seen]])
-        ids, s = self.ids[rows], score[self.copy_of[rows]]
-        other = ids != own
-        ids, s = ids[other], s[other]
-        best = np.lexsort((ids, -s))[:k]
-        return ids[best], s[best]
+            new = np.flatnonzero(count >= need[radius])
+            count[new] = -PROJECTIONS - 1
+            self.verified += len(new)
+            found, score = np.concatenate([found, new]), np.concatenate([score, self.short[new] @ unit])
+            if len(found) > k + 1:  # those that the rounding of short numbers might put among the nearest stay
+                least = np.partition(score, -(k + 1))[-(k + 1)] - np.float32((len(unit) + 2) * 2.0**-22)
+                found, score = found[score >= least], score[score >= least]
+            order = np.argsort(-score)
+            rows = np.cumsum(self.size[found[order]])
+            reached = max(bar, score[order[np.searchsorted(rows, k, "right")]] if len(rows) and rows[-1] > k else -np.inf)
+            enough = min(int(np.searchsorted(-RADII, -reached)), len(RADII) - 1)
+            if enough <= radius:
+                return found, radius
+            radius = min(enough, radius + 2)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -123,8 +151,7 @@ class Best:
         self.score, self.id = np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), np.int64)
 
     def add(self, block: Block) -> None:
-        for i, (qid, q) in enumerate(zip(self.qids, self.qs, strict=True)):
-            ids, s = block.search(q, qid, self.k, self.score[i, -1])
+        for i, (ids, s) in enumerate(block.search(self.qs, self.qids, self.k, self.score[:, -1])):
             if len(ids):
                 held = ~np.isneginf(self.score[i])
                 ids, s = np.append(self.id[i, held], ids), np.append(self.score[i, held], s)
@@ -155,7 +182,7 @@ def best_of_tasks(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.nd
                 rows[0] += part.num_rows
                 rows[1].append(part.column("vid").to_numpy())
                 rows[2].append(matrix(part.column("v"), d))
-                if rows[0] >= BLOCK:
+                if rows[0] >= min(BLOCK, BLOCK_BYTES // (8 * d)):
                     del waiting[d]
                     best[d].add(Block(np.concatenate(rows[1]), np.concatenate(rows[2]), k))
         for d, rows in waiting.items():
