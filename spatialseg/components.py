@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from spatialseg import runtime
 
+#: Edges that a task contracts at once, at least a batch.
+CONTRACTED_AT_ONCE = 100_000
+
 
 def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
     """Every neighbour larger than a node is tied to the smallest of the node and its neighbours; a row an edge at most."""
@@ -41,13 +44,29 @@ def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             low = jump
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        kept.append(b)
+        if sum(x.num_rows for x in kept) >= CONTRACTED_AT_ONCE:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept = []
+    if any(b.num_rows for b in kept):
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
+def _finished(edges: DataFrame, by: list[str]) -> bool:
+    """Whether every edge leads from a node of no other edge straight to a root."""
+    one, none = F.lit(1).alias("up"), F.lit(0).alias("up")
+    ends = edges.select(*by, one, F.lit(False).alias("root")).union(edges.select(F.col("v").alias("u"), *by[1:], none, F.lit(True)))
+    return ends.groupBy(*by).agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up = 1 and root").isEmpty()
+
+
 def _contracted(edges: DataFrame, by: list[str]) -> DataFrame:
-    """The same components by stars inside each batch of rows in order of their nodes: long chains of near numbers become short before the rounds. Nothing is held but a batch."""
+    """The same components by stars inside runs of rows in order of their nodes: long chains of near numbers become short before the rounds. Nothing is held but a run of about ``CONTRACTED_AT_ONCE`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _runs(batches):
             group = np.zeros(b.num_rows, np.int64)
             for c in by[1:]:
                 codes = b.column(c).dictionary_encode(null_encoding="encode")
@@ -72,8 +91,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
 
     Self loops and repeated edges make no difference, null ends are ignored; with
     ``keys``, which must not be null, each of their values is a graph of its own. Edges
-    between numbers are contracted inside batches first. The number of rounds grows with
-    the logarithm of a component's width; each round is written, so that lost executors
+    between numbers are contracted inside runs of rows first, and if that leaves stars no
+    round is needed. The number of rounds grows with the logarithm of a component's
+    width; each round is written, so that lost executors
     cost no more than one, and removed when the next one is. ``cut`` writes the result
     (else into a table of its own).
     """
@@ -85,14 +105,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     if e.schema["u"].dataType == T.LongType():
         before, e = e, scratch.cut(_contracted(e, by), "contracted")
         scratch.drop(before)
-    last = None
-    while True:
+    last, done = None, e.schema["u"].dataType == T.LongType() and _finished(e, by)
+    while not done:
         before, e = e, scratch.cut(_small_star(_large_star(e, by), by), "stars")
         scratch.drop(before)
         # finished when every edge leads straight to a root and a round changes nothing
         now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*by, "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if last == tuple(now):
-            break
+        done = last == tuple(now)
         last = tuple(now)
     roots = e.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = (cut or runtime.cut)(e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")

@@ -18,6 +18,8 @@ functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("_none", "_source", "_total", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * F.col("_rest") / F.col("_wrest")).alias("_target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` with _size, _total (its source's size), _target (its source's words to take) and _copies."""
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """``docs`` with _size, _total (its source's size), _target (its source's words to take) and _copies. ``keep`` may write the tables of a row a class on the way, which parts one long plan into short ones."""
     width = shuffle_width(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in OWN and c not in (id_col, text_col, source_col) and (text_col or c != "_size")])
     sized = docs.withColumns({
@@ -69,10 +71,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     keys = ["_none", "_source", "_class"]
     part = F.shiftright(F.col("_hash") * width, 32)
     # the classes of a source start where the smaller ones end
-    classes = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
+    classes = keep(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words")), "classes")
     smaller = Window.partitionBy("_none", "_source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(classes.groupBy("_none", "_source").agg(F.sum("_words").alias("_total")), weights, share, most)
     starts = classes.select(*keys, F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_first")).join(targets, ["_none", "_source"])
+    starts = keep(starts, "starts")
     ranked = rank_within(sized, keys, part, ["_hash", id_col, "_size"], "_in_class").join(starts, keys)
     rate = F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(0.0)
     offset = uniform32(F.concat(F.lit(seed), F.col("_source"), F.col("_none").cast("string"))) / F.lit(float(TWO_32))
@@ -93,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = [F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.xxhash64(text_col).alias("_digest")]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = cut(docs.select(*key, size.alias("_size")), "sizes")
-    drawn = mix_plan(sizes, "_id", None, "_src", **kw)
+    drawn = mix_plan(sizes, "_id", None, "_src", keep=cut, **kw)
     copies = cut(drawn.groupBy("_id", "_src", "_digest").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "copies")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (F.xxhash64(text_col) == F.col("_digest"))
     met = docs.join(copies.where("_rows = 1"), same)
