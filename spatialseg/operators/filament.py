@@ -15,6 +15,7 @@ from spatialseg.functions.geometry import AXES, SEGMENT, along, angle_between, c
 from spatialseg.operators.cloud import downsample_medoid
 from spatialseg.operators.graph import cut_graph, kept_edges
 from spatialseg.operators.knn import Where, band_pairs, knn
+from spatialseg.operators.matching import most_met
 from spatialseg.operators.project import dense_ids, null_safe
 from spatialseg.operators.raster import interpolate_polyline
 from spatialseg.runtime import cut
@@ -390,9 +391,8 @@ def compare_segmentations(a: DataFrame, b: DataFrame, dist: float = 175.0, min_o
     """(cloud_id, seg_id, class): segments of both that match one of the other, and those that do not."""
     parts = []
     for name, one, other in (("a", a, b), ("b", b, a)):
-        share = overlap_probability(one, other, dist, by_b=True)
-        best = share.groupBy(*SEGMENT).agg(F.max("overlap").alias("o"))
-        parts.append(best.select(*SEGMENT, F.when(F.col("o") >= min_overlap, f"{name}_matched").otherwise(f"{name}_noise").alias("class")))
+        met = most_met(one, other, dist, min_overlap)
+        parts.append(met.select(*SEGMENT, F.when(F.col("_k") / F.col("_n") >= min_overlap, f"{name}_matched").otherwise(f"{name}_noise").alias("class")))
     return parts[0].unionByName(parts[1])
 
 
